@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import lm, packing, quality, secrets, urlfilter
+from bindery.llm import decontam, lm, packing, quality, secrets, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filter, op7_secret_scan, op8_packing, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -101,4 +105,46 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN strict_hits > 0 OR soft_
 FROM s LEFT JOIN f USING (page_id)
 """
 
-ORACLE = {"op4_quality_rules": _OP4, "op5_url_filter": _OP5}
+_OP6 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS g, len(list_slice(w, i, i + 9)) AS n
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+d AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM w, lens, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, d.n, item_id FROM d JOIN win ON d.g = win.g AND d.n = win.n),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id),
+-- proximity: the three words of a window that are rarest in the documents, within nine words of its rarest one
+df AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM w) WHERE t IN (SELECT unnest(w) FROM b) GROUP BY t),
+wt AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS ws
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+wr AS (
+  SELECT item_id, ws, list(t ORDER BY coalesce(c, 0), t, at)[1:3] AS rare, min(coalesce(c, 0)) AS least
+  FROM (SELECT item_id, ws, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS at FROM wt) LEFT JOIN df USING (t)
+  GROUP BY item_id, ws),
+an AS (SELECT DISTINCT item_id, rare FROM wr WHERE least > 0),
+po AS (
+  SELECT doc_id, i, t, list_slice(w, greatest(i - 9, 1), i + 9) AS around
+  FROM (SELECT doc_id, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE t IN (SELECT rare[1] FROM an)),
+near AS (SELECT DISTINCT doc_id, item_id FROM po JOIN an ON t = rare[1] WHERE list_has_all(around, rare)),
+nn AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, item_id FROM near UNION SELECT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(k, 0) AS BIGINT) AS n_near_items
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)
+"""
+
+ORACLE = {
+    "op6_decontamination": _OP6,
+    "op4_quality_rules": _OP4, "op5_url_filter": _OP5}

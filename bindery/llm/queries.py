@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import decontam, lm, packing, quality, secrets, urlfilter
+from bindery.llm import decontam, lm, packing, pii, quality, secrets, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_columns(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -40,7 +44,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -130,8 +134,8 @@ wt AS (
   SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS ws
   FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
 wr AS (
-  SELECT item_id, ws, list(t ORDER BY coalesce(c, 0), t, at)[1:3] AS rare, min(coalesce(c, 0)) AS least
-  FROM (SELECT item_id, ws, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS at FROM wt) LEFT JOIN df USING (t)
+  SELECT item_id, ws, list(t ORDER BY coalesce(c, 0), t, pos)[1:3] AS rare, min(coalesce(c, 0)) AS least
+  FROM (SELECT item_id, ws, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS pos FROM wt) LEFT JOIN df USING (t)
   GROUP BY item_id, ws),
 an AS (SELECT DISTINCT item_id, rare FROM wr WHERE least > 0),
 po AS (

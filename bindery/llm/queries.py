@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import decontam, lm, packing, pii, quality, secrets, urlfilter
+from bindery.llm import decontam, jaccard, lm, packing, pii, quality, secrets, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_columns(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -44,7 +48,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 

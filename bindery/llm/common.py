@@ -56,6 +56,11 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows handed to Python at once: texts are long, and an executor holds several batches of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text, null texts as empty; other columns of `docs`, whatever their names, are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

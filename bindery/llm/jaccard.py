@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, mix, pieces_of, sized, texts, words_in
+from bindery.llm.common import Stash, mix, pieces_of, sized, small_batches, texts, words_in
 
 N = 5
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i, 2**64)) for i in range(N)]
@@ -184,6 +184,7 @@ def near(a: str, b: str, num: int, den: int):
 
 def link_documents(spark: SparkSession, docs: DataFrame, stars: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    small_batches(spark)
     num, den = 80, 100
     stash, docs = Stash(spark), texts(docs)
     all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, k0 long, k1 long, k2 long, k3 long"), "docs")

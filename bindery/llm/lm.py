@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, pieces_of, texts, words_in
+from bindery.llm.common import Stash, pieces_of, small_batches, texts, words_in
 
 HEAD = 1 << 17
 #: A task passes on its word counts when it holds so many different words.
@@ -142,6 +142,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str |
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("piece_bpe_32k.model")
+    small_batches(spark)
     stash = Stash(spark)
     counted = count_words(docs).groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
     words = stash.put(counted, "words")

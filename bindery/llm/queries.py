@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bindery.llm import decontam, jaccard, lm, packing, pii, quality, secrets, urlfilter
+from bindery.llm import decontam, jaccard, linededup, lm, packing, pii, quality, secrets, suffix, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(spark, _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_exact", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -153,6 +163,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
+#: Rows of a `documents` table d(doc_id, text) as lines that stay or go; used by the pipeline's SQL as well.
+LINES_SQL = r"""
+l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d),
+ls AS (
+  SELECT doc_id, line, t, list_sort(list_distinct(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS s FROM l),
+e AS (SELECT doc_id, line, s, len(s) AS n FROM ls WHERE len(s) >= 5),
+c AS (SELECT s, n, min(struct_pack(doc_id := doc_id, line := line)) AS f, row_number() OVER (ORDER BY s) AS cls FROM e GROUP BY s, n),
+tk AS (SELECT cls, n, f, unnest(s) AS t FROM c),
+tf AS (SELECT t, count(*) AS k FROM tk GROUP BY t),
+pr AS (
+  SELECT cls, n, f, t FROM (
+    SELECT cls, n, f, t, row_number() OVER (PARTITION BY cls ORDER BY k, t) AS r FROM tk JOIN tf USING (t))
+  WHERE r <= n - CAST(ceil(n * 4 / 5.0) AS INT) + 1),
+cand AS (
+  SELECT DISTINCT x.cls AS a, y.cls AS b FROM pr x JOIN pr y USING (t)
+  WHERE x.f < y.f AND least(x.n, y.n) * 5 >= greatest(x.n, y.n) * 4),
+late AS (
+  SELECT DISTINCT y.cls FROM cand JOIN c x ON x.cls = a JOIN c y ON y.cls = b
+  WHERE len(list_intersect(x.s, y.s)) * 5 >= (x.n + y.n - len(list_intersect(x.s, y.s))) * 4),
+gone AS (
+  SELECT e.doc_id, e.line, struct_pack(doc_id := e.doc_id, line := e.line) <> c.f AS again
+  FROM e JOIN c USING (s) WHERE struct_pack(doc_id := e.doc_id, line := e.line) <> c.f OR cls IN (FROM late)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.line) AS n_removed, count(*) FILTER (WHERE again) AS n_exact,
+    coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL), '') AS kept_text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line GROUP BY l.doc_id)
+"""
+
+_OP2 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{LINES_SQL}
+SELECT doc_id, n_lines, n_removed, n_exact, sha256(kept_text) AS kept_sha256 FROM kept
+"""
+
 ORACLE = {
+    "op2_line_dedup": _OP2,
     "op6_decontamination": _OP6,
     "op4_quality_rules": _OP4, "op5_url_filter": _OP5}

@@ -40,10 +40,10 @@ def frequent_words(docs: DataFrame) -> list[int]:
 
 
 def line_prefixes(docs: DataFrame, frequent: list[int], least: int) -> DataFrame:
-    """(doc_id, line, cls, n, prefix) of each line with enough distinct words."""
+    """(doc_id, line, cls, n, prefix) of each line that is long enough to hold `least` words."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     df = lines.where(F.length("t") >= 2 * least - 1).select("doc_id", "line", _sets(F.col("t")).alias("s"))
-    df = df.withColumn("n", F.size("s")).where(F.col("n") >= least)
+    df = df.withColumn("n", F.size("s"))
     df = df.withColumn("p", F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
     tiers, at = [], 0
     for size in TIERS:
@@ -74,7 +74,8 @@ def _verified(stash: Stash, pairs: DataFrame, first: DataFrame, docs: DataFrame)
 def removed_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, gone, n_exact): the numbers of the removed lines of each document that has any."""
     stash, docs = Stash(spark), texts(docs)
-    lines = stash.put(line_prefixes(docs, frequent_words(docs), least), "lines")
+    # Filtered when stored: before that, the filter would compute every set once more.
+    lines = stash.put(line_prefixes(docs, frequent_words(docs), least), "lines").where(F.col("n") >= least)
     classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("f"))
     classes = stash.put(classes.select("cls", "f.*"), "classes")
     first = classes.select("cls", "doc_id", "line")

@@ -13,10 +13,10 @@ together more than nine tenths. Null and empty texts have no words and fail the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import SPACES, texts
+from bindery.llm.common import SPACES, Stash, sized, texts
 
 #: Phrases of licence, consent and navigation lines.
 BOILERPLATE = (
@@ -95,7 +95,12 @@ def quality_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    good = quality_columns(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(good, docs["doc_id"] == good["_kept_id"], "left_semi")
+def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    The verdicts are stored first: a filter on them would be pushed below the columns that they are made of, and
+    everything would be computed again for the filter.
+    """
+    verdicts = Stash(spark).put(quality_columns(docs).select(F.col("doc_id").alias("_bad_id"), "kept"), "verdicts")
+    bad = sized(verdicts.where("NOT kept").select("_bad_id"), 16)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")

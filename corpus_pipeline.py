@@ -17,7 +17,7 @@ from bindery.llm.common import Stash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    return quality.kept_documents(docs)
+    return quality.kept_documents(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

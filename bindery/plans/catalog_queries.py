@@ -1,4 +1,6 @@
 """Named catalog queries and the SQL each must agree with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from bindery.plans import browse
+
+QUERIES: dict = dict(browse.QUERIES)
+ORACLE: dict = dict(browse.ORACLE)

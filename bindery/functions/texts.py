@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: (reason, pattern) in order; the first that fits a title excludes it. A neutral sample of a rule table.
 TITLE_RULES = (
@@ -110,23 +111,23 @@ def media_approved(scope: Column, reviewed: Column, page: Column, original: Colu
 
 def split_list(text: Column) -> Column:
     """Trimmed, non-empty members of a comma-separated column."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_key(text: pd.Series) -> pd.Series:
     """Compatibility form, case-folded, letters and digits only: keys that join differently typed names."""
     fold = lambda t: "".join(ch for ch in unicodedata.normalize("NFKC", t).casefold() if ch.isalnum())
     return text.map(fold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_spaced(text: pd.Series) -> pd.Series:
     """Compatibility form, lower-cased, without white space: the search variant keeps punctuation."""
     return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).lower().split()), na_action="ignore")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def display_width(text: pd.Series) -> pd.Series:
     """Columns a text takes: two for wide and full-width characters."""
     return text.map(lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t), na_action="ignore").fillna(0).astype("int32")

@@ -1,0 +1 @@
+"""Reusable DataFrame operators: upserts, lifecycles, identity resolution, permissions."""

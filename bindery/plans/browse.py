@@ -9,19 +9,10 @@ from pyspark.sql import functions as F
 
 from bindery.functions import offers, texts
 from bindery.plans import fixtures as T
-from bindery.plans.fixtures import with_tables
+from bindery.plans.fixtures import registry, with_tables
 
 QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = registry(QUERIES, ORACLE)
 
 
 def filtered(df: DataFrame, *conditions: Column | None) -> DataFrame:
@@ -258,7 +249,7 @@ def canonical_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("works", "editions", "listings")}
-SELECT w.work_id, title, list({{'edition_id': e.edition_id, 'format': e.format, 'offers': coalesce(n, 0)}} ORDER BY e.edition_id) AS editions
+SELECT w.work_id, title, string_agg(e.edition_id || ' ' || e.format || ' ' || coalesce(n, 0), ', ' ORDER BY e.edition_id) AS editions
 FROM works w JOIN editions e USING (work_id) LEFT JOIN (SELECT edition_id, count(*) AS n FROM listings GROUP BY edition_id) l ON l.edition_id = e.edition_id
 WHERE w.work_id <= 50 GROUP BY w.work_id, title""")
 def nested_books(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +257,9 @@ def nested_books(spark: SparkSession, d: str) -> DataFrame:
     n = T.listings(spark, d).groupBy("edition_id").agg(F.count("*").alias("n"))
     e = T.editions(spark, d).where("work_id <= 50").join(n, "edition_id", "left")
     nest = F.array_sort(F.collect_list(F.struct("edition_id", "format", F.coalesce("n", F.lit(0)).alias("offers"))))
-    return T.works(spark, d).where("work_id <= 50").join(e.groupBy("work_id").agg(nest.alias("editions")), "work_id").select("work_id", "title", "editions")
+    return T.works(spark, d).where("work_id <= 50").join(e.groupBy("work_id").agg(nest.alias("nested")), "work_id").select(
+        "work_id", "title", F.array_join(F.transform("nested", lambda x: F.concat_ws(" ", x["edition_id"].cast("string"), x["format"], x["offers"].cast("string"))), ", ").alias("editions")
+    )
 
 
 @query(f"""{with_tables("works", "editions")}, {_MEDIA}

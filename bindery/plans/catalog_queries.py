@@ -1,6 +1,6 @@
 """Named catalog queries and the SQL each must agree with."""
 
-from bindery.plans import browse
+from bindery.plans import browse, ingest
 
-QUERIES: dict = dict(browse.QUERIES)
-ORACLE: dict = dict(browse.ORACLE)
+QUERIES: dict = browse.QUERIES | ingest.QUERIES
+ORACLE: dict = browse.ORACLE | ingest.ORACLE

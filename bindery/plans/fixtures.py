@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from bindery.functions import offers
 
 
+def registry(queries: dict, oracle: dict):
+    """Decorator that names a query after its function, with the SQL that it must agree with."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,13 +74,14 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Latest first, and a total order, as no column set of the observations is unique.
-LATEST = [F.desc(c) for c in ("observed_at", "work_id", "price_minor", "status", "quantity")]
+def newest() -> list:
+    """Latest first, and a total order, as no column set of the observations is unique."""
+    return [F.desc(c) for c in ("observed_at", "work_id", "price_minor", "status", "quantity")]
 
 
 def latest(df: DataFrame, *keys: str, order=None) -> DataFrame:
     """The first row of each key in `order`."""
-    w = Window.partitionBy(*keys).orderBy(*(LATEST if order is None else order))
+    w = Window.partitionBy(*keys).orderBy(*(newest() if order is None else order))
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 

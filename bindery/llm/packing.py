@@ -9,7 +9,10 @@ range counts its own tokens, and only the ranges' totals are summed up across ra
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,48 +22,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, texts
+from bindery.llm.common import Stash, small_batches, texts
 
 SEQUENCE, END = 2048, 1
 DIMS, BITS, FEATURES = 3, 10, 64
-_BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
+_BLANK, _ODD = re.compile(r"[ \t\n\r\x0b\x0c]+"), re.compile(r"[\t\r\x0b\x0c]")
 
 
 class ChunkTokenizer:
     """Token ids of whole texts from a cache of their space-free chunks.
 
     The vocabulary's normaliser and splitter never join characters across white space, so the ids of a text are the
-    ids of its chunks, one after the other. The cache is emptied when it holds `room` chunks.
+    ids of its chunks, one after the other. A chunk of letters with ASCII punctuation after them is the ids of the
+    lower-cased letters and those of the punctuation, each one unit to the merges; all others go through the whole
+    tokenizer. The cache is emptied when it holds `room` chunks.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+
+    def __init__(self, path: str, room: int = 900_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         self.t, self.room = Tokenizer.from_file(path), room
         self.t.encode_special_tokens = True
+        self.merges = self.t.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        #: Each byte as the character by which byte-level vocabularies write it.
+        self.byte_names = {i: chr(i) if i in plain else chr(next(spare)) for i in range(256)}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(2, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        parts = [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(new, add_special_tokens=False)]
-        self.index.update(zip(new, range(len(self.begins) - 1, len(self.begins) - 1 + len(new)), strict=True))
-        ends = self.begins[-1] + np.cumsum([len(x) for x in parts])
-        self.ids, self.begins = np.concatenate([self.ids, *parts]), np.concatenate([self.begins, ends])
+        self.index = _Places(self.chunk)
+        self.units: dict[str, list[int]] = {}
+        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def unit(self, text: str) -> list[int]:
+        got = self.units.get(text)
+        if got is None:
+            named = text if text.isascii() else text.encode().decode("latin-1").translate(self.byte_names)
+            got = self.units[text] = [x.id for x in self.merges(named)]
+        return got
+
+    def chunk(self, c: str) -> list[int]:
+        core = c.rstrip(self.PUNCTUATION)
+        low = core.lower()
+        # The final sigma is the one letter that str.lower() lowers by its place; the vocabulary's normaliser doesn't.
+        if core.isalpha() and low.isalpha() and (c.isascii() or "\u03a3" not in c and unicodedata.is_normalized("NFC", c)):
+            return self.unit(low) if len(core) == len(c) else self.unit(low) + self.unit(c[len(core) :])
+        return self.t.encode(c, add_special_tokens=False).ids if c else []
 
     def batch(self, rows: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         if len(self.index) > self.room:
             self.clear()
-        chunks = [_BLANK.sub(" ", r).split(" ") for r in rows]
-        new = list(dict.fromkeys(c for row in chunks for c in row if c not in self.index))
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        get, out = self.index.__getitem__, []
-        for row in chunks:
-            k = np.fromiter(map(get, row), np.int64, len(row))
+        if len(self.units) > self.room // 5:
+            self.units.clear()
+        at = []
+        for r in rows:
+            r = r.replace("\n", " ") if not _ODD.search(r) else _BLANK.sub(" ", r)
+            row = r.split(" ")
+            at.append(np.fromiter(map(self.index.__getitem__, row), np.int64, len(row)))
+        if new := self.index.new:
+            ends = self.begins[-1] + np.cumsum([len(x) for x in new])
+            flat = np.fromiter(itertools.chain.from_iterable(new), np.uint32)
+            self.ids, self.begins = np.concatenate([self.ids, flat]), np.concatenate([self.begins, ends])
+            new.clear()
+        out = []
+        for k in at:
             begin = self.begins[k]
             n = self.begins[k + 1] - begin
             after = np.cumsum(n)
@@ -68,6 +98,29 @@ class ChunkTokenizer:
         return out
 
 
+class _Places(dict):
+    """Number of each chunk, in the order in which they came; the ids of those that are new wait in `new`."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.new = ids_of, []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(self.ids_of(chunk))
+        return n
+
+
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, which takes several tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
+
+
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Position along the Hilbert curve of integer points (rows), by undoing the curve's turns bit by bit."""
     x = points.astype(np.int64).T.copy()
@@ -108,7 +161,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, hkey, n_tokens, ids as 16-bit binary) with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(path)
+        tok = tokenizer(path)
         bucket = np.random.Generator(np.random.PCG64(7)).integers(0, FEATURES, 1 << 16)
         for whole in batches:
             for i in range(0, whole.num_rows, 200):
@@ -164,6 +217,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(spark)
     stash = Stash(spark)
     tokens = stash.put(tokenize(docs, tokenizer_path), "tokens")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,6 @@
 """Named catalog queries and the SQL each must agree with."""
 
-from bindery.plans import audit, browse, ingest
+from bindery.plans import audit, browse, curation, ingest
 
-QUERIES: dict = browse.QUERIES | ingest.QUERIES | audit.QUERIES
-ORACLE: dict = browse.ORACLE | ingest.ORACLE | audit.ORACLE
+QUERIES: dict = browse.QUERIES | ingest.QUERIES | audit.QUERIES | curation.QUERIES
+ORACLE: dict = browse.ORACLE | ingest.ORACLE | audit.ORACLE | curation.ORACLE

@@ -20,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm.common import Stash, mix, pieces_of, prefix_hashes, sized, small_batches, span_hashes, texts
 
 LENGTH, GRAM = 200, 32
+#: Different runs of one k-gram that are compared together; more of them are dealt out in blocks of that size.
+BLOCK = 64
 #: Bytes looked at in one go; positions take 24 bits.
 SEGMENT = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
@@ -116,28 +119,90 @@ class SuffixFamily:
         self.levels.append((1, new))
 
 
+def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of a document, with the bytes of its windows and the block of its k-gram that it belongs to."""
+    for b in batches:
+        column = b.column(1)
+        for i, (doc_id, x) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            raw = column[i].as_buffer().to_pybytes()
+            s0, k = np.array([r["s0"] for r in x], np.int64), np.array([r["k"] for r in x], np.int64)
+            blocks = -(-k // BLOCK)
+            salt = (mix(s0.astype(np.uint64) + mix(np.array([doc_id], np.int64).view(np.uint64))) % blocks.astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([doc_id] * len(x), pa.int64()), pa.array(s0), pa.array([r["gram"] for r in x], pa.int64()), pa.array(salt),
+                    pa.array(blocks > 1), pa.array([raw[r["s0"] : r["e"]] for r in x], pa.binary()),
+                ],
+                names=["doc_id", "s0", "gram", "block", "hot", "raw"],
+            )
+
+
+def _window_hashes(docs: np.ndarray, s0: np.ndarray, raw: pa.Array, length: int):
+    """(doc, start, hash) of every window of every run of a batch."""
+    sizes = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    n = sizes - length + 1
+    local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(begin, n) + local
+    return np.repeat(docs, n), np.repeat(s0, n) + local, span_hashes(prefix_hashes(data), at, at + length).view(np.int64)
+
+
 def covered_windows(stash: Stash, docs: DataFrame, probes: DataFrame, length: int) -> DataFrame:
-    """(doc_id, s, e) of the windows of `probes` (doc_id, s0, s1) that stand at two places among them."""
-    by_doc = stash.put(probes.groupBy("doc_id").agg(F.collect_list("s0").alias("s0"), F.collect_list("s1").alias("s1")), "probes")
+    """(doc_id, s, e) of the windows of `probes` (doc_id, s0, s1, gram, k) that stand at two places among them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Equal windows have one k-gram, so runs are compared within blocks of BLOCK runs of one k-gram. Where a k-gram has
+    several blocks, what a block leaves open, and one of each of its equal windows, is counted by hash across blocks.
+    """
+    packed = F.collect_list(F.struct("s0", (F.col("s1") + length).alias("e"), "gram", "k")).alias("x")
+    by_doc = stash.put(probes.groupBy("doc_id").agg(packed), "probes")
+    wanted = docs.join(by_doc, "doc_id").select("doc_id", "text", "x")
+    rows = wanted.mapInArrow(_run_texts, "doc_id long, s0 long, gram long, block long, hot boolean, raw binary")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for b in batches:
-            column = b.column(1)
-            for i, (doc_id, a, z) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 2, 3)), strict=True)):
-                _, data, _ = next(pieces_of(column.slice(i, 1)))
-                at = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, z, strict=True)])
-                lo, hi = at.min(), at.max() + length
-                h = span_hashes(prefix_hashes(data[lo:hi]), at - lo, at - lo + length).view(np.int64)
-                for k in range(0, len(at), 50_000):
-                    part = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), doc_id, np.int64)), pa.array(part), pa.array(h[k : k + 50_000])], names=["doc_id", "s", "h"]
-                    )
-
-    rows = docs.join(sized(by_doc, 200), "doc_id").select("doc_id", "text", "s0", "s1").mapInArrow(run, "doc_id long, s long, h long")
-    rows = stash.put(rows, "windows")
-    twice = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return rows.join(twice, "h").select("doc_id", "s", (F.col("s") + length).alias("e"))
+            if b.num_rows:
+                doc, s, h = _window_hashes(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), length)
+                n = pa.compute.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) - length + 1
+                parts.append((doc, s, h, np.repeat(b.column(2).to_numpy(zero_copy_only=False), n)))
+        if not parts:
+            return
+        doc, s, h, hot = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        parts.clear()
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        before, after = np.append(False, same), np.append(same, False)
+        hit, one = order[before | after], order[~before & after]
+        alone = order[~before & ~after]
+        alone, one = alone[hot[alone]], one[hot[one]]
+        for i in range(0, len(alone), 100_000):
+            x = alone[i : i + 100_000]
+            yield _windows(doc[x], s[x], s[x] + length, h[x])
+        if len(one):
+            yield _windows(None, s[one], s[one] + length, h[one])
+        doc, s = doc[hit], s[hit]
+        order = np.lexsort((s, doc))
+        doc, s = doc[order], s[order]
+        if len(s):
+            # Neighbouring windows make one span.
+            cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1)))
+            yield _windows(doc[cut], s[cut], s[np.append(cut[1:] - 1, len(s) - 1)] + length, None)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "gram", "block").select("doc_id", "s0", "hot", "raw")
+    found = stash.put(dealt.mapInArrow(compare, "doc_id long, s long, e long, h long"), "compared")
+    open_rows = found.where("h IS NOT NULL")
+    twice = stash.put(open_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    more = open_rows.where("doc_id IS NOT NULL").join(twice, "h").select("doc_id", "s", "e")
+    return found.where("h IS NULL").select("doc_id", "s", "e").unionByName(more)
+
+
+def _windows(doc, s, e, h) -> pa.RecordBatch:
+    null = pa.nulls(len(s), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [null if doc is None else pa.array(doc), pa.array(s), pa.array(e), null if h is None else pa.array(h)], names=["doc_id", "s", "e", "h"]
+    )
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +247,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     family = SuffixFamily(stash)
     for i in range(batches):
         family.add(found.where(F.pmod(F.hash("doc_id"), F.lit(batches)) == i))
-    near = stash.put(found.join(family.repeated.distinct(), "gram"), "near")
+    repeated = stash.put(family.repeated.distinct(), "repeated")
+    near = stash.put(found.join(repeated, "gram"), "near")
     stash.drop(found)
     whole = near.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s0")).alias("rep"))
     whole = stash.put(whole, "whole")
-    several = whole.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    several = whole.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", "k")
     again = near.join(whole.where("n > 1").select("gram", "run"), ["gram", "run"])
     # One of the equal runs speaks for all of them where there are other runs with its k-gram.
-    one = whole.join(several, "gram").select("gram", "run", "rep")
-    probes = near.join(one, ["gram", "run"]).where(F.struct("doc_id", "s0") == F.col("rep")).select("doc_id", "s0", "s1")
+    one = whole.join(several, "gram").select("gram", "run", "rep", "k")
+    probes = near.join(one, ["gram", "run"]).where(F.struct("doc_id", "s0") == F.col("rep")).select("doc_id", "s0", "s1", "gram", "k")
     spans = again.select("doc_id", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
     spans = spans.unionByName(covered_windows(stash, docs, probes, length))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("doc_id", "x.s", "x.e")

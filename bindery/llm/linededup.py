@@ -4,28 +4,32 @@ A line's set is its distinct words (as they are written). A line of `least` dist
 earlier line, in the order of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that
 line is itself removed or not. Lines with fewer words stay. Null and empty texts have no such lines.
 
-Words are ordered by rarity: the `FREQUENT` most frequent words, counted over all documents, come last, by tiers; all
-others come first, by hash. Equal sets are one class, kept at its first line. Classes meet on the words of their
-prefixes if the length and positional filters allow enough overlap, and are verified on their whole sets. In each
+Words are ordered by rarity: the most frequent words, counted over all documents, come last, by tiers; all others come
+first, by hash. Equal sets are one class, kept at its first line. Classes meet on the words of their prefixes if the
+length and positional filters and a parity sketch allow enough overlap, and are verified on their whole sets. In each
 group that shares a prefix word, all classes are compared with the earliest one first; only those that it doesn't
 remove are compared with the other earlier ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import SPACES, Stash, sized, texts
+from bindery.llm.common import Stash, sized, texts
 
-#: Sizes of the tiers of frequent words; their sum bounds what the driver and each plan hold.
-TIERS = (32, 224, 1792)
-FREQUENT = sum(TIERS)
+#: The most frequent words are marked in bit sets of BITS bits; sizes of the tiers, the rarest words of which come first.
+#: Both bound what the driver and each plan hold. A word that shares its bit with a frequent one ranks like it.
+TIERS = (1 << 11, 1 << 14, 1 << 17)
+BITS = 1 << 20
 LEAST = 5
 
 
 def _words(line):
-    return F.array_remove(F.split(line, SPACES), "")
+    """Words between spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns."""
+    odd = "\t\n\x0b\f\r"
+    return F.array_remove(F.split(F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, odd, " " * 5)).otherwise(line), " "), "")
 
 
 def _sets(line):
@@ -33,29 +37,64 @@ def _sets(line):
     return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
 
 
-def frequent_words(docs: DataFrame) -> list[int]:
-    """Hashes of the most frequent words, most frequent first."""
-    counted = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.xxhash64("w").alias("h")).count()
-    return [r["h"] for r in counted.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
-
-
-def line_prefixes(docs: DataFrame, frequent: list[int], least: int) -> DataFrame:
-    """(doc_id, line, cls, n, prefix) of each line that is long enough to hold `least` words."""
+def frequent_words(stash: Stash, docs: DataFrame) -> list[np.ndarray]:
+    """Bit sets, as 64-bit words, of the hashes of the most frequent words; one for each tier that has words."""
+    counted = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.xxhash64("w").alias("h")).count()
+    counted = stash.put(counted, "counts")
+    # A count that few enough words exceed: counts above 2**20 are put together, so there are boundedly many.
+    steps = counted.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    limits = []
+    for size in TIERS:
+        total, limit = 0, None
+        for c, n in steps:
+            total += n
+            if total > size:
+                break
+            limit = c
+        limits.append(limit)
+    known = [x for x in limits if x is not None]
+    if not known:
+        return []
+    top = counted.where(F.col("count") >= min(known)).toArrow()  # at most TIERS[-1] rows
+    stash.drop(counted)
+    h, n = top["h"].to_numpy(), top["count"].to_numpy()
+    out = []
+    for limit in dict.fromkeys(known):
+        bits = h[n >= limit] & (BITS - 1)
+        words = np.zeros(BITS // 64, np.int64)
+        np.bitwise_or.at(words, bits >> 6, np.left_shift(np.int64(1), bits & 63))
+        out.append(words)
+    return out
+
+
+def _marked(h, words: np.ndarray):
+    """Whether a hash's bit is set."""
+    word = F.get(F.lit(words), (F.shiftright(h, 6).bitwiseAND(F.lit(BITS // 64 - 1))).cast("int"))
+    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def line_prefixes(docs: DataFrame, tiers: list[np.ndarray], least: int) -> DataFrame:
+    """(doc_id, line, cls, n, flips, prefix) of each line that is long enough to hold `least` words.
+
+    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     df = lines.where(F.length("t") >= 2 * least - 1).select("doc_id", "line", _sets(F.col("t")).alias("s"))
     df = df.withColumn("n", F.size("s"))
     df = df.withColumn("p", F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
-    tiers, at = [], 0
-    for size in TIERS:
-        tiers.append(frequent[at : at + size])
-        at += size
-    if frequent:
-        df = df.withColumn("rare", F.filter("s", lambda x: ~x.isin(frequent)))
-        late = [F.filter("s", (lambda t: lambda x: x.isin(t))(t)) for t in reversed(tiers) if t]
-        order = F.when(F.size("rare") >= F.col("p"), F.col("rare")).otherwise(F.concat("rare", *late))
+
+    marked = lambda column, words, yes: F.filter(column, (lambda h: _marked(h, words)) if yes else (lambda h: ~_marked(h, words)))
+    if tiers:
+        # Most lines have enough words outside the middle tier, so that the others are seldom looked at.
+        low, high = tiers[min(1, len(tiers) - 1)], tiers[-1]
+        df = df.withColumn("rare", marked("s", low, False)).withColumn("rarest", marked("rare", high, False))
+        rest = [marked("rare", high, True), F.filter("s", lambda h: _marked(h, low) & ~_marked(h, tiers[0])), F.filter("s", lambda h: _marked(h, low) & _marked(h, tiers[0]))]
+        order = F.when(F.size("rarest") >= F.col("p"), F.col("rarest")).when(F.size("rare") >= F.col("p"), F.concat("rarest", rest[0])).otherwise(F.concat("rarest", *rest))
     else:
         order = F.col("s")
-    return df.select("doc_id", "line", F.xxhash64("s").alias("cls"), "n", F.slice(order, F.lit(1), F.col("p")).alias("prefix"))
+    one = F.lit(np.left_shift(np.int64(1), np.arange(64, dtype=np.int64)))
+    flips = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.get(one, F.shiftrightunsigned(h, 58).cast("int"))))
+    return df.select("doc_id", "line", F.xxhash64("s").alias("cls"), "n", flips.alias("flips"), F.slice(order, F.lit(1), F.col("p")).alias("prefix"))
 
 
 def _verified(stash: Stash, pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
@@ -75,19 +114,24 @@ def removed_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> D
     """(doc_id, gone, n_exact): the numbers of the removed lines of each document that has any."""
     stash, docs = Stash(spark), texts(docs)
     # Filtered when stored: before that, the filter would compute every set once more.
-    lines = stash.put(line_prefixes(docs, frequent_words(docs), least), "lines").where(F.col("n") >= least)
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("f"))
+    prefixes = stash.put(line_prefixes(docs, frequent_words(stash, docs), least), "prefixes")
+    full = prefixes.where(F.col("n") >= least)
+    lines = stash.put(full.select("doc_id", "line", "cls"), "lines")
+    classes = full.groupBy("cls").agg(F.min(F.struct("doc_id", "line", "n", "flips", "prefix")).alias("f"))
     classes = stash.put(classes.select("cls", "f.*"), "classes")
+    stash.drop(prefixes)
     first = classes.select("cls", "doc_id", "line")
-    words = classes.select("cls", "doc_id", "line", "n", F.posexplode("prefix").alias("i", "tok"))
+    words = classes.select("cls", F.posexplode("prefix").alias("i", "tok"))
     several = words.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
-    groups = stash.put(words.join(several, "tok"), "groups")
+    groups = words.join(several, "tok").join(classes.select("cls", "doc_id", "line", "n", "flips"), "cls")
+    groups = stash.put(groups, "groups")
 
     before = F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")
     # Jaccard of 4/5 means an overlap of 4/9 of the sizes' sum; this word is the first that both prefixes share.
     rest = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
     fits = (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & (rest * 9 >= (F.col("x.n") + F.col("y.n")) * 4)
-    earliest = groups.groupBy("tok").agg(F.min(F.struct("doc_id", "line", "cls", "n", "i")).alias("c")).select("tok", "c.*")
+    fits = fits & (F.bit_count(F.col("x.flips").bitwiseXOR(F.col("y.flips"))) * 9 <= F.col("x.n") + F.col("y.n"))
+    earliest = groups.groupBy("tok").agg(F.min(F.struct("doc_id", "line", "cls", "n", "flips", "i")).alias("c")).select("tok", "c.*")
     pairs = earliest.alias("x").join(groups.alias("y"), "tok").where(before & fits)
     pick = lambda p: p.select(F.col("x.cls").alias("early"), F.col("y.cls").alias("late")).distinct()
     done = stash.put(_verified(stash, pick(pairs), first, docs), "removed")
@@ -98,7 +142,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> D
 
     status = first.join(late, "cls", "left").select("cls", F.col("doc_id").alias("d0"), F.col("line").alias("l0"), "gone")
     again = (F.col("doc_id") != F.col("d0")) | (F.col("line") != F.col("l0"))
-    hit = lines.select("doc_id", "line", "cls").join(status, "cls").where(again | F.col("gone"))
+    hit = lines.join(status, "cls").where(again | F.col("gone"))
     return stash.put(
         hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"), F.sum(again.cast("long")).alias("n_exact")), "hit"
     )

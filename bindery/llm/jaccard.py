@@ -8,9 +8,10 @@ the XOR of hashed bit positions. With at most d differing shingles, m - d parts
 non-empty parts agrees in one of those, so empty parts are joined only between documents that have too few.
 
 Equal sets are one class from the start. Classes that share a part are compared first with one class of the group,
-and what is linked becomes one component; only pairs between different components are compared after that, in a join
-that keeps the pairs whose 256-bit sketches are near enough. So no group of copies is expanded into all its pairs,
-and no link between different components is lost. Null, empty and blank texts have no shingles and no links;
+and what is linked becomes one component; only pairs between different components are compared after that. Small
+groups are joined; classes that could agree in parts of larger ones alone are compared block by block on sketches of 1024 bits, each
+pair once, first for the nearest of each other component, in the end for all that are near enough. So no group of
+copies is expanded into all its pairs, and no link between different components is lost. Null, empty and blank texts have no shingles and no links;
 repeated rows with one doc_id are one document, like copies.
 """
 
@@ -28,6 +29,8 @@ from bindery.llm.common import Stash, mix, pieces_of, sized, small_batches, text
 N = 5
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i, 2**64)) for i in range(N)]
 _SEEN = 1 << 18
+#: Groups that share a part and have more classes are hot: their classes are compared in blocks of SIDE by SIDE.
+GROUP, SIDE = 32, 512
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -41,18 +44,34 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """256 parity bits: four words, each bit the parity of the shingles that hash to it."""
-    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
 def bands(n: int) -> list[int]:
     """Upper size limits (powers of two, exclusive) of the bands whose pairs a set of n shingles can be in."""
     own = 1 << n.bit_length()
     return [own] if n * 5 < own * 4 else [own, own * 2]
 
 
+def parts_of(top: int) -> int:
+    """Parts of the sketch of the band below `top`: few more than shingles may differ, lest documents have too few filled."""
+    return -(-top // 4) + 2
+
+
+def most_differing(n: int, top: int) -> int:
+    """Shingles in one set only, at most, of a set of n shingles and any partner in the band below `top`."""
+    return (n + min(n * 5 // 4, top - 1)) // 9
+
+
+def slack(s: np.ndarray) -> int:
+    """By how many the filled parts of a set's own band outnumber the shingles that may differ; its other band has more."""
+    top = 1 << len(s).bit_length()
+    return len(np.unique(s % np.uint64(parts_of(top)))) - most_differing(len(s), top)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """1024 parity bits, each of the shingles that hash to it."""
+    odd = np.bincount((s >> np.uint64(40) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def part_keys(s: np.ndarray) -> np.ndarray:
     """Join keys of a set: band, part and sketch part folded to 64 bits."""
     n, out = len(s), []
@@ -60,8 +79,8 @@ def part_keys(s: np.ndarray) -> np.ndarray:
         # Below four shingles, links are between equal sets only, which are one class.
         if n < 4:
             continue
-        m = -(-top // 4) + 2
-        differ = (n + min(n * 5 // 4, top - 1)) // 9
+        m = parts_of(top)
+        differ = most_differing(n, top)
         part = (s % np.uint64(m)).astype(np.int64)
         bit = mix((s // np.uint64(m)) & np.uint64(0xFFFFFFFF))
         order = np.argsort(part, kind="stable")
@@ -90,9 +109,12 @@ def _signature(s: np.ndarray) -> int:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, len(s), _signature(s), *sketch(s).view(np.int64).tolist()) for i, s in _sets(b)]
-        cols = zip(*rows, strict=True) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "n", "cls", "k0", "k1", "k2", "k3"])
+        rows = [(i, len(s), _signature(s), slack(s), sketch(s)) for i, s in _sets(b)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [*[pa.int64()] * 4, pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "cls", "slack", "wide"]
+        )
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,46 +197,122 @@ def _verified(stash: Stash, pairs: DataFrame, docs: DataFrame, num: int, den: in
     return joined.where(F.col("i") * den >= (F.size("sa") + F.size("sb") - F.col("i")) * num).select("a", "b")
 
 
-def near(a: str, b: str, num: int, den: int):
-    """Whether sizes and sketches of two rows allow a link."""
-    flips = sum((F.bit_count(F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))) for i in range(4)), F.lit(0))
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (flips * (num + den) <= (na + nb) * (den - num))
-
-
-def link_documents(spark: SparkSession, docs: DataFrame, stars: int = 2) -> DataFrame:
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes, sketches and, where it is known, the number of cold parts they met on still allow."""
+    columns = ("n", "need", "wide")
+    side = lambda x: classes.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+    df = pairs.join(side("a"), "a").join(side("b"), "b")
+    na, nb = F.col("a_n"), F.col("b_n")
+    need = F.when(na >= nb, F.col("a_need")).otherwise(F.col("b_need"))
+    sizes = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.col("met").isNull() | (F.col("met") >= need))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("a_wide", "b_wide"))
+            n = b.column("a_n").to_numpy() + b.column("b_n").to_numpy()
+            fits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (num + den) <= n * (den - num)
+            yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    df = df.where(sizes).select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+    return df.mapInArrow(near, "a long, b long").distinct()
+
+
+def _star(rows: DataFrame, first) -> DataFrame:
+    """(x, y): each class and, of the centres of its groups, the one that it meets most often."""
+    seed = F.when(first, 0).otherwise(1)
+    centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", seed)).alias("c")).select("key", "c.*")
+    met = rows.alias("x").join(centre.alias("y"), "key").where("x.root != y.root")
+    met = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("met"))
+    return met.groupBy("x").agg(F.max_by("y", F.struct("met", "y")).alias("y"))
+
+
+def _crowded(crowds: DataFrame, roots: DataFrame | None, num: int, den: int, best: bool) -> DataFrame:
+    """(x, y) of different components within crowds (the classes that hot groups connect) whose wide sketches are near.
+
+    Crowds are cut into blocks of SIDE classes; each pair of blocks is one group of rows, compared as a whole. With
+    `best`, a class gets only its nearest one of each other component in a block.
+    """
+    df = crowds.withColumn("root", F.col("id")) if roots is None else crowds.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    counts = df.groupBy("crowd").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    df = df.join(counts.where("lo != hi"), "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    df = df.select("crowd", "id", "n", "wide", "root", "own", other.alias("other"))
+    df = df.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "crowd", "id", "n", "wide", "root", "own")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        n, ids, root = (table[c].to_numpy() for c in ("n", "id", "root"))
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(own), -1)
+        left, right = (np.flatnonzero(own == key[i].as_py()) for i in (1, 2))
+        xs, ys = [], []
+        for p in left.tolist():
+            q = right[(root[right] != root[p]) & (np.minimum(n[right], n[p]) * den >= np.maximum(n[right], n[p]) * num)]
+            far = np.bitwise_count(wide[q] ^ wide[p]).sum(1, dtype=np.int64)
+            near = far * (num + den) <= (n[q] + n[p]) * (den - num)
+            q, far = q[near], far[near]
+            if best and len(q) > 1:
+                order = np.lexsort((far, root[q]))
+                q = q[order][np.append(True, np.diff(root[q][order]) != 0)]
+            xs.append(np.full(len(q), ids[p]))
+            ys.append(ids[q])
+        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return pa.table({"x": pa.array(cat(xs), pa.int64()), "y": pa.array(cat(ys), pa.int64())})
+
+    return df.groupBy("crowd", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+
+
+def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     small_batches(spark)
     num, den = 80, 100
     stash, docs = Stash(spark), texts(docs)
-    all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, k0 long, k1 long, k2 long, k3 long"), "docs")
-    first = [F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")]
+    all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, slack long, wide binary"), "docs")
+    first = [F.first(c).alias(c) for c in ("n", "slack", "wide")]
     classes = stash.put(all_docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), *first), "classes")
     keys = docs.mapInArrow(_keys, "key long, cls long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = stash.put(keys.repartition(parts, "key").mapInArrow(_shared, "key long, cls long"), "shared")
-    groups = stash.put(shared.join(classes, "cls").drop("cls"), "groups")
+    groups = stash.put(shared.join(classes.select("cls", "id"), "cls").select("key", "id"), "groups")
     stash.drop(shared)
 
-    links = None
-    roots = None
-    for star in range(stars + 1):
-        rows = groups if roots is None else groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = groups.groupBy("key").agg(F.count("*").alias("k"))
+    groups = stash.put(groups.join(sizes, "key"), "sized")
+    # A class with more parts outside hot groups than shingles may differ agrees with any partner in one of those.
+    hot = groups.where(F.col("k") > GROUP).select("key", "id")
+    counts = hot.groupBy("id").agg(F.count("*").alias("h"))
+    classes = classes.join(counts, "id", "left").withColumn("need", F.col("slack") - F.coalesce("h", F.lit(0))).drop("slack", "h")
+    classes = stash.put(classes, "needs")
+    hot = stash.put(hot.join(classes.where("need <= 0").select("id"), "id"), "hot")
+    crowds = None
+    if hot.limit(1).count():
+        low = hot.groupBy("key").agg(F.min("id").alias("b"))
+        members = components(stash, hot.join(low, "key").select(F.col("id").alias("a"), "b").distinct())
+        crowds = stash.put(members.select("id", F.col("root").alias("crowd")).join(classes.select("id", "n", "wide"), "id"), "crowds")
+
+    links, roots = None, None
+    for step in ("star", "star", "best", "best", "all"):
         if roots is None:
-            rows = rows.withColumn("root", F.col("id"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        rows = stash.put(rows.join(mixed, "key"), f"mixed{star}")
-        if star < stars:
-            # Each group's classes against one of them: another one in each round.
-            pick = F.min_by(F.struct("id", "n", "k0", "k1", "k2", "k3", "root"), F.xxhash64("id", F.lit(star)))
-            centre = rows.groupBy("key").agg(pick.alias("c")).select("key", "c.*")
-            pairs = rows.alias("x").join(centre.alias("y"), "key")
+            rows = groups.withColumn("root", F.col("id"))
+        else:
+            rows = groups.join(roots, "id", "left").select("key", "id", "k", F.coalesce("root", "id").alias("root"))
+        if step == "star":
+            # Each group against one of its classes, another in each round; each class only with its most frequent partner.
+            met = _star(rows, F.lit(links is None))
+        elif step == "all":
+            cold = rows.where(F.col("k") <= GROUP)
+            mixed = cold.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+            cold = stash.put(cold.join(mixed, "key"), "mixed")
+            met = cold.alias("x").join(cold.alias("y"), "key").where("x.root < y.root")
+            met = met.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("met"))
+            if crowds is not None:
+                met = met.unionByName(_crowded(crowds, roots, num, den, False), allowMissingColumns=True)
+        elif crowds is None:
+            continue
         else:
-            pairs = rows.alias("x").join(rows.alias("y"), "key")
-        different = (F.col("x.root") < F.col("y.root")) if star == stars else (F.col("x.root") != F.col("y.root"))
-        pairs = pairs.where(different & near("x", "y", num, den))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        new = stash.put(_verified(stash, pairs, docs, num, den), f"links{star}")
+            met = _crowded(crowds, roots, num, den, True)
+        common = F.col("met") if "met" in met.columns else F.lit(None).cast("long")
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), common.alias("met"))
+        new = stash.put(_verified(stash, _possible(pairs, classes, num, den), docs, num, den), f"links-{step}")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             roots = components(stash, links)

@@ -10,7 +10,7 @@ non-empty parts agrees in one of those, so empty parts are joined only between d
 Equal sets are one class from the start. Classes that share a part are compared first with one class of the group,
 and what is linked becomes one component; only pairs between different components are compared after that. Small
 groups are joined; classes that could agree in parts of larger ones alone are compared block by block on sketches of 1024 bits, each
-pair once, first for the nearest of each other component, in the end for all that are near enough. So no group of
+pair once, first for the nearest of another component, in the end for all that are near enough. So no group of
 copies is expanded into all its pairs, and no link between different components is lost. Null, empty and blank texts have no shingles and no links;
 repeated rows with one doc_id are one document, like copies.
 """
@@ -230,7 +230,7 @@ def _crowded(crowds: DataFrame, roots: DataFrame | None, num: int, den: int, bes
     """(x, y) of different components within crowds (the classes that hot groups connect) whose wide sketches are near.
 
     Crowds are cut into blocks of SIDE classes; each pair of blocks is one group of rows, compared as a whole. With
-    `best`, a class gets only its nearest one of each other component in a block.
+    `best`, a class gets only its nearest one of another component in a block.
     """
     df = crowds.withColumn("root", F.col("id")) if roots is None else crowds.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     counts = df.groupBy("crowd").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -251,8 +251,7 @@ def _crowded(crowds: DataFrame, roots: DataFrame | None, num: int, den: int, bes
             near = far * (num + den) <= (n[q] + n[p]) * (den - num)
             q, far = q[near], far[near]
             if best and len(q) > 1:
-                order = np.lexsort((far, root[q]))
-                q = q[order][np.append(True, np.diff(root[q][order]) != 0)]
+                q = q[[np.lexsort((ids[q], far))[0]]]
             xs.append(np.full(len(q), ids[p]))
             ys.append(ids[q])
         cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
@@ -290,7 +289,7 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         crowds = stash.put(members.select("id", F.col("root").alias("crowd")).join(classes.select("id", "n", "wide"), "id"), "crowds")
 
     links, roots = None, None
-    for step in ("star", "star", "best", "best", "all"):
+    for step in ("star", "star", "best", "best", "best", "all"):
         if roots is None:
             rows = groups.withColumn("root", F.col("id"))
         else:

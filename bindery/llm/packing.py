@@ -40,7 +40,7 @@ class ChunkTokenizer:
 
     PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
-    def __init__(self, path: str, room: int = 900_000):
+    def __init__(self, path: str, room: int = 1_600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -66,6 +66,8 @@ class ChunkTokenizer:
         return got
 
     def chunk(self, c: str) -> list[int]:
+        if c.isascii() and c.isalpha() and c.islower():
+            return [x.id for x in self.merges(c)]  # kept once, under the chunk itself
         core = c.rstrip(self.PUNCTUATION)
         low = core.lower()
         # The final sigma is the one letter that str.lower() lowers by its place; the vocabulary's normaliser doesn't.

@@ -166,8 +166,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
         bucket = np.random.Generator(np.random.PCG64(7)).integers(0, FEATURES, 1 << 16)
         for whole in batches:
-            for i in range(0, whole.num_rows, 200):
-                b = whole.slice(i, 200)
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
                 ids = [np.append(x, np.uint32(END)) for x in tok.batch(b.column(1).to_pylist())]
                 counts = np.stack([np.bincount(bucket[x], minlength=FEATURES) for x in ids])
                 yield pa.RecordBatch.from_arrays(

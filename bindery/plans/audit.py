@@ -80,9 +80,9 @@ def import_verification(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{with_tables("credits")}, c AS (SELECT DISTINCT work_id, person_id FROM credits WHERE person_id <= 600), n AS (SELECT person_id, count(*) AS n FROM c GROUP BY person_id)
 SELECT a.person_id AS a, b.person_id AS b, count(*) AS shared, max(x.n) AS n_a, max(y.n) AS n_b FROM c a JOIN c b ON a.work_id = b.work_id AND a.person_id < b.person_id
 JOIN n x ON x.person_id = a.person_id JOIN n y ON y.person_id = b.person_id GROUP BY a.person_id, b.person_id HAVING count(*) >= 2""")
-def duplicate_people_pairs(spark: SparkSession, d: str) -> DataFrame:
+def duplicate_people_pairs(spark: SparkSession, d: str, only: str = "person_id <= 600") -> DataFrame:
     """People who share at least two works, with how many each has."""
-    c = T.credits(spark, d).where("person_id <= 600").select("work_id", "person_id").distinct()
+    c = T.credits(spark, d).where(only).select("work_id", "person_id").distinct()
     n = c.groupBy("person_id").agg(F.count("*").alias("n"))
     a, b = c.withColumnRenamed("person_id", "a"), c.withColumnRenamed("person_id", "b")
     p = a.join(b, "work_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
@@ -91,10 +91,10 @@ def duplicate_people_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{with_tables("credits")}, s AS (SELECT person_id, string_agg(DISTINCT work_id % 50, ',' ORDER BY work_id % 50) AS works, count(DISTINCT work_id % 50) AS n FROM credits WHERE role = 'cover_model' AND work_id % 7 = 0 GROUP BY person_id)
 SELECT works, n, count(*) AS people, min(person_id) AS first_person FROM s WHERE n >= 2 GROUP BY works, n HAVING count(*) >= 2""")
-def identical_work_sets(spark: SparkSession, d: str) -> DataFrame:
+def identical_work_sets(spark: SparkSession, d: str, only: str = "work_id % 7 = 0", work: str = "work_id % 50") -> DataFrame:
     """People whose work sets are the same: grouped by the set, not compared in pairs."""
-    c = T.credits(spark, d).where("role = 'cover_model' AND work_id % 7 = 0")
-    s = c.groupBy("person_id").agg(F.array_sort(F.collect_set(F.col("work_id") % 50)).alias("w")).select("person_id", F.size("w").cast("long").alias("n"), F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("works"))
+    c = T.credits(spark, d).where("role = 'cover_model'").where(only)
+    s = c.groupBy("person_id").agg(F.array_sort(F.collect_set(F.expr(work))).alias("w")).select("person_id", F.size("w").cast("long").alias("n"), F.array_join(F.transform("w", lambda x: x.cast("string")), ",").alias("works"))
     return s.where("n >= 2").groupBy("works", "n").agg(F.count("*").alias("people"), F.min("person_id").alias("first_person")).where("people >= 2")
 
 
@@ -153,9 +153,9 @@ def visible_editions(spark: SparkSession, d: str) -> DataFrame:
 SELECT person_id, count(DISTINCT e.edition_id) AS editions, count(DISTINCT e.work_id) AS works, count(DISTINCT e.edition_id) FILTER (WHERE e.isbn = '') AS no_isbn,
   count(DISTINCT e.edition_id) FILTER (WHERE e.publication_date IS NULL AND e.format = 'physical') AS no_date, min(year(publication_date)) AS first_year, max(year(publication_date)) AS last_year
 FROM c JOIN editions e USING (work_id) GROUP BY person_id""")
-def model_coverage(spark: SparkSession, d: str) -> DataFrame:
+def model_coverage(spark: SparkSession, d: str, only: str = "person_id <= 300") -> DataFrame:
     """Counts and gaps per credited person, and the span of years."""
-    c = T.credits(spark, d).where("person_id <= 300").select("person_id", "work_id").distinct()
+    c = T.credits(spark, d).where(only).select("person_id", "work_id").distinct()
     e = F.col("edition_id")
     return c.join(T.editions(spark, d), "work_id").groupBy("person_id").agg(
         F.countDistinct("edition_id").alias("editions"), F.countDistinct("work_id").alias("works"), F.countDistinct(F.when(F.col("isbn") == "", e)).alias("no_isbn"),
@@ -194,11 +194,11 @@ def series_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("listings", "works")} SELECT listing_id, CASE currency WHEN 'JPY' THEN 'JPY ' || CAST(price_minor AS VARCHAR) ELSE currency || ' ' || CAST(price_minor // 100 AS VARCHAR) || '.' || lpad(CAST(price_minor % 100 AS VARCHAR), 2, '0') END AS label FROM listings WHERE work_id <= 100""")
-def price_labels(spark: SparkSession, d: str) -> DataFrame:
+def price_labels(spark: SparkSession, d: str, only: str = "work_id <= 100") -> DataFrame:
     p = F.col("price_minor")
     cents = F.concat(F.floor(p / 100).cast("string"), F.lit("."), F.lpad((p % 100).cast("string"), 2, "0"))
     whole = F.col("currency").isin(*offers.WHOLE_CURRENCIES)
-    return T.listings(spark, d).where("work_id <= 100").select("listing_id", F.concat("currency", F.lit(" "), F.when(whole, p.cast("string")).otherwise(cents)).alias("label"))
+    return T.listings(spark, d).where(only).select("listing_id", F.concat("currency", F.lit(" "), F.when(whole, p.cast("string")).otherwise(cents)).alias("label"))
 
 
 @query(f"""{with_tables("editions", "works")}, n AS (SELECT publisher, title, count(*) AS k, min(work_id) AS pos FROM works GROUP BY publisher, title)
@@ -212,8 +212,8 @@ def top_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{with_tables("credits", "works", "people")}, c AS (SELECT DISTINCT person_id, work_id FROM credits WHERE person_id <= 50)
 SELECT person_id, name, string_agg(title || ' (' || publisher || ')', '; ' ORDER BY c.work_id) AS bibliography FROM c JOIN works USING (work_id) JOIN people USING (person_id) GROUP BY person_id, name""")
-def bibliography_export(spark: SparkSession, d: str) -> DataFrame:
-    c = T.credits(spark, d).where("person_id <= 50").select("person_id", "work_id").distinct().join(T.works(spark, d), "work_id")
+def bibliography_export(spark: SparkSession, d: str, only: str = "person_id <= 50") -> DataFrame:
+    c = T.credits(spark, d).where(only).select("person_id", "work_id").distinct().join(T.works(spark, d), "work_id")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("work_id", F.concat("title", F.lit(" ("), "publisher", F.lit(")")).alias("line")))), lambda x: x["line"])
     return c.groupBy("person_id").agg(F.array_join(lines, "; ").alias("bibliography")).join(T.people(spark, d).select("person_id", "name"), "person_id").select("person_id", "name", "bibliography")
 
@@ -263,9 +263,9 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("works")} SELECT work_id, row_number() OVER (PARTITION BY publisher ORDER BY title, work_id) AS place, row_number() OVER (ORDER BY publisher, title, work_id) AS overall FROM works WHERE work_id <= 500""")
-def running_ordinals(spark: SparkSession, d: str) -> DataFrame:
+def running_ordinals(spark: SparkSession, d: str, only: str = "work_id <= 500") -> DataFrame:
     """Numbers within each group, and through all of them: group sizes are summed first, so the overall number needs no global sort of rows."""
-    w = T.works(spark, d).where("work_id <= 500")
+    w = T.works(spark, d).where(only)
     sizes = w.groupBy("publisher").agg(F.count("*").alias("n"))
     before = sizes.select("publisher", (F.sum("n").over(Window.orderBy("publisher").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     df = w.join(before, "publisher").withColumn("place", F.row_number().over(Window.partitionBy("publisher").orderBy("title", "work_id")))

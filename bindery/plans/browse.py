@@ -227,8 +227,8 @@ def directory_best_media(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{with_tables("works", "editions", "credits")}, {_DATES}
 SELECT person_id, CAST(EXTRACT(YEAR FROM newest) AS INT) AS year, count(DISTINCT w.work_id) AS works
 FROM credits JOIN works w USING (work_id) JOIN dates USING (work_id) WHERE work_status = 'published' AND role = 'featured' AND person_id <= 100 GROUP BY person_id, year""")
-def person_books_by_year(spark: SparkSession, d: str) -> DataFrame:
-    c = T.credits(spark, d).where("role = 'featured' AND person_id <= 100").join(T.works(spark, d).where("work_status = 'published'"), "work_id")
+def person_books_by_year(spark: SparkSession, d: str, only: str = "person_id <= 100") -> DataFrame:
+    c = T.credits(spark, d).where("role = 'featured'").where(only).join(T.works(spark, d).where("work_status = 'published'"), "work_id")
     return c.join(newest_dates(spark, d), "work_id").groupBy("person_id", F.year("newest").alias("year")).agg(F.countDistinct("work_id").alias("works"))
 
 
@@ -252,12 +252,12 @@ def canonical_slug(spark: SparkSession, d: str) -> DataFrame:
 SELECT w.work_id, title, string_agg(e.edition_id || ' ' || e.format || ' ' || coalesce(n, 0), ', ' ORDER BY e.edition_id) AS editions
 FROM works w JOIN editions e USING (work_id) LEFT JOIN (SELECT edition_id, count(*) AS n FROM listings GROUP BY edition_id) l ON l.edition_id = e.edition_id
 WHERE w.work_id <= 50 GROUP BY w.work_id, title""")
-def nested_books(spark: SparkSession, d: str) -> DataFrame:
+def nested_books(spark: SparkSession, d: str, only: str = "work_id <= 50") -> DataFrame:
     """Books with their editions nested, in edition order."""
     n = T.listings(spark, d).groupBy("edition_id").agg(F.count("*").alias("n"))
-    e = T.editions(spark, d).where("work_id <= 50").join(n, "edition_id", "left")
+    e = T.editions(spark, d).where(only).join(n, "edition_id", "left")
     nest = F.array_sort(F.collect_list(F.struct("edition_id", "format", F.coalesce("n", F.lit(0)).alias("offers"))))
-    return T.works(spark, d).where("work_id <= 50").join(e.groupBy("work_id").agg(nest.alias("nested")), "work_id").select(
+    return T.works(spark, d).where(only).join(e.groupBy("work_id").agg(nest.alias("nested")), "work_id").select(
         "work_id", "title", F.array_join(F.transform("nested", lambda x: F.concat_ws(" ", x["edition_id"].cast("string"), x["format"], x["offers"].cast("string"))), ", ").alias("editions")
     )
 
@@ -289,10 +289,10 @@ f AS (SELECT work_id, min(person_id) AS person_id FROM c WHERE work_id <= 100 GR
 SELECT f.work_id, c.work_id AS related, rn AS place FROM (
   SELECT f.work_id, c.work_id AS other, row_number() OVER (PARTITION BY f.work_id ORDER BY c.work_id DESC) AS rn FROM f JOIN c ON c.person_id = f.person_id AND c.work_id <> f.work_id) x
 JOIN f ON f.work_id = x.work_id JOIN c ON c.work_id = x.other AND c.person_id = f.person_id WHERE rn <= 6""")
-def related_works(spark: SparkSession, d: str) -> DataFrame:
+def related_works(spark: SparkSession, d: str, people: str = "person_id <= 200", only: str = "work_id <= 100") -> DataFrame:
     """Six newest other works of the first person a work credits."""
-    c = T.credits(spark, d).where("role = 'featured' AND person_id <= 200").join(T.works(spark, d).where("work_status = 'published'").select("work_id"), "work_id").select("person_id", "work_id").distinct()
-    first = c.where("work_id <= 100").groupBy("work_id").agg(F.min("person_id").alias("person_id"))
+    c = T.credits(spark, d).where("role = 'featured'").where(people).join(T.works(spark, d).where("work_status = 'published'").select("work_id"), "work_id").select("person_id", "work_id").distinct()
+    first = c.where(only).groupBy("work_id").agg(F.min("person_id").alias("person_id"))
     pairs = first.join(c.withColumnRenamed("work_id", "related"), "person_id").where("related <> work_id")
     w = Window.partitionBy("work_id").orderBy(F.desc("related"))
     return pairs.select("work_id", "related", F.row_number().over(w).alias("place")).where("place <= 6")

@@ -110,13 +110,13 @@ SELECT thread, CASE WHEN len(list_filter(c, lambda x: x.price_minor < 0)) > 0 TH
   WHEN len(c) > 1 AND (list_contains(bs, 'used_asking') OR list_contains(bs, 'completed_sale')) THEN 'used_not_alone' END AS problem,
   CASE WHEN list_contains(bs, 'sale') THEN 'sale' WHEN list_contains(bs, 'list') THEN 'list' WHEN list_contains(bs, 'used_asking') THEN 'used_asking'
     WHEN list_contains(bs, 'completed_sale') THEN 'completed_sale' ELSE 'coupon' END AS primary_basis FROM b""")
-def price_components_pick(spark: SparkSession, d: str) -> DataFrame:
+def price_components_pick(spark: SparkSession, d: str, only: str = "thread <= 3000") -> DataFrame:
     basis = F.element_at(F.array(*map(F.lit, ("sale", "list", "used_asking", "coupon", "completed_sale"))), (F.col("line") % 5 + 1).cast("int"))
     part = F.struct(
         "line", "source_id", "work_id", F.col("price_minor").alias("p"), "quantity", basis.alias("basis"), F.when(F.col("quantity") != 13, F.col("price_minor")).alias("price_minor"), "currency",
         F.when(F.col("quantity") % 2 == 0, "member").otherwise("").alias("condition"),
     )
-    df = T.observations(spark, d).where("thread <= 3000").groupBy("thread").agg(F.array_sort(F.collect_list(part)).alias("c"))
+    df = T.observations(spark, d).where(only).groupBy("thread").agg(F.array_sort(F.collect_list(part)).alias("c"))
     return df.select("thread", offers.components_problem(F.col("c")).alias("problem"), offers.primary_component(F.col("c"))["basis"].alias("primary_basis"))
 
 
@@ -197,9 +197,9 @@ def digest_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, date_trunc('day', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR AS day_start, date_trunc('day', ts + INTERVAL 9 HOUR) + INTERVAL 15 HOUR - INTERVAL 1 SECOND AS day_end
 FROM events WHERE event_id % 10 = 0""")
-def local_day_bounds(spark: SparkSession, d: str) -> DataFrame:
+def local_day_bounds(spark: SparkSession, d: str, only: str = "event_id % 10 = 0") -> DataFrame:
     """UTC bounds of the Tokyo day of an event."""
-    e = T.table(spark, d, "events").where("event_id % 10 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = T.table(spark, d, "events").where(only).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.select("event_id", *(F.to_timestamp_ntz(c.cast("string")).alias(n) for c, n in zip(offers.day_bounds(F.col("ts"), "Asia/Tokyo"), ("day_start", "day_end"), strict=True)))
 
 
@@ -311,11 +311,11 @@ def credit_rebuild(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT work_id, person_id, alias, row_number() OVER (PARTITION BY work_id ORDER BY person_id) AS pos FROM (SELECT DISTINCT work_id, person_id FROM credits WHERE work_id <= 300) JOIN people USING (person_id)),
 r AS (SELECT n.work_id, n.pos, CASE WHEN c.person_id IS NULL THEN n.person_id ELSE canonical END AS resolved FROM n JOIN one USING (alias) LEFT JOIN (SELECT DISTINCT work_id, person_id FROM n) c ON c.work_id = n.work_id AND c.person_id = canonical)
 SELECT work_id, resolved, min(pos) AS pos FROM r GROUP BY work_id, resolved""")
-def credit_resolution(spark: SparkSession, d: str) -> DataFrame:
+def credit_resolution(spark: SparkSession, d: str, only: str = "work_id <= 300") -> DataFrame:
     """An alias gives way to its canonical person only where that person is listed on the same work; first position wins."""
     p = T.people(spark, d)
     canonical = p.groupBy("alias").agg(F.min("person_id").alias("canonical"))
-    n = T.credits(spark, d).where("work_id <= 300").select("work_id", "person_id").distinct().join(p.select("person_id", "alias"), "person_id")
+    n = T.credits(spark, d).where(only).select("work_id", "person_id").distinct().join(p.select("person_id", "alias"), "person_id")
     n = n.withColumn("pos", F.row_number().over(Window.partitionBy("work_id").orderBy("person_id")))
     listed = n.select(F.col("work_id").alias("w"), F.col("person_id").alias("c")).distinct()
     r = n.join(canonical, "alias").join(listed, (F.col("work_id") == F.col("w")) & (F.col("canonical") == F.col("c")), "left")

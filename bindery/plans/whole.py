@@ -1,0 +1,33 @@
+"""Queries that take some ids only, over all of them: `<name>_all`, and the same SQL without the filter."""
+
+from __future__ import annotations
+
+from bindery.plans import audit, browse, curation, ingest
+
+#: The plan's parameters, and what becomes of each filter in the SQL.
+_ALL = {
+    "duplicate_people_pairs": ({"only": "true"}, {"person_id <= 600": "true"}),
+    "identical_work_sets": ({"only": "true", "work": "work_id"}, {"work_id % 7 = 0": "true", "work_id % 50": "work_id"}),
+    "model_coverage": ({"only": "true"}, {"person_id <= 300": "true"}),
+    "price_labels": ({"only": "true"}, {"work_id <= 100": "true"}),
+    "bibliography_export": ({"only": "true"}, {"person_id <= 50": "true"}),
+    "running_ordinals": ({"only": "true"}, {"work_id <= 500": "true"}),
+    "price_components_pick": ({"only": "true"}, {"thread <= 3000": "true"}),
+    "credit_resolution": ({"only": "true"}, {"work_id <= 300": "true"}),
+    "local_day_bounds": ({"only": "true"}, {"event_id % 10 = 0": "true"}),
+    "person_books_by_year": ({"only": "true"}, {"person_id <= 100": "true"}),
+    "nested_books": ({"only": "true"}, {"w.work_id <= 50": "true"}),
+    "related_works": ({"only": "true", "people": "true"}, {"person_id <= 200": "true", "work_id <= 100": "true"}),
+    "work_snapshot": ({"only": "true"}, {"work_id <= 50": "true"}),
+    "fact_summaries": ({"only": "true"}, {"work_id <= 40": "true"}),
+}
+QUERIES, ORACLE = {}, {}
+for _name, (_parameters, _filters) in _ALL.items():
+    _module = next(m for m in (audit, browse, curation, ingest) if _name in m.QUERIES)
+    _sql = _module.ORACLE[_name]
+    for _filter, _new in _filters.items():
+        if _filter not in _sql:
+            raise ValueError(f"{_name}: its SQL has no {_filter}")
+        _sql = _sql.replace(_filter, _new)
+    QUERIES[f"{_name}_all"] = lambda spark, d, _f=_module.QUERIES[_name], _p=_parameters: _f(spark, d, **_p)
+    ORACLE[f"{_name}_all"] = _sql

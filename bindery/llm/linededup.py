@@ -2,7 +2,9 @@
 
 A line's set is its distinct words (as they are written). A line of `least` distinct words or more is removed if an
 earlier line, in the order of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that
-line is itself removed or not. Lines with fewer words stay. Null and empty texts have no such lines.
+line is itself removed or not. Lines with fewer words stay. Null and empty texts have no such lines. The query
+op2_line_dedup has a floor of LEAST words, which its SQL is tied to; op2_line_dedup_all and the pipeline take every line
+with a word (EVERY).
 
 Words are ordered by rarity: the most frequent words, counted over all documents, come last, by tiers; all others come
 first, by hash. Equal sets are one class, kept at its first line. Classes meet on the words of their prefixes if the
@@ -23,7 +25,9 @@ from bindery.llm.common import Stash, sized, texts
 #: Both bound what the driver and each plan hold. A word that shares its bit with a frequent one ranks like it.
 TIERS = (1 << 11, 1 << 14, 1 << 17)
 BITS = 1 << 20
-LEAST = 5
+LEAST, EVERY = 5, 1
+#: Smaller sets are similar to equal ones only, which are one class.
+JOINED = 4
 
 
 def _words(line):
@@ -76,7 +80,8 @@ def _marked(h, words: np.ndarray):
 def line_prefixes(docs: DataFrame, tiers: list[np.ndarray], least: int) -> DataFrame:
     """(doc_id, line, cls, n, flips, prefix) of each line that is long enough to hold `least` words.
 
-    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only.
+    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. Sets of
+    fewer than JOINED words have no prefix.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     df = lines.where(F.length("t") >= 2 * least - 1).select("doc_id", "line", _sets(F.col("t")).alias("s"))
@@ -92,9 +97,10 @@ def line_prefixes(docs: DataFrame, tiers: list[np.ndarray], least: int) -> DataF
         order = F.when(F.size("rarest") >= F.col("p"), F.col("rarest")).when(F.size("rare") >= F.col("p"), F.concat("rarest", rest[0])).otherwise(F.concat("rarest", *rest))
     else:
         order = F.col("s")
+    prefix = F.when(F.col("n") >= JOINED, F.slice(order, F.lit(1), F.col("p")))
     one = F.lit(np.left_shift(np.int64(1), np.arange(64, dtype=np.int64)))
     flips = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.get(one, F.shiftrightunsigned(h, 58).cast("int"))))
-    return df.select("doc_id", "line", F.xxhash64("s").alias("cls"), "n", flips.alias("flips"), F.slice(order, F.lit(1), F.col("p")).alias("prefix"))
+    return df.select("doc_id", "line", F.xxhash64("s").alias("cls"), "n", flips.alias("flips"), prefix.alias("prefix"))
 
 
 def _verified(stash: Stash, pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
@@ -162,9 +168,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> Dat
     )
 
 
-def cleaned_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def cleaned_documents(spark: SparkSession, docs: DataFrame, least: int = EVERY) -> DataFrame:
     """The documents with their kept lines as text; a document left without a word goes. n_chars follows the text."""
-    gone = removed_lines(spark, docs).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    gone = removed_lines(spark, docs, least).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     df = docs.join(sized(gone, 200), docs["doc_id"] == gone["_id"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     df = df.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))

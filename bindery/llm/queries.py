@@ -16,11 +16,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(spark, _table(spark, sf_dir, "documents"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(spark, _table(spark, sf_dir, "documents"))
+def op2_line_dedup(spark: SparkSession, sf_dir: str, least: int = linededup.LEAST) -> DataFrame:
+    out = linededup.dedup_lines(spark, _table(spark, sf_dir, "documents"), least)
     return out.select("doc_id", "n_lines", "n_removed", "n_exact", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word takes part."""
+    return op2_line_dedup(spark, sf_dir, linededup.EVERY)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op2_line_dedup_all, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -200,5 +205,6 @@ SELECT doc_id, n_lines, n_removed, n_exact, sha256(kept_text) AS kept_sha256 FRO
 
 ORACLE = {
     "op2_line_dedup": _OP2,
+    "op2_line_dedup_all": _OP2.replace("WHERE len(s) >= 5", f"WHERE len(s) >= {linededup.EVERY}"),
     "op6_decontamination": _OP6,
     "op4_quality_rules": _OP4, "op5_url_filter": _OP5}

@@ -103,6 +103,27 @@ def test_lines(spark, documents):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_short_lines(spark, documents):
+    """Every line with a word takes part, down to one word; four words are like the same four and one more."""
+    short = ["All rights reserved", "The The The", "a", "a b", "a b c", "a b c d", "a b c d e", "b c d e", "词词词", " \t", ""]
+    r = random.Random(7)
+    texts = EDGES + ["\n".join(r.choice(short) if r.random() < 0.6 else prose(r.randint(1, 6), r) for _ in range(r.randint(1, 4))) for _ in range(60)]
+    seen, want = [], []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            s = set(WORDS.findall(line))
+            if not s or not any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want.append("\n".join(kept))
+    got = {r.doc_id: r.kept_text for r in linededup.dedup_lines(spark, documents(texts), linededup.EVERY).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    out = {r.doc_id: r.text for r in linededup.cleaned_documents(spark, documents(texts)).collect()}
+    assert {i: (t or "").strip() for i, t in out.items() if (t or "").strip()} == {i: w.strip() for i, w in enumerate(want) if w.strip()}
+
+
 def test_decontamination(spark, documents):
     items = [prose(12), prose(25), "short item", "", None, prose(10), "Ünï çødé"]
     texts = EDGES + [prose(8) + " " + " ".join((R.choice(items) or "").split(" ")[R.randint(0, 4) :]).upper() + ", " + prose(5) for _ in range(60)] + ["a SHORT-item!", "x ünï çødé y"]

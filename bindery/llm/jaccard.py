@@ -60,10 +60,9 @@ def most_differing(n: int, top: int) -> int:
     return (n + min(n * 5 // 4, top - 1)) // 9
 
 
-def slack(s: np.ndarray) -> int:
-    """By how many the filled parts of a set's own band outnumber the shingles that may differ; its other band has more."""
-    top = 1 << len(s).bit_length()
-    return len(np.unique(s % np.uint64(parts_of(top)))) - most_differing(len(s), top)
+def slack(s: np.ndarray) -> list[int]:
+    """By how many the filled parts of each of a set's bands, its own first, outnumber the shingles that may differ there."""
+    return [len(np.unique(s % np.uint64(parts_of(top)))) - most_differing(len(s), top) for top in bands(len(s))]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -109,11 +108,11 @@ def _signature(s: np.ndarray) -> int:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, len(s), _signature(s), slack(s), sketch(s)) for i, s in _sets(b)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [*[pa.int64()] * 4, pa.binary()]
+        rows = [(i, len(s), _signature(s), (x := slack(s))[0], min(x), sketch(s)) for i, s in _sets(b)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [*[pa.int64()] * 5, pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "cls", "slack", "wide"]
+            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "cls", "slack", "least", "wide"]
         )
 
 
@@ -265,8 +264,8 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small_batches(spark)
     num, den = 80, 100
     stash, docs = Stash(spark), texts(docs)
-    all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, slack long, wide binary"), "docs")
-    first = [F.first(c).alias(c) for c in ("n", "slack", "wide")]
+    all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, slack long, least long, wide binary"), "docs")
+    first = [F.first(c).alias(c) for c in ("n", "slack", "least", "wide")]
     classes = stash.put(all_docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), *first), "classes")
     keys = docs.mapInArrow(_keys, "key long, cls long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -276,12 +275,14 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     sizes = groups.groupBy("key").agg(F.count("*").alias("k"))
     groups = stash.put(groups.join(sizes, "key"), "sized")
-    # A class with more parts outside hot groups than shingles may differ agrees with any partner in one of those.
+    # A class that, in each band, has more parts outside hot groups than shingles may differ agrees with any partner in
+    # one of those. The hot parts of both bands are counted together, which can only keep more classes.
     hot = groups.where(F.col("k") > GROUP).select("key", "id")
     counts = hot.groupBy("id").agg(F.count("*").alias("h"))
-    classes = classes.join(counts, "id", "left").withColumn("need", F.col("slack") - F.coalesce("h", F.lit(0))).drop("slack", "h")
+    h = F.coalesce("h", F.lit(0))
+    classes = classes.join(counts, "id", "left").withColumn("need", F.col("slack") - h).withColumn("least", F.col("least") - h).drop("slack", "h")
     classes = stash.put(classes, "needs")
-    hot = stash.put(hot.join(classes.where("need <= 0").select("id"), "id"), "hot")
+    hot = stash.put(hot.join(classes.where("least <= 0").select("id"), "id"), "hot")
     crowds = None
     if hot.limit(1).count():
         low = hot.groupBy("key").agg(F.min("id").alias("b"))

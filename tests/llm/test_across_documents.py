@@ -77,6 +77,28 @@ def test_sketches_bound_differences():
         assert len(np.intersect1d(jaccard.part_keys(x), jaccard.part_keys(y))) >= 1
 
 
+def test_slack_holds_in_both_bands():
+    """Small sets can have fewer parts to spare in the band above their own."""
+    rng, fewer = np.random.default_rng(3), 0
+    for n in [7] * 300 + list(range(4, 16)) * 20:
+        s = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        got = jaccard.slack(s)
+        assert got == [len(set((s % np.uint64(jaccard.parts_of(b))).tolist())) - jaccard.most_differing(n, b) for b in jaccard.bands(n)]
+        fewer += min(got) < got[0]
+    assert fewer
+
+
+def test_templates_of_few_shingles(spark, documents, monkeypatch):
+    """Texts of 7 to 15 shingles made of one template, all parts hot."""
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    monkeypatch.setattr(jaccard, "SIDE", 7)
+    r = random.Random(11)
+    base = [prose(n, r) for n in (19, 17, 15, 13, 12, 11)]
+    texts = [f"{b} {prose(k, r)}".strip() for b in base for k in (0, 1, 1, 1, 2, 2, 3)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link_documents(spark, documents(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(texts)
+
+
 def test_one_of_each_keeps_columns(spark, documents, copies):
     df = documents(copies[:40])
     out = jaccard.one_of_each(spark, df)

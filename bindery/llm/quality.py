@@ -27,27 +27,38 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION_IN_100, SEPARATORS_IN_100, LOST_IN_100, ALL_LOST_IN_100 = 10, 4, 50, 90
 
 
+def has_word(line):
+    return line.rlike(r"[^ \x09-\x0D]")
+
+
+def verdict(line):
+    """(chars, noisy, boilerplate) of a line."""
+    n = F.length(line)
+    marks = F.length(F.regexp_replace(line, r"[^#*$%&<>!?=~^{}]+", ""))
+    bars = n - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    noisy = (marks * 100 > n * PUNCTUATION_IN_100) | ((bars >= 3) & (bars * 100 > n * SEPARATORS_IN_100))
+    known = F.lit(False)
+    low = F.lower(line)
+    for phrase in BOILERPLATE:
+        known = known | F.contains(low, F.lit(phrase))
+    return F.struct(n.alias("n"), noisy.alias("noisy"), known.alias("known"))
+
+
 def line_verdicts(lines):
     """Array of (chars, noisy, boilerplate) for an array of lines."""
+    return F.transform(lines, verdict)
 
-    def verdict(line):
-        n = F.length(line)
-        marks = F.length(F.regexp_replace(line, r"[^#*$%&<>!?=~^{}]+", ""))
-        bars = n - F.length(F.replace(line, F.lit("|"), F.lit("")))
-        noisy = (marks * 100 > n * PUNCTUATION_IN_100) | ((bars >= 3) & (bars * 100 > n * SEPARATORS_IN_100))
-        known = F.lit(False)
-        low = F.lower(line)
-        for phrase in BOILERPLATE:
-            known = known | F.contains(low, F.lit(phrase))
-        return F.struct(n.alias("n"), noisy.alias("noisy"), known.alias("known"))
 
-    return F.transform(lines, verdict)
+def cleaned_text(text):
+    """The text without the lines that fail a rule; lines without a word are not judged and stay."""
+    fails = lambda line: has_word(line) & (verdict(line)["noisy"] | verdict(line)["known"])
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~fails(line)), "\n")
 
 
 def quality_columns(docs: DataFrame) -> DataFrame:
     """doc_id and all measures and verdicts of each document of (doc_id, text)."""
     df = texts(docs).withColumn("words", F.array_remove(F.split("text", SPACES), ""))
-    df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")))
+    df = df.withColumn("lines", F.filter(F.split("text", "\n"), has_word))
     df = df.select(
         "doc_id",
         "lines",
@@ -104,3 +115,12 @@ def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     verdicts = Stash(spark).put(quality_columns(docs).select(F.col("doc_id").alias("_bad_id"), "kept"), "verdicts")
     bad = sized(verdicts.where("NOT kept").select("_bad_id"), 16)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+
+
+def cleaned_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents that pass, with their passing lines as text. n_chars follows the text."""
+    df = kept_documents(spark, docs).withColumn("_cleaned", cleaned_text(F.col("text")))
+    new = {"text": F.col("_cleaned")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cleaned") == F.col("text"), F.col("n_chars")).otherwise(F.length("_cleaned").cast("long"))
+    return df.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])

@@ -16,8 +16,8 @@ from bindery.llm.common import Stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    return quality.kept_documents(spark, docs)
+    """Takes out the lines that fail the quality rules, and drops the documents that lose too much."""
+    return quality.cleaned_documents(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,23 +20,27 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp only where the session names none (local tests)."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one in the machine's
+    temporary folder; on a cluster that would lose rows, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/bindery-shared")
-            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), f"bindery-{os.getuid()}")
     return found.rstrip("/")
 
 
 class Stash:
-    """Tables written once to the shared folder, so that a lost executor costs a reread and not a recomputation."""
+    """Tables written once to the shared folder, so that a lost executor costs a reread and not a recomputation.
+
+    The result of an operator is a plan that may still read some of them, so they can't go when the operator returns.
+    close() deletes what is left, when the result has been written; otherwise it goes when the session's process ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/bindery-{uuid.uuid4().hex}"
         self.n = 0
+        _open.append(self)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -44,16 +50,35 @@ class Stash:
         out._stash_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later plan reads."""
+    def _delete(self, path: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(conf).delete(path, True)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later plan reads."""
+        for df in tables:
+            self._delete(df._stash_path)
+
+    def close(self) -> None:
+        if self in _open:
+            _open.remove(self)
+            self._delete(self.root)
+
+
+_open: list[Stash] = []
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df`, a stored table, with a broadcast hint if its counted rows are few enough; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def close_all() -> None:
+    """Deletes the tables of all operators run so far: for when their results have been written."""
+    for stash in list(_open):
+        stash.close()
+
+
+def sized(df: DataFrame, row_bytes) -> DataFrame:
+    """`df`, a stored table, with a broadcast hint if the sum of its rows' bytes (a number or column) is small; else as it is."""
+    whole = df.agg(F.sum(F.lit(row_bytes)).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if whole <= BROADCAST_BYTES else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -66,6 +91,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text (null as empty) and a row's key: did, the doc_id or, if null, the least number, and rid, the text's hash.
+
+    Equal rows have one key; rows of one doc_id with different texts have different ones. `more` columns go along.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    did = F.col("doc_id").cast("long")
+    return docs.select(did.alias("doc_id"), F.coalesce(did, F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("rid"), text.alias("text"), *more)
+
+
 def ascii_lower(c):
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -1,16 +1,21 @@
 """Line dedup (operator 2), native: an exact set-similarity join of lines, of which later matches are removed.
 
-A line's set is its distinct words (as they are written). A line of `least` distinct words or more is removed if an
-earlier line, in the order of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that
-line is itself removed or not. Lines with fewer words stay. Null and empty texts have no such lines. The query
-op2_line_dedup has a floor of LEAST words, which its SQL is tied to; op2_line_dedup_all and the pipeline take every line
-with a word (EVERY).
-
-Words are ordered by rarity: the most frequent words, counted over all documents, come last, by tiers; all others come
-first, by hash. Equal sets are one class, kept at its first line. Classes meet on the words of their prefixes if the
-length and positional filters and a parity sketch allow enough overlap, and are verified on their whole sets. In each
-group that shares a prefix word, all classes are compared with the earliest one first; only those that it doesn't
-remove are compared with the other earlier ones.
+A line's set is its distinct words (as they are written). A line with a word is removed if an earlier line, in the order
+of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that line is itself removed or not.
+
+Words are ordered by rarity. Occurrences are counted over all documents into BUCKETS hashed counters, and a word ranks by
+the level (a quarter of a power of two) of its counter, then by hash: one order for all lines, whatever share a counter.
+A word whose counter is one occurs nowhere else and is skipped. Equal sets are one class, kept at its first line.
+Classes meet on the words of their prefixes, within bands of sizes; a word that occurs more than HOT times meets only
+together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters
+are part of the join, and what passes is verified on whole sets. Before that, classes are compared with the earliest class
+that shares one of their rarest words, so crowds of near copies shrink to one class before they meet each other.
+
+Defined results: null, empty and blank texts have no line that is removed. Lines without a word stay. Of equal lines the
+first stays, ties go to the smaller doc_id, then to the smaller hash of the text, then to the line number. Rows with one
+doc_id and one text are one document and all get its result; rows with one doc_id and different texts are different
+documents. A null doc_id comes before all others. An empty table gives no rows. Other columns, whatever their names, are
+not looked at. A very long text is split into its lines within one task, which holds it once as an array.
 """
 
 from __future__ import annotations
@@ -19,163 +24,192 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, sized, texts
+from bindery.llm.common import Stash, keyed, sized
 
-#: The most frequent words are marked in bit sets of BITS bits; sizes of the tiers, the rarest words of which come first.
-#: Both bound what the driver and each plan hold. A word that shares its bit with a frequent one ranks like it.
-TIERS = (1 << 11, 1 << 14, 1 << 17)
-BITS = 1 << 20
-LEAST, EVERY = 5, 1
+#: Counters of word occurrences; they bound what the driver collects and what a plan carries.
+BUCKETS = 1 << 18
+#: Words that occur more often meet in pairs only.
+HOT = 1 << 12
 #: Smaller sets are similar to equal ones only, which are one class.
 JOINED = 4
+#: Rarest words on which a class is compared with the earliest one.
+STAR = 2
 
 
-def _words(line):
-    """Words between spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns."""
-    odd = "\t\n\x0b\f\r"
-    return F.array_remove(F.split(F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, odd, " " * 5)).otherwise(line), " "), "")
-
-
-def _sets(line):
-    """Sorted distinct word hashes."""
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
-
-
-def frequent_words(stash: Stash, docs: DataFrame) -> list[np.ndarray]:
-    """Bit sets, as 64-bit words, of the hashes of the most frequent words; one for each tier that has words."""
-    counted = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.xxhash64("w").alias("h")).count()
-    counted = stash.put(counted, "counts")
-    # A count that few enough words exceed: counts above 2**20 are put together, so there are boundedly many.
-    steps = counted.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
-    limits = []
-    for size in TIERS:
-        total, limit = 0, None
-        for c, n in steps:
-            total += n
-            if total > size:
-                break
-            limit = c
-        limits.append(limit)
-    known = [x for x in limits if x is not None]
-    if not known:
-        return []
-    top = counted.where(F.col("count") >= min(known)).toArrow()  # at most TIERS[-1] rows
-    stash.drop(counted)
-    h, n = top["h"].to_numpy(), top["count"].to_numpy()
-    out = []
-    for limit in dict.fromkeys(known):
-        bits = h[n >= limit] & (BITS - 1)
-        words = np.zeros(BITS // 64, np.int64)
-        np.bitwise_or.at(words, bits >> 6, np.left_shift(np.int64(1), bits & 63))
-        out.append(words)
-    return out
-
-
-def _marked(h, words: np.ndarray):
-    """Whether a hash's bit is set."""
-    word = F.get(F.lit(words), (F.shiftright(h, 6).bitwiseAND(F.lit(BITS // 64 - 1))).cast("int"))
-    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def line_prefixes(docs: DataFrame, tiers: list[np.ndarray], least: int) -> DataFrame:
-    """(doc_id, line, cls, n, flips, prefix) of each line that is long enough to hold `least` words.
-
-    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. Sets of
-    fewer than JOINED words have no prefix.
+def _plain(text):
+    """Tabs, vertical tabs, form feeds and carriage returns as spaces."""
+    odd = "\t\x0b\f\r"
+    has = F.contains(text, F.lit(odd[0]))
+    for c in odd[1:]:
+        has = has | F.contains(text, F.lit(c))
+    return F.when(has, F.translate(text, odd, " " * len(odd))).otherwise(text)
+
+
+def _hashes(line):
+    """Distinct word hashes of a line of _plain text."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """The level of each counter."""
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    counted = words.select(bucket).groupBy("bucket").count().toArrow()  # at most BUCKETS rows
+    n = np.ones(BUCKETS)
+    n[counted["bucket"].to_numpy()] = counted["count"].to_numpy()
+    return np.minimum(127, np.floor(4 * np.log2(n))).astype(np.int64)
+
+
+def line_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(did, rid, line, cls, n, flips, prefix) of each line; without a word, n is 0.
+
+    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `prefix`
+    is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    df = lines.where(F.length("t") >= 2 * least - 1).select("doc_id", "line", _sets(F.col("t")).alias("s"))
-    df = df.withColumn("n", F.size("s"))
-    df = df.withColumn("p", F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
-
-    marked = lambda column, words, yes: F.filter(column, (lambda h: _marked(h, words)) if yes else (lambda h: ~_marked(h, words)))
-    if tiers:
-        # Most lines have enough words outside the middle tier, so that the others are seldom looked at.
-        low, high = tiers[min(1, len(tiers) - 1)], tiers[-1]
-        df = df.withColumn("rare", marked("s", low, False)).withColumn("rarest", marked("rare", high, False))
-        rest = [marked("rare", high, True), F.filter("s", lambda h: _marked(h, low) & ~_marked(h, tiers[0])), F.filter("s", lambda h: _marked(h, low) & _marked(h, tiers[0]))]
-        order = F.when(F.size("rarest") >= F.col("p"), F.col("rarest")).when(F.size("rare") >= F.col("p"), F.concat("rarest", rest[0])).otherwise(F.concat("rarest", *rest))
-    else:
-        order = F.col("s")
-    prefix = F.when(F.col("n") >= JOINED, F.slice(order, F.lit(1), F.col("p")))
-    one = F.lit(np.left_shift(np.int64(1), np.arange(64, dtype=np.int64)))
-    flips = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.get(one, F.shiftrightunsigned(h, 58).cast("int"))))
-    return df.select("doc_id", "line", F.xxhash64("s").alias("cls"), "n", flips.alias("flips"), prefix.alias("prefix"))
-
-
-def _verified(stash: Stash, pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
-    """The later class of each pair (early, late) of classes whose sets are similar enough."""
-    pairs = stash.put(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("early", "late")).alias("cls")).distinct().join(first, "cls")
-    wanted = stash.put(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("ls")), "wanted")
-    got = docs.join(sized(wanted, 120), "doc_id").withColumn("all", F.split("text", "\n"))
-    sets = got.select(F.explode(F.transform("ls", lambda i: F.get("all", i))).alias("t")).select(_sets(F.col("t")).alias("s"))
-    sets = stash.put(sets.select(F.xxhash64("s").alias("cls"), "s"), "sets").dropDuplicates(["cls"])
-    a, b = sets.select(F.col("cls").alias("early"), F.col("s").alias("sa")), sets.select(F.col("cls").alias("late"), F.col("s").alias("sb"))
-    both = pairs.join(a, "early").join(b, "late").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 5 >= (F.size("sa") + F.size("sb") - F.col("i")) * 4).select("late").distinct()
-
-
-def removed_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, gone, n_exact): the numbers of the removed lines of each document that has any."""
-    stash, docs = Stash(spark), texts(docs)
-    # Filtered when stored: before that, the filter would compute every set once more.
-    prefixes = stash.put(line_prefixes(docs, frequent_words(stash, docs), least), "prefixes")
-    full = prefixes.where(F.col("n") >= least)
-    lines = stash.put(full.select("doc_id", "line", "cls"), "lines")
-    classes = full.groupBy("cls").agg(F.min(F.struct("doc_id", "line", "n", "flips", "prefix")).alias("f"))
-    classes = stash.put(classes.select("cls", "f.*"), "classes")
-    stash.drop(prefixes)
-    first = classes.select("cls", "doc_id", "line")
-    words = classes.select("cls", F.posexplode("prefix").alias("i", "tok"))
-    several = words.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
-    groups = words.join(several, "tok").join(classes.select("cls", "doc_id", "line", "n", "flips"), "cls")
-    groups = stash.put(groups, "groups")
-
-    before = F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")
-    # Jaccard of 4/5 means an overlap of 4/9 of the sizes' sum; this word is the first that both prefixes share.
-    rest = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
-    fits = (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & (rest * 9 >= (F.col("x.n") + F.col("y.n")) * 4)
-    fits = fits & (F.bit_count(F.col("x.flips").bitwiseXOR(F.col("y.flips"))) * 9 <= F.col("x.n") + F.col("y.n"))
-    earliest = groups.groupBy("tok").agg(F.min(F.struct("doc_id", "line", "cls", "n", "flips", "i")).alias("c")).select("tok", "c.*")
-    pairs = earliest.alias("x").join(groups.alias("y"), "tok").where(before & fits)
-    pick = lambda p: p.select(F.col("x.cls").alias("early"), F.col("y.cls").alias("late")).distinct()
-    done = stash.put(_verified(stash, pick(pairs), first, docs), "removed")
-    left = groups.join(done, groups["cls"] == done["late"], "left_anti")
-    pairs = groups.alias("x").join(left.alias("y"), "tok").where(before & fits)
-    more = _verified(stash, pick(pairs), first, docs)
-    late = stash.put(done.unionByName(more), "late").select(F.col("late").alias("cls")).distinct().withColumn("gone", F.lit(True))
-
-    status = first.join(late, "cls", "left").select("cls", F.col("doc_id").alias("d0"), F.col("line").alias("l0"), "gone")
-    again = (F.col("doc_id") != F.col("d0")) | (F.col("line") != F.col("l0"))
-    hit = lines.join(status, "cls").where(again | F.col("gone"))
-    return stash.put(
-        hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"), F.sum(again.cast("long")).alias("n_exact")), "hit"
-    )
+    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    lines = docs.select("did", "rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "t")).where("t <> ''")
+    df = lines.select("did", "rid", "line", _hashes(F.col("t")).alias("h"))
+    rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    df = df.select("did", "rid", "line", F.sort_array(F.transform("h", rank)).alias("s"))
+    n = F.size("s")
+    hot = F.lit(int(4 * np.log2(HOT)) << 56)
+    token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k > hot, -_token(k)).otherwise(_token(k))
+    one = F.lit(1).cast("long")
+    flips = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.when(n >= JOINED, F.transform(F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 2), token))
+    return df.select("did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), flips.alias("flips"), prefix.alias("prefix"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
+def _token(k):
+    return k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _band():
+    """Number of the band of sizes, each from a power of two up to the next."""
+    return F.floor(F.log2("n")).cast("int")
+
+
+def _prefix_words(classes: DataFrame) -> DataFrame:
+    """(key, cid, np, flips): the prefix of each class in its own band of sizes and, if partners can be there, the one below.
+
+    `np` is the set's size and the word's position in the order, 32 bits each.
+    """
+    size, band = F.size("prefix") - 1, _band()
+    at = classes.select("cid", "n", "flips", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
+    low = F.col("n") * 4 < F.call_function("shiftleft", F.lit(5), band)
+    bands = F.explode(F.when(low, F.array(band, band - 1)).otherwise(F.array(band))).alias("band")
+    np_ = (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np")
+    cold = at.where("tok > 0").select("cid", "flips", np_, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), "cid", "np", "flips")
+    hot = at.where("tok < 0").select("cid", "flips", "n", np_, "tok", F.explode("prefix").alias("other")).where("other <> tok AND other <> 0")
+    hot = hot.select("cid", "flips", "np", "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), "cid", "np", "flips")
+    return cold.unionByName(hot)
+
+
+def _n(x: str):
+    return F.shiftright(f"{x}.np", 32)
+
+
+def _near(nx, ny, fx, fy):
+    """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only."""
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (F.bit_count(fx.bitwiseXOR(fy)) * 9 <= nx + ny)
+
+
+def _star(classes: DataFrame) -> DataFrame:
+    """(a, b): each class with the earliest ones that share one of its rarest words and its band."""
+    rare = F.explode(F.slice(F.filter("prefix", lambda t: t != 0), F.lit(1), F.lit(STAR))).alias("tok")
+    rows = classes.where("prefix IS NOT NULL").select("did", "rid", "line", "cid", "n", "flips", rare)
+    rows = rows.select("did", "rid", "line", "cid", "n", "flips", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
+    centre = rows.groupBy("key").agg(F.min(F.struct("did", "rid", "line", "cid", "n", "flips")).alias("c"))
+    centre = centre.select("key", "c.cid", "c.n", "c.flips")
+    rows = rows.select("key", "cid", "n", "flips")
+    x, y = centre.alias("x"), rows.alias("y")
+    fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"), F.col("x.flips"), F.col("y.flips"))
+    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+
+
+def _meeting(classes: DataFrame, open_classes: DataFrame) -> DataFrame:
+    """(a, b): classes and open classes whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
+    x, y = _prefix_words(classes).alias("x"), _prefix_words(open_classes).alias("y")
+    nx, ny = _n("x"), _n("y")
+    i, j = (F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)) for c in "xy")
+    # Of the first common word of both prefixes, the words from there on must make up 4/9 of the sizes' sum.
+    rest = F.least(nx - i, ny - j)
+    fits = (F.col("x.cid") != F.col("y.cid")) & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny, F.col("x.flips"), F.col("y.flips"))
+    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+
+
+def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, did, rid, line): the later class of each pair (a, b) of classes whose sets are similar enough."""
+    pairs = stash.put(pairs, "pairs")
+    where = classes.select("cid", "did", "rid", "line")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(where, "cid")
+    wanted = stash.put(wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "cid")).alias("ls")), "wanted")
+    got = docs.join(sized(wanted, F.size("ls") * 24 + 64), ["did", "rid"]).select("did", "rid", "ls", F.split(_plain(F.col("text")), "\n").alias("all"))
+    sets = got.select("did", "rid", "all", F.explode("ls").alias("l"))
+    sets = sets.select("did", "rid", "l.line", "l.cid", F.sort_array(_hashes(F.get("all", F.col("l.line")))).alias("s"))  # several times if a row is repeated
+    sets = stash.put(sets, "sets")
+    side = lambda c: sets.select(F.col("cid").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("did", "rid", "line", "s")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("a_s", "b_s")))
+    same = both.where(F.col("i") * 5 >= (F.size("a_s") + F.size("b_s") - F.col("i")) * 4)
+    end = lambda c: F.struct(F.col(f"{c}_did").alias("did"), F.col(f"{c}_rid").alias("rid"), F.col(f"{c}_line").alias("line"), F.col(c).alias("cid"))
+    late = stash.put(same.select(F.greatest(end("a"), end("b")).alias("x")).select("x.*").distinct(), "late")
+    stash.drop(wanted, sets, pairs)
+    return late
+
+
+def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
+    """(did, rid, gone, n_exact): the sorted numbers of the removed lines of each document of keyed `docs` that has any."""
+    # Filtered when stored: before that, the filter would compute every set once more.
+    lines = stash.put(line_sets(docs, word_levels(docs)), "lines")
+    words = lines.where("n > 0")
+    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "prefix")).alias("f"))
+    classes = stash.put(classes.select("cls", "f.*", F.monotonically_increasing_id().alias("cid")), "classes")
+    first = classes.select("cls", F.col("did").alias("d0"), F.col("rid").alias("r0"), F.col("line").alias("l0"))
+    other = (F.col("did") != F.col("d0")) | (F.col("rid") != F.col("r0")) | (F.col("line") != F.col("l0"))
+    again = stash.put(words.select("did", "rid", "line", "cls").join(first, "cls").where(other).select("did", "rid", "line").distinct(), "again")
+    stash.drop(lines)
+    joined = classes.where("prefix IS NOT NULL")
+    late = _later(stash, _star(joined), classes, docs)
+    left = joined.join(sized(late.select("cid"), 16), "cid", "left_anti")
+    more = _later(stash, _meeting(joined, left), classes, docs)
+    whole = late.unionByName(more).select("did", "rid", "line").distinct().withColumn("again", F.lit(0))
+    hit = again.withColumn("again", F.lit(1)).unionByName(whole)
+    gone = hit.groupBy("did", "rid").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("again").cast("long").alias("n_exact"))
+    gone = stash.put(gone, "gone")
+    stash.drop(classes, again, late, more)
+    return gone
+
+
+def _kept(gone):
+    """The text without its lines of the numbers `gone`; null where none goes."""
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(gone.isNotNull(), F.array_join(kept, "\n"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed, n_exact of every document."""
-    gone = removed_lines(spark, docs, least)
-    df = texts(docs).join(sized(gone, 200), "doc_id", "left").withColumn("all", F.split("text", "\n"))
-    kept = F.filter("all", lambda x, i: ~F.array_contains("gone", i))
+    docs = keyed(docs)
+    gone = removed_lines(Stash(spark), docs)
+    df = docs.join(sized(gone, F.size("gone") * 4 + 64), ["did", "rid"], "left")
     return df.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size("all").cast("long").alias("n_lines"),
+        F.coalesce(_kept(F.col("gone")), "text").alias("kept_text"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
     )
 
 
-def cleaned_documents(spark: SparkSession, docs: DataFrame, least: int = EVERY) -> DataFrame:
-    """The documents with their kept lines as text; a document left without a word goes. n_chars follows the text."""
-    gone = removed_lines(spark, docs, least).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    df = docs.join(sized(gone, 200), docs["doc_id"] == gone["_id"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    df = df.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    df = df.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^ \x09-\x0D]"))
-    new = {"text": F.coalesce("_kept", "text")}
+def cleaned_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with their kept lines as text; a document left without a word goes. n_chars follows the text.
+
+    The columns of `docs`, whatever their names, go along as one value.
+    """
+    rows = keyed(docs, F.struct("*").alias("row"))
+    gone = removed_lines(Stash(spark), keyed(docs))
+    df = rows.join(sized(gone, F.size("gone") * 4 + 64), ["did", "rid"], "left").select("row", "text", _kept(F.col("gone")).alias("kept"))
+    df = df.where(F.coalesce("kept", "text").rlike(r"[^ \x09-\x0D]"))
+    new = {"text": F.coalesce("kept", F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))
-    return df.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast("long"))
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

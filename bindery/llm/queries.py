@@ -16,16 +16,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(spark, _table(spark, sf_dir, "documents"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str, least: int = linededup.LEAST) -> DataFrame:
-    out = linededup.dedup_lines(spark, _table(spark, sf_dir, "documents"), least)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(spark, _table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_exact", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op2_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with a word takes part."""
-    return op2_line_dedup(spark, sf_dir, linededup.EVERY)
-
-
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -63,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op2_line_dedup_all, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -168,13 +163,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
-#: Rows of a `documents` table d(doc_id, text) as lines that stay or go; used by the pipeline's SQL as well.
+#: Rows of a table d(doc_id, text) as lines that stay or go.
 LINES_SQL = r"""
 l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d),
 ls AS (
   SELECT doc_id, line, t, list_sort(list_distinct(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS s FROM l),
-e AS (SELECT doc_id, line, s, len(s) AS n FROM ls WHERE len(s) >= 5),
+e AS (SELECT doc_id, line, s, len(s) AS n FROM ls WHERE len(s) >= 1),
 c AS (SELECT s, n, min(struct_pack(doc_id := doc_id, line := line)) AS f, row_number() OVER (ORDER BY s) AS cls FROM e GROUP BY s, n),
 tk AS (SELECT cls, n, f, unnest(s) AS t FROM c),
 tf AS (SELECT t, count(*) AS k FROM tk GROUP BY t),
@@ -205,6 +200,5 @@ SELECT doc_id, n_lines, n_removed, n_exact, sha256(kept_text) AS kept_sha256 FRO
 
 ORACLE = {
     "op2_line_dedup": _OP2,
-    "op2_line_dedup_all": _OP2.replace("WHERE len(s) >= 5", f"WHERE len(s) >= {linededup.EVERY}"),
     "op6_decontamination": _OP6,
     "op4_quality_rules": _OP4, "op5_url_filter": _OP5}

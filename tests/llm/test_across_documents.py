@@ -114,11 +114,11 @@ def test_lines(spark, documents):
         kept, gone = [], 0
         for line in (t or "").split("\n"):
             s = set(WORDS.findall(line))
-            if len(s) >= 5 and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+            if s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                 gone += 1
             else:
                 kept.append(line)
-            if len(s) >= 5:
+            if s:
                 seen.append(s)
         want.append(("\n".join(kept), gone))
     got = {r.doc_id: (r.kept_text, r.n_removed) for r in linededup.dedup_lines(spark, documents(texts)).collect()}
@@ -140,12 +140,42 @@ def test_short_lines(spark, documents):
             if s:
                 seen.append(s)
         want.append("\n".join(kept))
-    got = {r.doc_id: r.kept_text for r in linededup.dedup_lines(spark, documents(texts), linededup.EVERY).collect()}
+    got = {r.doc_id: r.kept_text for r in linededup.dedup_lines(spark, documents(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
     out = {r.doc_id: r.text for r in linededup.cleaned_documents(spark, documents(texts)).collect()}
     assert {i: (t or "").strip() for i, t in out.items() if (t or "").strip()} == {i: w.strip() for i, w in enumerate(want) if w.strip()}
 
 
+@pytest.mark.parametrize("hot", [1 << 12, 1])
+def test_hot_words_and_crowds_of_lines(spark, documents, monkeypatch, hot):
+    """Near copies of few templates; with a low limit, every word that occurs twice meets in pairs only."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    r = random.Random(23)
+    base = [prose(n, r) for n in (8, 15, 30, 30)]
+    texts = ["\n".join(edited(r.choice(base), r.choice([0.02, 0.06, 0.12]), r) for _ in range(3)) for _ in range(80)]
+    seen, want = [], []
+    for t in texts:
+        gone = 0
+        for line in t.split("\n"):
+            s = set(WORDS.findall(line))
+            gone += any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+            seen.append(s)
+        want.append(gone)
+    got = {x.doc_id: x.n_removed for x in linededup.dedup_lines(spark, documents(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_lines_of_repeated_rows(spark):
+    """Equal rows are one document; rows of one doc_id with different texts are two, a null doc_id comes first."""
+    rows = [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (1, "g h i"), (2, "g h i\nnew words"), (None, "d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.kept_text) for r in linededup.dedup_lines(spark, df).collect())
+    assert got == [(0, "d e f"), (1, "a b c"), (1, "a b c"), (1, "g h i"), (2, "new words")]
+    clash = df.selectExpr("doc_id", "text", "1 _kept", "2 _gone", "3 did", "4 rid", "5 gone", "6 kept", "7 row")
+    out = linededup.cleaned_documents(spark, clash)
+    assert out.columns == clash.columns and sorted(r.text for r in out.collect()) == sorted(x[1] for x in got)
+
+
 def test_decontamination(spark, documents):
     items = [prose(12), prose(25), "short item", "", None, prose(10), "Ünï çødé"]
     texts = EDGES + [prose(8) + " " + " ".join((R.choice(items) or "").split(" ")[R.randint(0, 4) :]).upper() + ", " + prose(5) for _ in range(60)] + ["a SHORT-item!", "x ünï çødé y"]

@@ -42,10 +42,23 @@ class Stash:
         self.n = 0
         _open.append(self)
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """`rows`: how many rows are handed to Python at once while the table is made. Texts are long, and an executor
+        holds several batches of them. Shuffle files go when the table has been written, as nothing else reads them.
+        The session's own settings are put back."""
         self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{self.n}-{name}", self.spark.conf
+        own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        if rows is not None:
+            own["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+        before = {k: conf.get(k) for k in own}
+        try:
+            for k, v in own.items():
+                conf.set(k, v)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out
@@ -81,9 +94,8 @@ def sized(df: DataFrame, row_bytes) -> DataFrame:
     return F.broadcast(df) if whole <= BROADCAST_BYTES else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows handed to Python at once: texts are long, and an executor holds several batches of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of texts handed to Python at once.
+TEXTS = 1000
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,19 @@ a band (sizes from 2**(j-1) up to 2**j, and partners down to 0.8 of that) has m
 the XOR of hashed bit positions. With at most d differing shingles, m - d parts agree; a document with more than d
 non-empty parts agrees in one of those, so empty parts are joined only between documents that have too few.
 
-Equal sets are one class from the start. Classes that share a part are compared first with one class of the group,
-and what is linked becomes one component; only pairs between different components are compared after that. Small
-groups are joined; classes that could agree in parts of larger ones alone are compared block by block on sketches of 1024 bits, each
-pair once, first for the nearest of another component, in the end for all that are near enough. So no group of
-copies is expanded into all its pairs, and no link between different components is lost. Null, empty and blank texts have no shingles and no links;
-repeated rows with one doc_id are one document, like copies.
+Equal sets are one class from the start, known by a 64-bit signature. Classes that share a part are compared first with
+one class of the group, and what is linked becomes one component; only pairs between different components are compared
+after that. Groups of GROUP classes or fewer are joined. Classes that could agree in parts of larger groups alone form
+crowds; there, those outside a crowd's largest component are compared with all others, in blocks of SIDE by SIDE on
+sketches of 1024 bits, first with the nearest of another component, in the end with all that are near enough. So no group
+of copies is expanded into all its pairs, and no link between different components is lost. The cost of a crowd is its
+size times the number of classes that its largest component leaves out.
+
+Defined results: null, empty and blank texts have no shingles and no links. Rows with one doc_id are rows like others:
+with one text they are copies, with different ones they are two documents, which one_of_each keeps or drops by the row.
+A null doc_id never is a component_id unless all of a component are null. An empty table gives no rows; other columns,
+whatever their names, are not looked at. Ties (equal sketches, equally frequent partners) are broken by signature, which
+changes the order of work only. A text's shingles are held as one array by one task.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, mix, pieces_of, sized, small_batches, texts, words_in
+from bindery.llm.common import TEXTS, Stash, keyed, mix, pieces_of, sized, words_in
 
 N = 5
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i, 2**64)) for i in range(N)]
@@ -94,12 +101,11 @@ def part_keys(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, shingles) of each row."""
-    for row, data, offsets in pieces_of(b.column(1)):
+    """(row, shingles) of each row; the text is the last column."""
+    for row, data, offsets in pieces_of(b.column(b.num_columns - 1)):
         _, _, h, first = words_in(data, offsets)
-        ids = b.column(0).slice(row, len(first) - 1).to_pylist()
-        for i, doc_id in enumerate(ids):
-            yield doc_id, shingles(h[first[i] : first[i + 1]])
+        for i in range(len(first) - 1):
+            yield row + i, shingles(h[first[i] : first[i + 1]])
 
 
 def _signature(s: np.ndarray) -> int:
@@ -108,11 +114,12 @@ def _signature(s: np.ndarray) -> int:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, len(s), _signature(s), (x := slack(s))[0], min(x), sketch(s)) for i, s in _sets(b)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = [*[pa.int64()] * 5, pa.binary()]
+        rows = [(len(s), _signature(s), (x := slack(s))[0], min(x), sketch(s)) for _, s in _sets(b)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [*[pa.int64()] * 4, pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "cls", "slack", "least", "wide"]
+            [*(b.column(i) for i in range(3)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
+            names=["doc_id", "did", "rid", "n", "cls", "slack", "least", "wide"],
         )
 
 
@@ -140,30 +147,32 @@ def _pairs_batch(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash partition, the distinct (key, class) rows whose key has several classes."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if parts:
-        key, cls = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        parts.clear()
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        new_key = np.append(True, key[1:] != key[:-1])
-        keep = new_key | np.append(True, cls[1:] != cls[:-1])
-        key, cls, new_key = key[keep], cls[keep], new_key[keep]
-        start = np.flatnonzero(new_key)
-        size = np.diff(np.append(start, len(key)))
-        several = np.repeat(size > 1, size)
-        key, cls = key[several], cls[several]
-        for i in range(0, len(key), 100_000):
-            yield _pairs_batch(key[i : i + 100_000], cls[i : i + 100_000])
+    """Of rows sorted by key and class, the distinct ones whose key has several classes. One row is carried over."""
+    key, cls, shown = None, None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, c = (b.column(i).to_numpy() for i in (0, 1))
+        if key is not None:
+            k, c = np.append(key, k), np.append(cls, c)
+        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+        k, c = k[new], c[new]
+        like = k[1:] == k[:-1]
+        several = np.append(False, like) | np.append(like, False)
+        # The last row may have its partner in the next batch; the first one may have been given out already.
+        out = several.copy()
+        out[0] &= not (key is not None and shown)
+        yield _pairs_batch(k[out], c[out])
+        shown = bool(several[-1]) if len(k) > 1 else shown
+        key, cls = k[-1:], c[-1:]
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 200):
-            rows = list(_sets(b.slice(i, 200)))
+            rows = [s for _, s in _sets(b.slice(i, 200))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))],
+                [pa.array([_signature(s) for s in rows], pa.int64()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))],
                 names=["id", "s"],
             )
 
@@ -182,15 +191,30 @@ def components(stash: Stash, edges: DataFrame) -> DataFrame:
         stash.drop(label)
         label = new
         if not changed:
+            stash.drop(both)
             return label
 
 
-def _verified(stash: Stash, pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough."""
+def joined_roots(stash: Stash, roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`roots` after the components that `links` (a, b) connect have become one; links are between roots, each pair once."""
+    if roots is None:
+        return components(stash, links)
+    of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(stash, pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    out = stash.put(moved.unionByName(new.join(roots, "id", "left_anti")), "roots")
+    stash.drop(roots, new)
+    return out
+
+
+def _verified(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough."""
     pairs = stash.put(pairs, "pairs")
-    ids = stash.put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    wanted = docs.join(sized(ids, 16), docs["doc_id"] == ids["id"], "left_semi")
-    sets = stash.put(wanted.mapInArrow(_full_sets, "id long, s array<long>"), "sets").dropDuplicates(["id"])
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = stash.put(ids.join(classes, "id").select("did", "rid").distinct(), "ids")
+    wanted = docs.join(sized(ids, 24), ["did", "rid"], "left_semi").select("text")
+    sets = stash.put(wanted.mapInArrow(_full_sets, "id long, s array<long>"), "sets", TEXTS).dropDuplicates(["id"])
     a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     joined = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return joined.where(F.col("i") * den >= (F.size("sa") + F.size("sb") - F.col("i")) * num).select("a", "b")
@@ -228,21 +252,26 @@ def _star(rows: DataFrame, first) -> DataFrame:
 def _crowded(crowds: DataFrame, roots: DataFrame | None, num: int, den: int, best: bool) -> DataFrame:
     """(x, y) of different components within crowds (the classes that hot groups connect) whose wide sketches are near.
 
-    Crowds are cut into blocks of SIDE classes; each pair of blocks is one group of rows, compared as a whole. With
-    `best`, a class gets only its nearest one of another component in a block.
+    One side is a class outside the largest component of its crowd, the other any class. Each side is cut into blocks of
+    SIDE classes; each pair of blocks is one group of rows, compared as a whole. With `best`, a class gets only its
+    nearest one of another component in a block.
     """
     df = crowds.withColumn("root", F.col("id")) if roots is None else crowds.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    counts = df.groupBy("crowd").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    df = df.join(counts.where("lo != hi"), "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    df = df.select("crowd", "id", "n", "wide", "root", "own", other.alias("other"))
-    df = df.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "crowd", "id", "n", "wide", "root", "own")
+    parts = df.groupBy("crowd", "root").agg(F.count("*").alias("m"))
+    main = parts.groupBy("crowd").agg(F.sum("m").alias("g"), F.max(F.struct("m", "root")).alias("top"))
+    main = main.where("g > top.m").select("crowd", F.col("top.root").alias("main"), F.ceil((F.col("g") - F.col("top.m")) / SIDE).cast("int").alias("lefts"), F.ceil(F.col("g") / SIDE).cast("int").alias("rights"))
+    df = df.join(main, "crowd")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ("crowd", "id", "n", "wide", "root")
+    left = df.where("root != main").select(*row, F.lit(True).alias("open"), block("lefts").alias("i"), every("rights").alias("j"))
+    right = df.select(*row, F.lit(False).alias("open"), every("lefts").alias("i"), block("rights").alias("j"))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy()
+        open_ = table["open"].to_numpy()
         n, ids, root = (table[c].to_numpy() for c in ("n", "id", "root"))
-        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(own), -1)
-        left, right = (np.flatnonzero(own == key[i].as_py()) for i in (1, 2))
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(open_), -1)
+        left, right = np.flatnonzero(open_), np.flatnonzero(~open_)
         xs, ys = [], []
         for p in left.tolist():
             q = right[(root[right] != root[p]) & (np.minimum(n[right], n[p]) * den >= np.maximum(n[right], n[p]) * num)]
@@ -256,32 +285,41 @@ def _crowded(crowds: DataFrame, roots: DataFrame | None, num: int, den: int, bes
         cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return pa.table({"x": pa.array(cat(xs), pa.int64()), "y": pa.array(cat(ys), pa.int64())})
 
-    return df.groupBy("crowd", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+    return left.unionByName(right).groupBy("crowd", "i", "j").applyInArrow(compare, "x long, y long").distinct()
 
 
 def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    small_batches(spark)
+    return _linked(spark, keyed(docs)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, did, rid, n, component_id) of every row of keyed `docs`."""
     num, den = 80, 100
-    stash, docs = Stash(spark), texts(docs)
-    all_docs = stash.put(docs.mapInArrow(_summaries, "doc_id long, n long, cls long, slack long, least long, wide binary"), "docs")
-    first = [F.first(c).alias(c) for c in ("n", "slack", "least", "wide")]
-    classes = stash.put(all_docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), *first), "classes")
-    keys = docs.mapInArrow(_keys, "key long, cls long")
+    stash = Stash(spark)
+    all_docs = docs.mapInArrow(_summaries, "doc_id long, did long, rid long, n long, cls long, slack long, least long, wide binary")
+    all_docs = stash.put(all_docs, "docs", TEXTS)
+    # Any row speaks for its class, as its text gives the class's set.
+    first = F.min(F.struct("did", "rid", "n", "slack", "least", "wide")).alias("f")
+    classes = stash.put(all_docs.where("n > 0").groupBy(F.col("cls").alias("id")).agg(first).select("id", "f.*"), "classes")
+    keys = docs.select("text").mapInArrow(_keys, "key long, id long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = stash.put(keys.repartition(parts, "key").mapInArrow(_shared, "key long, cls long"), "shared")
-    groups = stash.put(shared.join(classes.select("cls", "id"), "cls").select("key", "id"), "groups")
-    stash.drop(shared)
+    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "id")
+    groups = stash.put(dealt.mapInArrow(_shared, "key long, id long"), "groups", 2 * TEXTS)
 
     sizes = groups.groupBy("key").agg(F.count("*").alias("k"))
-    groups = stash.put(groups.join(sizes, "key"), "sized")
+    counted = stash.put(groups.join(sizes, "key"), "counted")
+    stash.drop(groups)
+    groups = counted
     # A class that, in each band, has more parts outside hot groups than shingles may differ agrees with any partner in
     # one of those. The hot parts of both bands are counted together, which can only keep more classes.
     hot = groups.where(F.col("k") > GROUP).select("key", "id")
     counts = hot.groupBy("id").agg(F.count("*").alias("h"))
     h = F.coalesce("h", F.lit(0))
-    classes = classes.join(counts, "id", "left").withColumn("need", F.col("slack") - h).withColumn("least", F.col("least") - h).drop("slack", "h")
-    classes = stash.put(classes, "needs")
+    needs = classes.join(counts, "id", "left").withColumn("need", F.col("slack") - h).withColumn("least", F.col("least") - h).drop("slack", "h")
+    needs = stash.put(needs, "needs")
+    stash.drop(classes)
+    classes = needs
     hot = stash.put(hot.join(classes.where("least <= 0").select("id"), "id"), "hot")
     crowds = None
     if hot.limit(1).count():
@@ -289,15 +327,16 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         members = components(stash, hot.join(low, "key").select(F.col("id").alias("a"), "b").distinct())
         crowds = stash.put(members.select("id", F.col("root").alias("crowd")).join(classes.select("id", "n", "wide"), "id"), "crowds")
 
-    links, roots = None, None
+    roots = None
     for step in ("star", "star", "best", "best", "best", "all"):
-        if roots is None:
-            rows = groups.withColumn("root", F.col("id"))
-        else:
-            rows = groups.join(roots, "id", "left").select("key", "id", "k", F.coalesce("root", "id").alias("root"))
+        if step in ("star", "all"):
+            if roots is None:
+                rows = groups.withColumn("root", F.col("id"))
+            else:
+                rows = groups.join(roots, "id", "left").select("key", "id", "k", F.coalesce("root", "id").alias("root"))
         if step == "star":
             # Each group against one of its classes, another in each round; each class only with its most frequent partner.
-            met = _star(rows, F.lit(links is None))
+            met = _star(rows, F.lit(roots is None))
         elif step == "all":
             cold = rows.where(F.col("k") <= GROUP)
             mixed = cold.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
@@ -312,19 +351,26 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
             met = _crowded(crowds, roots, num, den, True)
         common = F.col("met") if "met" in met.columns else F.lit(None).cast("long")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), common.alias("met"))
-        new = stash.put(_verified(stash, _possible(pairs, classes, num, den), docs, num, den), f"links-{step}")
+        new = stash.put(_verified(stash, _possible(pairs, classes, num, den), classes, docs, num, den), f"links-{step}")
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            roots = components(stash, links)
-    out = all_docs.select("doc_id", "n", "cls").join(classes.select("cls", "id"), "cls", "left")
-    own = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    if roots is not None:
-        out = out.join(roots, "id", "left")
-        own = F.coalesce(F.when(F.col("n") > 0, F.col("root")), own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+            roots = joined_roots(stash, roots, new)
+    out = all_docs.select("doc_id", "did", "rid", "n", F.col("cls").alias("id"))
+    if roots is None:
+        roots = classes.select("id", F.col("id").alias("root"))
+    else:
+        roots = classes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    least = out.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = stash.put(least.select("id", "root").join(smallest, "root").select("id", "component_id"), "components")
+    out = out.join(of_class, "id", "left")
+    return out.select("doc_id", "did", "rid", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns."""
-    gone = link_documents(spark, docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """The document with the smallest doc_id of each component, with all columns; of rows with that doc_id, all.
+
+    The columns of `docs`, whatever their names, go along as one value.
+    """
+    gone = _linked(spark, keyed(docs)).where("doc_id != component_id").select("did", "rid")
+    kept = keyed(docs, F.struct("*").alias("row")).join(gone, ["did", "rid"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

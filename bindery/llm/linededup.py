@@ -8,8 +8,9 @@ the level (a quarter of a power of two) of its counter, then by hash: one order
 A word whose counter is one occurs nowhere else and is skipped. Equal sets are one class, kept at its first line.
 Classes meet on the words of their prefixes, within bands of sizes; a word that occurs more than HOT times meets only
 together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters
-are part of the join, and what passes is verified on whole sets. Before that, classes are compared with the earliest class
-that shares one of their rarest words, so crowds of near copies shrink to one class before they meet each other.
+are part of the join, and what passes is verified on whole sets. Before that, a class whose rarest word occurs CROWD times or more
+is compared with the earliest class of that rarest word, so crowds of near copies shrink before they meet each other; what
+is removed there is looked at as the earlier line of a pair only.
 
 Defined results: null, empty and blank texts have no line that is removed. Lines without a word stay. Of equal lines the
 first stays, ties go to the smaller doc_id, then to the smaller hash of the text, then to the line number. Rows with one
@@ -32,8 +33,10 @@ BUCKETS = 1 << 18
 HOT = 1 << 12
 #: Smaller sets are similar to equal ones only, which are one class.
 JOINED = 4
-#: Rarest words on which a class is compared with the earliest one.
-STAR = 2
+#: Groups of classes that share their rarest word and may be larger are compared with their earliest class first.
+CROWD = 1 << 7
+#: Larger sets have a second sketch, as more of their words may differ.
+WIDE = 48
 
 
 def _plain(text):
@@ -46,8 +49,16 @@ def _plain(text):
 
 
 def _hashes(line):
-    """Distinct word hashes of a line of _plain text."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Distinct hashes of the words of a line of _plain text, and of the nothing between two spaces."""
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+
+
+def _nothing():
+    return F.xxhash64(F.lit(""))
+
+
+def _level_of(count: int) -> int:
+    return int(min(127, 4 * np.log2(count)))
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -61,23 +72,27 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(did, rid, line, cls, n, flips, prefix) of each line; without a word, n is 0.
+    """(did, rid, line, cls, n, flips, more, crowd, prefix) of each line; without a word, n is 0.
 
-    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `prefix`
+    `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `more`
+    are 64 other ones, 0 for sets of WIDE words or fewer. `crowd` tells whether the rarest word occurs CROWD times. `prefix`
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
     lines = docs.select("did", "rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "t")).where("t <> ''")
     df = lines.select("did", "rid", "line", _hashes(F.col("t")).alias("h"))
     rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    df = df.select("did", "rid", "line", F.sort_array(F.transform("h", rank)).alias("s"))
+    df = df.select("did", "rid", "line", F.sort_array(F.array_remove(F.transform("h", rank), rank(_nothing()))).alias("s"))
     n = F.size("s")
-    hot = F.lit(int(4 * np.log2(HOT)) << 56)
-    token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k > hot, -_token(k)).otherwise(_token(k))
-    one = F.lit(1).cast("long")
-    flips = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    hot = F.lit(_level_of(HOT) + 1 << 56)
+    token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k >= hot, -_token(k)).otherwise(_token(k))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    parity = lambda shift: F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.when(n >= JOINED, F.transform(F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 2), token))
-    return df.select("did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), flips.alias("flips"), prefix.alias("prefix"))
+    return df.select(
+        "did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), parity(0).alias("flips"), F.when(n > WIDE, parity(6)).otherwise(none).alias("more"),
+        (F.get("s", F.lit(0)) >= F.lit(_level_of(CROWD) << 56)).alias("crowd"), prefix.alias("prefix"),
+    )
 
 
 def _token(k):
@@ -90,51 +105,51 @@ def _band():
 
 
 def _prefix_words(classes: DataFrame) -> DataFrame:
-    """(key, cid, np, flips): the prefix of each class in its own band of sizes and, if partners can be there, the one below.
+    """(key, cid, open, np, flips, more): the prefix of each class in its own band of sizes and, if partners can be there, the one below.
 
     `np` is the set's size and the word's position in the order, 32 bits each.
     """
     size, band = F.size("prefix") - 1, _band()
-    at = classes.select("cid", "n", "flips", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
+    at = classes.select("cid", "open", "n", "flips", "more", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
     low = F.col("n") * 4 < F.call_function("shiftleft", F.lit(5), band)
     bands = F.explode(F.when(low, F.array(band, band - 1)).otherwise(F.array(band))).alias("band")
-    np_ = (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np")
-    cold = at.where("tok > 0").select("cid", "flips", np_, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), "cid", "np", "flips")
-    hot = at.where("tok < 0").select("cid", "flips", "n", np_, "tok", F.explode("prefix").alias("other")).where("other <> tok AND other <> 0")
-    hot = hot.select("cid", "flips", "np", "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), "cid", "np", "flips")
+    same = ("cid", "open", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np"), "flips", "more")
+    rest = ("cid", "open", "np", "flips", "more")
+    cold = at.where("tok > 0").select(*same, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), *rest)
+    hot = at.where("tok < 0").select(*same, "n", "tok", F.explode("prefix").alias("other")).where("other <> tok AND other <> 0")
+    hot = hot.select(*rest, "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), *rest)
     return cold.unionByName(hot)
 
 
-def _n(x: str):
-    return F.shiftright(f"{x}.np", 32)
+def _near(nx, ny):
+    """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only.
 
-
-def _near(nx, ny, fx, fy):
-    """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only."""
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (F.bit_count(fx.bitwiseXOR(fy)) * 9 <= nx + ny)
+    Where one of two sets has no second sketch, the first one decides.
+    """
+    far = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) * 9 <= nx + ny
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & far("flips") & ((F.least(nx, ny) <= WIDE) | far("more"))
 
 
 def _star(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the earliest ones that share one of its rarest words and its band."""
-    rare = F.explode(F.slice(F.filter("prefix", lambda t: t != 0), F.lit(1), F.lit(STAR))).alias("tok")
-    rows = classes.where("prefix IS NOT NULL").select("did", "rid", "line", "cid", "n", "flips", rare)
-    rows = rows.select("did", "rid", "line", "cid", "n", "flips", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
-    centre = rows.groupBy("key").agg(F.min(F.struct("did", "rid", "line", "cid", "n", "flips")).alias("c"))
-    centre = centre.select("key", "c.cid", "c.n", "c.flips")
-    rows = rows.select("key", "cid", "n", "flips")
-    x, y = centre.alias("x"), rows.alias("y")
-    fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"), F.col("x.flips"), F.col("y.flips"))
-    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-
-
-def _meeting(classes: DataFrame, open_classes: DataFrame) -> DataFrame:
-    """(a, b): classes and open classes whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
-    x, y = _prefix_words(classes).alias("x"), _prefix_words(open_classes).alias("y")
-    nx, ny = _n("x"), _n("y")
+    """(a, b): each class of a possible crowd with the earliest one that shares its rarest word and its band."""
+    rows = classes.where("crowd").select("did", "rid", "line", "cid", "n", "flips", "more", F.get(F.filter("prefix", lambda t: t != 0), F.lit(0)).alias("tok"))
+    rows = rows.select("did", "rid", "line", "cid", "n", "flips", "more", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
+    centre = rows.groupBy("key").agg(F.min(F.struct("did", "rid", "line", "cid", "n", "flips", "more")).alias("c"))
+    x, y = centre.select("key", "c.cid", "c.n", "c.flips", "c.more").alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
+    fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"))
+    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """(a, b): classes, one of them open, whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
+    words = _prefix_words(classes)
+    x, y = words.alias("x"), words.alias("y")
+    nx, ny = (F.shiftright(f"{c}.np", 32) for c in "xy")
     i, j = (F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)) for c in "xy")
     # Of the first common word of both prefixes, the words from there on must make up 4/9 of the sizes' sum.
     rest = F.least(nx - i, ny - j)
-    fits = (F.col("x.cid") != F.col("y.cid")) & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny, F.col("x.flips"), F.col("y.flips"))
+    ordered = F.col("y.open") & ((F.col("x.cid") < F.col("y.cid")) | ~F.col("x.open") & (F.col("x.cid") != F.col("y.cid")))
+    fits = ordered & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny)
     return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
@@ -146,7 +161,7 @@ def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame)
     wanted = stash.put(wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "cid")).alias("ls")), "wanted")
     got = docs.join(sized(wanted, F.size("ls") * 24 + 64), ["did", "rid"]).select("did", "rid", "ls", F.split(_plain(F.col("text")), "\n").alias("all"))
     sets = got.select("did", "rid", "all", F.explode("ls").alias("l"))
-    sets = sets.select("did", "rid", "l.line", "l.cid", F.sort_array(_hashes(F.get("all", F.col("l.line")))).alias("s"))  # several times if a row is repeated
+    sets = sets.select("did", "rid", "l.line", "l.cid", F.array_remove(_hashes(F.get("all", F.col("l.line"))), _nothing()).alias("s"))  # several times if a row is repeated
     sets = stash.put(sets, "sets")
     side = lambda c: sets.select(F.col("cid").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("did", "rid", "line", "s")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("a_s", "b_s")))
@@ -162,7 +177,7 @@ def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     # Filtered when stored: before that, the filter would compute every set once more.
     lines = stash.put(line_sets(docs, word_levels(docs)), "lines")
     words = lines.where("n > 0")
-    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "prefix")).alias("f"))
+    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "more", "crowd", "prefix")).alias("f"))
     classes = stash.put(classes.select("cls", "f.*", F.monotonically_increasing_id().alias("cid")), "classes")
     first = classes.select("cls", F.col("did").alias("d0"), F.col("rid").alias("r0"), F.col("line").alias("l0"))
     other = (F.col("did") != F.col("d0")) | (F.col("rid") != F.col("r0")) | (F.col("line") != F.col("l0"))
@@ -170,8 +185,8 @@ def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     stash.drop(lines)
     joined = classes.where("prefix IS NOT NULL")
     late = _later(stash, _star(joined), classes, docs)
-    left = joined.join(sized(late.select("cid"), 16), "cid", "left_anti")
-    more = _later(stash, _meeting(joined, left), classes, docs)
+    done = sized(late.select("cid", F.lit(False).alias("open")), 24)
+    more = _later(stash, _meeting(joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", F.lit(True)))), classes, docs)
     whole = late.unionByName(more).select("did", "rid", "line").distinct().withColumn("again", F.lit(0))
     hit = again.withColumn("again", F.lit(1)).unionByName(whole)
     gone = hit.groupBy("did", "rid").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("again").cast("long").alias("n_exact"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, pieces_of, small_batches, texts, words_in
+from bindery.llm.common import TEXTS, Stash, pieces_of, texts, words_in
 
 HEAD = 1 << 17
 #: A task passes on its word counts when it holds so many different words.
@@ -142,10 +142,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str |
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("piece_bpe_32k.model")
-    small_batches(spark)
     stash = Stash(spark)
     counted = count_words(docs).groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
-    words = stash.put(counted, "words")
+    words = stash.put(counted, "words", TEXTS)
     n_docs = texts(docs).select(F.sum((F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 != 1")).cast("long"))).first()[0] or 0
     n, v = words.select(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = (n or 0) + n_docs, (v or 0) + (n_docs > 0)
@@ -206,7 +205,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str |
                 )
 
     cut = stash.put(
-        texts(docs).mapInArrow(documents, "doc_id long, hash long, n long, n_known long, base_score double, score double"), "cut"
+        texts(docs).mapInArrow(documents, "doc_id long, hash long, n long, n_known long, base_score double, score double"), "cut", TEXTS
     )
     tail = (
         cut.where("hash IS NOT NULL").select("doc_id", "hash", "n").join(scores, "hash")

@@ -3,8 +3,13 @@
 A document's token counts are hashed to a short vector, projected to three fixed random directions and placed on a
 Hilbert curve; the documents are range-sorted by that key (ties by doc_id, so copies spread over ranges) and laid end
 to end, so neighbours in a sequence resemble each other and only the very last sequence is short. It is padded to
-2048 unless its length is a power of two. Null and empty texts are the end id alone. Token offsets are exact: each
-range counts its own tokens, and only the ranges' totals are summed up across ranges.
+2048 unless its length is a power of two. Token offsets are exact: each range counts its own tokens, and only the ranges'
+totals are summed up across ranges.
+
+Defined results: null, empty and blank texts are the end id alone. Repeated rows are packed once each, one after the other;
+ties on the curve go by doc_id, null first. An empty table gives no pieces; other columns, whatever their names, are not
+looked at. The strings of the vocabulary's special tokens are those tokens. A very long text is held, as text and as ids,
+by one task, and cut into pieces like others.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, small_batches, texts
+from bindery.llm.common import TEXTS, Stash, texts
 
 SEQUENCE, END = 2048, 1
 DIMS, BITS, FEATURES = 3, 10, 64
@@ -35,17 +40,16 @@ class ChunkTokenizer:
     The vocabulary's normaliser and splitter never join characters across white space, so the ids of a text are the
     ids of its chunks, one after the other. A chunk of letters with ASCII punctuation after them is the ids of the
     lower-cased letters and those of the punctuation, each one unit to the merges; all others go through the whole
-    tokenizer. The cache is emptied when it holds `room` chunks.
+    tokenizer. The cache is emptied when it holds about `room` bytes.
     """
 
     PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
-    def __init__(self, path: str, room: int = 1_600_000):
+    def __init__(self, path: str, room: int = 200 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         self.t, self.room = Tokenizer.from_file(path), room
-        self.t.encode_special_tokens = True
         self.merges = self.t.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
@@ -57,12 +61,14 @@ class ChunkTokenizer:
         self.index = _Places(self.chunk)
         self.units: dict[str, list[int]] = {}
         self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.held = 0
 
     def unit(self, text: str) -> list[int]:
         got = self.units.get(text)
         if got is None:
             named = text if text.isascii() else text.encode().decode("latin-1").translate(self.byte_names)
             got = self.units[text] = [x.id for x in self.merges(named)]
+            self.held += 200 + len(text) + 8 * len(got)
         return got
 
     def chunk(self, c: str) -> list[int]:
@@ -77,10 +83,8 @@ class ChunkTokenizer:
 
     def batch(self, rows: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self.index) > self.room:
+        if self.held > self.room:
             self.clear()
-        if len(self.units) > self.room // 5:
-            self.units.clear()
         at = []
         for r in rows:
             r = r.replace("\n", " ") if not _ODD.search(r) else _BLANK.sub(" ", r)
@@ -89,6 +93,8 @@ class ChunkTokenizer:
         if new := self.index.new:
             ends = self.begins[-1] + np.cumsum([len(x) for x in new])
             flat = np.fromiter(itertools.chain.from_iterable(new), np.uint32)
+            self.held += self.index.held + 12 * len(new) + 4 * len(flat)
+            self.index.held = 0
             self.ids, self.begins = np.concatenate([self.ids, flat]), np.concatenate([self.begins, ends])
             new.clear()
         out = []
@@ -105,11 +111,12 @@ class _Places(dict):
 
     def __init__(self, ids_of):
         super().__init__()
-        self.ids_of, self.new = ids_of, []
+        self.ids_of, self.new, self.held = ids_of, [], 0
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
         self.new.append(self.ids_of(chunk))
+        self.held += 180 + len(chunk)  # the string, its number and its place in the table
         return n
 
 
@@ -219,14 +226,13 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    small_batches(spark)
     stash = Stash(spark)
-    tokens = stash.put(tokenize(docs, tokenizer_path), "tokens")
+    tokens = stash.put(tokenize(docs, tokenizer_path), "tokens", TEXTS)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         tokens.repartitionByRange(ranges, "hkey", "doc_id").sortWithinPartitions("hkey", "doc_id").select("doc_id", "n_tokens", "ids")
     )
-    placed = stash.put(ordered.mapInArrow(_running, "doc_id long, n_tokens long, ids binary, part int, local long"), "placed")
+    placed = stash.put(ordered.mapInArrow(_running, "doc_id long, n_tokens long, ids binary, part int, local long"), "placed", TEXTS)
     stash.drop(tokens)
     # As many rows as there are ranges.
     totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -234,4 +240,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None
         "part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base")
     )
     at = placed.join(F.broadcast(base), "part").select("doc_id", "n_tokens", "ids", (F.col("base") + F.col("local")).alias("at"))
-    return at.mapInArrow(_pieces, PIECES)
+    pieces = stash.put(at.mapInArrow(_pieces, PIECES), "pieces", TEXTS)
+    stash.drop(placed)
+    return pieces

@@ -8,7 +8,12 @@ of its text is rejected.
 * boilerplate: the line holds a phrase of BOILERPLATE (any case)
 
 A document goes if punctuation and navigation take more than half of the characters in its lines, or all three rules
-together more than nine tenths. Null and empty texts have no words and fail the base rule.
+together more than nine tenths.
+
+Defined results: null, empty and blank texts have no words and fail the base rule. Lines without a word are not judged and
+stay. Each row is judged by itself, so repeated rows, and null or repeated doc_ids, are rows like others, and there are
+no ties. An empty table gives no rows; extra columns, whatever their names, go along untouched where documents are
+returned. A very long text is held by one task as arrays of its words and lines.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import SPACES, Stash, sized, texts
+from bindery.llm.common import SPACES, Stash, keyed, sized
 
 #: Phrases of licence, consent and navigation lines.
 BOILERPLATE = (
@@ -57,10 +62,16 @@ def cleaned_text(text):
 
 def quality_columns(docs: DataFrame) -> DataFrame:
     """doc_id and all measures and verdicts of each document of (doc_id, text)."""
-    df = texts(docs).withColumn("words", F.array_remove(F.split("text", SPACES), ""))
+    return _measured(docs).drop("did", "rid")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    df = keyed(docs).withColumn("words", F.array_remove(F.split("text", SPACES), ""))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), has_word))
     df = df.select(
         "doc_id",
+        "did",
+        "rid",
         "lines",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -94,7 +105,7 @@ def quality_columns(docs: DataFrame) -> DataFrame:
         "verdicts", F.lit(0).cast("long"), lambda a, v: a + F.when(what(v), v["n"]).otherwise(0).cast("long")
     )
     df = df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"),
+        "doc_id", "did", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"),
         total(lambda v: F.lit(True)).alias("line_chars"),
         total(lambda v: v["noisy"]).alias("noisy_chars"),
         total(lambda v: v["noisy"] | v["known"]).alias("removed_chars"),
@@ -106,21 +117,26 @@ def quality_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
 
 
-def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns.
+def _kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, text) of the documents that pass; the columns of `docs`, whatever their names, are in `row`.
 
     The verdicts are stored first: a filter on them would be pushed below the columns that they are made of, and
     everything would be computed again for the filter.
     """
-    verdicts = Stash(spark).put(quality_columns(docs).select(F.col("doc_id").alias("_bad_id"), "kept"), "verdicts")
-    bad = sized(verdicts.where("NOT kept").select("_bad_id"), 16)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    verdicts = Stash(spark).put(_measured(docs).select("did", "rid", "kept"), "verdicts")
+    bad = sized(verdicts.where("NOT kept").select("did", "rid"), 24)
+    return keyed(docs, F.struct("*").alias("row")).join(bad, ["did", "rid"], "left_anti").select("row", "text")
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    return _kept_rows(spark, docs).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def cleaned_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that pass, with their passing lines as text. n_chars follows the text."""
-    df = kept_documents(spark, docs).withColumn("_cleaned", cleaned_text(F.col("text")))
-    new = {"text": F.col("_cleaned")}
+    df = _kept_rows(spark, docs).withColumn("cleaned", cleaned_text(F.col("text")))
+    new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_cleaned") == F.col("text"), F.col("n_chars")).otherwise(F.length("_cleaned").cast("long"))
-    return df.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new["n_chars"] = F.when(F.col("cleaned") == F.col("text"), F.col("row.n_chars")).otherwise(F.length("cleaned").cast("long"))
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

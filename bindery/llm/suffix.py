@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import Stash, mix, pieces_of, prefix_hashes, sized, small_batches, span_hashes, texts
+from bindery.llm.common import TEXTS, Stash, mix, pieces_of, prefix_hashes, sized, span_hashes, texts
 
 LENGTH, GRAM = 200, 32
 #: Different runs of one k-gram that are compared together; more of them are dealt out in blocks of that size.
@@ -191,7 +191,7 @@ def covered_windows(stash: Stash, docs: DataFrame, probes: DataFrame, length: in
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "gram", "block").select("doc_id", "s0", "hot", "raw")
-    found = stash.put(dealt.mapInArrow(compare, "doc_id long, s long, e long, h long"), "compared")
+    found = stash.put(dealt.mapInArrow(compare, "doc_id long, s long, e long, h long"), "compared", TEXTS)
     open_rows = found.where("h IS NOT NULL")
     twice = stash.put(open_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     more = open_rows.where("doc_id IS NOT NULL").join(twice, "h").select("doc_id", "s", "e")
@@ -241,9 +241,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """(doc_id, s, e): arrays of the maximal removed spans, in bytes, of each document that has any."""
-    small_batches(spark)
     stash, docs = Stash(spark), texts(docs)
-    found = stash.put(suffix_runs(docs, length, gram), "runs")
+    found = stash.put(suffix_runs(docs, length, gram), "runs", TEXTS)
     family = SuffixFamily(stash)
     for i in range(batches):
         family.add(found.where(F.pmod(F.hash("doc_id"), F.lit(batches)) == i))
@@ -266,5 +265,5 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
 def dedup_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """One row for each document: bytes, removed bytes, removed spans and the digest of what is left."""
     spans = repeated_spans(spark, docs, length, gram, batches)
-    df = texts(docs).join(sized(spans, 200), "doc_id", "left").select("doc_id", "text", "s", "e")
-    return df.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    df = texts(docs).join(sized(spans, F.size("s") * 16 + 64), "doc_id", "left").select("doc_id", "text", "s", "e")
+    return Stash(spark).put(df.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cut", TEXTS)

@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, stash = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stash(spark)
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = stash.put(out, name) if i + 1 < len(STAGES) else out
+    """The pieces of the last stage. The table of each stage goes when the next one has been written."""
+    docs, stash, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stash(spark), None
+    for name, stage in STAGES:
+        docs = stash.put(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            stash.drop(before)
+        before = docs
     return docs

@@ -150,6 +150,8 @@ def test_short_lines(spark, documents):
 def test_hot_words_and_crowds_of_lines(spark, documents, monkeypatch, hot):
     """Near copies of few templates; with a low limit, every word that occurs twice meets in pairs only."""
     monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "CROWD", 1 if hot == 1 else 1 << 7)
+    monkeypatch.setattr(linededup, "WIDE", 20)
     r = random.Random(23)
     base = [prose(n, r) for n in (8, 15, 30, 30)]
     texts = ["\n".join(edited(r.choice(base), r.choice([0.02, 0.06, 0.12]), r) for _ in range(3)) for _ in range(80)]
@@ -203,7 +205,7 @@ def test_decontamination_without_items(spark, documents):
     assert not any(r.contaminated for r in decontam.decontaminate(spark, documents(EDGES), none).collect())
 
 
-ODD = ["İstanbul ΑΣ ΟΔΟΣ. straße", "é café, naïve!!", "it's we'll 12,345 3.14", "日本語 テキスト", "a b c", "<|endoftext|> x<|startoftext|>", "ǅ ﬁ Å", "tab\tand\r\nline\x0bfeed", "a\x1cb", "🙂🙂 ok"]
+ODD = ["İstanbul ΑΣ ΟΔΟΣ. straße", "é café, naïve!!", "it's we'll 12,345 3.14", "日本語 テキスト", "a b c", "<|endoftext|> x<|startoftext|>", "say <|endoftext|> now", "a<|endoftext|>b<|endof text|>!", "ǅ ﬁ Å", "tab\tand\r\nline\x0bfeed", "a\x1cb", "🙂🙂 ok"]
 
 
 def test_packing(spark, documents, copies):
@@ -212,7 +214,6 @@ def test_packing(spark, documents, copies):
 
     texts = copies[:60] + ODD + [prose(3000)]
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(spark, documents(texts)).collect():
         by_doc[r.doc_id].append(r)

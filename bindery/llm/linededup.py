@@ -3,14 +3,14 @@
 A line's set is its distinct words (as they are written). A line with a word is removed if an earlier line, in the order
 of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that line is itself removed or not.
 
-Words are ordered by rarity. Occurrences are counted over all documents into BUCKETS hashed counters, and a word ranks by
-the level (a quarter of a power of two) of its counter, then by hash: one order for all lines, whatever share a counter.
-A word whose counter is one occurs nowhere else and is skipped. Equal sets are one class, kept at its first line.
-Classes meet on the words of their prefixes, within bands of sizes; a word that occurs more than HOT times meets only
-together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters
-are part of the join, and what passes is verified on whole sets. Before that, a class whose rarest word occurs CROWD times or more
-is compared with the earliest class of that rarest word, so crowds of near copies shrink before they meet each other; what
-is removed there is looked at as the earlier line of a pair only.
+Words are ordered by rarity. The lines that hold a word are counted over all documents in BUCKETS hashed counters, and a
+word ranks by the level (a quarter of a power of two) of its counter, then by hash: one order for all lines, whatever
+share a counter. A word whose counter is one stands in no other line and is skipped. Equal sets are one class, kept at its
+first line. Classes meet on the words of their prefixes, within bands of sizes; a word of more than HOT lines meets only
+together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters are
+part of the join, and what passes is verified on whole sets. Before that, a class whose rarest word stands in CROWD lines
+or more is compared with the earliest class of that rarest word, so crowds of near copies shrink before they meet each
+other; what is removed there is looked at as the earlier line of a pair only.
 
 Defined results: null, empty and blank texts have no line that is removed. Lines without a word stay. Of equal lines the
 first stays, ties go to the smaller doc_id, then to the smaller hash of the text, then to the line number. Rows with one
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import Stash, keyed, sized
 
-#: Counters of word occurrences; they bound what the driver collects and what a plan carries.
-BUCKETS = 1 << 18
-#: Words that occur more often meet in pairs only.
+#: Counters of words' lines; they bound what the driver collects and what a plan carries.
+BUCKETS = 1 << 16
+#: Words of more lines meet in pairs only.
 HOT = 1 << 12
 #: Smaller sets are similar to equal ones only, which are one class.
 JOINED = 4
@@ -49,29 +49,30 @@ def _plain(text):
 
 
 def _hashes(line):
-    """Distinct hashes of the words of a line of _plain text, and of the nothing between two spaces."""
-    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
-
-
-def _nothing():
-    return F.xxhash64(F.lit(""))
+    """Distinct hashes of the words of a line of _plain text."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _level_of(count: int) -> int:
     return int(min(127, 4 * np.log2(count)))
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(did, rid, line, h): the word hashes of each line of keyed documents."""
+    lines = docs.select("did", "rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "t")).where("t <> ''")
+    return lines.select("did", "rid", "line", _hashes(F.col("t")).alias("h"))
+
+
+def word_levels(hashed: DataFrame) -> np.ndarray:
     """The level of each counter."""
-    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    counted = words.select(bucket).groupBy("bucket").count().toArrow()  # at most BUCKETS rows
+    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    counted = hashed.select(F.explode("h").alias("w")).select(bucket).groupBy("bucket").count().toArrow()  # at most BUCKETS rows
     n = np.ones(BUCKETS)
     n[counted["bucket"].to_numpy()] = counted["count"].to_numpy()
     return np.minimum(127, np.floor(4 * np.log2(n))).astype(np.int64)
 
 
-def line_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     """(did, rid, line, cls, n, flips, more, crowd, prefix) of each line; without a word, n is 0.
 
     `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `more`
@@ -79,10 +80,8 @@ def line_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    lines = docs.select("did", "rid", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "t")).where("t <> ''")
-    df = lines.select("did", "rid", "line", _hashes(F.col("t")).alias("h"))
     rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    df = df.select("did", "rid", "line", F.sort_array(F.array_remove(F.transform("h", rank), rank(_nothing()))).alias("s"))
+    df = hashed.select("did", "rid", "line", F.sort_array(F.transform("h", rank)).alias("s"))
     n = F.size("s")
     hot = F.lit(_level_of(HOT) + 1 << 56)
     token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k >= hot, -_token(k)).otherwise(_token(k))
@@ -148,7 +147,8 @@ def _meeting(classes: DataFrame) -> DataFrame:
     i, j = (F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)) for c in "xy")
     # Of the first common word of both prefixes, the words from there on must make up 4/9 of the sizes' sum.
     rest = F.least(nx - i, ny - j)
-    ordered = F.col("y.open") & ((F.col("x.cid") < F.col("y.cid")) | ~F.col("x.open") & (F.col("x.cid") != F.col("y.cid")))
+    # No condition on one side alone: it would be pushed below the shuffle, which then couldn't serve both sides.
+    ordered = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.open") | F.col("y.open"))
     fits = ordered & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny)
     return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
@@ -161,7 +161,7 @@ def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame)
     wanted = stash.put(wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "cid")).alias("ls")), "wanted")
     got = docs.join(sized(wanted, F.size("ls") * 24 + 64), ["did", "rid"]).select("did", "rid", "ls", F.split(_plain(F.col("text")), "\n").alias("all"))
     sets = got.select("did", "rid", "all", F.explode("ls").alias("l"))
-    sets = sets.select("did", "rid", "l.line", "l.cid", F.array_remove(_hashes(F.get("all", F.col("l.line"))), _nothing()).alias("s"))  # several times if a row is repeated
+    sets = sets.select("did", "rid", "l.line", "l.cid", _hashes(F.get("all", F.col("l.line"))).alias("s"))  # several times if a row is repeated
     sets = stash.put(sets, "sets")
     side = lambda c: sets.select(F.col("cid").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("did", "rid", "line", "s")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("a_s", "b_s")))
@@ -175,7 +175,9 @@ def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame)
 def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     """(did, rid, gone, n_exact): the sorted numbers of the removed lines of each document of keyed `docs` that has any."""
     # Filtered when stored: before that, the filter would compute every set once more.
-    lines = stash.put(line_sets(docs, word_levels(docs)), "lines")
+    hashed = stash.put(hashed_lines(docs), "hashed")
+    lines = stash.put(line_sets(hashed, word_levels(hashed)), "lines")
+    stash.drop(hashed)
     words = lines.where("n > 0")
     classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "more", "crowd", "prefix")).alias("f"))
     classes = stash.put(classes.select("cls", "f.*", F.monotonically_increasing_id().alias("cid")), "classes")

@@ -2,15 +2,25 @@
 
 A string of `length` bytes that starts at two places is a long match. Each window of that length is represented by
 one suffix: the one that starts at its k-gram of least hash (the leftmost of equals), so equal windows are
-represented at equal places. Consecutive windows with one representative are a run. A batch's suffix array holds its
-representatives in the order of their k-gram, then of their whole run, both as 64-bit hashes; the family keeps arrays
-whose sizes, in batches, are powers of two. A new batch is merge-scanned against every level and equal-sized levels
-are merged before the next batch comes, so each suffix is rewritten once for each doubling.
-
-Runs whose k-gram stands nowhere else can't match. Runs that occur twice as a whole are covered. All others (the
-edges of shared passages) are compared window by window, by counting window hashes. Every stage counts with partial
-sums or joins by key, so a passage that many documents share meets in no single task. Overlaps within a document
-count, matches never cross documents, null and empty texts have no bytes, texts under `length` bytes lose none.
+represented at equal places. Consecutive windows with one representative are a run; all its windows together are the
+run's bytes.
+
+A suffix array is a stored table of these suffixes in the order of their first `gram` bytes, then of the hash of their
+run: document, run, prefix. A family holds arrays whose sizes, in batches, are powers of two. A new batch is merge-scanned
+against every level: the rows of both are dealt out by ranges of that order, sorted, and each is compared with its
+neighbours. Suffixes with the prefix of a neighbour are met, those with its run as well are twins: all their windows are
+long matches. Equal-sized levels are merged by the same scan, so a suffix is written anew once for each doubling. Where a
+range begins or ends, the neighbour is in another task; the prefixes there, two for a range, are compared afterwards.
+
+Suffixes that are never met can't match. Those that are met, but no twins (the edges of shared passages), are compared
+window by window. Every stage deals out by ranges that split equal keys, by joins on keys, or by partial sums, so a
+passage that many documents share meets in no single task.
+
+Defined results: overlaps within a document count, matches never cross documents; null and empty texts have no bytes,
+texts under `length` bytes lose none. Rows with one doc_id and one text are copies of each other and lose all bytes if
+they have `length` of them; rows of one doc_id with different texts are different documents, and a null doc_id is one like
+others. There are no ties: nothing is kept for being first. An empty table gives no rows; other columns, whatever their
+names, are not looked at. Very long texts are hashed in segments of SEGMENT bytes, but held whole by the task that cuts.
 """
 
 from __future__ import annotations
@@ -20,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import TEXTS, Stash, mix, pieces_of, prefix_hashes, sized, span_hashes, texts
+from bindery.llm.common import TEXTS, Stash, keyed, mix, pieces_of, prefix_hashes, sized, span_hashes
 
 LENGTH, GRAM = 200, 32
 #: Different runs of one k-gram that are compared together; more of them are dealt out in blocks of that size.
@@ -81,189 +91,275 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.nd
             yield np.array([row]), np.array([i]), part, np.array([0, len(part)])
 
 
+SUFFIXES = "did long, rid long, s0 long, s1 long, prefix binary, run long"
+
+
 def suffix_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(did, rid, s0, s1, prefix, run): the suffixes of keyed documents with first and last window of their runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for rows, shift, data, offsets in _segments(b.column(1), length):
-                r, first, last, _, key, whole = runs(data, offsets, length, gram)
+            did, rid = (b.column(i).to_numpy() for i in (0, 1))
+            for rows, shift, data, offsets in _segments(b.column(2), length):
+                r, first, last, p, _, whole = runs(data, offsets, length, gram)
                 base = (shift - offsets[:-1])[r]
+                raw = np.ascontiguousarray(data[p[:, None] + np.arange(gram)])
+                prefix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(gram), len(p), [None, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows[r]]), pa.array((first + base).astype(np.int64)), pa.array((last + base).astype(np.int64)), pa.array(key), pa.array(whole)],
-                    names=["doc_id", "s0", "s1", "gram", "run"],
+                    [
+                        pa.array(did[rows[r]]), pa.array(rid[rows[r]]), pa.array((first + base).astype(np.int64)),
+                        pa.array((last + base).astype(np.int64)), prefix, pa.array(whole),
+                    ],
+                    names=["did", "rid", "s0", "s1", "prefix", "run"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, s0 long, s1 long, gram long, run long")
+    return docs.select("did", "rid", "text").mapInArrow(run, SUFFIXES)
 
 
-class SuffixFamily:
-    """Levels of (gram, run, n) tables, each with the number of batches it holds."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks, in one range of sorted suffixes, those that are met or twins, and the first and last one as edges."""
+    held, begun = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [held, b.cast(held.schema)]).combine_chunks()
+        held = yield from _marked(t, begun, False)
+        begun = True
+    if held is not None:
+        yield from _marked(pa.Table.from_batches([held]), begun and held["edge"][0].as_py() is False, True)
+
+
+def _marked(t: pa.Table, begun: bool, ended: bool):
+    """Gives out all rows but the last, which is returned for the next call, or all if the range has `ended`."""
+    n = t.num_rows
+    marks = {}
+    same = np.zeros(n - 1, bool)
+    for name, columns in (("met", ("prefix",)), ("twin", ("prefix", "run"))):
+        same = np.ones(n - 1, bool)
+        for c in columns:
+            same &= pc.equal(t[c].slice(1), t[c].slice(0, n - 1)).to_numpy()
+        m = t[name].to_numpy().copy()
+        m[1:] |= same
+        m[:-1] |= same
+        marks[name] = m
+    edge = t["edge"].to_numpy().copy()
+    edge[0] |= not begun
+    edge[-1] |= ended
+    for name, m in (*marks.items(), ("edge", edge)):
+        t = t.set_column(t.schema.get_field_index(name), name, pa.array(m))
+    out = t if ended else t.slice(0, n - 1)
+    if out.num_rows:
+        yield from out.combine_chunks().to_batches()
+    return None if ended else t.slice(n - 1).combine_chunks().to_batches()[0]
 
-    def __init__(self, stash: Stash):
-        self.stash, self.levels, self.repeated = stash, [], None
+
+class SuffixFamily:
+    """Suffix arrays on shared storage, each with the number of batches it holds, and what their merge scans have found."""
+
+    def __init__(self, stash: Stash, ranges: int | None = None):
+        self.stash, self.levels, self.hits = stash, [], []
+        self.ranges = ranges or int(stash.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def scan(self, rows: DataFrame, found_only: bool) -> DataFrame:
+        """The rows in order, with what their neighbours tell; only the met ones if `found_only`."""
+        order = ("prefix", "run", "did", "rid", "s0")
+        dealt = rows.withColumn("edge", F.lit(False)).repartitionByRange(self.ranges, *order).sortWithinPartitions(*order)
+        seen = dealt.mapInArrow(_neighbours, SUFFIXES + ", met boolean, twin boolean, edge boolean")
+        seen = self.stash.put(seen.where("met OR edge") if found_only else seen, "scan")
+        # As many rows as there are ranges, twice.
+        edges = seen.where("edge").groupBy("prefix").agg(F.count("*").alias("k"), F.collect_list("run").alias("runs")).where("k > 1").collect()
+        met = F.col("met")
+        for e in edges:
+            here = F.col("prefix") == F.lit(bytes(e["prefix"]))
+            met = met | here
+        twins = [(bytes(e["prefix"]), r) for e in edges for r in set(e["runs"]) if e["runs"].count(r) > 1]
+        twin = F.col("twin")
+        for prefix, r in twins:
+            twin = twin | (F.col("prefix") == F.lit(prefix)) & (F.col("run") == F.lit(r))
+        out = seen.select("did", "rid", "s0", "s1", "prefix", "run", met.alias("met"), twin.alias("twin"))
+        out._stash_path = seen._stash_path
+        return out
 
     def add(self, batch: DataFrame) -> None:
-        """Takes in the runs of new documents; `repeated` gets the k-grams that now stand at two places."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = a.unionByName(b).groupBy("gram", "run").agg(F.sum("n").alias("n"))
-            self.levels.append((size * 2, self.stash.put(merged, "level")))
-            self.stash.drop(a)
-            self.stash.drop(b)
-        new = self.stash.put(batch.groupBy("gram", "run").agg(F.count("*").alias("n")), "level")
-        found = new.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+        """Takes in the suffixes of new documents. Each level is read once; what it shares with the batch joins `hits`."""
+        new, size = self.scan(batch.withColumns({"met": F.lit(False), "twin": F.lit(False)}), False), 1
+        while self.levels and self.levels[-1][0] == size:
+            _, level = self.levels.pop()
+            merged = self.scan(level.unionByName(new), False)
+            self.stash.drop(level, new)
+            new, size = merged, size * 2
         for _, level in self.levels:
-            found = found.unionByName(new.join(level.select("gram"), "gram", "left_semi").select("gram"))
-        found = self.stash.put(found.distinct(), "repeated")
-        self.repeated = found if self.repeated is None else self.repeated.unionByName(found)
-        self.levels.append((1, new))
+            self.hits.append(self.scan(level.unionByName(new), True).where("met"))
+        self.levels.append((size, new))
+
+    def found(self) -> DataFrame:
+        """(did, rid, s0, s1, prefix, run, twin) of each suffix that was met at any time."""
+        rows = [level.where("met") for _, level in self.levels] + self.hits
+        whole = rows[0]
+        for more in rows[1:]:
+            whole = whole.unionByName(more)
+        return whole.groupBy("did", "rid", "s0", "s1", "prefix", "run").agg(F.max("twin").alias("twin"))
 
 
 def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each run of a document, with the bytes of its windows and the block of its k-gram that it belongs to."""
     for b in batches:
-        column = b.column(1)
-        for i, (doc_id, x) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+        column = b.column(2)
+        for i, (did, rid, x) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 3)), strict=True)):
             raw = column[i].as_buffer().to_pybytes()
             s0, k = np.array([r["s0"] for r in x], np.int64), np.array([r["k"] for r in x], np.int64)
             blocks = -(-k // BLOCK)
-            salt = (mix(s0.astype(np.uint64) + mix(np.array([doc_id], np.int64).view(np.uint64))) % blocks.astype(np.uint64)).astype(np.int64)
+            salt = (mix(s0.astype(np.uint64) + mix(np.array([rid], np.int64).view(np.uint64))) % blocks.astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([doc_id] * len(x), pa.int64()), pa.array(s0), pa.array([r["gram"] for r in x], pa.int64()), pa.array(salt),
-                    pa.array(blocks > 1), pa.array([raw[r["s0"] : r["e"]] for r in x], pa.binary()),
+                    pa.array([did] * len(x), pa.int64()), pa.array([rid] * len(x), pa.int64()), pa.array(s0), pa.array([r["gram"] for r in x], pa.int64()),
+                    pa.array(salt), pa.array(blocks > 1), pa.array([raw[r["s0"] : r["e"]] for r in x], pa.binary()),
                 ],
-                names=["doc_id", "s0", "gram", "block", "hot", "raw"],
+                names=["did", "rid", "s0", "gram", "block", "hot", "raw"],
             )
 
 
-def _window_hashes(docs: np.ndarray, s0: np.ndarray, raw: pa.Array, length: int):
-    """(doc, start, hash) of every window of every run of a batch."""
-    sizes = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+def _groups(batches: Iterator[pa.RecordBatch], room: int = 4 << 20) -> Iterator[pa.Table]:
+    """Rows sorted by gram and block, in tables of about `room` bytes that never split a block."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size > room:
+            t = pa.Table.from_batches(held).combine_chunks()
+            g, k = t["gram"].to_numpy(), t["block"].to_numpy()
+            cut = np.flatnonzero((g[1:] != g[:-1]) | (k[1:] != k[:-1]))
+            if len(cut):
+                yield t.slice(0, int(cut[-1]) + 1)
+                held = t.slice(int(cut[-1]) + 1).combine_chunks().to_batches()
+                size = sum(x.nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """What the windows of whole blocks show: those that stand twice, and the hashes of those that hot k-grams leave open."""
+    t = t.combine_chunks()
+    raw = t["raw"].combine_chunks() if isinstance(t["raw"], pa.ChunkedArray) else t["raw"]
+    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     n = sizes - length + 1
     local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(begin, n) + local
-    return np.repeat(docs, n), np.repeat(s0, n) + local, span_hashes(prefix_hashes(data), at, at + length).view(np.int64)
+    h = span_hashes(prefix_hashes(data), at, at + length).view(np.int64)
+    did, rid, hot = (np.repeat(t[c].to_numpy(), n) for c in ("did", "rid", "hot"))
+    s = np.repeat(t["s0"].to_numpy(), n) + local
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    before, after = np.append(False, same), np.append(same, False)
+    hit, one, alone = order[before | after], order[~before & after], order[~before & ~after]
+    alone, one = alone[hot[alone]], one[hot[one]]
+    for i in range(0, len(alone), 100_000):
+        x = alone[i : i + 100_000]
+        yield _windows(did[x], rid[x], s[x], s[x] + length, h[x])
+    if len(one):
+        yield _windows(None, None, s[one], s[one] + length, h[one])
+    order = hit[np.lexsort((s[hit], rid[hit], did[hit]))]
+    did, rid, s = did[order], rid[order], s[order]
+    if len(s):
+        # Neighbouring windows make one span.
+        cut = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (rid[1:] != rid[:-1]) | (s[1:] > s[:-1] + 1)))
+        yield _windows(did[cut], rid[cut], s[cut], s[np.append(cut[1:] - 1, len(s) - 1)] + length, None)
 
 
 def covered_windows(stash: Stash, docs: DataFrame, probes: DataFrame, length: int) -> DataFrame:
-    """(doc_id, s, e) of the windows of `probes` (doc_id, s0, s1, gram, k) that stand at two places among them.
+    """(did, rid, s, e) of the windows of `probes` (did, rid, s0, s1, gram, k) that stand at two places among them.
 
-    Equal windows have one k-gram, so runs are compared within blocks of BLOCK runs of one k-gram. Where a k-gram has
-    several blocks, what a block leaves open, and one of each of its equal windows, is counted by hash across blocks.
+    Equal windows have one k-gram, so runs are compared within blocks of about BLOCK runs of one k-gram. Where a k-gram
+    has several blocks, what a block leaves open, and one of each of its equal windows, is counted by hash across blocks.
     """
     packed = F.collect_list(F.struct("s0", (F.col("s1") + length).alias("e"), "gram", "k")).alias("x")
-    by_doc = stash.put(probes.groupBy("doc_id").agg(packed), "probes")
-    wanted = docs.join(by_doc, "doc_id").select("doc_id", "text", "x")
-    rows = wanted.mapInArrow(_run_texts, "doc_id long, s0 long, gram long, block long, hot boolean, raw binary")
+    by_doc = stash.put(probes.groupBy("did", "rid").agg(packed), "probes")
+    wanted = docs.join(by_doc, ["did", "rid"]).select("did", "rid", "text", "x")
+    rows = wanted.mapInArrow(_run_texts, "did long, rid long, s0 long, gram long, block long, hot boolean, raw binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            if b.num_rows:
-                doc, s, h = _window_hashes(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), length)
-                n = pa.compute.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) - length + 1
-                parts.append((doc, s, h, np.repeat(b.column(2).to_numpy(zero_copy_only=False), n)))
-        if not parts:
-            return
-        doc, s, h, hot = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        parts.clear()
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        before, after = np.append(False, same), np.append(same, False)
-        hit, one = order[before | after], order[~before & after]
-        alone = order[~before & ~after]
-        alone, one = alone[hot[alone]], one[hot[one]]
-        for i in range(0, len(alone), 100_000):
-            x = alone[i : i + 100_000]
-            yield _windows(doc[x], s[x], s[x] + length, h[x])
-        if len(one):
-            yield _windows(None, s[one], s[one] + length, h[one])
-        doc, s = doc[hit], s[hit]
-        order = np.lexsort((s, doc))
-        doc, s = doc[order], s[order]
-        if len(s):
-            # Neighbouring windows make one span.
-            cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1)))
-            yield _windows(doc[cut], s[cut], s[np.append(cut[1:] - 1, len(s) - 1)] + length, None)
+        for t in _groups(batches):
+            yield from _compared(t, length)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "gram", "block").select("doc_id", "s0", "hot", "raw")
-    found = stash.put(dealt.mapInArrow(compare, "doc_id long, s long, e long, h long"), "compared", TEXTS)
+    dealt = rows.repartition(parts, "gram", "block").sortWithinPartitions("gram", "block")
+    found = stash.put(dealt.mapInArrow(compare, "did long, rid long, s long, e long, h long"), "compared", TEXTS)
     open_rows = found.where("h IS NOT NULL")
     twice = stash.put(open_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    more = open_rows.where("doc_id IS NOT NULL").join(twice, "h").select("doc_id", "s", "e")
-    return found.where("h IS NULL").select("doc_id", "s", "e").unionByName(more)
+    more = open_rows.where("did IS NOT NULL").join(twice, "h").select("did", "rid", "s", "e")
+    return found.where("h IS NULL").select("did", "rid", "s", "e").unionByName(more)
 
 
-def _windows(doc, s, e, h) -> pa.RecordBatch:
+def _windows(did, rid, s, e, h) -> pa.RecordBatch:
     null = pa.nulls(len(s), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [null if doc is None else pa.array(doc), pa.array(s), pa.array(e), null if h is None else pa.array(h)], names=["doc_id", "s", "e", "h"]
-    )
+    columns = [null if x is None else pa.array(x) for x in (did, rid, s, e, h)]
+    return pa.RecordBatch.from_arrays(columns, names=["did", "rid", "s", "e", "h"])
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges each document's spans."""
     for b in batches:
         out = []
-        for doc_id, s, e in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
+        for did, rid, s, e in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
             s, e = np.array(s), np.array(e)
             order = np.argsort(s, kind="stable")
             s, e = s[order], np.maximum.accumulate(e[order])
             cut = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
-            out.append((doc_id, s[cut], e[np.append(cut[1:] - 1, len(e) - 1)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.list_(pa.int64())) for i in (1, 2))],
-            names=["doc_id", "s", "e"],
-        )
+            out.append((did, rid, s[cut], e[np.append(cut[1:] - 1, len(e) - 1)]))
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["did", "rid", "s", "e"])
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc_id, text, s, e in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for text, s, e in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             kept, at = [], 0
             for x, y in zip(s or [], e or [], strict=True):
                 kept.append(raw[at:x])
                 at = y
             kept = b"".join([*kept, raw[at:]])
-            rows.append((doc_id, len(raw), len(raw) - len(kept), len(s or []), hashlib.sha256(kept).hexdigest()))
-        cols = zip(*rows, strict=True) if rows else [[]] * 5
-        types = [*[pa.int64()] * 4, pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        )
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
-    """(doc_id, s, e): arrays of the maximal removed spans, in bytes, of each document that has any."""
-    stash, docs = Stash(spark), texts(docs)
-    found = stash.put(suffix_runs(docs, length, gram), "runs", TEXTS)
+            rows.append((len(raw), len(raw) - len(kept), len(s or []), hashlib.sha256(kept).hexdigest()))
+        cols = zip(*rows, strict=True) if rows else [[]] * 4
+        more = [pa.array(list(c), t) for c, t in zip(cols, [*[pa.int64()] * 3, pa.string()], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *more], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def repeated_spans(stash: Stash, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
+    """(did, rid, s, e): arrays of the maximal removed spans, in bytes, of each of the keyed documents that has any."""
+    rows = stash.put(suffix_runs(docs, length, gram), "runs", TEXTS)
     family = SuffixFamily(stash)
     for i in range(batches):
-        family.add(found.where(F.pmod(F.hash("doc_id"), F.lit(batches)) == i))
-    repeated = stash.put(family.repeated.distinct(), "repeated")
-    near = stash.put(found.join(repeated, "gram"), "near")
-    stash.drop(found)
-    whole = near.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s0")).alias("rep"))
-    whole = stash.put(whole, "whole")
-    several = whole.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", "k")
-    again = near.join(whole.where("n > 1").select("gram", "run"), ["gram", "run"])
-    # One of the equal runs speaks for all of them where there are other runs with its k-gram.
-    one = whole.join(several, "gram").select("gram", "run", "rep", "k")
-    probes = near.join(one, ["gram", "run"]).where(F.struct("doc_id", "s0") == F.col("rep")).select("doc_id", "s0", "s1", "gram", "k")
-    spans = again.select("doc_id", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
+        family.add(rows.where(F.pmod(F.hash("did", "rid"), F.lit(batches)) == i))
+    stash.drop(rows)
+    near = stash.put(family.found().withColumn("gram", F.xxhash64("prefix")).drop("prefix"), "near")
+    stash.drop(*(level for _, level in family.levels))
+    # Of suffixes of one k-gram with different runs, one of each run is compared window by window.
+    first = near.groupBy("gram", "run").agg(F.min(F.struct("did", "rid", "s0", "s1")).alias("f"))
+    first = stash.put(first.select("gram", "run", "f.*"), "first")
+    several = first.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    probes = first.join(several, "gram").select("did", "rid", "s0", "s1", "gram", "k")
+    spans = near.where("twin").select("did", "rid", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
     spans = spans.unionByName(covered_windows(stash, docs, probes, length))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("doc_id", "x.s", "x.e")
-    return stash.put(spans.mapInArrow(_united, "doc_id long, s array<long>, e array<long>"), "spans")
+    # Repeated rows are copies of each other.
+    size = F.octet_length("text").cast("long")
+    copies = docs.where(size >= length).groupBy("did", "rid").agg(F.count("*").alias("k"), F.max(size).alias("e")).where("k > 1")
+    spans = spans.unionByName(copies.select("did", "rid", F.lit(0).cast("long").alias("s"), "e"))
+    spans = spans.groupBy("did", "rid").agg(F.collect_list(F.struct("s", "e")).alias("x")).select("did", "rid", "x.s", "x.e")
+    return stash.put(spans.mapInArrow(_united, "did long, rid long, s array<long>, e array<long>"), "spans")
 
 
 def dedup_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """One row for each document: bytes, removed bytes, removed spans and the digest of what is left."""
-    spans = repeated_spans(spark, docs, length, gram, batches)
-    df = texts(docs).join(sized(spans, F.size("s") * 16 + 64), "doc_id", "left").select("doc_id", "text", "s", "e")
-    return Stash(spark).put(df.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cut", TEXTS)
+    stash, docs = Stash(spark), keyed(docs)
+    spans = repeated_spans(stash, docs, length, gram, batches)
+    df = docs.join(sized(spans, F.size("s") * 16 + 64), ["did", "rid"], "left").select("doc_id", "text", "s", "e")
+    return stash.put(df.mapInArrow(_cut, RESULT), "cut", TEXTS)

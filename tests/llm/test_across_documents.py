@@ -241,30 +241,105 @@ def test_hilbert_curve_is_continuous():
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+class SlowLattice:
+    """All segmentations by plain recursion over strings, with a byte-spelled piece for each character."""
+
+    def __init__(self, names, p):
+        self.p = {n: x for n, x in zip(names, p, strict=True) if n not in ("<unk>", "<s>", "</s>") and not n.startswith("<0x")}
+        self.byte = {int(n[3:5], 16): x for n, x in zip(names, p, strict=True) if n.startswith("<0x")}
+
+    def cuts(self, text):
+        """(probability, pieces) of each segmentation."""
+        if not text:
+            return [(1.0, [])]
+        spelled = [f"<0x{b:02X}>" for b in text[0].encode()]
+        out = [(math.prod(self.byte[b] for b in text[0].encode()) * q, spelled + r) for q, r in self.cuts(text[1:])]
+        for k in range(1, len(text) + 1):
+            if text[:k] in self.p:
+                out += [(self.p[text[:k]] * q, [text[:k], *r]) for q, r in self.cuts(text[k:])]
+        return out
+
+
 @pytest.mark.parametrize("head", [5, 1000])
 def test_scores(spark, documents, copies, head):
-    texts = copies[:70]
+    import public_tokenizers
+    import sentencepiece
+
+    texts = copies[:7] + copies[8:30]  # words of few characters, so that all segmentations can be listed
     tokens = [[*WORDS.findall((t or "").translate(LOW)), None] for t in texts]
     c = collections.Counter(w for i, t in enumerate(tokens) if lm.in_training(i) for w in t)
     n, v = sum(c.values()), len(c)
-    scores = {}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    counts = collections.Counter()
+    for w, k in c.items():
+        for piece in sp.encode(w, out_type=str) if w else ():
+            counts[piece] += k
+    for learn in (True, False):
+        whole = sum(counts.values()) + c[None] + 0.5 * (len(names) + 1)
+        slow = SlowLattice(names, [(counts[x] + 0.5) / whole for x in names])
+        cuts = {w: slow.cuts("▁" + w) for t in tokens for w in t if w}
+        if learn:
+            counts = collections.Counter()
+            for w, k in c.items():
+                z = sum(q for q, _ in cuts[w]) if w else 0
+                for q, pieces in cuts[w] if w else ():
+                    for piece in pieces:
+                        counts[piece] += k * q / z
+    end = math.log10((c[None] + 0.5) / whole)
     for r in lm.score_documents(spark, documents(texts), head=head).collect():
         t = tokens[r.doc_id]
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1, len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
-        scores[r.doc_id] = r.score
-    assert scores[0] == scores[1] and scores[4] < scores[3]
+        assert r.base_score == pytest.approx(base)
+        assert r.score == pytest.approx(end + sum(math.log10(sum(q for q, _ in cuts[w])) for w in t if w), rel=1e-9)
+
+
+def test_scores_of_repeated_rows(spark):
+    df = spark.createDataFrame([(7, "a b"), (7, "a b"), (7, "c"), (None, "a")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in lm.score_documents(spark, df).collect())
+    assert got == [(0, 2, 2), (7, 2, 2), (7, 3, 3), (7, 3, 3)]
 
 
 def test_lattice_sums_all_segmentations():
-    logp = {p: math.log(x) for p, x in {"▁a": 0.2, "▁": 0.1, "a": 0.1, "b": 0.2, "ab": 0.15, "▁ab": 0.05}.items()}
-    lattice = lm.Lattice(logp, [math.log(1e-9)] * 256)
-    assert math.exp(lattice.log_probability("ab")) == pytest.approx(0.05 + 0.2 * 0.2 + 0.1 * 0.15 + 0.1 * 0.1 * 0.2, rel=1e-6)
+    names = [f"<0x{b:02X}>" for b in range(256)] + ["▁a", "▁", "a", "b", "ab", "▁ab"]
+    lattice = lm.Lattice(names, np.log([1e-9] * 256 + [0.2, 0.1, 0.1, 0.2, 0.15, 0.05]))
+    assert np.exp(lattice.log_probabilities(["ab"]))[0] == pytest.approx(0.05 + 0.2 * 0.2 + 0.1 * 0.15 + 0.1 * 0.1 * 0.2, rel=1e-6)
+
+
+def test_long_words_are_summed_alike(monkeypatch):
+    rng = random.Random(9)
+    names = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "▁a", "a", "b", "ab", "ba", "aab", "é"]
+    lattice = lm.Lattice(names, np.log(np.random.default_rng(0).random(len(names)) / 100))
+    words, counts, totals, sums = ["".join(rng.choice("abéx") for _ in range(k)) for k in (1, 2, 5, 5, 30, 63)], np.array([3, 1, 2, 1, 1, 4]), [], []
+    for limit in (64, 0):
+        monkeypatch.setattr(lm.Lattice, "LONG", limit)
+        total = np.zeros(len(names))
+        sums.append(lattice.log_probabilities(words, counts, total))
+        totals.append(total)
+    assert np.allclose(*sums) and np.allclose(*totals)
+    # Every character, and the mark, is covered once on average.
+    size = np.array([1 if x.startswith("<0x") else len(x.encode()) for x in names])
+    assert (totals[0] * size).sum() == pytest.approx(sum(c * len(("▁" + w).encode()) for w, c in zip(words, counts, strict=True)))
+
+
+def without_repeats(texts):
+    """(n_bytes, n_removed, n_spans, digest) of each text by brute force."""
+    raw, out = [(t or "").encode() for t in texts], []
+    count = collections.Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    for b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        kept = bytes(y for y, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_repeated_bytes(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "batches"), [(64, 4), (3, 7), (64, 1)])
+def test_repeated_bytes(spark, documents, monkeypatch, block, batches):
     monkeypatch.setattr(suffix, "BLOCK", block)
     r, letters = random.Random(3), "abcdefgh é\n"
     passages = ["".join(r.choice(letters) for _ in range(n)) for n in (150, 199, 200, 201, 260, 400, 900)]
@@ -277,17 +352,54 @@ def test_repeated_bytes(spark, documents, monkeypatch, block):
             t += p[a : a + r.choice([100, 300, 1000])] + "".join(r.choice(letters) for _ in range(r.choice([0, 1, 30])))
         texts.append(t)
     texts += ["a" * 1000, "ab" * 400, "", None, "xyz" * 66, passages[2], passages[2] + "é", texts[5], texts[5]]
-    raw = [(t or "").encode() for t in texts]
-    count = collections.Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
-    for x in suffix.dedup_bytes(spark, documents(texts)).collect():
-        b = raw[x.doc_id]
-        gone = bytearray(len(b))
-        for k in range(len(b) - 199):
-            if count[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
-        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-        kept = bytes(y for y, g in zip(b, gone, strict=True) if not g)
-        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    want = without_repeats(texts)
+    for x in suffix.dedup_bytes(spark, documents(texts), batches=batches).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id]
+
+
+def test_repeated_bytes_of_repeated_rows(spark):
+    """Rows of one doc_id with different texts are different documents, equal rows are copies."""
+    r = random.Random(8)
+    x, y, p, z = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (500, 900, 300, 250))
+    rows = [(0, x + p), (0, y), (1, p), (2, z), (2, z), (None, z[:199]), (None, p + "!")]
+    want = without_repeats([t for _, t in rows])
+    got = [(r.doc_id, *r[1:]) for r in suffix.dedup_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(i, *w) for (i, _), w in zip(rows, want, strict=True)], key=str)
+
+
+def test_neighbours_across_ranges_and_batches():
+    """Marks don't depend on how sorted rows come in batches; edges are the first and the last row."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = sorted((bytes([r.randrange(6)]), r.randrange(2)) for _ in range(40))
+    for sizes in ([40], [1] * 40, [7, 0, 20, 13], [39, 1]):
+        batches, at = [], 0
+        for n in sizes:
+            part = rows[at : at + n]
+            at += n
+            no = pa.array([False] * n)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64()), no, no, no], names=["prefix", "run", "met", "twin", "edge"]))
+        got = [tuple(d[c] for c in ("met", "twin", "edge")) for b in suffix._neighbours(iter(batches)) for d in b.to_pylist()]
+        prefixes = [x[0] for x in rows]
+        assert got == [(prefixes.count(x[0]) > 1, rows.count(x) > 1, i in (0, 39)) for i, x in enumerate(rows)]
+
+
+def test_family_levels_are_sorted_and_logarithmic(spark):
+    from bindery.llm.common import Stash, keyed
+
+    r = random.Random(2)
+    shared = "".join(r.choice("abcdefgh") for _ in range(400))
+    family = suffix.SuffixFamily(Stash(spark), ranges=3)
+    for i in range(5):
+        docs = spark.createDataFrame([(10 * i + k, "".join(r.choice("abcdefgh") for _ in range(600)) + shared * (k == 0)) for k in range(4)], "doc_id long, text string")
+        family.add(suffix.suffix_runs(keyed(docs), 200, 32))
+        assert [n for n, _ in family.levels] == [[1], [2], [2, 1], [4], [4, 1]][i]
+        # What is found so far: the suffixes of the shared passage, of every batch added.
+        found = family.found().where("twin").select("did").distinct().collect()
+        assert {x.did for x in found} == ({10 * k for k in range(i + 1)} if i else set())
+    rows = [tuple(x) for x in family.levels[0][1].select("prefix", "run").collect()]
+    assert len(rows) > 50 and {len(p) for p, _ in rows} == {32}
 
 
 def test_long_texts_are_cut_without_loss(monkeypatch):

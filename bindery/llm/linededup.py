@@ -35,7 +35,7 @@ HOT = 1 << 12
 JOINED = 4
 #: Groups of classes that share their rarest word and may be larger are compared with their earliest class first.
 CROWD = 1 << 7
-#: Larger sets have a second sketch, as more of their words may differ.
+#: Larger sets have a wider sketch, as more of their words may differ.
 WIDE = 48
 
 
@@ -76,7 +76,8 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     """(did, rid, line, cls, n, flips, more, crowd, prefix) of each line; without a word, n is 0.
 
     `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `more`
-    are 64 other ones, 0 for sets of WIDE words or fewer. `crowd` tells whether the rarest word occurs CROWD times. `prefix`
+    is the part of it that half of the words (by hash) make up, 0 for sets of WIDE words or fewer: the two halves apart are
+    a sketch of 128 bits. `crowd` tells whether the rarest word occurs CROWD times. `prefix`
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
@@ -86,10 +87,12 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     hot = F.lit(_level_of(HOT) + 1 << 56)
     token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k >= hot, -_token(k)).otherwise(_token(k))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    parity = lambda shift: F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
+    flips = F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, bit(k))))
+    half = F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one), bit(k))))
     prefix = F.when(n >= JOINED, F.transform(F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 2), token))
     return df.select(
-        "did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), parity(0).alias("flips"), F.when(n > WIDE, parity(6)).otherwise(none).alias("more"),
+        "did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), flips.alias("flips"), F.when(n > WIDE, half).otherwise(none).alias("more"),
         (F.get("s", F.lit(0)) >= F.lit(_level_of(CROWD) << 56)).alias("crowd"), prefix.alias("prefix"),
     )
 
@@ -123,10 +126,12 @@ def _prefix_words(classes: DataFrame) -> DataFrame:
 def _near(nx, ny):
     """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only.
 
-    Where one of two sets has no second sketch, the first one decides.
+    Where one of two sets has no halves, the whole sketch decides.
     """
-    far = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) * 9 <= nx + ny
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & far("flips") & ((F.least(nx, ny) <= WIDE) | far("more"))
+    whole = F.col("x.flips").bitwiseXOR(F.col("y.flips"))
+    half = F.col("x.more").bitwiseXOR(F.col("y.more"))
+    far = F.when(F.least(nx, ny) > WIDE, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (far * 9 <= nx + ny)
 
 
 def _star(classes: DataFrame) -> DataFrame:

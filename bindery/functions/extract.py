@@ -14,18 +14,29 @@ from pyspark.sql.types import StringType, StructType
 from bindery.functions.offers import minor_units
 
 AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
-#: Fixed values: (pattern, currency) in the order in which they are tried.
-CURRENCIES = (
-    (r"(?i)(?:JPY|¥|￥)\s*" + AMOUNT, "JPY"),
-    (r"(?i)" + AMOUNT + r"\s*(?:円|JPY)", "JPY"),
-    (r"(?i)(?:NT\$|TWD)\s*" + AMOUNT, "TWD"),
-    (r"(?i)" + AMOUNT + r"\s*(?:元|CNY|RMB)", "CNY"),
-    (r"(?i)(?:RM|MYR)\s*" + AMOUNT, "MYR"),
-    (r"(?i)(?:US\$|USD|\$)\s*" + AMOUNT, "USD"),
+#: What stands before or after an amount in each currency, in the order in which they are looked for.
+MARKS = (
+    ("JPY", ("JPY", "¥", "￥"), ("円", "JPY")),
+    ("TWD", ("NT$", "TWD"), ()),
+    ("CNY", (), ("元", "CNY", "RMB")),
+    ("MYR", ("RM", "MYR"), ()),
+    ("USD", ("US$", "USD", "$"), ()),
 )
+#: Words that announce a price.
+PRICE_WORDS = ("price", "amount", "価格", "售價", "售价", "金額")
+
+
+def _beside(before: tuple[str, ...], after: tuple[str, ...]) -> list[str]:
+    """Patterns of an amount with one of these marks before it, and with one after it."""
+    either = lambda words: "|".join(re.escape(w) for w in words)
+    out = [rf"(?i)(?:{either(before)})\s*{AMOUNT}"] if before else []
+    return out + ([rf"(?i){AMOUNT}\s*(?:{either(after)})"] if after else [])
+
+
+CURRENCIES = tuple((pattern, code) for code, before, after in MARKS for pattern in _beside(before, after))
+LABELLED = rf"(?i)(?:{'|'.join(PRICE_WORDS)})\s*[:：]?\s*{AMOUNT}"
 #: Currencies of regions, and what ambiguous signs mean there.
 REGION_CURRENCY = {"JP": "JPY", "TW": "TWD", "CN": "CNY", "MY": "MYR", "MLS": "MYR"}
-LABELLED = r"(?i)(?:price|amount|価格|售價|售价|金額)\s*[:：]?\s*" + AMOUNT
 
 
 def region_currency(region: Column) -> Column:
@@ -137,43 +148,6 @@ def classify_title(title: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([title_class(t, list(n) if n is not None else []) for t, n in zip(title, names, strict=True)], columns=["cls", "proposed"])
 
 
-def credit_segments(lists: dict[str, int]) -> list[tuple[str, ...]]:
-    """Atomic alias lists among comma-separated credit lists (with their work counts), most works first.
-
-    Lists of one person pair a native with a Latin name. A list that extends a shorter observed one, or goes on with
-    another list's main name, is a collaboration and is cut there; repeated until nothing changes, in a fixed order.
-    Input are the distinct lists, which are few.
-    """
-    split = {tuple(x.strip() for x in text.split(",") if x.strip()): n for text, n in lists.items()}
-    lower = lambda names: tuple(x.lower() for x in names)
-    latin = lambda names: any(re.search("[A-Za-z]", x) for x in names)
-    observed = {lower(k) for k in split if len(k) > 1}
-    todo = [(n, k) for k, n in split.items() if len(k) > 1 and latin(k) and not any(lower(k[:i]) in observed for i in range(2, len(k)))]
-    todo.sort(key=lambda x: (-x[0], x[1]))
-    while True:
-        mains, kept = {k[0].lower() for _, k in todo}, {}
-        for n, k in todo:
-            cut = next((i for i in range(1, len(k)) if k[i].lower() in mains and k[i].lower() != k[0].lower()), len(k))
-            if cut > 1 and latin(k[:cut]):
-                kept.setdefault(lower(k[:cut]), (n, k[:cut]))
-        if list(kept.values()) == todo:
-            return [k for _, k in todo]
-        todo = list(kept.values())
-
-
-def decompose(names: list[str], segments: list[tuple[str, ...]]) -> tuple[list[tuple[str, ...]], list[str]]:
-    """A credit list as segments, the longest first at each place, and the people left over."""
-    known, parts, rest, i = {tuple(x.lower() for x in s): s for s in segments}, [], [], 0
-    while i < len(names):
-        end = next((e for e in range(len(names), i + 1, -1) if tuple(x.lower() for x in names[i:e]) in known), None)
-        if end:
-            parts.append(known[tuple(x.lower() for x in names[i:end])])
-        else:
-            rest.append(names[i])
-        i = end or i + 1
-    return parts, rest
-
-
 class Composition:
     """Table function: the lines of a published composition as (sequence, title, announced)."""
 

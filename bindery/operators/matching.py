@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import texts
 
+#: Words of offers of several books, and the word for a photobook beside which a short title counts.
+BUNDLES = ("セット", "まとめ")
+VOLUMES = "冊"
+LABEL = "写真集"
+#: Characters of the pieces by which titles and aliases meet.
+PIECE = 2
+
+
+def _pieces(text: Column) -> Column:
+    """The different substrings of PIECE characters; the text itself if it is shorter."""
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - PIECE + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(PIECE)))
+    return F.when(n > 0, F.array_distinct(cut))
 
-def match_books(items: DataFrame, books: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+
+def match_books(items: DataFrame, books: DataFrame) -> DataFrame:
     """(item_id, book_id, method) of physical items (item_id, title, isbn) that point to exactly one of `books`
     (book_id, alias, isbn): by ISBN where the item has one, else by an alias contained in the title.
 
-    Sets and bundles match nothing. The containment join has no key: `books` is one source's bibliography, counted
-    and broadcast only below `broadcast_rows`; above that it is an error, to be split by source.
+    Offers of several books match nothing. A Latin alias of five letters or fewer also stands in names and other titles,
+    so it must be quoted, or stand beside the word for a photobook. Containment has no key of its own: an alias is looked
+    up by its rarest piece of PIECE characters among the pieces of all titles, then compared.
     """
     digits = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^0-9X]", "")
-    items = items.where(~F.coalesce("title", F.lit("")).rlike(r"セット|まとめ|[0-9]+冊")).withColumn("i", digits(F.col("isbn"))).withColumn("t", texts.nfkc_spaced(F.coalesce("title", F.lit(""))))
+    title = F.coalesce("title", F.lit(""))
+    items = items.where(~title.rlike(f"{'|'.join(map(re.escape, BUNDLES))}|[0-9]+{VOLUMES}"))
+    items = items.select("item_id", digits(F.col("isbn")).alias("i"), texts.nfkc_spaced(title).alias("t"))
     books = books.select("book_id", digits(F.col("isbn")).alias("b"), texts.nfkc_spaced(F.col("alias")).alias("a"))
-    if books.count() > broadcast_rows:
-        raise ValueError("the bibliography is too large for a containment join: match it source by source")
-    by_isbn = items.where("i <> ''").join(books, F.col("i") == F.col("b")).select("item_id", "book_id", F.lit("isbn").alias("method"))
-    inside = F.contains("t", F.col("a")) & (F.length("a") > 5) | F.col("t").rlike(F.concat(F.lit("[『「\"']\\Q"), "a", F.lit("\\E[』」\"']")))
-    by_title = items.where("i = ''").join(F.broadcast(books.where("a <> ''")), inside).select("item_id", "book_id", F.lit("title").alias("method"))
+    by_isbn = items.where("i <> ''").join(books.where("b <> ''"), F.col("i") == F.col("b")).select("item_id", "book_id", F.lit("isbn").alias("method"))
+
+    named = items.where("i = ''").select("item_id", "t", F.explode(_pieces(F.col("t"))).alias("piece"))
+    counts = named.groupBy("piece").agg(F.count("*").alias("n"))
+    pieces = books.where("a <> ''").select("book_id", "a", F.explode(_pieces(F.col("a"))).alias("piece")).join(counts, "piece", "left")
+    # A piece that no title has can't lead anywhere; it is the rarest, and its join is empty.
+    rarest = pieces.groupBy("book_id", "a").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
+    near = named.join(rarest.select("book_id", "a", F.col("p.piece").alias("piece")), "piece").where(F.contains("t", F.col("a")))
+    word = F.concat(F.lit("\\Q"), "a", F.lit("\\E"))
+    quoted = F.concat(F.lit("[『「\"']"), word, F.lit("[』」\"']"))
+    labelled = F.concat(F.lit(LABEL + "[『「\"']?"), word, F.lit("(?:[』」\"']|$)|^"), word, F.lit(LABEL))
+    short = F.col("a").rlike("^[a-z]{1,5}$")
+    good = ~short | F.regexp_like("t", quoted) | F.regexp_like("t", labelled)
+    by_title = near.where(good).select("item_id", "book_id", F.lit("title").alias("method"))
     found = by_isbn.unionByName(by_title).distinct()
     one = found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("book_id").alias("book_id"), F.min("method").alias("method"))
     return one.where("n = 1").drop("n")

@@ -59,7 +59,7 @@ WHERE work_status = 'published' ORDER BY sold_at DESC, listing_id LIMIT 50""")
 def sold_listings_page(spark: SparkSession, d: str) -> DataFrame:
     """Sales come from history: a listing that is offered again keeps its sale."""
     kinds = T.sources(spark, d).where(F.col("kind").isin(*offers.RESALE_KINDS)).select("source_id", "source_name")
-    sold = T.latest(T.observations(spark, d).where("status = 'completed'").join(kinds, "source_id"), "listing_id")
+    sold = T.newest_of(T.observations(spark, d).where("status = 'completed'").join(kinds, "source_id"), "listing_id")
     w = T.works(spark, d).where("work_status = 'published'").select("work_id", "title")
     out = sold.join(w, "work_id").select("listing_id", "work_id", "title", "source_name", "price_minor", "currency", F.col("observed_at").alias("sold_at"))
     return out.orderBy(F.desc("sold_at"), "listing_id").limit(50)
@@ -226,8 +226,8 @@ def directory_best_media(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{with_tables("works", "editions", "credits")}, {_DATES}
 SELECT person_id, CAST(EXTRACT(YEAR FROM newest) AS INT) AS year, count(DISTINCT w.work_id) AS works
-FROM credits JOIN works w USING (work_id) JOIN dates USING (work_id) WHERE work_status = 'published' AND role = 'featured' AND person_id <= 100 GROUP BY person_id, year""")
-def person_books_by_year(spark: SparkSession, d: str, only: str = "person_id <= 100") -> DataFrame:
+FROM credits JOIN works w USING (work_id) JOIN dates USING (work_id) WHERE work_status = 'published' AND role = 'featured' GROUP BY person_id, year""")
+def person_books_by_year(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     c = T.credits(spark, d).where("role = 'featured'").where(only).join(T.works(spark, d).where("work_status = 'published'"), "work_id")
     return c.join(newest_dates(spark, d), "work_id").groupBy("person_id", F.year("newest").alias("year")).agg(F.countDistinct("work_id").alias("works"))
 
@@ -251,8 +251,8 @@ def canonical_slug(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{with_tables("works", "editions", "listings")}
 SELECT w.work_id, title, string_agg(e.edition_id || ' ' || e.format || ' ' || coalesce(n, 0), ', ' ORDER BY e.edition_id) AS editions
 FROM works w JOIN editions e USING (work_id) LEFT JOIN (SELECT edition_id, count(*) AS n FROM listings GROUP BY edition_id) l ON l.edition_id = e.edition_id
-WHERE w.work_id <= 50 GROUP BY w.work_id, title""")
-def nested_books(spark: SparkSession, d: str, only: str = "work_id <= 50") -> DataFrame:
+GROUP BY w.work_id, title""")
+def nested_books(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """Books with their editions nested, in edition order."""
     n = T.listings(spark, d).groupBy("edition_id").agg(F.count("*").alias("n"))
     e = T.editions(spark, d).where(only).join(n, "edition_id", "left")
@@ -284,12 +284,12 @@ def media_by_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("credits", "works")},
-c AS (SELECT DISTINCT person_id, work_id, title FROM credits JOIN works USING (work_id) WHERE work_status = 'published' AND role = 'featured' AND person_id <= 200),
-f AS (SELECT work_id, min(person_id) AS person_id FROM c WHERE work_id <= 100 GROUP BY work_id)
+c AS (SELECT DISTINCT person_id, work_id, title FROM credits JOIN works USING (work_id) WHERE work_status = 'published' AND role = 'featured'),
+f AS (SELECT work_id, min(person_id) AS person_id FROM c GROUP BY work_id)
 SELECT f.work_id, c.work_id AS related, rn AS place FROM (
   SELECT f.work_id, c.work_id AS other, row_number() OVER (PARTITION BY f.work_id ORDER BY c.work_id DESC) AS rn FROM f JOIN c ON c.person_id = f.person_id AND c.work_id <> f.work_id) x
 JOIN f ON f.work_id = x.work_id JOIN c ON c.work_id = x.other AND c.person_id = f.person_id WHERE rn <= 6""")
-def related_works(spark: SparkSession, d: str, people: str = "person_id <= 200", only: str = "work_id <= 100") -> DataFrame:
+def related_works(spark: SparkSession, d: str, people: str = "true", only: str = "true") -> DataFrame:
     """Six newest other works of the first person a work credits."""
     c = T.credits(spark, d).where("role = 'featured'").where(people).join(T.works(spark, d).where("work_status = 'published'").select("work_id"), "work_id").select("person_id", "work_id").distinct()
     first = c.where(only).groupBy("work_id").agg(F.min("person_id").alias("person_id"))

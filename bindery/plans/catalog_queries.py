@@ -1,6 +1,6 @@
 """Named catalog queries and the SQL each must agree with."""
 
-from bindery.plans import audit, browse, curation, ingest, whole
+from bindery.plans import audit, browse, curation, guards, ingest
 
-QUERIES: dict = browse.QUERIES | ingest.QUERIES | audit.QUERIES | curation.QUERIES | whole.QUERIES
-ORACLE: dict = browse.ORACLE | ingest.ORACLE | audit.ORACLE | curation.ORACLE | whole.ORACLE
+QUERIES: dict = browse.QUERIES | ingest.QUERIES | audit.QUERIES | curation.QUERIES | guards.QUERIES
+ORACLE: dict = browse.ORACLE | ingest.ORACLE | audit.ORACLE | curation.ORACLE | guards.ORACLE

@@ -126,10 +126,10 @@ def unique_date_rule(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("works", "listings", "people", "credits")}, s AS (
-  SELECT 'works' AS part, count(*) AS n FROM works WHERE work_id <= 50 UNION ALL SELECT 'listings', count(*) FROM listings WHERE work_id IN (SELECT work_id FROM works WHERE work_id <= 50)
-  UNION ALL SELECT 'people', count(*) FROM people WHERE person_id IN (SELECT person_id FROM credits WHERE work_id <= 50) UNION ALL SELECT 'credits', count(*) FROM credits WHERE work_id <= 50)
+  SELECT 'works' AS part, count(*) AS n FROM works UNION ALL SELECT 'listings', count(*) FROM listings WHERE work_id IN (SELECT work_id FROM works)
+  UNION ALL SELECT 'people', count(*) FROM people WHERE person_id IN (SELECT person_id FROM credits) UNION ALL SELECT 'credits', count(*) FROM credits)
 SELECT * FROM s""")
-def work_snapshot(spark: SparkSession, d: str, only: str = "work_id <= 50") -> DataFrame:
+def work_snapshot(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """Sizes of all that hangs on a set of works."""
     w = T.works(spark, d).where(only).select("work_id")
     c = T.credits(spark, d).join(w, "work_id", "left_semi")
@@ -141,8 +141,8 @@ def work_snapshot(spark: SparkSession, d: str, only: str = "work_id <= 50") -> D
     return out
 
 
-@query(f"""{with_tables("listings", "works")} SELECT listing_id, title || ' by ' || publisher || CASE WHEN price_minor > 0 THEN ', ' || status || ' at ' || currency || ' ' || price_minor ELSE '' END AS summary FROM listings JOIN works USING (work_id) WHERE work_id <= 40""")
-def fact_summaries(spark: SparkSession, d: str, only: str = "work_id <= 40") -> DataFrame:
+@query(f"""{with_tables("listings", "works")} SELECT listing_id, title || ' by ' || publisher || CASE WHEN price_minor > 0 THEN ', ' || status || ' at ' || currency || ' ' || price_minor ELSE '' END AS summary FROM listings JOIN works USING (work_id)""")
+def fact_summaries(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     df = T.listings(spark, d).where(only).join(T.works(spark, d), "work_id")
     price = F.when(F.col("price_minor") > 0, F.concat(F.lit(", "), "status", F.lit(" at "), "currency", F.lit(" "), F.col("price_minor").cast("string"))).otherwise("")
     return df.select("listing_id", F.concat("title", F.lit(" by "), "publisher", price).alias("summary"))

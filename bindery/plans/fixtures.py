@@ -74,9 +74,19 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+NEWEST = ("observed_at", "work_id", "price_minor", "status", "quantity")
+
+
 def newest() -> list:
     """Latest first, and a total order, as no column set of the observations is unique."""
-    return [F.desc(c) for c in ("observed_at", "work_id", "price_minor", "status", "quantity")]
+    return [F.desc(c) for c in NEWEST]
+
+
+def newest_of(df: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each key: an aggregate with partial results, so a key with many rows is no task's burden."""
+    rest = [c for c in df.columns if c not in keys and c not in NEWEST]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*NEWEST, *rest)).alias("_best"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns))
 
 
 def latest(df: DataFrame, *keys: str, order=None) -> DataFrame:
@@ -86,7 +96,7 @@ def latest(df: DataFrame, *keys: str, order=None) -> DataFrame:
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
-    df = latest(observations(spark, d), "listing_id").join(sources(spark, d), "source_id")
+    df = newest_of(observations(spark, d), "listing_id").join(sources(spark, d), "source_id")
     return df.withColumn("format", F.col("source_format")).withColumn(
         "edition_id", F.when(F.col("work_id") % 11 != 0, F.col("work_id") * 2 + (F.col("format") == "digital").cast("int"))
     )

@@ -73,7 +73,7 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     """Raw offers with the first reason to reject each, null where it is accepted."""
     pick = lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (c + 1).cast("int"))
     q = F.col("quantity")
-    df = T.observations(spark, d).join(F.broadcast(T.sources(spark, d)), "source_id").select(
+    df = T.observations(spark, d).join(T.sources(spark, d), "source_id").select(
         F.when(F.col("line") == 7, "").otherwise(F.col("external_id")).alias("external_id"), pick(q % 6, "print", "E-Book", " paper ", "vinyl", "", "pdf").alias("raw"), "status",
         pick(F.col("work_id") % 5, "digital", "hammer", "current", "", "fixed").alias("price_type"), pick(q % 7, "list", "sale", "used_asking", "completed_sale", "barter", "", "").alias("basis"), "kind", "source_format",
     )
@@ -100,7 +100,7 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 _PARTS = """c AS (
   SELECT thread, list({'basis': CASE line % 5 WHEN 0 THEN 'sale' WHEN 1 THEN 'list' WHEN 2 THEN 'used_asking' WHEN 3 THEN 'coupon' ELSE 'completed_sale' END,
     'price_minor': CASE WHEN quantity = 13 THEN NULL ELSE price_minor END, 'currency': currency, 'cond': CASE WHEN quantity % 2 = 0 THEN 'member' ELSE '' END}
-    ORDER BY line, source_id, work_id, price_minor, quantity) AS c FROM observations WHERE thread <= 3000 GROUP BY thread)"""
+    ORDER BY line, source_id, work_id, price_minor, quantity) AS c FROM observations GROUP BY thread)"""
 
 
 @query(f"""{OBS}, {_PARTS}, b AS (SELECT *, list_transform(c, lambda x: x.basis) AS bs FROM c)
@@ -110,7 +110,7 @@ SELECT thread, CASE WHEN len(list_filter(c, lambda x: x.price_minor < 0)) > 0 TH
   WHEN len(c) > 1 AND (list_contains(bs, 'used_asking') OR list_contains(bs, 'completed_sale')) THEN 'used_not_alone' END AS problem,
   CASE WHEN list_contains(bs, 'sale') THEN 'sale' WHEN list_contains(bs, 'list') THEN 'list' WHEN list_contains(bs, 'used_asking') THEN 'used_asking'
     WHEN list_contains(bs, 'completed_sale') THEN 'completed_sale' ELSE 'coupon' END AS primary_basis FROM b""")
-def price_components_pick(spark: SparkSession, d: str, only: str = "thread <= 3000") -> DataFrame:
+def price_components_pick(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     basis = F.element_at(F.array(*map(F.lit, ("sale", "list", "used_asking", "coupon", "completed_sale"))), (F.col("line") % 5 + 1).cast("int"))
     part = F.struct(
         "line", "source_id", "work_id", F.col("price_minor").alias("p"), "quantity", basis.alias("basis"), F.when(F.col("quantity") != 13, F.col("price_minor")).alias("price_minor"), "currency",
@@ -139,7 +139,7 @@ _ARRIVAL = "observed_at, line, source_id, work_id, price_minor, status, quantity
 
 
 def threads(spark: SparkSession, d: str) -> DataFrame:
-    return T.observations(spark, d).join(F.broadcast(T.sources(spark, d).select("source_id", "kind", F.col("source_format").alias("format"))), "source_id")
+    return T.observations(spark, d).join(T.sources(spark, d).select("source_id", "kind", F.col("source_format").alias("format")), "source_id")
 
 
 @query(f"""{with_tables("observations", "sources")},
@@ -196,8 +196,8 @@ def digest_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, date_trunc('day', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR AS day_start, date_trunc('day', ts + INTERVAL 9 HOUR) + INTERVAL 15 HOUR - INTERVAL 1 SECOND AS day_end
-FROM events WHERE event_id % 10 = 0""")
-def local_day_bounds(spark: SparkSession, d: str, only: str = "event_id % 10 = 0") -> DataFrame:
+FROM events""")
+def local_day_bounds(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """UTC bounds of the Tokyo day of an event."""
     e = T.table(spark, d, "events").where(only).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.select("event_id", *(F.to_timestamp_ntz(c.cast("string")).alias(n) for c, n in zip(offers.day_bounds(F.col("ts"), "Asia/Tokyo"), ("day_start", "day_end"), strict=True)))
@@ -245,7 +245,7 @@ p AS (SELECT CASE WHEN k % 9 = 0 THEN 'status' WHEN k % 13 = 0 THEN 'method' WHE
 SELECT verdict, count(*) AS n FROM p GROUP BY verdict""")
 def permission_allows(spark: SparkSession, d: str) -> DataFrame:
     """Whether each observation's source had granted price display and retention at the time."""
-    df = T.observations(spark, d).select("source_id", "observed_at").join(F.broadcast(grants(spark, d)), "source_id")
+    df = T.observations(spark, d).select("source_id", "observed_at").join(grants(spark, d), "source_id")
     array = lambda *x: F.array(*map(F.lit, x))
     problem = permissions.grant_problem(F.col("observed_at"), array("title", "price"), array("display", "retain"))
     return df.groupBy(F.coalesce(problem, F.lit("allowed")).alias("verdict")).agg(F.count("*").alias("n"))
@@ -308,10 +308,10 @@ def credit_rebuild(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{with_tables("people", "credits")}, one AS (SELECT alias, min(person_id) AS canonical FROM people GROUP BY alias),
-n AS (SELECT work_id, person_id, alias, row_number() OVER (PARTITION BY work_id ORDER BY person_id) AS pos FROM (SELECT DISTINCT work_id, person_id FROM credits WHERE work_id <= 300) JOIN people USING (person_id)),
+n AS (SELECT work_id, person_id, alias, row_number() OVER (PARTITION BY work_id ORDER BY person_id) AS pos FROM (SELECT DISTINCT work_id, person_id FROM credits) JOIN people USING (person_id)),
 r AS (SELECT n.work_id, n.pos, CASE WHEN c.person_id IS NULL THEN n.person_id ELSE canonical END AS resolved FROM n JOIN one USING (alias) LEFT JOIN (SELECT DISTINCT work_id, person_id FROM n) c ON c.work_id = n.work_id AND c.person_id = canonical)
 SELECT work_id, resolved, min(pos) AS pos FROM r GROUP BY work_id, resolved""")
-def credit_resolution(spark: SparkSession, d: str, only: str = "work_id <= 300") -> DataFrame:
+def credit_resolution(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """An alias gives way to its canonical person only where that person is listed on the same work; first position wins."""
     p = T.people(spark, d)
     canonical = p.groupBy("alias").agg(F.min("person_id").alias("canonical"))

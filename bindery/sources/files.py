@@ -33,15 +33,22 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.from_xml("x", schema).alias("i")).select("i.*")
 
 
+#: Rows of a report that is written as one file.
+REPORT_ROWS = 1_000_000
+
+
 def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested cells are JSON, and the first column's name carries the mark that spreadsheets look for."""
+    """One CSV file with a header; nested cells are JSON, and the first column's name carries the mark that spreadsheets
+    look for. A report is for readers: more than REPORT_ROWS rows are an error."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows: write the table as Parquet")
     nested = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
     flat = df.select(*nested)
-    flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0]).write.mode("overwrite").csv(path, header=True, escape='"')
+    flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0]).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def markdown_lines(df: DataFrame, group: str, *columns: str) -> DataFrame:

@@ -70,11 +70,62 @@ def test_title_class_runs_as_a_udf(spark):
     assert [tuple(r[0]) for r in df.select(extract.classify_title("t", "n")).collect()] == [("named", ""), ("absent", "")]
 
 
-def test_credit_segments_and_decomposition():
-    lists = {"花子,Hanako": 5, "花子,Hanako,Guest": 1, "月子,Tsukiko": 3, "月子,Tsukiko,花子,Hanako": 2, "김,이,박": 4, "Solo": 9}
-    segments = extract.credit_segments(lists)
-    assert segments == [("花子", "Hanako"), ("月子", "Tsukiko")]
-    assert extract.decompose(["月子", "tsukiko", "花子", "Hanako", "Guest"], segments) == ([("月子", "Tsukiko"), ("花子", "Hanako")], ["Guest"])
+def test_credit_segments_and_decomposition(spark, tmp_path):
+    from bindery.operators import credits
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    lists = {"花子,Hanako": 5, "花子,Hanako,Guest": 1, "月子,Tsukiko": 3, "月子,Tsukiko,花子,Hanako": 2, "김,이,박": 4, "Solo": 9, "花子, hanako": 2, "": 1}
+    df = spark.createDataFrame(list(lists.items()), "list string, works long")
+    segments = credits.credit_segments(df)
+    assert sorted((tuple(r.segment), r.works) for r in segments.collect()) == [(("月子", "Tsukiko"), 3), (("花子", "Hanako"), 5)]
+    got = credits.decompose(spark.createDataFrame([("月子,tsukiko,花子,Hanako,Guest",), ("Solo",)], "list string"), segments).orderBy("list", "at").collect()
+    assert [(r.list, tuple(r.part), r.known) for r in got] == [
+        ("Solo", ("Solo",), False), (got[1].list, ("月子", "Tsukiko"), True), (got[1].list, ("花子", "Hanako"), True), (got[1].list, ("Guest",), False),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("title", "code"),
+    [
+        ("Ａ　ＤＶＤ", "disc_only"), ("DVD付き 写真集", None), ("2024 calendar", "calendar_only"), ("calendar photo book", None), ("Illustrated guide", "illustrated_book"),
+        ("生成AI 写真集", "synthetic_subject"), ("paid illustrations", None), ("週刊現代 3号", "magazine_only"), (None, None), ("", None),
+    ],
+)
+def test_title_exclusions(spark, title, code):
+    from bindery.functions import rules
+
+    assert spark.createDataFrame([(title,)], "t string").select(rules.title_exclusion(F.col("t"))).first()[0] == code
+
+
+def test_rules_about_offers(spark):
+    from bindery.functions import rules
+
+    lit = lambda *x: F.array(*map(F.lit, x))
+    far = "paperback with a bonus " + "x" * 150 + " ebook"
+    assert [one(spark, rules.inferred_format(F.lit(t), F.lit(k))) for t, k in ((far, "bookstore"), ("paperback with ebook bonus", "bookstore"), ("plain", "digital_store"), ("紙本", "digital_store"), ("", "auction"))] == [
+        "digital", "physical", "digital", "physical", "physical",
+    ]
+    assert one(spark, rules.subject_matches(F.lit("Ａnna Bell 写真集 other"), lit("Anna Bell"))) is True
+    assert one(spark, rules.subject_matches(F.lit("Other 写真集 Anna Bell"), lit("Anna Bell"))) is False
+    assert one(spark, rules.search_names(lit("Anna Bell"), lit("Anna", "Annie B.", "ベル", "鈴の子", "ANNA BELL", "Annie B"))) == ["Anna Bell", "Annie B.", "鈴の子"]
+    assert one(spark, rules.label_fits(F.lit("Summer days"), F.lit("Summer Days vol. one (press) [e-book]"))) is True
+    assert one(spark, rules.label_fits(F.lit("Summer"), F.lit("Summer days of another year"))) is False
+    assert one(spark, rules.label_fits(F.lit("Asuka"), F.lit("Asuka (x)"))) is True and one(spark, rules.label_fits(F.lit("Asuk"), F.lit("Asuka"))) is False
+    assert one(spark, rules.cover_url(lit("https://x.example/RESTRICTED.JPG?1", "https://x.example/a_mask.png", "https://x.example/b.png"))) == "https://x.example/b.png"
+    assert [str(one(spark, rules.moment(F.lit(t)))) for t in ("1700000000", "1700000000000", "2024年3月5日 7:08", "２０２４/3/5", "x", "2024-13-40")] == [
+        "2023-11-14 22:13:20", "2023-11-14 22:13:20", "2024-03-05 07:08:00", "2024-03-05 00:00:00", "None", "None",
+    ]
+    assert one(spark, rules.labelled_amount(F.lit("最低落札価格 5円 落札価格：1,200円"), rules.SOLD_LABELS)) == 1200
+    assert one(spark, rules.store_item(F.lit("https://www.example.org/search?q=1"))) is None
+    assert tuple(one(spark, rules.store_item(F.lit("https://m.example.org/product/ab-1.html?x=2")))) == ("product_page", "ab-1", "https://www.example.org/product/ab-1")
+
+
+def test_short_aliases_need_their_context(spark):
+    """A short Latin title counts when quoted or beside the word for a photobook; others by containment; ties match nothing."""
+    titles = ["写真集「Asuka」", "asuka 写真集", "写真集 Asuka", "Asuka Kirara book", "写真集 Asuka Kirara", "Golden  Harbour", "golden harbour 2冊", "Golden Harbour Asuka 写真集 asuka"]
+    items = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "item_id int, title string, isbn string")
+    books = spark.createDataFrame([(1, "Asuka", ""), (2, "Golden Harbour", ""), (3, "", ""), (4, None, "1")], "book_id int, alias string, isbn string")
+    assert sorted(map(tuple, matching.match_books(items, books).collect())) == [(0, 1, "title"), (1, 1, "title"), (2, 1, "title"), (5, 2, "title")]
 
 
 def test_formats_prices_and_delays(spark):

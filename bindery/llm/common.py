@@ -115,7 +115,7 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
 
 def ascii_lower(c):
     """Lower-cases A-Z and nothing else."""
-    return F.translate(c, UPPER, LOWER)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 # --- vectorised hashing of the words of an Arrow string column -------------------------------------------------

@@ -189,7 +189,7 @@ def test_decontamination(spark, documents):
         for k in range(max(1, len(w) - 9)) if w else ():
             windows[tuple(w[k : k + 10])].add(i)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for r in decontam.decontaminate(spark, documents(texts), bench, block=7).collect():
+    for r in decontam.decontaminate(spark, documents(texts), bench).collect():
         w, hit, found = cut(texts[r.doc_id]), set(), set()
         for g, owners in windows.items():
             for k in range(len(w) - len(g) + 1):
@@ -200,6 +200,19 @@ def test_decontamination(spark, documents):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), digest, bool(hit))
 
 
+def test_decontamination_of_repeated_rows(spark):
+    """Equal rows share their result, rows of one doc_id with different texts don't; null ids are documents as well."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "x " + item), (1, "x " + item), (1, "clean"), (None, item), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("b", item), ("a", item)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontam.decontaminate(spark, df, bench).collect())
+    assert got == [(0, 10, 10, 2), (1, 1, 0, 0), (1, 11, 10, 2), (1, 11, 10, 2), (2, 0, 0, 0)]
+    clash = df.selectExpr("*", "1 did", "2 rid", "3 row", "4 _bad_id", "5 w")
+    out = decontam.clean_documents(spark, clash, bench)
+    assert out.columns == clash.columns and sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "clean"), (2, None)]
+
+
 def test_decontamination_without_items(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.decontaminate(spark, documents(EDGES), none).collect())
@@ -298,7 +311,7 @@ def test_scores(spark, documents, copies, head):
 def test_scores_of_repeated_rows(spark):
     df = spark.createDataFrame([(7, "a b"), (7, "a b"), (7, "c"), (None, "a")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in lm.score_documents(spark, df).collect())
-    assert got == [(0, 2, 2), (7, 2, 2), (7, 3, 3), (7, 3, 3)]
+    assert not lm.in_training(7) and got == [(0, 2, 2), (7, 2, 1), (7, 3, 2), (7, 3, 2)]
 
 
 def test_lattice_sums_all_segmentations():

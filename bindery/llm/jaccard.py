@@ -208,6 +208,21 @@ def joined_roots(stash: Stash, roots: DataFrame | None, links: DataFrame) -> Dat
     return out
 
 
+def connected(stash: Stash, rows: DataFrame) -> DataFrame:
+    """(id, root) of all ids of (key, id) rows, connected by their keys.
+
+    At first each id has one edge, to the smallest id that any of its keys leads to; then the roots that still share a key
+    are linked, each pair once. So no more edges than ids are walked, however many keys they have.
+    """
+    low = rows.groupBy("key").agg(F.min("id").alias("b"))
+    edges = rows.join(low, "key").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")).where("a != b")
+    roots = components(stash, edges)
+    named = rows.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root")).distinct()
+    low = named.groupBy("key").agg(F.min("root").alias("b"), F.max("root").alias("top")).where("b != top").select("key", "b")
+    roots = joined_roots(stash, roots, named.join(low, "key").where("root != b").select(F.col("root").alias("a"), "b").distinct())
+    return rows.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def _verified(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
     pairs = stash.put(pairs, "pairs")
@@ -323,8 +338,7 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     hot = stash.put(hot.join(classes.where("least <= 0").select("id"), "id"), "hot")
     crowds = None
     if hot.limit(1).count():
-        low = hot.groupBy("key").agg(F.min("id").alias("b"))
-        members = components(stash, hot.join(low, "key").select(F.col("id").alias("a"), "b").distinct())
+        members = connected(stash, hot)
         crowds = stash.put(members.select("id", F.col("root").alias("crowd")).join(classes.select("id", "n", "wide"), "id"), "crowds")
 
     roots = None

@@ -8,9 +8,11 @@ word ranks by the level (a quarter of a power of two) of its counter, then by ha
 share a counter. A word whose counter is one stands in no other line and is skipped. Equal sets are one class, kept at its
 first line. Classes meet on the words of their prefixes, within bands of sizes; a word of more than HOT lines meets only
 together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters are
-part of the join, and what passes is verified on whole sets. Before that, a class whose rarest word stands in CROWD lines
-or more is compared with the earliest class of that rarest word, so crowds of near copies shrink before they meet each
-other; what is removed there is looked at as the earlier line of a pair only.
+part of the join, and what passes is verified on whole sets. Before that,
+crowds of near copies shrink. In a crowd, the words that its members share are the frequent ones of their prefixes, so
+classes that share one of the STAR most frequent words of their prefixes are compared with two of them, the earliest one
+and the earliest of those without rare words. What is removed there is looked at as the earlier line of a pair only. Of the
+candidates that a line has in the end, the one with the nearest sketch is verified first, the others only if that fails.
 
 Defined results: null, empty and blank texts have no line that is removed. Lines without a word stay. Of equal lines the
 first stays, ties go to the smaller doc_id, then to the smaller hash of the text, then to the line number. Rows with one
@@ -33,8 +35,8 @@ BUCKETS = 1 << 16
 HOT = 1 << 12
 #: Smaller sets are similar to equal ones only, which are one class.
 JOINED = 4
-#: Groups of classes that share their rarest word and may be larger are compared with their earliest class first.
-CROWD = 1 << 7
+#: Words by which a class finds the crowd that it may be in.
+STAR = 6
 #: Larger sets have a wider sketch, as more of their words may differ.
 WIDE = 48
 
@@ -73,11 +75,11 @@ def word_levels(hashed: DataFrame) -> np.ndarray:
 
 
 def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(did, rid, line, cls, n, flips, more, crowd, prefix) of each line; without a word, n is 0.
+    """(did, rid, line, cls, n, flips, more, low, prefix) of each line; without a word, n is 0.
 
     `flips` is a sketch of 64 parity bits: their Hamming distance can't exceed the words in one of two sets only. `more`
     is the part of it that half of the words (by hash) make up, 0 for sets of WIDE words or fewer: the two halves apart are
-    a sketch of 128 bits. `crowd` tells whether the rarest word occurs CROWD times. `prefix`
+    a sketch of 128 bits. `low` is the level of the rarest word. `prefix`
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
@@ -93,7 +95,7 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     prefix = F.when(n >= JOINED, F.transform(F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 2), token))
     return df.select(
         "did", "rid", "line", F.xxhash64("s").alias("cls"), n.alias("n"), flips.alias("flips"), F.when(n > WIDE, half).otherwise(none).alias("more"),
-        (F.get("s", F.lit(0)) >= F.lit(_level_of(CROWD) << 56)).alias("crowd"), prefix.alias("prefix"),
+        F.shiftright(F.get("s", F.lit(0)), 56).cast("int").alias("low"), prefix.alias("prefix"),
     )
 
 
@@ -107,45 +109,54 @@ def _band():
 
 
 def _prefix_words(classes: DataFrame) -> DataFrame:
-    """(key, cid, open, np, flips, more): the prefix of each class in its own band of sizes and, if partners can be there, the one below.
+    """(key, cid, did, open, np, flips, more): the prefix of each class in its own band of sizes and, if partners can be there,
+    the one below.
 
-    `np` is the set's size and the word's position in the order, 32 bits each.
+    `np` is the set's size and the word's position in the order, 32 bits each; `open` is did, or the least number for a
+    class that is removed already.
     """
     size, band = F.size("prefix") - 1, _band()
-    at = classes.select("cid", "open", "n", "flips", "more", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
+    at = classes.select("cid", "did", "open", "n", "flips", "more", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
     low = F.col("n") * 4 < F.call_function("shiftleft", F.lit(5), band)
     bands = F.explode(F.when(low, F.array(band, band - 1)).otherwise(F.array(band))).alias("band")
-    same = ("cid", "open", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np"), "flips", "more")
-    rest = ("cid", "open", "np", "flips", "more")
+    same = ("cid", "did", "open", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np"), "flips", "more")
+    rest = ("cid", "did", "open", "np", "flips", "more")
     cold = at.where("tok > 0").select(*same, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), *rest)
     hot = at.where("tok < 0").select(*same, "n", "tok", F.explode("prefix").alias("other")).where("other <> tok AND other <> 0")
     hot = hot.select(*rest, "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), *rest)
     return cold.unionByName(hot)
 
 
-def _near(nx, ny):
-    """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only.
-
-    Where one of two sets has no halves, the whole sketch decides.
-    """
+def _far():
+    """Words in one of two sets only, at least: the distance of the sketches. Where one of two sets has no halves, the whole
+    sketch decides."""
     whole = F.col("x.flips").bitwiseXOR(F.col("y.flips"))
     half = F.col("x.more").bitwiseXOR(F.col("y.more"))
-    far = F.when(F.least(nx, ny) > WIDE, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (far * 9 <= nx + ny)
+    return lambda nx, ny: F.when(F.least(nx, ny) > WIDE, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+
+
+def _near(nx, ny):
+    """Whether sizes and sketches allow a Jaccard similarity of 4/5: at most a ninth of the sizes' sum stands in one set only."""
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (_far()(nx, ny) * 9 <= nx + ny)
 
 
 def _star(classes: DataFrame) -> DataFrame:
-    """(a, b): each class of a possible crowd with the earliest one that shares its rarest word and its band."""
-    rows = classes.where("crowd").select("did", "rid", "line", "cid", "n", "flips", "more", F.get(F.filter("prefix", lambda t: t != 0), F.lit(0)).alias("tok"))
-    rows = rows.select("did", "rid", "line", "cid", "n", "flips", "more", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
-    centre = rows.groupBy("key").agg(F.min(F.struct("did", "rid", "line", "cid", "n", "flips", "more")).alias("c"))
-    x, y = centre.select("key", "c.cid", "c.n", "c.flips", "c.more").alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
+    """(a, b): classes that share a frequent word of their prefixes and their band, with two of them."""
+    words = F.filter(F.slice("prefix", F.lit(1), F.size("prefix") - 1), lambda t: t != 0)
+    rows = classes.select("did", "rid", "line", "cid", "n", "flips", "more", "low", F.explode(F.slice(F.reverse(words), 1, STAR)).alias("tok"))
+    rows = rows.select("did", "rid", "line", "cid", "n", "flips", "more", "low", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
+    row = ("did", "rid", "line", "cid", "n", "flips", "more")
+    first, common = F.min(F.struct(*row)), F.min(F.struct(-F.col("low"), *row))
+    centres = rows.groupBy("key").agg(first.alias("c"), common.alias("m"), F.count("*").alias("k")).where("k > 1")
+    pick = lambda x: F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ("cid", "n", "flips", "more")))
+    centres = centres.select("key", F.explode(F.array_distinct(F.array(pick("c"), pick("m")))).alias("c")).select("key", "c.*")
+    x, y = centres.alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
     fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"))
-    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
 def _meeting(classes: DataFrame) -> DataFrame:
-    """(a, b): classes, one of them open, whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
+    """(a, b, far): classes and later open ones whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
     words = _prefix_words(classes)
     x, y = words.alias("x"), words.alias("y")
     nx, ny = (F.shiftright(f"{c}.np", 32) for c in "xy")
@@ -153,9 +164,11 @@ def _meeting(classes: DataFrame) -> DataFrame:
     # Of the first common word of both prefixes, the words from there on must make up 4/9 of the sizes' sum.
     rest = F.least(nx - i, ny - j)
     # No condition on one side alone: it would be pushed below the shuffle, which then couldn't serve both sides.
-    ordered = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.open") | F.col("y.open"))
+    within = (F.col("x.did") == F.col("y.did")) & (F.col("x.cid") < F.col("y.cid")) & ((F.col("x.open") == F.col("x.did")) | (F.col("y.open") == F.col("y.did")))
+    ordered = (F.col("x.did") < F.col("y.open")) | within
     fits = ordered & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny)
-    return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    met = x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), _far()(nx, ny).alias("far"))
+    return met.groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
 def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -184,7 +197,7 @@ def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     lines = stash.put(line_sets(hashed, word_levels(hashed)), "lines")
     stash.drop(hashed)
     words = lines.where("n > 0")
-    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "more", "crowd", "prefix")).alias("f"))
+    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "more", "low", "prefix")).alias("f"))
     classes = stash.put(classes.select("cls", "f.*", F.monotonically_increasing_id().alias("cid")), "classes")
     first = classes.select("cls", F.col("did").alias("d0"), F.col("rid").alias("r0"), F.col("line").alias("l0"))
     other = (F.col("did") != F.col("d0")) | (F.col("rid") != F.col("r0")) | (F.col("line") != F.col("l0"))
@@ -192,13 +205,17 @@ def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     stash.drop(lines)
     joined = classes.where("prefix IS NOT NULL")
     late = _later(stash, _star(joined), classes, docs)
-    done = sized(late.select("cid", F.lit(False).alias("open")), 24)
-    more = _later(stash, _meeting(joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", F.lit(True)))), classes, docs)
+    done = sized(late.select("cid", F.lit(-(1 << 63)).alias("open")), 24)
+    met = stash.put(_meeting(joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", "did"))), "met")
+    nearest = met.groupBy("b").agg(F.min(F.struct("far", "a")).alias("n")).select(F.col("n.a").alias("a"), "b")
+    late = late.unionByName(_later(stash, nearest, classes, docs))
+    open_pairs = met.join(late.select(F.col("cid").alias("b")).distinct(), "b", "left_anti").select("a", "b")
+    more = _later(stash, open_pairs, classes, docs)
     whole = late.unionByName(more).select("did", "rid", "line").distinct().withColumn("again", F.lit(0))
     hit = again.withColumn("again", F.lit(1)).unionByName(whole)
     gone = hit.groupBy("did", "rid").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("again").cast("long").alias("n_exact"))
     gone = stash.put(gone, "gone")
-    stash.drop(classes, again, late, more)
+    stash.drop(classes, again, met)
     return gone
 
 

@@ -150,7 +150,6 @@ def test_short_lines(spark, documents):
 def test_hot_words_and_crowds_of_lines(spark, documents, monkeypatch, hot):
     """Near copies of few templates; with a low limit, every word that occurs twice meets in pairs only."""
     monkeypatch.setattr(linededup, "HOT", hot)
-    monkeypatch.setattr(linededup, "CROWD", 1 if hot == 1 else 1 << 7)
     monkeypatch.setattr(linededup, "WIDE", 20)
     r = random.Random(23)
     base = [prose(n, r) for n in (8, 15, 30, 30)]

@@ -103,11 +103,11 @@ def _term(t: str) -> str:
 
 _OP5 = rf"""
 WITH u AS (
-  SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(?s:.*?)://((?s:.*))$', 1) ELSE '' END AS rest
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(?s:.*?)://((?s:.*))$', 1) ELSE '' END AS rest
   FROM pages),
-h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+h AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 p AS (
-  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 rules(v, d, pre) AS (VALUES {", ".join(f"('{v}', '{d}', '{x}')" for v, d, x in urlfilter.RULES)}),
 f AS (
@@ -115,7 +115,7 @@ f AS (
   FROM p JOIN rules ON (host = d OR ends_with(host, '.' || d)) AND starts_with(path, pre) GROUP BY page_id),
 t AS (
   SELECT page_id, host, path,
-    translate(host || ' ' || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS subject FROM p),
+    translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS subject FROM p),
 s AS (
   SELECT page_id, host, path, {" + ".join(f"CAST({_term(t)} AS INT)" for t in urlfilter.STRICT)} AS strict_hits,
     {" + ".join(f"CAST({_term(t)} AS INT)" for t in urlfilter.SOFT)} AS soft_hits FROM t)

@@ -1,8 +1,14 @@
-"""URL filters (operator 5): a weighted vocabulary found by one Aho-Corasick pass over host and path.
+"""URL filters (operator 5): a weighted vocabulary found by one Aho-Corasick pass over the whole address.
 
 A strict term blocks by itself, soft terms block when `soft_limit` different ones occur; a term counts only where
-neither neighbour is a letter (digits and punctuation are boundaries). Domain rules come before the vocabulary. Null
-urls, and urls without ``://``, have an empty host and path, no rule, and are allowed.
+neither neighbour is a letter (digits and punctuation are boundaries). Domain rules come before the vocabulary. The
+vocabulary is a table of (weight, language, terms) and a parameter; the one below names gambling, adult, pharmacy and
+piracy sites in the four languages of the corpora.
+
+Defined results: null urls, and urls without ``://``, have an empty host and path and no rule; the vocabulary judges what
+text there is, so a null or empty url is allowed. Rows are judged by themselves, so repeated rows and null or repeated
+page_ids are rows like others; of rules of one length the first in the table decides. An empty table gives no rows;
+other columns, whatever their names, are not looked at. A very long url takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,9 +26,20 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: The vocabulary.
-STRICT = ("casino", "porn", "xxx", "viagra", "escort", "warez", "sexcam", "hentai")
-SOFT = ("win", "bet", "bonus", "free", "adult", "cash", "loan", "pills", "cheap", "hot", "poker", "jackpot", "dating", "click")
+#: The vocabulary: (weight, language, terms). Soft terms are ordinary words that such sites' addresses heap up.
+VOCABULARY = (
+    ("strict", "any", ("casino", "porn", "porno", "xxx", "viagra", "cialis", "escort", "warez", "sexcam", "hentai", "camgirl", "camgirls", "keygen", "pornstar")),
+    ("strict", "en", ("sportsbook", "livesex", "torrents", "cracked")),
+    ("strict", "de", ("spielautomaten", "sportwetten", "erotik", "potenzmittel", "sexkontakte")),
+    ("strict", "fr", ("pariturf", "rencontrecoquine", "machineasous", "sexe")),
+    ("strict", "es", ("tragaperras", "apuestas", "tragamonedas", "sexo")),
+    ("soft", "any", ("bonus", "poker", "jackpot", "slots", "roulette", "bingo", "lotto", "vip", "hot", "sexy", "adult", "erotic", "torrent", "crack", "serial")),
+    ("soft", "en", ("win", "bet", "free", "cash", "loan", "loans", "pills", "cheap", "dating", "click", "payday", "deal", "prize", "singles", "replica", "discount")),
+    ("soft", "de", ("gewinn", "wetten", "gratis", "kredit", "pillen", "billig", "partnersuche", "preise", "rabatt", "geld", "verdienen", "spielen")),
+    ("soft", "fr", ("gagner", "pari", "paris", "gratuit", "argent", "pilules", "rencontre", "cadeau", "promo", "jeux", "credit")),
+    ("soft", "es", ("ganar", "apuesta", "dinero", "prestamo", "pastillas", "barato", "citas", "premio", "oferta", "juegos", "regalo")),
+)
+STRICT, SOFT = (tuple(t for weight, _, terms in VOCABULARY if weight == w for t in terms) for w in ("strict", "soft"))
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int"
 
 
@@ -75,7 +92,7 @@ class Vocabulary:
 
 
 def judge_urls(pages: DataFrame, strict=STRICT, soft=SOFT, soft_limit: int = 2, rules=RULES) -> DataFrame:
-    """One row for each page; only page_id and url are read."""
+    """One row for each page; only page_id and url are read. `strict` and `soft` are terms, of any script."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(strict, soft, soft_limit)
@@ -83,7 +100,7 @@ def judge_urls(pages: DataFrame, strict=STRICT, soft=SOFT, soft_limit: int = 2,
             rows = []
             for page_id, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 host, path = split_url(url)
-                rule, (n, m) = rule_for(host, path, rules), words.hits(f"{host} {path}")
+                rule, (n, m) = rule_for(host, path, rules), words.hits(url or "")
                 verdict = rule[1] if rule else "block" if words.blocks(n, m) else "allow"
                 rows.append((page_id, host, path, rule and rule[0], verdict, n, m))
             cols = zip(*rows, strict=True) if rows else [[]] * 7

@@ -71,9 +71,83 @@ def test_urls():
     assert urlfilter.rule_for("www.example.org", "/es/1") == ("example.org/es/", "block")
     assert urlfilter.rule_for("myorg", "/") is None and urlfilter.rule_for("a.com", "/fr/") == ("com/fr/", "allow")
     v = urlfilter.Vocabulary()
+    assert len(set(urlfilter.STRICT) | set(urlfilter.SOFT)) == len(urlfilter.STRICT) + len(urlfilter.SOFT) < 200
     assert v.hits("casino-win.example") == (1, 1) and v.hits("casinos winter") == (0, 0) and v.hits("bet-win bet") == (0, 2)
 
 
+def test_whole_urls_are_searched(spark):
+    urls = ["http://x.net/s?q=porn", "casino.net/xxx", "https://a.net/gratis#gewinn", "https://a.net/gratis", "https://sub.org/casino", "", "x" * 100_000 + "://a.net/"]
+    df = spark.createDataFrame([(i % 3, u) for i, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "1 host", "2 rule", "3 verdict")
+    assert [r.verdict for r in urlfilter.judge_urls(df.coalesce(1)).collect()] == ["block", "block", "block", "allow", "allow", "allow", "allow"]
+
+
+def random_text(r, n):
+    words = "the quick server sends session data to each client and writes a log line for every request that it has seen today".split()
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [100, 1000])
+def test_planted_secrets_are_found(n):
+    """Secrets without a fixed pattern are found, and words, dates, paths and numbers near sensitive names left alone."""
+    import random
+    import string
+
+    r, novelty = random.Random(n), secrets.Novelty()
+    letters = string.ascii_letters + string.digits
+    leads = ["auth header is", "bearer", "the session cookie was", "credential file holds", "signature of the request:", "private key id"]
+    decoys = ["token bucket implementation", "auth on 2024-05-06 failed", "session counter 1234567890123", "bearer of news", "signature/path/of/the/request", "secret-agent-training-manual", "credential credential credential", "token aaaaaaaaaaaaaaaa1111"]
+    right = wrong = planted = 0
+    for i in range(n):
+        before, after = random_text(r, 20), random_text(r, 20)
+        if i % 2:
+            value = "".join(r.choice(letters) for _ in range(r.randint(20, 44)))
+            text, want = f"{before} {r.choice(leads)} {value} {after}", [value]
+        else:
+            text, want = f"{before} {r.choice(decoys)} {after}", []
+        got = [text[s:e] for s, _, e in secrets.novel_spans(text, secrets.base_spans(text), novelty, 160, 0.6, 12)]
+        planted += len(want)
+        right += got == want and bool(want)
+        wrong += got != want and bool(got)
+    assert right >= 0.95 * planted and wrong <= 0.01 * n
+
+
+def test_secret_scans_take_linear_time():
+    import time
+
+    for text in ("token " * 800_000, "token=" * 400_000, "secret" + "a1B2" * 600_000, "AKIA" * 500_000, "0123456789abcdef " * 250_000):
+        start = time.process_time()
+        base = secrets.base_spans(text)
+        secrets.novel_spans(text, base, secrets.Novelty(), 160, 0.6, 12)
+        assert time.process_time() - start < 30, text[:10]
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_planted_identifiers_are_found(spark, documents, n):
+    """Numbers that no fixed pattern matches, in contexts that seeds also stand in; and numbers in other contexts."""
+    import random
+
+    r, texts, want = random.Random(n), [], []
+    for i in range(n):
+        context = ("please call us on {} during office hours", "write to {} for details", "server address {} is reachable")[i % 3]
+        seed = (f"+49 30 {r.randint(10**6, 10**7 - 1)}", f"user{i}@mail.example.org", ".".join(str(r.randint(1, 250)) for _ in range(4)))[i % 3]
+        odd = (f"030-{r.randint(10**6, 10**7 - 1)}", f"user{i}@localhost", "-".join(str(r.randint(10, 250)) for _ in range(4)))[i % 3]
+        if i % 4 == 3:
+            texts.append(context.format(odd))
+            want.append(odd)
+        elif i % 4 == 2:
+            texts.append(f"there were {r.randint(10**6, 10**7)} of them in room {r.randint(100, 999)}b that year")
+            want.append("")
+        else:
+            texts.append(context.format(seed))
+            want.append(None)
+    got = {x.doc_id: x.spans for x in pii.find_pii(spark, documents(texts)).collect()}
+    cut = lambda i: [texts[i][int(s) : int(e)] for _, s, e in (x.split(":") for x in got[i].split(",") if x)]
+    planted = [i for i, w in enumerate(want) if w]
+    found = [i for i in planted if any(c and c in want[i] and len(c) >= 6 for c in cut(i))]
+    assert len(found) >= 0.9 * len(planted)
+    assert not any(got[i] for i, w in enumerate(want) if w == "")
+
+
 def test_urls_without_rows(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge_urls(empty).count() == 0

@@ -16,22 +16,19 @@ def fold(df: DataFrame, key: str, arrival: list) -> DataFrame:
     completed one of a resale source makes a sold row, which later activity leaves alone; exclusion or a digital
     observation excludes it.
     """
-    w = Window.partitionBy(key).orderBy(*arrival)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     known = F.col("format").isin("physical", "digital") & F.col("kind").isNotNull()
     on = (F.col("status") == "active") & known
     sale = (F.col("status") == "completed") & (F.col("format") == "physical") & F.col("kind").isin(*RESALE_KINDS)
     off = (F.col("status") == "excluded") | (F.col("format") == "digital")
-    last_on = F.last(F.when(on, F.struct("observed_at", "price_minor")), True).over(whole)
-    df = df.withColumn("_n", F.row_number().over(w))
-    at = lambda c: F.max(F.when(c, F.col("_n"))).over(whole)
-    df = df.withColumn("_first_on", F.min(F.when(on, F.col("_n"))).over(whole)).withColumn("_last_on", at(on)).withColumn("_last_sale", at(sale)).withColumn("_last_off", at(off))
-    after = F.last(F.when(~on & (F.col("_n") > F.col("_first_on")), F.struct("observed_at", "status")), True).over(whole)
-    df = df.select(
-        key, "_n", F.max("_n").over(whole).alias("observations"), "_first_on", "_last_on", "_last_sale", "_last_off", last_on.alias("_on"), after.alias("_after"),
-        F.first(F.when(on, F.col("observed_at")), True).over(whole).alias("active_at"),
-        F.last(F.when(sale, F.struct("observed_at", "price_minor")), True).over(whole).alias("_sale"),
-    ).where("_n = 1")
+    # One window numbers the arrivals; all else are partial sums over these numbers.
+    df = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*arrival)))
+    at = lambda c: F.when(c, F.col("_n"))
+    df = df.groupBy(key).agg(
+        F.max("_n").alias("observations"), F.min(at(on)).alias("_first_on"), F.max(at(on)).alias("_last_on"), F.max(at(sale)).alias("_last_sale"), F.max(at(off)).alias("_last_off"),
+        F.max(at(~on)).alias("_last_other"), F.max_by(F.struct("observed_at", "price_minor"), at(on)).alias("_on"), F.max_by(F.struct("observed_at", "status"), at(~on)).alias("_other"),
+        F.min_by("observed_at", at(on & F.col("observed_at").isNotNull())).alias("active_at"), F.max_by(F.struct("observed_at", "price_minor"), at(sale)).alias("_sale"),
+    )
+    df = df.withColumn("_after", F.when(F.col("_last_other") > F.col("_first_on"), F.col("_other")))
     active = F.col("_last_on") == F.col("observations")
     return df.select(
         key, "observations", active.alias("is_active"), "active_at", F.col("_on.price_minor").alias("asking_minor"),

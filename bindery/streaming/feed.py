@@ -33,13 +33,14 @@ class Lifecycle(StatefulProcessor):
             pdf = pdf.sort_values("arrival", kind="stable")
             for status, fmt, kind, price in zip(pdf["status"], pdf["format"], pdf["kind"], pdf["price_minor"], strict=True):
                 n += 1
-                if status == "active" and fmt in ("physical", "digital"):
-                    active, asking = True, int(price)
+                amount = None if pd.isna(price) else int(price)
+                if status == "active" and fmt in ("physical", "digital") and not pd.isna(kind):
+                    active, asking = True, amount
                 elif active is not None:
                     active = False
                 if status == "completed" and fmt == "physical" and kind in RESALE_KINDS:
-                    sold, review = int(price), "linked"
-                elif sold is not None and (status == "excluded" or fmt == "digital"):
+                    sold, review = amount, "linked"
+                elif review is not None and (status == "excluded" or fmt == "digital"):
                     review = "excluded"
         self.state.update((n, active, asking, sold, review))
         row = {"key": key[0], "observations": n, "is_active": active, "asking_minor": asking, "sold_minor": sold, "sold_review": review}
@@ -55,8 +56,8 @@ def lifecycle_stream(stream: DataFrame, key: str) -> DataFrame:
 
 
 def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """foreachBatch sink that keeps the last row of each key: the new state is written beside the old one and a pointer
-    is moved, so that a batch that is run again gives the same state."""
+    """foreachBatch sink that keeps the last row of each key. Each batch writes the state after it beside those before, under
+    its own number, so that a batch that is run again starts from the same state and gives the same one."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -69,15 +70,15 @@ def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str
 
 
 def previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """State after the batch before `batch_id`."""
+    """State after the last batch before `batch_id`: the states' numbers are partitions of one table."""
     from pyspark.errors import AnalysisException
 
-    for b in range(batch_id - 1, -1, -1):
-        try:
-            return spark.read.parquet(f"{path}/v={b}")
-        except AnalysisException:
-            continue
-    return None
+    try:
+        states = spark.read.parquet(path).where(F.col("v") < batch_id)
+    except AnalysisException:  # no batch has written yet
+        return None
+    last = states.agg(F.max("v").alias("v")).first()["v"]
+    return None if last is None else spark.read.parquet(f"{path}/v={last}")
 
 
 def digest(works: DataFrame, published: str, mark, now, gap_hours: int = 20) -> DataFrame:

@@ -77,6 +77,30 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
         assert tuple(latest[k])[1:] == (r.observations, r.is_active, r.asking_minor, r.sold_minor, r.sold_review), k
 
 
+def test_lifecycle_state_takes_nulls():
+    """Null prices and kinds, as the batch fold takes them."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    state = feed.Lifecycle()
+    state.state = Value()
+    rows = [("active", "physical", None, 5.0), ("active", "physical", "auction", None), ("completed", "physical", "auction", None), ("excluded", "physical", "auction", 3.0)]
+    pdf = pd.DataFrame([(i, *r) for i, r in enumerate(rows)], columns=["arrival", "status", "format", "kind", "price_minor"])
+    out = next(state.handleInputRows(("k",), iter([pdf.head(1)]), None)).iloc[0]
+    assert out["observations"] == 1 and pd.isna(out["is_active"])
+    out = next(state.handleInputRows(("k",), iter([pdf.tail(3)]), None)).iloc[0]
+    assert out["observations"] == 4 and not out["is_active"] and pd.isna(out["asking_minor"]) and pd.isna(out["sold_minor"]) and out["sold_review"] == "excluded"
+
+
 def test_digest_pages_and_blocks(spark):
     t = [dt.datetime(2024, 1, d) for d in range(1, 5)]
     works = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "id int, at timestamp")

@@ -42,8 +42,8 @@ class Stash:
         self.n = 0
         _open.append(self)
 
-    def put(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
-        """`rows`: how many rows are handed to Python at once while the table is made. Texts are long, and an executor
+    def put(self, df: DataFrame, name: str = "t", rows: int | None = None, hashes: bool = False) -> DataFrame:
+        """`hashes`: the table is mostly hashes, on which dictionaries and strong compression are wasted. `rows`: how many rows are handed to Python at once while the table is made. Texts are long, and an executor
         holds several batches of them. Shuffle files go when the table has been written, as nothing else reads them.
         The session's own settings are put back."""
         self.n += 1
@@ -55,7 +55,8 @@ class Stash:
         try:
             for k, v in own.items():
                 conf.set(k, v)
-            df.write.option("compression", "zstd").parquet(path)
+            kind = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"} if hashes else {"compression": "zstd"}
+            df.write.options(**kind).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v)

@@ -38,7 +38,7 @@ JOINED = 4
 #: Words by which a class finds the crowd that it may be in.
 STAR = 6
 #: Larger sets have a wider sketch, as more of their words may differ.
-WIDE = 48
+WIDE = 80
 
 
 def _plain(text):
@@ -193,7 +193,7 @@ def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame)
 def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     """(did, rid, gone, n_exact): the sorted numbers of the removed lines of each document of keyed `docs` that has any."""
     # Filtered when stored: before that, the filter would compute every set once more.
-    hashed = stash.put(hashed_lines(docs), "hashed")
+    hashed = stash.put(hashed_lines(docs), "hashed", hashes=True)
     lines = stash.put(line_sets(hashed, word_levels(hashed)), "lines")
     stash.drop(hashed)
     words = lines.where("n > 0")

@@ -240,3 +240,35 @@ def offer_dates(fmt: Column, store_date: Column, release_date: Column, original_
         F.when(digital, F.coalesce(store_date, release_date)).otherwise(store_date).alias("store_date"), F.when(~own, original_date).alias("original_date"),
         F.when(own, "original_unknown").alias("problem"),
     )
+
+
+def product_node(html: Column) -> Column:
+    """struct(type, name, isbn, price, currency) of the one Book or Product node of a page's structured data.
+
+    A page that describes several different ones (a list, recommendations) describes none. A script that is no JSON is
+    skipped.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    one = "struct<`@type`:string,name:string,isbn:string,offers:struct<price:string,priceCurrency:string>>"
+    lists = F.transform(scripts, lambda x: F.when(F.ltrim(x).startswith("["), F.from_json(x, f"array<{one}>")).otherwise(F.array(F.from_json(x, one))))
+    nodes = F.filter(F.flatten(F.filter(lists, lambda x: x.isNotNull())), lambda n: n["@type"].isin("Book", "Product"))
+    flat = F.transform(nodes, lambda n: F.struct(n["@type"].alias("type"), n["name"].alias("name"), n["isbn"].alias("isbn"), n["offers"]["price"].alias("price"), n["offers"]["priceCurrency"].alias("currency")))
+    different = F.array_distinct(flat)
+    return F.when(F.size(different) == 1, F.get(different, F.lit(0)))
+
+
+def page_cursor(payload: Column) -> Column:
+    """struct(token, more) of a JSON answer: the next page's token under any of the names that sources use for it."""
+    token = F.coalesce(*(F.nullif(F.get_json_object(payload, f"$.{path}"), F.lit("")) for path in ("nextPageToken", "meta.nextPageToken", "pagination.next", "cursor")))
+    return F.struct(token.alias("token"), (token.isNotNull() & ~F.coalesce(F.get_json_object(payload, "$.hasMore") == "false", F.lit(False))).alias("more"))
+
+
+def encoded_cursor(sort: str, value: Column, key: Column) -> Column:
+    """A page's end as one opaque text, bound to the order in which the pages were made."""
+    return F.base64(F.to_json(F.struct(F.lit(sort).alias("s"), value.cast("string").alias("v"), key.cast("string").alias("k"))).cast("binary"))
+
+
+def decoded_cursor(cursor: Column, sort: str) -> Column:
+    """struct(v, k) of a cursor of this order; null for one of another order, or none."""
+    c = F.from_json(F.try_to_binary(cursor, F.lit("base64")).cast("string"), "s string, v string, k string")
+    return F.when(c["s"] == sort, F.struct(c["v"].alias("v"), c["k"].alias("k")))

@@ -420,3 +420,107 @@ def sale_amounts(spark: SparkSession, d: str) -> DataFrame:
     o = T.observations(spark, d).join(T.sources(spark, d).select("source_id", "kind"), "source_id")
     kind = rules.sale_price_type(F.col("kind"), text, F.lit("x"))
     return o.groupBy("kind", kind.alias("price_type")).agg(F.count("*").alias("n"), F.sum(rules.labelled_amount(text, rules.SOLD_LABELS)).alias("sold"), F.sum(rules.labelled_amount(text, rules.OPEN_LABELS)).alias("current"))
+
+
+# --- pages, cursors and reports ----------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'Title ' || page_id END AS name, CASE WHEN page_id % 4 = 0 THEN page_id || '.50' END AS price, CASE WHEN page_id % 4 = 0 THEN 'JPY' END AS currency FROM pages""")
+def product_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Structured data of pages: one node, the same node twice, two different ones, and broken JSON."""
+    k = F.col("page_id").cast("string")
+    script = lambda body: F.concat(F.lit('<p>x</p><script type="application/ld+json">'), body, F.lit("</script>"))
+    book = F.concat(F.lit('{"@type": "Book", "name": "Title '), k, F.lit('", "offers": {"price": "'), k, F.lit('.50", "priceCurrency": "JPY"}}'))
+    bare = F.concat(F.lit('{"@type": "Product", "name": "Title '), k, F.lit('"}'))
+    crumbs = F.lit('{"@type": "BreadcrumbList", "name": "Home"}')
+    html = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(script(book), script(crumbs))).when(F.col("page_id") % 4 == 1, F.concat(script(bare), script(F.concat(F.lit("["), bare, F.lit(", "), crumbs, F.lit("]")))))
+        .when(F.col("page_id") % 4 == 2, F.concat(script(book), script(bare))).otherwise(script(F.lit("{broken")))
+    )
+    node = rules.product_node(html)
+    return T.table(spark, d, "pages").select("page_id", node["name"].alias("name"), node["price"].alias("price"), node["currency"].alias("currency"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'b' || page_id WHEN 2 THEN 'c' || page_id END AS token, page_id % 5 IN (0, 1) AS more FROM pages""")
+def page_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of next pages in answers of different shapes."""
+    k, s = F.col("page_id") % 5, F.col("page_id").cast("string")
+    text = lambda before, after: F.concat(F.lit(before), s, F.lit(after))
+    payload = (
+        F.when(k == 0, text('{"nextPageToken": "a', '"}')).when(k == 1, text('{"meta": {"nextPageToken": "b', '"}, "hasMore": true}')).when(k == 2, text('{"cursor": "c', '", "hasMore": false}'))
+        .when(k == 3, F.lit('{"nextPageToken": ""}')).otherwise(F.lit("no json"))
+    )
+    c = rules.page_cursor(payload)
+    return T.table(spark, d, "pages").select("page_id", c["token"].alias("token"), c["more"].alias("more"))
+
+
+@query(f"""{with_tables("works")}, p AS (SELECT work_id, title FROM works WHERE work_status = 'published'), c AS (SELECT title AS t, work_id AS w FROM p ORDER BY title DESC, work_id LIMIT 1 OFFSET 49)
+SELECT work_id, title FROM p, c WHERE title < t OR (title = t AND work_id > w) ORDER BY title DESC, work_id LIMIT 24""")
+def books_after_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The page after an encoded cursor; a cursor of another order would give nothing."""
+    p = T.works(spark, d).where("work_status = 'published'").select("work_id", "title")
+    end = p.orderBy(F.desc("title"), "work_id").offset(49).limit(1).select(rules.encoded_cursor("title_desc", F.col("title"), F.col("work_id")).alias("cursor"))
+    at = end.select(rules.decoded_cursor(F.col("cursor"), "title_desc").alias("c")).select(F.col("c.v").alias("t"), F.col("c.k").cast("long").alias("w"))
+    # One row.
+    rest = p.join(F.broadcast(at), (F.col("title") < F.col("t")) | ((F.col("title") == F.col("t")) & (F.col("work_id") > F.col("w"))))
+    return rest.select("work_id", "title").orderBy(F.desc("title"), "work_id").limit(24)
+
+
+@query(f"""{with_tables("works", "editions")}, d AS (SELECT e.work_id, min(publication_date) AS oldest FROM editions e WHERE edition_status = 'published' GROUP BY e.work_id)
+SELECT w.work_id, title, oldest FROM works w LEFT JOIN d USING (work_id) WHERE work_status = 'published' ORDER BY oldest NULLS LAST, work_id LIMIT 24""")
+def books_oldest_first(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest sort: undated works come last here as well."""
+    old = T.editions(spark, d).where("edition_status = 'published'").groupBy("work_id").agg(F.min("publication_date").alias("oldest"))
+    df = T.works(spark, d).where("work_status = 'published'").join(old, "work_id", "left")
+    return df.select("work_id", "title", "oldest").orderBy(F.asc_nulls_last("oldest"), "work_id").limit(24)
+
+
+@query(f"""{with_tables("observations")}, b AS (SELECT source_id, CAST(observed_at AS DATE) AS day, count(*) AS items FROM observations GROUP BY ALL)
+SELECT source_id, count(*) AS batches, CAST(sum(CAST(ceil(items / 5.0) AS BIGINT)) AS BIGINT) AS parts, max(least(items, 5)) AS largest FROM b GROUP BY source_id""")
+def batch_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Batches cut to the size that intake allows (five here): numbered within the batch, then divided."""
+    place = F.row_number().over(Window.partitionBy("source_id", "day").orderBy("external_id"))
+    o = T.observations(spark, d).select("source_id", F.col("observed_at").cast("date").alias("day"), "external_id").withColumn("part", F.floor((place - 1) / 5))
+    parts = o.groupBy("source_id", "day", "part").agg(F.count("*").alias("n"))
+    return parts.groupBy("source_id").agg(F.count_distinct("day").alias("batches"), F.count("*").alias("parts"), F.max("n").alias("largest"))
+
+
+@query(f"""{with_tables("listings", "editions", "works", "credits")}, l AS (SELECT * FROM listings WHERE currency = 'JPY'), c AS (SELECT DISTINCT work_id FROM credits),
+k AS (SELECT 'listings' AS counter, count(*) AS n FROM l UNION ALL SELECT 'unlinked', count(*) FROM l WHERE edition_id IS NULL UNION ALL SELECT 'unpriced', count(*) FROM l WHERE price_minor <= 0
+  UNION ALL SELECT 'format_differs', count(*) FROM l JOIN editions e USING (edition_id) WHERE e.format <> l.format UNION ALL SELECT 'superseded_edition', count(*) FROM l JOIN editions e USING (edition_id) WHERE edition_status <> 'published'
+  UNION ALL SELECT 'superseded_work', count(*) FROM l JOIN works w ON w.work_id = l.work_id WHERE work_status <> 'published' UNION ALL SELECT 'without_credit', count(*) FROM l ANTI JOIN c USING (work_id)
+  UNION ALL SELECT 'unauthorized_store', count(*) FROM l WHERE kind IN ('bookstore', 'digital_store') AND NOT authorized UNION ALL SELECT 'disabled_source', count(*) FROM l WHERE NOT enabled)
+SELECT * FROM k""")
+def ledger_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Integrity, coverage and permission counters of one market's ledger, from one pass over its listings."""
+    e = T.editions(spark, d).select("edition_id", F.col("format").alias("e_format"), "edition_status")
+    w = T.works(spark, d).select("work_id", "work_status")
+    c = T.credits(spark, d).select("work_id").distinct().withColumn("credited", F.lit(True))
+    l = T.listings(spark, d).where("currency = 'JPY'").join(e, "edition_id", "left").join(w, "work_id", "left").join(c, "work_id", "left")
+    counters = {
+        "listings": F.lit(True), "unlinked": F.col("edition_id").isNull(), "unpriced": F.col("price_minor") <= 0, "format_differs": F.col("e_format") != F.col("format"),
+        "superseded_edition": F.col("edition_status") != "published", "superseded_work": F.col("work_status") != "published", "without_credit": F.col("credited").isNull(),
+        "unauthorized_store": F.col("kind").isin("bookstore", "digital_store") & ~F.col("authorized"), "disabled_source": ~F.col("enabled"),
+    }
+    n = l.agg(*(F.count_if(v).alias(k) for k, v in counters.items()))
+    return n.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, counters)), F.array(*map(F.col, counters)))).alias("counter", "n"))
+
+
+@query(f"""{with_tables("editions", "works", "credits", "listings")}, c AS (SELECT DISTINCT person_id, work_id FROM credits), p AS (SELECT edition_id, min(price_minor) FILTER (WHERE status = 'active') AS low, count(*) AS offers FROM listings WHERE edition_id IS NOT NULL GROUP BY edition_id),
+f AS (SELECT person_id, e.*, title, publisher, low, offers FROM c JOIN editions e USING (work_id) JOIN works w USING (work_id) LEFT JOIN p USING (edition_id) WHERE edition_status = 'published')
+SELECT person_id, count(*) AS editions, count(*) FILTER (WHERE format = 'physical') AS physical, count(*) FILTER (WHERE format = 'digital') AS digital, count(DISTINCT publisher) AS publishers, count(*) FILTER (WHERE isbn <> '') AS with_isbn,
+  count(*) FILTER (WHERE publication_date IS NOT NULL) AS dated, count(*) FILTER (WHERE format = 'digital' AND store_date IS NOT NULL) AS store_dated, count(*) FILTER (WHERE offers > 0) AS offered, count(*) FILTER (WHERE low > 0) AS priced,
+  count(*) FILTER (WHERE offers IS NULL AND format = 'physical') AS physical_gap, count(*) FILTER (WHERE offers IS NULL AND format = 'digital') AS digital_gap, min(low) AS low, max(low) AS high, CAST(sum(offers) AS BIGINT) AS offers,
+  min(publication_date) AS first_day, max(publication_date) AS last_day FROM f GROUP BY person_id""")
+def model_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What the catalog knows of each credited person's published editions, and where it has gaps."""
+    l = T.listings(spark, d).where("edition_id IS NOT NULL").groupBy("edition_id").agg(F.min(F.when(F.col("status") == "active", F.col("price_minor"))).alias("low"), F.count("*").alias("offers"))
+    e = T.editions(spark, d).where("edition_status = 'published'").join(T.works(spark, d).select("work_id", "publisher"), "work_id").join(l, "edition_id", "left")
+    f = T.credits(spark, d).select("person_id", "work_id").distinct().join(e, "work_id")
+    paper, file, gap = F.col("format") == "physical", F.col("format") == "digital", F.col("offers").isNull()
+    return f.groupBy("person_id").agg(
+        F.count("*").alias("editions"), F.count_if(paper).alias("physical"), F.count_if(file).alias("digital"), F.countDistinct("publisher").alias("publishers"), F.count_if(F.col("isbn") != "").alias("with_isbn"),
+        F.count("publication_date").alias("dated"), F.count_if(file & F.col("store_date").isNotNull()).alias("store_dated"), F.count_if(F.col("offers") > 0).alias("offered"), F.count_if(F.col("low") > 0).alias("priced"),
+        F.count_if(gap & paper).alias("physical_gap"), F.count_if(gap & file).alias("digital_gap"), F.min("low").alias("low"), F.max("low").alias("high"), F.sum("offers").alias("offers"),
+        F.min("publication_date").alias("first_day"), F.max("publication_date").alias("last_day"),
+    )

@@ -272,3 +272,35 @@ def decoded_cursor(cursor: Column, sort: str) -> Column:
     """struct(v, k) of a cursor of this order; null for one of another order, or none."""
     c = F.from_json(F.try_to_binary(cursor, F.lit("base64")).cast("string"), "s string, v string, k string")
     return F.when(c["s"] == sort, F.struct(c["v"].alias("v"), c["k"].alias("k")))
+
+
+#: How titles number a volume, with the number in place of #.
+VOLUMES = ("vol.#", "volume #", "第#巻", "#巻")
+VOLUME = r"(?i)(?:\bvol(?:ume)?\.?\s*|第)([0-9]+)|([0-9]+)\s*巻"
+
+
+def volume(title: Column) -> Column:
+    """The volume number that a title states, or null."""
+    t = narrow(title)
+    return F.coalesce(F.nullif(F.regexp_extract(t, VOLUME, 1), F.lit("")), F.nullif(F.regexp_extract(t, VOLUME, 2), F.lit(""))).try_cast("int")
+
+
+def title_answers(query: Column, title: Column) -> Column:
+    """Whether a title answers a search: it has every quoted phrase as it stands, every other word somewhere, and, where both
+    state a volume, the same one."""
+    q, t = F.lower(narrow(query)), F.lower(narrow(title))
+    phrases = F.regexp_extract_all(q, F.lit('"([^"]+)"'), F.lit(1))
+    bare = F.regexp_replace(F.regexp_replace(q, '"[^"]*"', " "), VOLUME, " ")
+    words = F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.forall(phrases, lambda p: F.contains(t, p)) & F.forall(words, lambda w: F.contains(key(t), w)) & F.coalesce(volume(q) == volume(t), F.lit(True))
+
+
+#: What sellers put around a title.
+NOISE = ("送料無料", "即決", "美品", "新品", "中古", "free shipping", "brand new", "used")
+
+
+def cleaned_title(title: Column) -> Column:
+    """A listing's title without sellers' words, marks and item numbers, single-spaced."""
+    out = F.regexp_replace(narrow(title), any_of(NOISE), " ")
+    out = F.regexp_replace(out, r"[★☆◆◇■□●○!]+|(?i:\bitem\s*#?[0-9]+\b)", " ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.functions import rules
+from bindery.functions import ids, rules, texts
 from bindery.plans import fixtures as T
-from bindery.plans.browse import media
 from bindery.plans.fixtures import registry, with_tables
 
 QUERIES, ORACLE = {}, {}
@@ -524,3 +523,44 @@ def model_ledger(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(gap & paper).alias("physical_gap"), F.count_if(gap & file).alias("digital_gap"), F.min("low").alias("low"), F.max("low").alias("high"), F.sum("offers").alias("offers"),
         F.min("publication_date").alias("first_day"), F.max("publication_date").alias("last_day"),
     )
+
+
+# --- searches, titles and keys -----------------------------------------------------------------------------------
+
+
+@query(f"""{with_tables("works")}, t AS (SELECT work_id, lower(title) || CASE WHEN work_id % 2 = 0 THEN ' vol.' || (work_id % 7) ELSE ' 第' || (work_id % 5) || '巻' END AS t, CASE WHEN work_id % 2 = 0 THEN work_id % 7 ELSE work_id % 5 END AS v FROM works)
+SELECT work_id, CASE work_id % 4 WHEN 0 THEN contains(t, 'small ring') WHEN 1 THEN contains(t, 'ring') AND contains(t, 'small') WHEN 2 THEN contains(t, 'ring') AND v = 4 ELSE contains(t, 'bolt') AND v = 3 END AS answers FROM t""")
+def title_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Titles against searches with quoted phrases, loose words and volume numbers."""
+    k = F.col("work_id")
+    number = F.when(k % 2 == 0, F.concat(F.lit(" vol."), (k % 7).cast("string"))).otherwise(F.concat(F.lit(" 第"), (k % 5).cast("string"), F.lit("巻")))
+    q = F.when(k % 4 == 0, '"Small ring"').when(k % 4 == 1, "RING, small").when(k % 4 == 2, "ring volume 4").otherwise("3巻 ｂｏｌｔ")
+    return T.works(spark, d).select("work_id", rules.title_answers(q, F.concat("title", number)).alias("answers"))
+
+
+@query(f"""{with_tables("works")} SELECT work_id, title FROM works""")
+def cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Sellers' words come off."""
+    k = F.col("work_id")
+    dressed = F.concat(_pick(k, "★送料無料★ ", "● ", "Brand New!! "), "title", _pick(F.floor(k / 3), "  即決", " item #12", " ☆ used"))
+    return T.works(spark, d).select("work_id", rules.cleaned_title(dressed).alias("title"))
+
+
+@query(f"""{with_tables("works")}, b AS (SELECT title, publisher, CASE WHEN work_id % 3 = 0 THEN publisher || ' DVD' WHEN work_id % 3 = 1 THEN publisher || ' $$$$' ELSE publisher || ' ?? ' || title END AS t FROM works)
+SELECT CASE WHEN contains(t, '$$$') THEN 'symbols' ELSE 'kept' END AS reason, regexp_matches(t, '[?][?]+') AS corrupt, count(*) AS n FROM b GROUP BY ALL""")
+def branded_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles judged without their store's brand (which has a # itself), and those whose letters were lost."""
+    k = F.col("work_id")
+    t = F.concat("publisher", F.when(k % 3 == 0, " DVD").when(k % 3 == 1, " $$$$").otherwise(F.concat(F.lit(" ?? "), "title")))
+    return T.works(spark, d).groupBy(F.coalesce(texts.brand_exclusion(t, F.col("publisher")), F.lit("kept")).alias("reason"), texts.corrupt(t).alias("corrupt")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{with_tables("observations")}, o AS (SELECT source_id, external_id, thread, status, price_minor, currency, CASE WHEN line % 2 = 0 THEN ' ' || thread || '-' || line || ' ' ELSE '' END AS own FROM observations),
+k AS (SELECT 'observation-' || substr(sha256(concat_ws(chr(0), source_id, coalesce(nullif(trim(own), ''), concat_ws(chr(0), thread, external_id)))), 1, 40) AS observation, substr(sha256(concat_ws(chr(0), source_id, external_id, status, price_minor, currency)), 1, 40) AS state FROM o)
+SELECT substr(observation, 1, 14) AS shard, count(DISTINCT observation) AS observations, count(DISTINCT state) AS states FROM k GROUP BY shard""")
+def observation_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of observations (the source's own id, or job and item) and of what they show, counted by first digit."""
+    s = lambda c: F.col(c).cast("string")
+    own = F.when(F.col("line") % 2 == 0, F.concat(F.lit(" "), s("thread"), F.lit("-"), s("line"), F.lit(" "))).otherwise("")
+    k = T.observations(spark, d).select(ids.observation_id(s("source_id"), own, s("thread"), F.col("external_id")).alias("observation"), ids.change_key(s("source_id"), F.col("external_id"), F.col("status"), s("price_minor"), F.col("currency")).alias("state"))
+    return k.groupBy(F.substring("observation", 1, 14).alias("shard")).agg(F.countDistinct("observation").alias("observations"), F.countDistinct("state").alias("states"))

@@ -141,16 +141,16 @@ def _near(nx, ny):
 
 
 def _star(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a frequent word of their prefixes and their band, with two of them."""
-    words = F.filter(F.slice("prefix", F.lit(1), F.size("prefix") - 1), lambda t: t != 0)
-    rows = classes.select("did", "rid", "line", "cid", "n", "flips", "more", "low", F.explode(F.slice(F.reverse(words), 1, STAR)).alias("tok"))
-    rows = rows.select("did", "rid", "line", "cid", "n", "flips", "more", "low", (F.col("tok").cast("long") * 64 + _band()).alias("key"))
-    row = ("did", "rid", "line", "cid", "n", "flips", "more")
-    first, common = F.min(F.struct(*row)), F.min(F.struct(-F.col("low"), *row))
-    centres = rows.groupBy("key").agg(first.alias("c"), common.alias("m"), F.count("*").alias("k")).where("k > 1")
-    pick = lambda x: F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ("cid", "n", "flips", "more")))
-    centres = centres.select("key", F.explode(F.array_distinct(F.array(pick("c"), pick("m")))).alias("c")).select("key", "c.*")
-    x, y = centres.alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
+    """(a, b): classes that share a frequent word of their prefixes and their band, with the earliest ones and the earliest
+    without rare words. Which centres are taken matters for the effort only."""
+    size = F.size("prefix") - 1
+    words = F.slice("prefix", F.greatest(size - STAR + 1, F.lit(1)), F.least(size, F.lit(STAR)))
+    rank = F.shiftleft((127 - F.col("low")).cast("long"), 56).bitwiseOR(F.col("did").bitwiseAND(F.lit((1 << 56) - 1)))
+    rows = classes.select("did", "cid", "n", "flips", "more", rank.alias("rank"), F.explode(words).alias("tok")).where("tok <> 0")
+    rows = rows.select((F.col("tok").cast("long") * 64 + _band()).alias("key"), "did", "rank", "cid", "n", "flips", "more")
+    best = rows.groupBy("key").agg(F.min("did").alias("first"), F.min("rank").alias("common"), F.count("*").alias("k")).where("k > 1")
+    centres = rows.join(best, "key").where((F.col("did") == F.col("first")) | (F.col("rank") == F.col("common")))
+    x, y = centres.select("key", "cid", "n", "flips", "more").alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
     fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"))
     return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 

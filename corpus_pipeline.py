@@ -2,7 +2,13 @@
 
 Each stage takes what its predecessor kept, as Parquet in the shared folder. All but the last return the columns of
 `documents`; the last returns the pieces of packed sequences. SQL can't express the tokenizer of the last stage, so
-ORACLE_SQL is None and the tests hold the pipeline against a brute-force version.
+ORACLE_SQL is None and the tests hold all stages and the whole against a brute-force version (tests/llm/test_pipeline.py).
+
+Defined results, of every stage: null texts count as empty, and empty and blank ones go in the first stage. Rows are known
+by doc_id and text: rows that are equal are kept or dropped together (line dedup and near duplicates keep them all if
+they keep one), rows of one doc_id with different texts are different documents, a null doc_id is one like others. Ties go
+to the smaller doc_id. An empty table stays empty. Further columns, whatever their names, go along untouched; n_chars
+follows the text. A very long text is held whole by the tasks that cut it.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import decontam, jaccard, linededup, lm, packing, pii, quality, secrets, suffix, urlfilter
+from bindery.llm import codes, collocations, decontam, jaccard, linededup, lm, nearest, packing, pii, quality, secrets, suffix, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup)}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.exact_top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_decontamination, op7_secret_scan, op8_packing, op9_lm_scoring, op10_suffix_dedup, op11_exact_top_k, op12_vector_codes, op13_collocations)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------
 
@@ -198,7 +210,85 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 SELECT doc_id, n_lines, n_removed, n_exact, sha256(kept_text) AS kept_sha256 FROM kept
 """
 
+_VECTORS = """
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+"""
+
+_OP11 = f"""
+WITH {_VECTORS},
+p AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _op12() -> str:
+    """A round's steps: parts to entries, entries to floored means, unused ones as they were."""
+    size = "len(v) // 16"
+    square = "list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = f"""
+WITH {_VECTORS},
+s AS (SELECT vec_id, p, list_slice(v, p * ({size}) + 1, (p + 1) * ({size})) AS s FROM v, unnest(range(0, 16)) AS t(p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+b0 AS (SELECT p, e, s AS c FROM s JOIN f USING (vec_id))"""
+    for k in range(codes.ROUNDS + 1):
+        out += f""",
+a{k} AS (
+  SELECT vec_id, p, any_value(s) AS s, min(struct_pack(d := d, e := e)) AS m
+  FROM (SELECT vec_id, p, s, e, CAST({square} AS BIGINT) AS d FROM s JOIN b{k} USING (p)) GROUP BY vec_id, p)"""
+        if k < codes.ROUNDS:
+            out += f""",
+m{k} AS (
+  SELECT p, e, list(CAST(floor(t / CAST(n AS DOUBLE)) AS BIGINT) ORDER BY i) AS c
+  FROM (
+    SELECT p, m.e AS e, i, sum(s[i]) AS t, count(*) AS n FROM a{k}, unnest(range(1, len(s) + 1)) AS u(i) GROUP BY ALL)
+  GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+    last = codes.ROUNDS
+    return f"""{out},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last}),
+g AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM a{last} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM g JOIN v USING (vec_id), h
+"""
+
+
+_OP13 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS w, count(*) AS a
+  FROM w, unnest(range(1, 6)) AS u(k), unnest(range(1, len(w) - k + 2)) AS x(i) GROUP BY ALL HAVING count(*) >= 100),
+h AS (
+  SELECT lang, list_slice(w, i, i + j - 1) AS w, max(a) AS most
+  FROM f, unnest(range(2, k)) AS u(j), unnest(range(1, k - j + 2)) AS x(i) GROUP BY ALL),
+c AS (
+  SELECT f.lang, f.w, f.a, cut, g.a AS l, e.a AS r, n.n, 1000 * CAST(f.a AS HUGEINT) * n.n // (CAST(g.a AS HUGEINT) * e.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k >= 2) AS f
+    JOIN f AS g ON g.lang = f.lang AND g.w = list_slice(f.w, 1, cut)
+    JOIN f AS e ON e.lang = f.lang AND e.w = list_slice(f.w, cut + 1, f.k) JOIN n ON n.lang = f.lang
+    LEFT JOIN h ON h.lang = f.lang AND h.w = f.w
+  WHERE most IS NULL OR most < f.a),
+b AS (SELECT lang, w, any_value(a) AS a, any_value(n) AS n, min(struct_pack(score := score, cut := cut, l := l, r := r)) AS m FROM c GROUP BY lang, w),
+o AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, m.l AS l, m.r AS r, n, CAST(m.score AS BIGINT) AS score FROM b),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(phrase AS BLOB)) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT * FROM z WHERE rank <= 2000
+"""
+
 ORACLE = {
+    "op11_exact_top_k": _OP11, "op12_vector_codes": _op12(), "op13_collocations": _OP13,
     "op2_line_dedup": _OP2,
     "op6_decontamination": _OP6,
     "op4_quality_rules": _OP4, "op5_url_filter": _OP5}

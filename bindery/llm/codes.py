@@ -122,8 +122,8 @@ def _assigned(held, width: int):
         books, groups, moved = held.value
         for b in batches:
             x = matrix(b.column("v"), width)
-            cut = x.reshape(len(x), PARTS, -1)
-            old = None if moved is None else (b.column("code").flatten().to_numpy().reshape(-1, PARTS), b.column("low").flatten().to_numpy().reshape(len(x), -1))
+            cut = x.reshape(len(x), PARTS, width // PARTS)
+            old = None if moved is None else (b.column("code").flatten().to_numpy().reshape(-1, PARTS), b.column("low").flatten().to_numpy().reshape(len(x), sum(map(len, groups))))
             codes, lows, error, scanned, first = [], [], np.zeros(len(x), object), 0, 0
             for p in range(PARTS):
                 last = first + len(groups[p])
@@ -183,7 +183,7 @@ def compress(spark: SparkSession, vectors: DataFrame, rounds: int = ROUNDS, entr
     width = -(-max(1, longest) // PARTS) * PARTS
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).toArrow()
     start = matrix(first["v"], width)
-    books = start.reshape(len(start), PARTS, -1).transpose(1, 0, 2).copy()
+    books = start.reshape(len(start), PARTS, width // PARTS).transpose(1, 0, 2).copy()
     schema = _STATE.format(label=dict(rows.dtypes)["label"])
     if not len(start):
         return spark.createDataFrame([], schema).select("vec_id", "label", "code", "error", "scanned"), books

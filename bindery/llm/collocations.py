@@ -1,22 +1,23 @@
 """Phrase collocation mining (operator 13): sketched upper bounds, guarded automata, exact counts, thresholds.
 
-Texts are lower-cased (A-Z), split at PUNCTUATION into pieces and those at spaces and tabs into words; they are stored once in
-that form, words with one space on either side and pieces with a line feed between. Every phrase of 1 to LONGEST words
-of a language falls into one of `width` slots, by hash. Tasks count slots over a bounded number of phrases at a time and
-hand on the counts slice by slice; a slot's sum is an upper bound of the count of each of its phrases. The width grows
-with the texts, so that a slot holds a quarter of the least count on average, while what a task holds and hands on doesn't depend on it.
-
-Slots that reach the least count are dealt into chunks of bounded size. For each chunk, the phrases in these slots are gathered
-from the texts, distinct, and compiled into Aho-Corasick automata, one or more for each language and each of bounded size. Every
-phrase stands in its automaton with a space before and after, so it matches whole words within a piece only. Tasks
-scan their texts and count all matches, overlapping ones too; the counts are summed and those below the least count go. Parts of a
-frequent phrase are at least as frequent, so all counts that the scores need are among them.
-
-Defined results: null texts are empty and a null language is `und`, one with documents that are so named. Repeated rows count as
-often as they stand there. Scores are integers, computed in decimals of 38 digits; the lowest-scoring cut counts, ties to
-the shortest first part. Ranks go by score and count, descending, then by the phrase's bytes. A text, however long, is
-held by one task. Languages without frequent phrases give no rows, and so does an empty table; other columns, whatever their names, are
-not looked at.
+Texts are lower-cased (A-Z), split at PUNCTUATION into pieces and those at spaces and tabs into words. Every phrase of 1 to
+LONGEST words of a language falls into one of `width` slots, by hash. Tasks count slots over a bounded number of phrases at a
+time and hand on the counts slice by slice; a slot's sum is an upper bound of the count of each of its phrases. The width
+grows with the texts, so that a slot holds about a quarter of the least count on average, while what a task holds and hands
+on doesn't depend on it.
+
+Slots that reach the least count are dealt into chunks of bounded size. For each chunk, the phrases in these slots are
+gathered from the texts, distinct, and compiled into Aho-Corasick automata, one or more for each language and each of
+bounded size. Every phrase stands in its automaton with a space before and after, and texts are written with one space on
+either side of each word and a line feed between pieces, so a phrase matches whole words within a piece only. Tasks scan
+their texts and count all matches, overlapping ones too; the counts are summed and those below the least count go. Parts of
+a frequent phrase are at least as frequent, so all counts that the scores need are among them.
+
+Defined results: null texts are empty and a null language is `und`, one with documents that are so named. Repeated rows
+count as often as they stand there. Scores are integers, computed in decimals of 38 digits; the lowest-scoring cut counts,
+ties to the shortest first part. Ranks go by score and count, descending, then by the phrase's bytes. A text, however long,
+is held by one task. Languages without frequent phrases give no rows, and so does an empty table; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,118 +27,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import TEXTS, Stash, ascii_lower, mix, pieces_of, sized, words_in
+from bindery.llm.common import TEXTS, Stash, mix, sized, words_in
 
 PUNCTUATION, LONGEST, LEAST, KEPT = ".,;:!?\x0a\x0b\x0c\x0d", 5, 100, 2000
-#: Phrases that a task counts before it hands on what it has.
-HELD = 1 << 23
+#: Phrases that a task counts before it hands on what it has, and bytes of texts that it looks at at once.
+HELD, AT_ONCE = 1 << 23, 1 << 22
 #: Slots in a slice, the unit that is summed by one task.
 SLICE = 1 << 20
 #: Slots whose phrases are counted by one pass, and bytes of the phrases of one pass and of one automaton.
 SLOTS, PASS_BYTES, AUTOMATON_BYTES = 1 << 20, 32 << 20, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Places of the filters through which hashes go before they are looked up.
+_FILTER = 1 << 22
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[9] = 32
+_FOLD[[ord(c) for c in PUNCTUATION]] = 10
 
-def normal_texts(docs: DataFrame) -> DataFrame:
-    """lang and text: words with a space on either side, pieces with a line feed between."""
-    t = F.translate(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), PUNCTUATION + "\t", "\n" * len(PUNCTUATION) + " ")
-    t = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), "[ \n]*\n[ \n]*", " \n "), "  +", " ")
-    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), t.alias("text"))
 
+def lang_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def folded(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """(lang, bytes) of the texts of a batch, a line feed between them and for punctuation; a text is never split."""
+    lang, text = b.column("lang"), b.column("text").cast(pa.large_binary())
+    for own in pc.unique(lang).to_pylist():
+        rows, at = text.filter(pc.equal(lang, own)), 0
+        ends = np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False))
+        while at < len(rows):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")) - at)
+            yield own, _FOLD[np.frombuffer(b"\n".join(rows.slice(at, n).to_pylist()), np.uint8)]
+            at += n
 
-def phrases_in(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, start, end) of all phrases of one word, of two and so on; `seeds` are those of the rows' languages."""
-    starts, ends, h, first = words_in(data, offsets)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    breaks = np.cumsum(data == 10)[starts] if len(starts) else starts
-    x = mix(h ^ seeds[row])
-    yield x, starts, ends
-    for n in range(2, longest + 1):
-        m = len(h) - n + 1
-        if m <= 0:
-            return
-        x = mix(x[:m] * _STEP + h[n - 1 :])
-        whole = (row[:m] == row[n - 1 :]) & (breaks[:m] == breaks[n - 1 :])
-        yield x[whole], starts[:m][whole], ends[n - 1 :][whole]
 
+def guarded(data: np.ndarray) -> str:
+    """The text with one space on either side of each word."""
+    out = b" " + data.tobytes().replace(b"\n", b" \n ") + b" "
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out.decode()
 
-def _seeds(lang: pa.Array) -> np.ndarray:
-    at = lang.dictionary_encode()
-    return mix(np.array([zlib.crc32(x.encode()) + 1 for x in at.dictionary.to_pylist()], np.uint64))[at.indices.to_numpy()]
+
+def phrases_in(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, whole, start, end) of all runs of one word, of two and so on; those that are whole are phrases of one piece."""
+    starts, ends, h, _ = words_in(data, np.array([0, len(data)]))
+    breaks = np.cumsum(data == 10, dtype=np.int32)[starts] if len(starts) else starts
+    x = mix(h ^ mix(np.array([zlib.crc32(lang.encode()) + 1], np.uint64)))
+    for n in range(1, min(longest, len(h)) + 1):
+        m = len(h) - n + 1
+        x = x if n == 1 else mix(x[:m] * _STEP + h[n - 1 :])
+        yield x, breaks[:m] == breaks[n - 1 :], starts[:m], ends[n - 1 :]
 
 
 def _slot_counts(width: int, longest: int):
+    """Counts of slots, packed by slice, and each language's words, under a negative slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        words: dict[str, int] = {}
+        pack = zstandard.ZstdCompressor(1).compress
 
         def told() -> pa.RecordBatch:
             slot, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             which = slot // np.uint64(SLICE)
-            start = np.flatnonzero(np.diff(which, prepend=np.uint64(width)))
-            cells = []
+            start, cells = np.flatnonzero(np.diff(which, prepend=np.uint64(width))), []
             for i, j in zip(start, np.append(start[1:], len(slot)), strict=True):
-                gaps = np.diff(slot[i:j] % np.uint64(SLICE), prepend=np.uint64(0)).astype(np.uint32)
-                cells.append(zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(n[i:j], 1 << 31).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-            return pa.RecordBatch.from_arrays([pa.array(which[start].astype(np.int64)), pa.array(cells, pa.binary())], names=["slice", "counts"])
+                gaps = np.diff(slot[i:j] % np.uint64(SLICE), prepend=np.uint64(0))
+                both = np.concatenate([gaps.astype(np.uint32), n[i:j].astype(np.uint32)])
+                cells.append(pack(both.view(np.uint8).reshape(-1, 4).T.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(which[start].astype(np.int64)), pa.array(cells, pa.binary()), pa.nulls(len(cells), pa.string())], names=["slice", "counts", "lang"])
 
         for b in batches:
-            seeds = _seeds(b.column("lang"))
-            for row, data, offsets in pieces_of(b.column("text")):
-                for h, _, _ in phrases_in(data, offsets, seeds[row:], longest):
-                    held.append(h & np.uint64(width - 1))
+            for lang, data in folded(b):
+                for k, (h, whole, _, _) in enumerate(phrases_in(data, lang, longest)):
+                    held.append(h[whole] & np.uint64(width - 1))
+                    if not k:
+                        words[lang] = words.get(lang, 0) + len(h)
                 if sum(map(len, held)) >= HELD:
                     yield told()
         if held:
             yield told()
+        sums = [np.array([n], np.int64).tobytes() for n in words.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - zlib.crc32(x.encode()) for x in words], pa.int64()), pa.array(sums, pa.binary()), pa.array(list(words), pa.string())], names=["slice", "counts", "lang"])
 
     return run
 
 
 def _summed_slots(least: int):
-    """Slots that reach the least count. A task holds the slices dealt to it."""
+    """Slots that reach the least count, and sums of words. A task holds the slices dealt to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        words: dict[str, int] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for k, cell in zip(b.column("slice").to_pylist(), b.column("counts"), strict=True):
-                raw = np.frombuffer(zlib.decompress(cell.as_buffer()), np.uint8).reshape(8, -1)
-                gaps, n = (np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in (raw[:4], raw[4:]))
-                sums = total.setdefault(k, np.zeros(SLICE, np.int64))
-                sums[np.cumsum(gaps, dtype=np.int64)] += n
-        for k, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(k * SLICE + np.flatnonzero(sums >= least))], names=["slot"])
+            for k, cell, lang in zip(b.column("slice").to_pylist(), b.column("counts"), b.column("lang").to_pylist(), strict=True):
+                if lang is not None:
+                    words[lang] = words.get(lang, 0) + int(np.frombuffer(cell.as_buffer(), np.int64)[0])
+                    continue
+                both = np.ascontiguousarray(np.frombuffer(unpack(cell.as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(2, -1)
+                total.setdefault(k, np.zeros(SLICE, np.int64))[np.cumsum(both[0], dtype=np.int64)] += both[1]
+        slots = np.concatenate([k * SLICE + np.flatnonzero(sums >= least) for k, sums in total.items()]) if total else np.zeros(0, np.int64)
+        none = len(slots)
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(slots), pa.nulls(len(words), pa.int64())]), pa.array([None] * none + list(words), pa.string()), pa.array([None] * none + list(words.values()), pa.int64())],
+            names=["slot", "lang", "n"],
+        )
 
     return run
 
 
-def _gathered(held, width: int, longest: int):
-    """Distinct phrases of the slots of this pass."""
+def _gathered(held, width: int, longest: int, chunk: int, chunks: int):
+    """Phrases of the slots of this pass, most of them once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, seen = held.value, np.zeros(0, np.uint64)
+        slots, low, mask = held.value, np.zeros(_FILTER, bool), np.uint64(_FILTER - 1)
+        low[slots & mask] = True
+        # Hashes told last, by their own low bits: what is pushed out is told again and counts as one in the end.
+        told = np.zeros(_FILTER, np.uint64)
         for b in batches:
-            seeds, lang = _seeds(b.column("lang")), b.column("lang")
-            for row, data, offsets in pieces_of(b.column("text")):
-                found, raw = [], data.tobytes()
-                for h, start, end in phrases_in(data, offsets, seeds[row:], longest):
-                    slot = h & np.uint64(width - 1)
-                    at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-                    hit = np.flatnonzero(slots[at] == slot)
-                    x, i = np.unique(h[hit], return_index=True)
-                    new = ~np.isin(x, seen)
-                    seen = np.union1d(seen, x[new])
-                    i = hit[i[new]]
-                    own = lang.take(pa.array(row + np.searchsorted(offsets, start[i], "right") - 1))
-                    found.append((own, [raw[p:q] for p, q in zip(start[i].tolist(), end[i].tolist(), strict=True)], n_words := len(found) + 1))
+            for lang, data in folded(b):
+                raw, found, words, shorter = data.tobytes(), [], [], None
+                for n, (h, whole, start, end) in enumerate(phrases_in(data, lang, longest), 1):
+                    # Parts of a frequent phrase are frequent, so only phrases of such parts are looked up. Of parts whose slots
+                    # another pass has, this one knows nothing.
+                    at = np.flatnonzero(whole if shorter is None else whole & shorter[:-1] & shorter[1:])
+                    slot = h[at] & np.uint64(width - 1)
+                    foreign = at[slot % np.uint64(chunks) != np.uint64(chunk)] if chunks > 1 else at[:0]
+                    near = low[slot & mask]
+                    at, slot = at[near], slot[near]
+                    hit = at[slots[np.minimum(np.searchsorted(slots, slot), len(slots) - 1)] == slot]
+                    shorter = np.zeros(len(h), bool)
+                    shorter[hit] = shorter[foreign] = True
+                    place = h[hit] >> np.uint64(40) & mask
+                    hit, place = hit[told[place] != h[hit]], place[told[place] != h[hit]]
+                    told[place] = h[hit]
+                    _, i = np.unique(h[hit], return_index=True)
+                    found += [b" ".join(raw[p:q].split()) for p, q in zip(start[hit[i]].tolist(), end[hit[i]].tolist(), strict=True)]
+                    words += [n] * len(i)
                 if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.concat_arrays([x for x, _, _ in found]), pa.array([p for _, x, _ in found for p in x], pa.binary()).cast(pa.string()), pa.array(np.repeat(np.arange(1, n_words + 1), [len(x) for _, x, _ in found]), pa.int32())],
-                        names=["lang", "phrase", "words"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(words, pa.int32())], names=["lang", "phrase", "words"])
 
     return run
 
@@ -180,11 +217,11 @@ def _scanned(held):
         automata = _automata(held)
         counts = [np.zeros(len(ids), np.int64) for _, _, ids in automata]
         for b in batches:
-            lang = b.column("lang")
-            for k, (own, found, ids) in enumerate(automata):
-                for text in b.column("text").filter(pa.compute.equal(lang, own)).to_pylist():
-                    # A text of many matches is counted in one array of small integers.
-                    counts[k] += np.bincount(np.fromiter((i for _, i in found.iter(text)), np.int32), minlength=len(ids))
+            for lang, data in folded(b):
+                own = [k for k, x in enumerate(automata) if x[0] == lang]
+                text = guarded(data) if own else ""
+                for k in own:
+                    counts[k] += np.bincount(np.fromiter((i for _, i in automata[k][1].iter(text)), np.int32), minlength=len(counts[k]))
         for c, (_, _, ids) in zip(counts, automata, strict=True):
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(c[at])], names=["pid", "n"])
@@ -208,22 +245,19 @@ def _passes(spark: SparkSession, phrases: DataFrame) -> Iterator[list[tuple[str,
 
 def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of up to `longest` words found `least` times or more, and (lang, n), all words."""
-    stash = Stash(spark)
-    texts = stash.put(normal_texts(docs), "texts", TEXTS)
-    words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) - 1
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    totals = stash.put(texts.groupBy("lang").agg(F.sum(F.greatest(words - breaks, F.lit(0)).cast("long")).alias("n")), "totals")
-    whole = totals.agg(F.sum("n")).first()[0] or 0
-    width = 1 << max(16, (4 * longest * whole // least).bit_length())
-    parts = max(1, width // SLICE // 4)
-    counts = texts.mapInArrow(_slot_counts(width, longest), "slice long, counts binary").repartition(parts, "slice")
-    slots = stash.put(counts.mapInArrow(_summed_slots(least), "slot long"), "slots", TEXTS, hashes=True)
+    stash, texts = Stash(spark), lang_texts(docs)
+    # A word and its separator take six bytes or more of nearly all texts; shorter ones only fill the slots more.
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    width = 1 << max(16, (4 * longest * words // least).bit_length())
+    counts = texts.mapInArrow(_slot_counts(width, longest), "slice long, counts binary, lang string").repartition(max(1, width // SLICE // 4), "slice")
+    sums = stash.put(counts.mapInArrow(_summed_slots(least), "slot long, lang string, n long"), "sums", TEXTS)
+    slots, totals = sums.where("slot IS NOT NULL").select("slot"), sums.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     chunks, number = -(-slots.count() // SLOTS), 0
     out = spark.createDataFrame([], "pid long, lang string, phrase string, words int, a long")
     for i in range(chunks):
-        own = slots.where(F.pmod(F.xxhash64("slot"), F.lit(chunks)) == i).toArrow()["slot"].to_numpy()
+        own = slots.where(F.col("slot") % chunks == i).toArrow()["slot"].to_numpy()
         held = spark.sparkContext.broadcast(np.sort(own).astype(np.uint64))
-        found = texts.mapInArrow(_gathered(held, width, longest), "lang string, phrase string, words int").distinct()
+        found = texts.mapInArrow(_gathered(held, width, longest, i, chunks), "lang string, phrase string, words int").distinct()
         phrases = stash.put(found.withColumn("pid", F.monotonically_increasing_id()), "phrases", TEXTS)
         held.unpersist()
         for taken in _passes(spark, phrases):

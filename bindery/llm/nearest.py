@@ -101,10 +101,12 @@ def survivors(q: Queries, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     low, high, spread = stats[-1][:, :s].min(0), stats[-1][:, :s].max(0), stats[-1][:, s:].max(0)
     mean, deviation = q.levels[-1][:, :s], q.levels[-1][:, s:]
     box = np.clip(mean, 0, None) @ high + np.clip(mean, None, 0) @ low + deviation @ spread
-    near, out = np.flatnonzero(box + q.slack * norm.max() + 1e-6 >= q.least), []
+    # A score of the lowest limit may stand for any below it.
+    asked = np.where(q.least == _LOW, -np.inf, q.least.astype(float))
+    near, out = np.flatnonzero(box + q.slack * norm.max() + 1e-6 >= asked), []
     for i in range(0, len(near), SIDE):
         at = near[i : i + SIDE]
-        least = q.least[at, None].astype(float) - q.slack[at, None] * norm - 1e-6
+        least = asked[at, None] - q.slack[at, None] * norm - 1e-6
         row = col = None
         for a, b in zip(q.levels, stats, strict=True):
             if row is None:

@@ -22,6 +22,7 @@ their names, are not looked at.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from bindery.llm.common import TEXTS, Stash, mix, sized, words_in
 PUNCTUATION, LONGEST, LEAST, KEPT = ".,;:!?\x0a\x0b\x0c\x0d", 5, 100, 2000
 #: Phrases that a task counts before it hands on what it has, and bytes of texts that it looks at at once.
 HELD, AT_ONCE = 1 << 23, 1 << 22
+#: Splits of the texts that a task takes which hands on phrases.
+SPLITS = 8
 #: Slots in a slice, the unit that is summed by one task.
 SLICE = 1 << 20
 #: Slots whose phrases are counted by one pass, and bytes of the phrases of one pass and of one automaton.
@@ -190,31 +193,23 @@ def automaton(phrases: list[str]):
     return out
 
 
-_built: dict[int, list] = {}
+_built: dict[str, list] = {}
 
 
-def _automata(held) -> list:
-    """(lang, automaton, ids) of a broadcast pass; a worker keeps those of the pass it is at."""
-    if held.id not in _built:
+def _automata(held, name: str) -> list:
+    """(lang, automaton, ids) of a broadcast pass. A worker process keeps those of the pass it is at, and outlives queries, so
+    passes have names that no other one has."""
+    if name not in _built:
         _built.clear()
-        _built[held.id] = [(lang, automaton(phrases), ids) for lang, phrases, ids in held.value]
-    return _built[held.id]
-
-
-class _Pass:
-    """What is broadcast for a pass, known to workers by a number of its own."""
-
-    def __init__(self, held, number: int):
-        self.held, self.id = held, number
-
-    @property
-    def value(self):
-        return self.held.value
+        _built[name] = [(lang, automaton(phrases), ids) for lang, phrases, ids in held.value]
+    return _built[name]
 
 
 def _scanned(held):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(held)
+        automata = _automata(held, name)
         counts = [np.zeros(len(ids), np.int64) for _, _, ids in automata]
         for b in batches:
             for lang, data in folded(b):
@@ -252,7 +247,10 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, long
     counts = texts.mapInArrow(_slot_counts(width, longest), "slice long, counts binary, lang string").repartition(max(1, width // SLICE // 4), "slice")
     sums = stash.put(counts.mapInArrow(_summed_slots(least), "slot long, lang string, n long"), "sums", TEXTS)
     slots, totals = sums.where("slot IS NOT NULL").select("slot"), sums.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    chunks, number = -(-slots.count() // SLOTS), 0
+    chunks = -(-slots.count() // SLOTS)
+    # A task of these passes hands on a row for each phrase that it meets, so it takes several splits of the texts, if
+    # enough tasks are left for all cores.
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS))
     out = spark.createDataFrame([], "pid long, lang string, phrase string, words int, a long")
     for i in range(chunks):
         own = slots.where(F.col("slot") % chunks == i).toArrow()["slot"].to_numpy()
@@ -261,8 +259,8 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, long
         phrases = stash.put(found.withColumn("pid", F.monotonically_increasing_id()), "phrases", TEXTS)
         held.unpersist()
         for taken in _passes(spark, phrases):
-            held, number = spark.sparkContext.broadcast(taken), number + 1
-            n = stash.put(texts.mapInArrow(_scanned(_Pass(held, number)), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "counts", TEXTS)
+            held = spark.sparkContext.broadcast(taken)
+            n = stash.put(texts.mapInArrow(_scanned(held), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "counts", TEXTS)
             held.unpersist()
             out = out.unionByName(phrases.join(sized(n, 16), "pid").select("pid", "lang", "phrase", "words", "a"))
     return stash.put(out.drop("pid"), "found"), totals

@@ -207,6 +207,14 @@ def test_collocations_equal_brute_force(spark, phrases, monkeypatch, held, slots
     assert sorted(tuple(r) for r in got.collect()) == plain_collocations(phrases, 20)
 
 
+def test_workers_keep_no_automata_of_other_queries(spark):
+    """Worker processes are used again; two runs over different texts in a row each count their own phrases."""
+    for word in ("x", "y", "x"):
+        rows = [("en", f"{word} b {word} c. {word} d" * 5)] * 8
+        df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+        assert sorted(tuple(r) for r in collocations.collocations(spark, df, least=20).collect()) == plain_collocations(rows, 20)
+
+
 def test_collocations_limits_and_empty_tables(spark, phrases):
     df = spark.createDataFrame(phrases, "lang string, text string")
     assert sorted(tuple(r) for r in collocations.collocations(spark, df, least=20, kept=3).collect()) == plain_collocations(phrases, 20, 3)

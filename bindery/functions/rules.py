@@ -33,16 +33,62 @@ def any_of(words: tuple[str, ...]) -> str:
 
 #: Words that say what a title sells; (code, words, whether a photobook word in the title outweighs them).
 SIGNALS = ("photobook", "photo book", "photography book", "写真集", "フォトブック", "寫真集", "寫真書", "攝影集", "摄影集", "照片集", "影像集")
-TITLE_WORDS = (
-    ("nonbook_product", ("telephone card", "テレホンカード", "ブロマイド", "ボールマーカー", "アートポスター", "額入り", "パンフレット"), False),
-    ("magazine_or_supplement", ("漫画アクション", "ヤングジャンプ", "特別付録", "袋とじ"), False),
-    ("synthetic_subject", ("AI art", "AI generated", "生成AI", "AIグラビア", "AIポスター"), False),
-    ("download_resale", ("写真データ", "画像データ", "ダウンロード販売"), False),
-    ("disc_only", ("DVD", "Blu-ray", "ブルーレイ"), True),
-    ("magazine_only", ("増刊", "雑誌", "特集号", "週刊現代", "TVガイド"), True),
-    ("illustrated_book", ("illustrated", "illustration", "插畫", "插画", "イラスト"), False),
-    ("calendar_only", ("calendar", "月曆", "月历", "桌曆", "日曆", "年曆", "カレンダー"), True),
+#: A photobook said outright, which outweighs some rules.
+STRONG_SIGNAL = (
+    r"(?i)\bphoto\s*book\b|\bphotography\s*book\b|\bphoto(?:graphic)?\s+(?:essay|monograph|album)\b|写真集|フォトブック|寫真集|寫真書|數位寫真|数字写真|數字寫真|攝影集|摄影集|攝影書|摄影书|照片集|"
+    r"写真本|写真帖|寫真帖|写真画集|攝影畫冊|摄影画册|攝影作品集|摄影作品集|影像集|影像作品集"
 )
+#: What a title sells, in order: (code, pattern, whether a photobook said outright outweighs it). Rules that name single
+#: works and people are not shipped; a table with them can be given instead.
+TITLE_RULES = (
+    ("nonhuman_subject", r"リカちゃん人形", False),
+    ("nonbook_product", r"生写真.*ブロマイド.*セット.*ポストカード|写真集.*映画パンフレット", False),
+    ("magazine_only", r"写真集系雑誌", False),
+    ("nonbook_product", r"テレホンカード.*度数", False),
+    ("magazine_only", r"(?i)表紙.*洋書|GRAVURE\s*MAGAZINE", False),
+    ("magazine_or_supplement", r"漫画アクション|ヤングジャンプ.*[0-9]+号", False),
+    ("magazine_only", r"旧雑誌|PAPER.*表紙", False),
+    ("synthetic_subject", r"(?i)AIポスター", False),
+    ("disc_only", r"(?i)ROM写真集", False),
+    ("nonbook_product", r"ブロマイド$", False),
+    ("reference_book", r"写真集ガイド", False),
+    ("magazine_only", r"表紙.*インタビュー", False),
+    ("disc_only", r"(?i)雑誌付録DVD|写真集SE\s*DVD", False),
+    ("disc_only", r"(?i)^DVD\s*写真集|DVD写真集\[", False),
+    ("disc_only", r"(?i)\[中古[^\]]*DVD\]|写真集.*メイキングDVD.*枚セット", False),
+    ("nonbook_product", r"L判写真\s*[0-9]+枚", False),
+    ("nonbook_product", r"ボールマーカー", False),
+    ("magazine_or_supplement", r"ミニ写真集付き.*漫画アクション", False),
+    ("nonbook_product", r"(?i)アート\s*ポスター|\[(?:中古(?:\s*セル版)?|新品\s*未開封)\s*DVD\]|カレンダーブック|フォトCD|Photo\s*CD|額入り|舞台.*パンフレット|振袖カタログ", False),
+    ("magazine_only", r"(?i)[0-9]{4}年\s*[0-9]{1,2}月(?:[0-9]{1,2}日)?号|週刊現代|週刊プレイボーイ|TVガイド\s*Stage\s*Stars|EX大衆|ヤングチャンピオン.*袋とじ|臨時増刊", False),
+    ("magazine_only", r"グラビアチャンピオン", False),
+    ("magazine_or_supplement", r"(?i)写真集クオリティ|グラビアザテレビジョン|特別付録.*MINIブック", False),
+    ("disc_only", r"(?i)(?:CD|BD|Blu[ -]?ray|ブルーレイ)\s*写真集|^アイドルDVD", False),
+    ("disc_only", r"(?i)DVD|Blu[ -]?ray|ブルーレイ", True),
+    ("magazine_only", r"(?i)増刊|FRIDAY\s*GOLD", True),
+    ("synthetic_subject", r"(?i)AI[\s・_-]*(?:アート|美女|生成|グラビア)|生成AI|AI-generated", False),
+    ("download_resale", r"写真データ|画像データ|ダウンロード販売", False),
+    ("junior_gravure", r"(?i)(?:ジュニア|Jr\.).*(?:グラビア|水着)|(?:グラビア|水着).*(?:ジュニア|Jr\.)", False),
+    ("magazine_only", r"[0-9]{4}年[0-9]{1,2}月号|特集号|熱烈投稿|雑誌", True),
+    ("illustrated_book", r"(?i)插畫|插画|イラスト|illustrat(?:ed|ion)", False),
+    ("calendar_only", r"(?i)月曆|月历|桌曆|桌历|日曆|日历|掛曆|挂历|年曆|年历|カレンダー|\bcalendar\b", True),
+)
+#: Brands of magazines under which single books are sold too, what says that a title is such a book, and what says that
+#: it comes with a magazine.
+MAGAZINE_BRANDS, MAGAZINE_CODES = r"週刊現代|週刊プレイボーイ|EX大衆|漫画アクション", ("magazine_only", "magazine_or_supplement")
+DIGITAL_BOOK = r"デジタル写真集|グラビアン魂.*写真集|写真集.*グラビアン魂"
+WITH_MAGAZINE = r"(?:デジタル|ミニ)写真集(?:付き|付属)|(?:付録|特典).{0,12}写真集|雑誌"
+#: Weaker signals of a photobook, things that are none, and phrases about extras that come with one.
+WEAK_SIGNAL = STRONG_SIGNAL + r"|(?<!生)写真|寫真|相冊|相簿|画册|畫冊"
+NOT_BOOKS = (
+    r"(?i)\b(?:trading\s*card|photo\s*card|photocard|figure|figurine|doll|plush|acrylic|keychain|merch|goods|custom\s*album|empty\s*album|photo\s*book\s*printing|printing\s*service|voucher)\b|"
+    r"トレカ|トレーディングカード|フォトカード|生写真カード|チェキ|フィギュア|ぬいぐるみ|アクリル|グッズ|周邊|周辺|寫真卡|照片卡|收藏卡|交易卡|相簿內頁|空白相簿|空白相冊|自製相冊|定制相冊|立牌|印刷服務|印刷服务|兌換碼|兑换码"
+)
+SCALE_MODELS = r"(?i)\b(?:(?:car|aircraft|vehicle|scale|plastic)\s+model|model\s+(?:kit|train|number))\b|モデルカー|模型玩具|模型套件|模型車|模型车"
+CARDS = r"(?i)\b(?:postcard|poster|calendar|sticker|card|photo\s*card)\b|ポストカード|ポスター|カレンダー|カード|海報|日曆|明信片|卡片"
+ALBUMS, ARTBOOKS, PHOTOGRAPHY = r"相冊|相簿|相册", r"(?i)\bart\s*book\b|artbook|画册|畫冊", r"(?i)写真|寫真|摄影|攝影|photo"
+_EXTRA = r"(?:postcard|poster|calendar|sticker|card|photo\s*card|トレカ|トレーディングカード|寫真卡|照片卡|收藏卡|交易卡|ポストカード|ポスター|カレンダー|カード|海報|日曆|明信片|卡片)"
+BONUS = rf"(?i)(?:bonus|with|includes?|including|特典|付録|附贈|附赠|贈品|赠品|付き|付属|附送|含).{{0,50}}{_EXTRA}|{_EXTRA}.{{0,30}}(?:bonus|特典|付き|付属|附贈|附赠|贈品|赠品)"
 #: Reasons by which a reviewer may exclude a title.
 EXCLUSIONS = (
     "calendar_only", "illustrated_book", "disc_only", "magazine_only", "magazine_or_supplement", "junior_gravure", "artist_monograph", "synthetic_subject",
@@ -50,17 +96,32 @@ EXCLUSIONS = (
 )
 
 
-def title_exclusion(title: Column, rules=TITLE_WORDS) -> Column:
-    """Code of the first rule whose words a title has, or null. `rules` may be any table of that shape."""
+def title_exclusion(title: Column, rules=TITLE_RULES) -> Column:
+    """Code of the first rule that fits a title, or null. `rules` may be any table of that shape."""
     text = narrow(title)
-    out, signal = None, text.rlike(any_of(SIGNALS))
-    for code, words, outweighed in rules:
-        hit = text.rlike(any_of(words))
-        hit = hit & ~signal if outweighed else hit
-        out = F.when(hit, code) if out is None else out.when(hit, code)
+    out, signal = F.when(F.lit(False), ""), text.rlike(STRONG_SIGNAL)
+    for code, pattern, outweighed in rules:
+        hit = text.rlike(pattern)
+        out = out.when(hit & ~signal if outweighed else hit, code)
     return out
 
 
+def digital_title_exclusion(title: Column, rules=TITLE_RULES) -> Column:
+    """The same for digital books. One that is sold under a magazine's brand and says that it is a book of its own is judged again
+    without the brand, so that other reasons still exclude it."""
+    text, reason = narrow(title), title_exclusion(title, rules)
+    own = reason.isin(*MAGAZINE_CODES) & text.rlike(DIGITAL_BOOK) & ~text.rlike(WITH_MAGAZINE)
+    return F.when(own, title_exclusion(F.regexp_replace(text, MAGAZINE_BRANDS, ""), rules)).otherwise(reason)
+
+
+def looks_like_photobook(title: Column) -> Column:
+    """A photobook is said, and once phrases about extras are taken out, nothing says that it is something else."""
+    text = narrow(F.coalesce(title, F.lit("")))
+    bare = F.regexp_replace(text, BONUS, " ")
+    other = bare.rlike(NOT_BOOKS) | bare.rlike(SCALE_MODELS) | ((bare.rlike(CARDS) | bare.rlike(ALBUMS)) & ~bare.rlike(STRONG_SIGNAL)) | (bare.rlike(ARTBOOKS) & ~bare.rlike(PHOTOGRAPHY))
+    return text.rlike(WEAK_SIGNAL) & ~other
+
+
 #: Words of electronic and of printed editions, and of extras that come with a printed one.
 DIGITAL = ("ebook", "e-book", "digital", "pdf", "epub", "電子書", "电子书", "電子版", "电子版", "デジタル写真集", "電子写真集")
 PRINTED = ("paperback", "hardcover", "printed", "physical", "紙本", "纸本", "實體", "实体", "印刷", "ハードカバー", "ソフトカバー", "書籍")

@@ -9,38 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-#: (reason, pattern) in order; the first that fits a title excludes it. A neutral sample of a rule table.
-TITLE_RULES = (
-    ("symbols", r"[#$%&*]{3,}"),
-    ("menu", r"\|.*\|.*\|"),
-    ("shouting", r"!!.*!!"),
-    ("calendar", r"(?i)calendar|kalender|calendrier|calendario"),
-    ("licence", r"(?i)licensed under"),
-)
-PHOTO_WORDS = r"(?i)photo|fotob|写真集|寫真"
-NOISE_WORDS = r"(?i)calendar|poster|keychain|クリアファイル"
-BONUS_PHRASES = r"(?i)\[[^\]]*bonus[^\]]*\]|\([^)]*bonus[^)]*\)|特典[^\s]*"
-
-
-def exclusion_reason(title: Column, rules=TITLE_RULES) -> Column:
-    """The first rule that excludes a title, or null."""
-    out = None
-    for reason, pattern in rules:
-        out = F.when(title.rlike(pattern), reason) if out is None else out.when(title.rlike(pattern), reason)
-    return out
-
-
-def brand_exclusion(title: Column, brand: Column) -> Column:
-    """The rules again, on the title without its store brand."""
-    return exclusion_reason(F.trim(F.replace(title, brand, F.lit(""))))
-
-
-def looks_like_photobook(title: Column) -> Column:
-    """A photobook word, and no noise once bonus phrases are taken out."""
-    bare = F.regexp_replace(title, BONUS_PHRASES, " ")
-    return bare.rlike(PHOTO_WORDS) & ~bare.rlike(NOISE_WORDS)
-
-
 def corrupt(text: Column) -> Column:
     return text.rlike(r"\?{2,}")
 
@@ -121,6 +89,12 @@ def nfkc_key(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility form."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def nfkc_spaced(text: pd.Series) -> pd.Series:
     """Compatibility form, lower-cased, without white space: the search variant keeps punctuation."""

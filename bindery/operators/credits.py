@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import texts
+from bindery.storage import Scratch
 
 
 def _lower(names: Column) -> Column:
@@ -29,7 +30,9 @@ def credit_segments(lists: DataFrame, rounds: int = 20) -> DataFrame:
     heads = split.select("key", F.explode(F.sequence(F.lit(2), F.greatest(F.size("key") - 1, F.lit(2)))).alias("n")).where("n < size(key)")
     heads = heads.select("key", F.expr("slice(key, 1, n)").alias("head"))
     longer = heads.join(split.select(F.col("key").alias("head")).distinct(), "head", "left_semi").select("key").distinct()
-    todo = split.join(longer, "key", "left_anti").where(_latin(F.col("names"))).select("names", "works").checkpoint()
+    todo = split.join(longer, "key", "left_anti").where(_latin(F.col("names"))).select("names", "works")
+    scratch = Scratch(lists.sparkSession)
+    todo = scratch.put(todo, "segments")
     for _ in range(rounds):
         firsts = todo.select(F.lower(F.get("names", F.lit(0))).alias("name")).distinct()
         at = todo.select("names", F.posexplode(_lower(F.col("names"))).alias("i", "name")).where("i > 0 AND name <> lower(names[0])")
@@ -37,9 +40,10 @@ def credit_segments(lists: DataFrame, rounds: int = 20) -> DataFrame:
         cut = todo.join(stops, "names", "left").select(F.when(F.col("stop").isNull(), F.col("names")).otherwise(F.expr("slice(names, 1, stop)")).alias("names"), "works")
         cut = cut.where((F.size("names") > 1) & _latin(F.col("names")))
         best = Window.partitionBy(_lower(F.col("names"))).orderBy(F.desc("works"), "names")
-        new = cut.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place").checkpoint()
+        new = scratch.put(cut.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"), "segments")
         if new.exceptAll(todo).limit(1).count() + todo.exceptAll(new).limit(1).count() == 0:
             break
+        scratch.drop(todo)
         todo = new
     return todo.select(F.col("names").alias("segment"), "works")
 

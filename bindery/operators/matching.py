@@ -13,6 +13,7 @@ from bindery.functions import texts
 BUNDLES = ("セット", "まとめ")
 VOLUMES = "冊"
 LABEL = "写真集"
+OPENING, CLOSING = "『「\"'", "』」\"'"
 #: Characters of the pieces by which titles and aliases meet.
 PIECE = 2
 
@@ -24,6 +25,20 @@ def _pieces(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(cut))
 
 
+def _set_apart(title: Column, alias: Column) -> Column:
+    """Whether the alias stands somewhere in marks, or beside LABEL: what is left and right of each place decides."""
+    around = F.split(title, F.concat(F.lit("\\Q"), alias, F.lit("\\E")), -1)
+
+    def here(i: Column) -> Column:
+        left, right = F.get(around, i - 1), F.get(around, i)
+        opened, closed = F.right(left, F.lit(1)).isin(*OPENING), F.left(right, F.lit(1)).isin(*CLOSING)
+        bare = F.when(opened, F.substr(left, F.lit(1), F.length(left) - 1)).otherwise(left)
+        leads = F.endswith(bare, F.lit(LABEL)) & (closed | ((right == "") & (i == F.size(around) - 1)))
+        return (opened & closed) | leads | ((i == 1) & (left == "") & F.startswith(right, F.lit(LABEL)))
+
+    return (F.size(around) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(around) - 1, F.lit(1))), here)
+
+
 def match_books(items: DataFrame, books: DataFrame) -> DataFrame:
     """(item_id, book_id, method) of physical items (item_id, title, isbn) that point to exactly one of `books`
     (book_id, alias, isbn): by ISBN where the item has one, else by an alias contained in the title.
@@ -45,11 +60,8 @@ def match_books(items: DataFrame, books: DataFrame) -> DataFrame:
     # A piece that no title has can't lead anywhere; it is the rarest, and its join is empty.
     rarest = pieces.groupBy("book_id", "a").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
     near = named.join(rarest.select("book_id", "a", F.col("p.piece").alias("piece")), "piece").where(F.contains("t", F.col("a")))
-    word = F.concat(F.lit("\\Q"), "a", F.lit("\\E"))
-    quoted = F.concat(F.lit("[『「\"']"), word, F.lit("[』」\"']"))
-    labelled = F.concat(F.lit(LABEL + "[『「\"']?"), word, F.lit("(?:[』」\"']|$)|^"), word, F.lit(LABEL))
     short = F.col("a").rlike("^[a-z]{1,5}$")
-    good = ~short | F.regexp_like("t", quoted) | F.regexp_like("t", labelled)
+    good = ~short | _set_apart(F.col("t"), F.col("a"))
     by_title = near.where(good).select("item_id", "book_id", F.lit("title").alias("method"))
     found = by_isbn.unionByName(by_title).distinct()
     one = found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("book_id").alias("book_id"), F.min("method").alias("method"))

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), f"bindery-{os.getuid()}"))
-    return df.checkpoint()
+from bindery.storage import Scratch
 
 
 def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
@@ -26,7 +14,7 @@ def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame
     Rows are dealt out by ranges and stored, so ranges keep their rows; each range sums its own, and only the ranges'
     totals, one row for each, are summed in one task.
     """
-    dealt = _checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    dealt = Scratch(df.sparkSession).put(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     total = dealt.groupBy("_range").agg(F.sum(value).alias("_n"))
     past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select("_range", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_base"))

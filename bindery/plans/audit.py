@@ -144,9 +144,9 @@ def offer_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{with_tables("listings")} SELECT source_name, count(*) AS offers, min(price_minor) AS low, row_number() OVER (ORDER BY source_name) AS place FROM listings WHERE status = 'active' GROUP BY source_name""")
 def platform_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Offers by platform, in the order of their names. As many rows as sources."""
+    """Offers by platform, in the order in which readers sort names. As many rows as sources."""
     g = T.listings(spark, d).where("status = 'active'").groupBy("source_name").agg(F.count("*").alias("offers"), F.min("price_minor").alias("low"))
-    return ordinals.numbered(g, ["source_name"], "place")
+    return ordinals.numbered(g.withColumn("sorted", F.collate("source_name", "UNICODE_CI")), ["sorted", "source_name"], "place").drop("sorted")
 
 
 @query(f"""{with_tables("editions", "listings")} SELECT e.edition_id, e.format FROM editions e WHERE edition_status = 'published' AND EXISTS (

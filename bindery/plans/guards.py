@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import ids, rules, texts
+from bindery.operators.intervals import interval_join, merged
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry, with_tables
 
@@ -64,16 +65,15 @@ n AS (SELECT source_id, CAST(observed_at AS DATE) AS day, count(*) AS n FROM obs
 c AS (SELECT n.source_id, n.day, n.n, count(DISTINCT field) AS fields FROM n LEFT JOIN g ON g.source_id = n.source_id AND live AND from_day <= n.day AND n.day < to_day AND to_day > DATE '1996-06-01' GROUP BY ALL)
 SELECT CASE WHEN fields >= 3 THEN 'covered' WHEN fields > 0 THEN 'some_fields' ELSE 'none' END AS coverage, count(*) AS captures, CAST(sum(n) AS BIGINT) AS observations FROM c GROUP BY 1""")
 def grants_as_of_capture(spark: SparkSession, d: str) -> DataFrame:
-    """Captures whose fields are granted both at the time of capture and now: field sets per source and day by an as-of join on the source."""
+    """Captures whose fields are granted both at the time of capture and now: spans joined on source and time."""
     o = T.observations(spark, d)
     day = lambda base, step: F.date_add(F.lit(base).cast("date"), (F.col("line") * step).cast("int"))
     g = o.select("source_id", _pick(F.col("line"), "title", "price", "currency").alias("field"), (F.col("source_id") % 5 != 0).alias("live"), day("1993-01-01", 200).alias("from_day"), day("1996-01-01", 90).alias("to_day")).distinct()
     g = g.where("live AND to_day > DATE '1996-06-01'")
     n = o.groupBy("source_id", F.col("observed_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    # Few grants for a source, as they differ by line only: gathered once, then looked up for each day.
-    spans = g.groupBy("source_id").agg(F.collect_list(F.struct("field", "from_day", "to_day")).alias("spans"))
-    valid = F.filter("spans", lambda x: (x["from_day"] <= F.col("day")) & (F.col("day") < x["to_day"]))
-    c = n.join(spans, "source_id", "left").withColumn("fields", F.coalesce(F.size(F.array_distinct(F.transform(valid, lambda x: x["field"]))), F.lit(0)))
+    spans = merged(g, ["source_id", "field"], "from_day", "to_day")
+    valid = interval_join(n, spans, ["source_id"], "day", "from_day", "to_day", 32 * 86_400).groupBy("source_id", "day").agg(F.count_distinct("field").alias("fields"))
+    c = n.join(valid, ["source_id", "day"], "left").withColumn("fields", F.coalesce("fields", F.lit(0)))
     coverage = F.when(F.col("fields") >= 3, "covered").when(F.col("fields") > 0, "some_fields").otherwise("none")
     return c.groupBy(coverage.alias("coverage")).agg(F.count("*").alias("captures"), F.sum("n").cast("long").alias("observations"))
 
@@ -286,14 +286,14 @@ def record_merge(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_set("publisher")), ",").alias("terms"), F.min("work_id").alias("first"))
 
 
-@query("""WITH t AS (SELECT page_id // 12 AS sheet, page_id AS tile, (page_id * 37) % 400 AS x, (page_id % 12) // 4 * 100 + page_id % 7 AS y FROM pages),
-g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY sheet ORDER BY y, x, tile) <= 15 THEN 0 ELSE 1 END AS new FROM t),
+@query("""WITH t AS (SELECT user_id AS sheet, event_id AS tile, CAST(floor(value) AS INT) AS x, CAST(json_extract(props, '$.k') AS INT) AS y FROM events),
+g AS (SELECT *, CASE WHEN y - lag(y) OVER w <= 15 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY sheet ORDER BY y, x, tile)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY sheet ORDER BY y, x, tile) AS visual_row FROM g)
 SELECT sheet, tile, CAST(visual_row AS BIGINT) AS visual_row, row_number() OVER (PARTITION BY sheet ORDER BY visual_row, x, tile) AS place FROM r""")
 def tile_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of a sheet in reading order: heights less than a tolerance apart are one row, rows go from left to right."""
-    k = F.col("page_id")
-    t = T.table(spark, d, "pages").select(F.floor(k / 12).alias("sheet"), k.alias("tile"), (k * 37 % 400).alias("x"), (F.floor(k % 12 / 4) * 100 + k % 7).alias("y"))
+    """Tiles of a sheet in reading order: heights less than a tolerance apart are one row, rows go from left to right. A user's
+    events are tiles: their values are how far right they stand, their properties how far down."""
+    t = T.table(spark, d, "events").select(F.col("user_id").alias("sheet"), F.col("event_id").alias("tile"), F.floor("value").cast("int").alias("x"), F.get_json_object("props", "$.k").cast("int").alias("y"))
     down = Window.partitionBy("sheet").orderBy("y", "x", "tile")
     t = t.withColumn("new", F.when(F.col("y") - F.lag("y").over(down) <= 15, 0).otherwise(1)).withColumn("visual_row", F.sum("new").over(down).cast("long"))
     return t.select("sheet", "tile", "visual_row", F.row_number().over(Window.partitionBy("sheet").orderBy("visual_row", "x", "tile")).alias("place"))
@@ -301,7 +301,10 @@ def tile_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # --- titles, names and addresses ---------------------------------------------------------------------------------
 
-_SUFFIXES = ("", "DVD", "DVD 写真集", "カレンダー", "photo book calendar", "イラスト", "増刊", "テレホンカード", "AI art", "ダウンロード販売", "袋とじ", "雑誌")
+_SUFFIXES = (
+    "", "DVD", "DVD付き 写真集", "カレンダー", "photo book calendar", "イラスト", "増刊", "テレホンカード 50度数", "生成AI", "ダウンロード販売", "ヤングジャンプ 12号", "ヤングジャンプ", "雑誌", "EX大衆 デジタル写真集", "漫画アクションデジタル写真集付き",
+    "週刊現代 デジタル写真集 イラスト", "写真集 with postcard", "写真集 トレカ", "photo book calendar card", "artbook", "生写真", "寫真 model kit", "2024年5月号", "フォトCD 写真集", "Jr. 水着",
+)
 
 
 def _sql_words(words: tuple[str, ...]) -> str:
@@ -309,16 +312,32 @@ def _sql_words(words: tuple[str, ...]) -> str:
     return "(?i)(" + "|".join(r"\b" + w.replace(" ", r"\s*") + r"\b" if w.isascii() else w for w in words) + ")"
 
 
-def _sql_titles() -> str:
-    cases = "".join(f" WHEN regexp_matches(t, '{_sql_words(w)}'){' AND NOT signal' if out else ''} THEN '{c}'" for c, w, out in rules.TITLE_WORDS)
-    return f"CASE{cases} ELSE 'kept' END"
+def _sql_titles(t: str) -> str:
+    cases = "".join(f" WHEN regexp_matches({t}, '{p}'){f" AND NOT regexp_matches({t}, '{rules.STRONG_SIGNAL}')" if out else ''} THEN '{c}'" for c, p, out in rules.TITLE_RULES)
+    return f"CASE{cases} END"
+
+
+_TITLES_SQL = f"""{with_tables("works")}, t AS (SELECT title || ' ' || {_sql_pick("work_id", *_SUFFIXES)} AS t FROM works)"""
 
 
-@query(f"""{with_tables("works")}, t AS (SELECT title || ' ' || {_sql_pick("work_id", *_SUFFIXES)} AS t FROM works), s AS (SELECT t, regexp_matches(t, '{_sql_words(rules.SIGNALS)}') AS signal FROM t)
-SELECT {_sql_titles()} AS code, count(*) AS n FROM s GROUP BY 1""")
+@query(f"""{_TITLES_SQL}, c AS (SELECT t, {_sql_titles("t")} AS code FROM t),
+e AS (SELECT *, code IN ('magazine_only', 'magazine_or_supplement') AND (contains(t, 'デジタル写真集') OR (contains(t, 'グラビアン魂') AND contains(t, '写真集'))) AND NOT regexp_matches(t, '{rules.WITH_MAGAZINE}') AS own, regexp_replace(t, '{rules.MAGAZINE_BRANDS}', '', 'g') AS bare FROM c)
+SELECT coalesce(code, 'kept') AS code, coalesce(CASE WHEN own THEN {_sql_titles("bare")} ELSE code END, 'kept') AS digital_code, count(*) AS n FROM e GROUP BY ALL""")
 def title_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by the first rule that fits, and as digital books."""
+    t = F.concat("title", F.lit(" "), _pick(F.col("work_id"), *_SUFFIXES))
+    code, digital = (F.coalesce(f(t), F.lit("kept")) for f in (rules.title_exclusion, rules.digital_title_exclusion))
+    return T.works(spark, d).groupBy(code.alias("code"), digital.alias("digital_code")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_TITLES_SQL}, b AS (SELECT t, regexp_replace(t, '{rules.BONUS}', ' ', 'g') AS b, replace(t, '生写真', '') AS w FROM t),
+s AS (SELECT t, regexp_matches(w, '{rules.WEAK_SIGNAL.replace("(?<!生)", "")}') OR regexp_matches(t, '{rules.STRONG_SIGNAL}') AS said, regexp_matches(b, '{rules.STRONG_SIGNAL}') AS strong,
+  regexp_matches(b, '{rules.NOT_BOOKS}') AS thing, regexp_matches(b, '{rules.SCALE_MODELS}') AS scale, regexp_matches(b, '{rules.CARDS}') OR regexp_matches(b, '{rules.ALBUMS}') AS card, regexp_matches(b, '{rules.ARTBOOKS}') AND NOT regexp_matches(b, '{rules.PHOTOGRAPHY}') AS art FROM b)
+SELECT said AND NOT (thing OR scale OR (card AND NOT strong) OR art) AS photobook, count(*) AS n FROM s GROUP BY 1""")
+def photobook_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that say they are photobooks, extras aside."""
     t = F.concat("title", F.lit(" "), _pick(F.col("work_id"), *_SUFFIXES))
-    return T.works(spark, d).groupBy(F.coalesce(rules.title_exclusion(t), F.lit("kept")).alias("code")).agg(F.count("*").alias("n"))
+    return T.works(spark, d).groupBy(rules.looks_like_photobook(t).alias("photobook")).agg(F.count("*").alias("n"))
 
 
 _OFFER_TEXTS = ("ebook edition", "paperback", "printed book with ebook bonus", "PDF", "used copy", "hardcover, QR code to digital extras", "電子書")
@@ -369,13 +388,13 @@ def cover_labels(spark: SparkSession, d: str) -> DataFrame:
     return T.works(spark, d).select("work_id", rules.label_fits(label, title).alias("fits"))
 
 
-@query("""WITH c AS (SELECT page_id, [CASE WHEN page_id % 3 = 0 THEN 'https://cdn.example/a/restricted.jpg' WHEN page_id % 3 = 1 THEN 'https://cdn.example/p_mask.png' END, CASE WHEN page_id % 4 = 0 THEN 'http://a.example/1.jpg' END, CASE WHEN page_id % 5 <> 0 THEN 'https://a.example/' || page_id || '.jpg?w=1' END] AS u FROM pages)
-SELECT page_id, u[3] AS cover FROM c""")
+@query(rf"""WITH c AS (SELECT page_id, [url || '/p_Mask.png', regexp_replace(url, '[0-9]+$', 'NoImage.jpg'), replace(url, 'https:', 'http:') || '/cover.jpg', url || '.jpg?w=1'] AS c FROM pages)
+SELECT page_id, list_filter(c, lambda u: regexp_matches(u, '^https://[^/\s]+/') AND lower(regexp_extract(u, '([^/?#]*)([?#].*)?$', 1)) NOT IN {rules.PLACEHOLDERS} AND NOT regexp_matches(lower(regexp_extract(u, '([^/?#]*)([?#].*)?$', 1)), '_mask[.][a-z]+$'))[1] AS cover FROM c""")
 def cover_urls(spark: SparkSession, d: str) -> DataFrame:
-    """The first picture that is a cover."""
-    k = F.col("page_id")
-    u = F.array(F.when(k % 3 == 0, "https://cdn.example/a/restricted.jpg").when(k % 3 == 1, "https://cdn.example/p_mask.png"), F.when(k % 4 == 0, "http://a.example/1.jpg"), F.when(k % 5 != 0, F.concat(F.lit("https://a.example/"), k.cast("string"), F.lit(".jpg?w=1"))))
-    return T.table(spark, d, "pages").select("page_id", rules.cover_url(u).alias("cover"))
+    """The first picture that is a cover, of those that stand at pages' addresses: a masked one, a placeholder, an insecure one, one more."""
+    u = F.col("url")
+    c = F.array(F.concat(u, F.lit("/p_Mask.png")), F.regexp_replace(u, "[0-9]+$", "NoImage.jpg"), F.concat(F.replace(u, F.lit("https:"), F.lit("http:")), F.lit("/cover.jpg")), F.concat(u, F.lit(".jpg?w=1")))
+    return T.table(spark, d, "pages").select("page_id", rules.cover_url(c).alias("cover"))
 
 
 @query(r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://books.example.com/tw/book/some-title/id' || page_id || '?ref=x' WHEN 1 THEN 'https://m.example.org/single?pid=' || page_id || '&l=2' WHEN 2 THEN 'https://auctions.example.net/auction/q' || page_id
@@ -424,33 +443,47 @@ def sale_amounts(spark: SparkSession, d: str) -> DataFrame:
 # --- pages, cursors and reports ----------------------------------------------------------------------------------
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'Title ' || page_id END AS name, CASE WHEN page_id % 4 = 0 THEN page_id || '.50' END AS price, CASE WHEN page_id % 4 = 0 THEN 'JPY' END AS currency FROM pages""")
+_NODES = r"""WITH t AS (SELECT page_id, html, length(html) AS n, regexp_extract(html, '<title>([^<"\\\\]*)', 1) AS title FROM pages),
+h AS (SELECT page_id, html || CASE n % 4 WHEN 0 THEN s || '{"@type": "Book", "name": "' || title || '", "offers": {"price": "' || n || '", "priceCurrency": "JPY"}}' || e || s || '{"@type": "BreadcrumbList", "name": "Home"}' || e
+  WHEN 1 THEN s || '{"@type": "Product", "name": "' || title || '"}' || e || s || '[{"@type": "Product", "name": "' || title || '"}, {"@type": "BreadcrumbList"}]' || e
+  WHEN 2 THEN s || '{"@type": "Book", "name": "' || title || '"}' || e || s || '{"@type": "Book", "name": "' || n || '"}' || e ELSE s || '{"@type": "Book", "name": "' || title || e END AS html
+  FROM t, (VALUES ('<script type="application/ld+json">', '</script>')) AS w(s, e))"""
+
+
+@query(_NODES + r""", x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)) AS s FROM h),
+j AS (SELECT page_id, CAST(s AS JSON) AS j FROM x WHERE json_valid(s)), o AS (SELECT page_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS o FROM j),
+f AS (SELECT DISTINCT page_id, json_extract_string(o, '$."@type"') AS type, json_extract_string(o, '$.name') AS name, json_extract_string(o, '$.isbn') AS isbn, json_extract_string(o, '$.offers.price') AS price, json_extract_string(o, '$.offers.priceCurrency') AS currency FROM o),
+g AS (SELECT page_id, count(*) AS k, any_value(name) AS name, any_value(price) AS price, any_value(currency) AS currency FROM f WHERE type IN ('Book', 'Product') GROUP BY page_id)
+SELECT page_id, CASE WHEN k = 1 THEN name END AS name, CASE WHEN k = 1 THEN price END AS price, CASE WHEN k = 1 THEN currency END AS currency FROM pages LEFT JOIN g USING (page_id)""")
 def product_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Structured data of pages: one node, the same node twice, two different ones, and broken JSON."""
-    k = F.col("page_id").cast("string")
-    script = lambda body: F.concat(F.lit('<p>x</p><script type="application/ld+json">'), body, F.lit("</script>"))
-    book = F.concat(F.lit('{"@type": "Book", "name": "Title '), k, F.lit('", "offers": {"price": "'), k, F.lit('.50", "priceCurrency": "JPY"}}'))
-    bare = F.concat(F.lit('{"@type": "Product", "name": "Title '), k, F.lit('"}'))
-    crumbs = F.lit('{"@type": "BreadcrumbList", "name": "Home"}')
-    html = (
-        F.when(F.col("page_id") % 4 == 0, F.concat(script(book), script(crumbs))).when(F.col("page_id") % 4 == 1, F.concat(script(bare), script(F.concat(F.lit("["), bare, F.lit(", "), crumbs, F.lit("]")))))
-        .when(F.col("page_id") % 4 == 2, F.concat(script(book), script(bare))).otherwise(script(F.lit("{broken")))
+    """Structured data at the end of pages, with their own titles: one node, the same node twice, two different ones, and broken JSON."""
+    title, n = F.regexp_extract("html", r'<title>([^<"\\]*)', 1), F.length("html")
+    script = lambda *body: F.concat(F.lit('<script type="application/ld+json">'), *(F.lit(x) if isinstance(x, str) else x for x in body), F.lit("</script>"))
+    more = (
+        F.when(n % 4 == 0, F.concat(script('{"@type": "Book", "name": "', title, '", "offers": {"price": "', n.cast("string"), '", "priceCurrency": "JPY"}}'), script('{"@type": "BreadcrumbList", "name": "Home"}')))
+        .when(n % 4 == 1, F.concat(script('{"@type": "Product", "name": "', title, '"}'), script('[{"@type": "Product", "name": "', title, '"}, {"@type": "BreadcrumbList"}]')))
+        .when(n % 4 == 2, F.concat(script('{"@type": "Book", "name": "', title, '"}'), script('{"@type": "Book", "name": "', n.cast("string"), '"}'))).otherwise(script('{"@type": "Book", "name": "', title))
     )
-    node = rules.product_node(html)
+    node = rules.product_node(F.concat("html", more))
     return T.table(spark, d, "pages").select("page_id", node["name"].alias("name"), node["price"].alias("price"), node["currency"].alias("currency"))
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a' || page_id WHEN 1 THEN 'b' || page_id WHEN 2 THEN 'c' || page_id END AS token, page_id % 5 IN (0, 1) AS more FROM pages""")
+@query(r"""WITH e AS (SELECT event_id, regexp_extract(props, '[0-9]+') AS k, props, event_type, value FROM events),
+p AS (SELECT event_id, CASE event_type WHEN 'view' THEN replace(props, '"k": ' || k, '"nextPageToken": "' || k || '"') WHEN 'purchase' THEN '{"meta": {"nextPageToken": "' || k || '"}, "hasMore": ' || (value > 20) || '}' WHEN 'click' THEN '{"pagination": {"next": "' || CASE WHEN length(k) > 1 THEN k ELSE '' END || '"}}'
+  WHEN 'error' THEN '{"cursor": "' || k || '", "hasMore": false}' ELSE props END AS p FROM e),
+t AS (SELECT event_id, p, coalesce(nullif(json_extract_string(p, '$.nextPageToken'), ''), nullif(json_extract_string(p, '$.meta.nextPageToken'), ''), nullif(json_extract_string(p, '$.pagination.next'), ''), nullif(json_extract_string(p, '$.cursor'), '')) AS token FROM p)
+SELECT event_id, token, token IS NOT NULL AND NOT coalesce(json_extract_string(p, '$.hasMore') = 'false', false) AS more FROM t""")
 def page_cursors(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of next pages in answers of different shapes."""
-    k, s = F.col("page_id") % 5, F.col("page_id").cast("string")
-    text = lambda before, after: F.concat(F.lit(before), s, F.lit(after))
+    """Tokens of next pages in answers of different shapes: the events' properties under the names that sources use."""
+    e, kind = T.table(spark, d, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0)), F.col("event_type")
+    s = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    k = F.col("k")
     payload = (
-        F.when(k == 0, text('{"nextPageToken": "a', '"}')).when(k == 1, text('{"meta": {"nextPageToken": "b', '"}, "hasMore": true}')).when(k == 2, text('{"cursor": "c', '", "hasMore": false}'))
-        .when(k == 3, F.lit('{"nextPageToken": ""}')).otherwise(F.lit("no json"))
+        F.when(kind == "view", F.replace("props", s('"k": ', k), s('"nextPageToken": "', k, '"'))).when(kind == "purchase", s('{"meta": {"nextPageToken": "', k, '"}, "hasMore": ', (F.col("value") > 20).cast("string"), "}"))
+        .when(kind == "click", s('{"pagination": {"next": "', F.when(F.length(k) > 1, k).otherwise(""), '"}}')).when(kind == "error", s('{"cursor": "', k, '", "hasMore": false}')).otherwise(F.col("props"))
     )
     c = rules.page_cursor(payload)
-    return T.table(spark, d, "pages").select("page_id", c["token"].alias("token"), c["more"].alias("more"))
+    return e.select("event_id", c["token"].alias("token"), c["more"].alias("more"))
 
 
 @query(f"""{with_tables("works")}, p AS (SELECT work_id, title FROM works WHERE work_status = 'published'), c AS (SELECT title AS t, work_id AS w FROM p ORDER BY title DESC, work_id LIMIT 1 OFFSET 49)
@@ -546,13 +579,12 @@ def cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
     return T.works(spark, d).select("work_id", rules.cleaned_title(dressed).alias("title"))
 
 
-@query(f"""{with_tables("works")}, b AS (SELECT title, publisher, CASE WHEN work_id % 3 = 0 THEN publisher || ' DVD' WHEN work_id % 3 = 1 THEN publisher || ' $$$$' ELSE publisher || ' ?? ' || title END AS t FROM works)
-SELECT CASE WHEN contains(t, '$$$') THEN 'symbols' ELSE 'kept' END AS reason, regexp_matches(t, '[?][?]+') AS corrupt, count(*) AS n FROM b GROUP BY ALL""")
+@query(f"""{with_tables("works")}, b AS (SELECT CASE WHEN work_id % 3 = 0 THEN publisher || ' ?? ' || title ELSE title END AS t FROM works)
+SELECT contains(t, '??') AS corrupt, count(*) AS n FROM b GROUP BY 1""")
 def branded_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles judged without their store's brand (which has a # itself), and those whose letters were lost."""
-    k = F.col("work_id")
-    t = F.concat("publisher", F.when(k % 3 == 0, " DVD").when(k % 3 == 1, " $$$$").otherwise(F.concat(F.lit(" ?? "), "title")))
-    return T.works(spark, d).groupBy(F.coalesce(texts.brand_exclusion(t, F.col("publisher")), F.lit("kept")).alias("reason"), texts.corrupt(t).alias("corrupt")).agg(F.count("*").alias("n"))
+    """Titles whose letters were lost."""
+    t = F.when(F.col("work_id") % 3 == 0, F.concat("publisher", F.lit(" ?? "), "title")).otherwise(F.col("title"))
+    return T.works(spark, d).groupBy(texts.corrupt(t).alias("corrupt")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{with_tables("observations")}, o AS (SELECT source_id, external_id, thread, status, price_minor, currency, CASE WHEN line % 2 = 0 THEN ' ' || thread || '-' || line || ' ' ELSE '' END AS own FROM observations),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.functions import ids, offers, texts
+from bindery.functions import ids, offers, rules, texts
 from bindery.operators import lifecycle, permissions, upsert
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry, with_tables
@@ -218,13 +218,12 @@ def host_allow_list(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "pages").select("page_id", texts.host_allowed(F.col("url"), allowed).alias("allowed"))
 
 
-@query(r"""SELECT coalesce(CASE WHEN regexp_matches(t, '[#$%&*]{3,}') THEN 'symbols' WHEN regexp_matches(t, '\|.*\|.*\|') THEN 'menu' WHEN regexp_matches(t, '!!.*!!') THEN 'shouting'
-  WHEN regexp_matches(t, '(?i)calendar|kalender|calendrier|calendario') THEN 'calendar' WHEN regexp_matches(t, '(?i)licensed under') THEN 'licence' END, 'kept') AS reason, count(*) AS n
-FROM (SELECT string_split(text, chr(10))[1] AS t FROM documents) GROUP BY 1""")
+@query(f"""WITH t AS (SELECT unnest(string_split(text, chr(10))) AS t FROM documents), s AS (SELECT t, regexp_matches(t, '{rules.STRONG_SIGNAL}') AS signal FROM t)
+SELECT CASE {" ".join(f"WHEN regexp_matches(t, '{p}'){' AND NOT signal' if out else ''} THEN '{c}'" for c, p, out in rules.TITLE_RULES)} ELSE 'kept' END AS reason, count(*) AS n FROM s GROUP BY 1""")
 def title_exclusion_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """First lines as titles."""
-    t = T.table(spark, d, "documents").select(F.element_at(F.split("text", "\n"), 1).alias("t"))
-    return t.groupBy(F.coalesce(texts.exclusion_reason(F.col("t")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """Every line of every text as a title."""
+    t = T.table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("t"))
+    return t.groupBy(F.coalesce(rules.title_exclusion(F.col("t")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def grants(spark: SparkSession, d: str) -> DataFrame:

@@ -56,8 +56,9 @@ def lifecycle_stream(stream: DataFrame, key: str) -> DataFrame:
 
 
 def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """foreachBatch sink that keeps the last row of each key. Each batch writes the state after it beside those before, under
-    its own number, so that a batch that is run again starts from the same state and gives the same one."""
+    """foreachBatch sink that keeps the last row of each key. Each batch writes the state after it beside the one before, under
+    its own number, so that a batch that is run again starts from the same state and gives the same one. Older states go: only
+    the last batch can be run again. For a state much larger than its batches, run.updated writes the changes alone."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -65,6 +66,10 @@ def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str
         if batch_id and (old := previous(spark, path, batch_id)) is not None:
             state = old.unionByName(batch)
         keep_first(state, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        sc = spark.sparkContext
+        for old in range(max(0, batch_id - 3), batch_id - 1):
+            where = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}")
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
     return fold
 

@@ -88,7 +88,8 @@ def test_credit_segments_and_decomposition(spark, tmp_path):
     ("title", "code"),
     [
         ("Ａ　ＤＶＤ", "disc_only"), ("DVD付き 写真集", None), ("2024 calendar", "calendar_only"), ("calendar photo book", None), ("Illustrated guide", "illustrated_book"),
-        ("生成AI 写真集", "synthetic_subject"), ("paid illustrations", None), ("週刊現代 3号", "magazine_only"), (None, None), ("", None),
+        ("生成AI 写真集", "synthetic_subject"), ("paid illumination", None), ("週刊現代 3号", "magazine_only"), (None, None), ("", None), ("ヤングジャンプ", None), ("ヤングジャンプ 12号", "magazine_or_supplement"),
+        ("写真集 [中古 DVD]", "disc_only"), ("DVD photo album", None), ("ジュニア 水着", "junior_gravure"), ("２０２４年５月号 写真集", "magazine_only"),
     ],
 )
 def test_title_exclusions(spark, title, code):
@@ -172,8 +173,26 @@ def test_ids_and_urls(spark):
     assert one(spark, texts.canonical_url(F.lit("HTTPS://A.Example/x/?utm_source=f#top"))) == "https://a.example/x"
     assert one(spark, texts.external_id(F.lit("https://shop.test/items/ab-1"))) == "ab-1"
     assert one(spark, texts.host_allowed(F.lit("https://evil-example.org/"), F.array(F.lit("example.org")))) is False
-    assert one(spark, texts.looks_like_photobook(F.lit("写真集 (bonus poster)"))) is True
-    assert one(spark, texts.exclusion_reason(F.lit("a $$$ b"))) == "symbols"
+
+
+@pytest.mark.parametrize(
+    ("title", "code"),
+    [("EX大衆デジタル写真集 A", None), ("EX大衆デジタル写真集付き", "magazine_only"), ("EX大衆デジタル写真集 イラスト", "illustrated_book"), ("EX大衆 5月", "magazine_only"), ("漫画アクション グラビアン魂 写真集", None), ("デジタル写真集 DVD写真集[x]", "disc_only")],
+)
+def test_digital_books_under_magazine_brands(spark, title, code):
+    from bindery.functions import rules
+
+    assert one(spark, rules.digital_title_exclusion(F.lit(title))) == code
+
+
+@pytest.mark.parametrize(
+    ("title", "yes"),
+    [("写真集 (bonus poster)", True), ("photobook with postcard", True), ("写真集 トレカ", False), ("生写真", False), ("写真 カード", False), ("寫真集 卡片", True), ("相簿", False), ("artbook 写真", True), ("artbook 画册", False), ("car model photo book", False), ("novel", False), (None, False)],
+)
+def test_photobooks_by_title(spark, title, yes):
+    from bindery.functions import rules
+
+    assert one(spark, rules.looks_like_photobook(F.lit(title))) is yes
 
 
 def test_upsert_is_idempotent(spark):

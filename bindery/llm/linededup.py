@@ -100,7 +100,8 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _token(k):
-    return k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    """31 bits of a word's hash, never 0: that stands for words without partners."""
+    return F.greatest(k.bitwiseAND(F.lit((1 << 31) - 1)), F.lit(1).cast("long")).cast("int")
 
 
 def _band():
@@ -141,15 +142,17 @@ def _near(nx, ny):
 
 
 def _star(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a frequent word of their prefixes and their band, with the earliest ones and the earliest
-    without rare words. Which centres are taken matters for the effort only."""
+    """(a, b): classes that share a frequent word of their prefixes and their band, with two centres of the group: the earliest
+    class and the earliest without rare words. Which centres are taken matters for the effort only."""
     size = F.size("prefix") - 1
     words = F.slice("prefix", F.greatest(size - STAR + 1, F.lit(1)), F.least(size, F.lit(STAR)))
     rank = F.shiftleft((127 - F.col("low")).cast("long"), 56).bitwiseOR(F.col("did").bitwiseAND(F.lit((1 << 56) - 1)))
     rows = classes.select("did", "cid", "n", "flips", "more", rank.alias("rank"), F.explode(words).alias("tok")).where("tok <> 0")
     rows = rows.select((F.col("tok").cast("long") * 64 + _band()).alias("key"), "did", "rank", "cid", "n", "flips", "more")
-    best = rows.groupBy("key").agg(F.min("did").alias("first"), F.min("rank").alias("common"), F.count("*").alias("k")).where("k > 1")
-    centres = rows.join(best, "key").where((F.col("did") == F.col("first")) | (F.col("rank") == F.col("common")))
+    own = ("cid", "n", "flips", "more")
+    best = rows.groupBy("key").agg(F.min(F.struct("did", *own)).alias("first"), F.min(F.struct("rank", *own)).alias("common"), F.count("*").alias("k")).where("k > 1")
+    centre = F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"{c}.{x}").alias(x) for x in own)) for c in ("first", "common"))))).alias("c")
+    centres = best.select("key", centre).select("key", "c.*")
     x, y = centres.select("key", "cid", "n", "flips", "more").alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
     fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"))
     return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()

@@ -1,14 +1,15 @@
 """Secret scans (operator 7): fixed patterns, and zstandard novelty for what they miss.
 
-A sensitive context is a sensitive name with what follows it within REACH characters; the context's candidates are
+A sensitive context is a sensitive name with what follows it within `reach` characters; the context's candidates are
 unbroken runs of ``[A-Za-z0-9+/_=-]`` that begin there. Each candidate is compressed twice under a dictionary of
 identifiers and the code or text around it: the surroundings alone, and the surroundings with the candidate. If the
 marginal bytes come to `min_ratio` of its length or more, and to `min_bytes` or more, nothing near it or in the dictionary
-explains it; words and numbers (letters of one case, or digits alone) are not asked. What remains is reported as a
-``novel`` span unless a base span covers it. The time is linear in the text: every candidate is looked at once, whatever the number of sensitive names before it.
+explains it. Runs of one kind (letters of one case, a first capital aside, or digits) are words and numbers up to
+`longest_word` characters, and not asked; beyond that they are asked like others. What remains is reported as a ``novel``
+span unless a base span covers it. The time is linear in the text: every candidate is looked at once, whatever the number of sensitive names before it.
 
 Defined results: null and empty texts give no spans. Every text is scanned whole, by one task; the surroundings
-compressed with a candidate are `around` characters on each side. Rows are judged by themselves, so repeated rows and
+compressed with a candidate are `around` characters on each side, and a context goes `reach` characters on from its name. Rows are judged by themselves, so repeated rows and
 null or repeated doc_ids are rows like others, and there are no ties. An empty table gives no rows; other columns,
 whatever their names, are not looked at.
 """
@@ -33,7 +34,7 @@ SENSITIVE = re.compile(
     r"""(?:passw|pwd|secret|token|api.?key|credential|private.?key|auth|bearer|access.?key|signature|session)""", re.I | re.A
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-REACH = 32
+REACH, LONGEST_WORD = 32, 31
 #: Identifiers that code around secrets is made of.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret authorization bearer session "
@@ -70,16 +71,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def plausible(got: str) -> bool:
-    """Whether a candidate is more than a word or a number: letters of both cases inside, or letters and digits."""
+def mixed(got: str) -> bool:
+    """Whether a candidate has letters of both cases inside, or letters and digits."""
     digit, letter = any(c.isdigit() for c in got), any(c.isalpha() for c in got)
     return letter and (digit or not (got[1:].islower() or got.isupper()))
 
 
-def novel_spans(text: str, base: list, novelty: Novelty, around: int, min_ratio: float, min_bytes: int) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list, novelty: Novelty, around: int, min_ratio: float, min_bytes: int, longest_word: int = LONGEST_WORD, far: int = REACH) -> list[tuple[int, int, int]]:
     out, reach, known, k = [], 0, sorted((s, e) for s, _, e in base), 0
     for s in SENSITIVE.finditer(text):
-        at, stop = max(s.end(), reach), s.end() + REACH
+        at, stop = max(s.end(), reach), s.end() + far
         while at <= stop and (m := CANDIDATE.search(text, at, min(len(text), stop + 1))):
             # The search ends with the context; the run may go on beyond it.
             start, end = m.start(), CANDIDATE.match(text, m.start()).end()
@@ -90,7 +91,7 @@ def novel_spans(text: str, base: list, novelty: Novelty, around: int, min_ratio:
             if end - start < min_bytes or k < len(known) and known[k][0] < end:
                 continue
             got = text[start:end]
-            if plausible(got):
+            if len(got) > longest_word or mixed(got):
                 cost = novelty.marginal(text[max(0, start - around) : start], got, text[end : end + around])
                 if cost >= max(min_bytes, min_ratio * len(got)):
                     out.append((start, 3, end))
@@ -101,7 +102,7 @@ def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan_secrets(docs: DataFrame, around: int = 160, min_ratio: float = 0.6, min_bytes: int = 12) -> DataFrame:
+def scan_secrets(docs: DataFrame, around: int = 160, min_ratio: float = 0.6, min_bytes: int = 12, longest_word: int = LONGEST_WORD, reach: int = REACH) -> DataFrame:
     """One row for each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def scan_secrets(docs: DataFrame, around: int = 160, min_ratio: float = 0.6, min
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 base = base_spans(text)
-                more = novel_spans(text, base, novelty, around, min_ratio, min_bytes)
+                more = novel_spans(text, base, novelty, around, min_ratio, min_bytes, longest_word, reach)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((doc_id, *n, digest, joined(base + more), len(more)))

@@ -166,6 +166,23 @@ def test_hot_words_and_crowds_of_lines(spark, documents, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_like_lines_of_one_document_meet_two_centres(spark):
+    """A table or a log of one document: pairs in proportion to its lines, and the result of the brute force."""
+    from pyspark.sql import functions as F
+
+    from bindery.llm.common import Stash, keyed
+
+    made = {}
+    for n in (500, 2000):
+        text = "\n".join(" ".join(f"w{j}" for j in range(30)) + f" row{i} a{i * 7}" for i in range(n))
+        docs = keyed(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        hashed = linededup.hashed_lines(docs)
+        lines = linededup.line_sets(hashed, linededup.word_levels(hashed)).where("n > 0")
+        classes = lines.withColumns({"cid": F.xxhash64("line"), "open": F.col("did")})
+        made[n] = linededup._star(Stash(spark).put(classes, "classes")).count()
+    assert made[500] <= 3 * 500 * linededup.STAR and made[2000] <= 4.5 * made[500]
+
+
 def test_lines_of_repeated_rows(spark):
     """Equal rows are one document; rows of one doc_id with different texts are two, a null doc_id comes first."""
     rows = [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (1, "g h i"), (2, "g h i\nnew words"), (None, "d e f")]

@@ -111,6 +111,23 @@ def test_planted_secrets_are_found(n):
     assert right >= 0.95 * planted and wrong <= 0.01 * n
 
 
+@pytest.mark.parametrize("kind", ["ascii_lowercase", "ascii_uppercase", "digits"])
+def test_long_secrets_of_one_kind_are_found(kind):
+    """A key of one case or of digits is asked for its bytes like any other; long words, runs and counters are left alone."""
+    import random
+    import string
+
+    r, novelty, found = random.Random(kind), secrets.Novelty(), 0
+    for lead in ("the session key", "bearer", "signature of the request:", "private key id") * 25:
+        value = "".join(r.choice(getattr(string, kind)) for _ in range(r.randint(40, 60)))
+        text = f"{random_text(r, 20)} {lead} {value} {random_text(r, 20)}"
+        found += [text[s:e] for s, _, e in secrets.novel_spans(text, [], novelty, 160, 0.6 if kind != "digits" else 0.4, 12)] == [value]
+    assert found >= 95
+    for plain in ("a" * 60, "abcdefghijklmnopqrstuvwxyz" * 2, "0123456789" * 5, "Donaudampfschifffahrtsgesell", "internationalization", "20240506071819"):
+        text = f"{random_text(r, 20)} session key {plain} {random_text(r, 20)}"
+        assert secrets.novel_spans(text, [], novelty, 160, 0.6, 12) == [], plain
+
+
 def test_secret_scans_take_linear_time():
     import time
 

@@ -37,17 +37,21 @@ from bindery.llm.common import TEXTS, Stash, mix, sized, words_in
 
 PUNCTUATION, LONGEST, LEAST, KEPT = ".,;:!?\x0a\x0b\x0c\x0d", 5, 100, 2000
 #: Phrases that a task counts before it hands on what it has, and bytes of texts that it looks at at once.
-HELD, AT_ONCE = 1 << 23, 1 << 22
+HELD, AT_ONCE = 1 << 22, 1 << 22
 #: Splits of the texts that a task takes which hands on phrases.
 SPLITS = 8
 #: Slots in a slice, the unit that is summed by one task.
 SLICE = 1 << 20
-#: Slots whose phrases are counted by one pass, and bytes of the phrases of one pass and of one automaton.
-SLOTS, PASS_BYTES, AUTOMATON_BYTES = 1 << 20, 32 << 20, 8 << 20
+#: Slots whose phrases are gathered at once, and bytes of the phrases that the automata of a pass are made of: about 26 times
+#: as many are taken by the automata, in each worker.
+SLOTS, PASS_BYTES = 1 << 20, 6 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Places of the filters through which hashes go before they are looked up.
 _FILTER = 1 << 22
 
+#: The automata of the pass that a worker process is at.
+_built: dict[str, list] = {}
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9] = 32
@@ -96,6 +100,7 @@ def _slot_counts(width: int, longest: int):
         held: list[np.ndarray] = []
         words: dict[str, int] = {}
         pack = zstandard.ZstdCompressor(1).compress
+        _forget()
 
         def told() -> pa.RecordBatch:
             slot, n = np.unique(np.concatenate(held), return_counts=True)
@@ -193,9 +198,6 @@ def automaton(phrases: list[str]):
     return out
 
 
-_built: dict[str, list] = {}
-
-
 def _automata(held, name: str) -> list:
     """(lang, automaton, ids) of a broadcast pass. A worker process keeps those of the pass it is at, and outlives queries, so
     passes have names that no other one has."""
@@ -205,6 +207,11 @@ def _automata(held, name: str) -> list:
     return _built[name]
 
 
+def _forget() -> None:
+    """Frees a worker's automata."""
+    _built.clear()
+
+
 def _scanned(held):
     name = uuid.uuid4().hex
 
@@ -225,17 +232,20 @@ def _scanned(held):
 
 
 def _passes(spark: SparkSession, phrases: DataFrame) -> Iterator[list[tuple[str, list[str], np.ndarray]]]:
-    """The phrases, cut by hash into automata of about AUTOMATON_BYTES, and these into passes of about PASS_BYTES."""
+    """Passes of about PASS_BYTES of phrases: the parts of a language's phrases, cut by hash, or all those of several languages."""
     size = F.sum(F.octet_length("phrase") + 2).alias("bytes")
-    cut = {r["lang"]: -(-r["bytes"] // AUTOMATON_BYTES) for r in phrases.groupBy("lang").agg(size).collect()}
-    each, taken = [(lang, i, n) for lang, n in sorted(cut.items()) for i in range(n)], []
-    room = PASS_BYTES // AUTOMATON_BYTES
-    for k in range(0, len(each), room):
-        for lang, i, n in each[k : k + room]:
-            own = phrases.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("phrase"), F.lit(n)) == i)).select("phrase", "pid").toArrow()
-            taken.append((lang, own["phrase"].to_pylist(), own["pid"].to_numpy()))
+    taken, held = [], 0
+    for r in phrases.groupBy("lang").agg(size).orderBy("bytes").collect():
+        n = -(-r["bytes"] // PASS_BYTES)
+        for i in range(n):
+            if taken and held + r["bytes"] // n > PASS_BYTES:
+                yield taken
+                taken, held = [], 0
+            own = phrases.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("phrase"), F.lit(n)) == i)).select("phrase", "pid").toArrow()
+            taken.append((r["lang"], own["phrase"].to_pylist(), own["pid"].to_numpy()))
+            held += r["bytes"] // n
+    if taken:
         yield taken
-        taken = []
 
 
 def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +270,8 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, long
         held.unpersist()
         for taken in _passes(spark, phrases):
             held = spark.sparkContext.broadcast(taken)
-            n = stash.put(texts.mapInArrow(_scanned(held), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "counts", TEXTS)
+            theirs = texts.where(F.col("lang").isin(*{x[0] for x in taken})) if len(taken) <= 64 else texts
+            n = stash.put(theirs.mapInArrow(_scanned(held), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "counts", TEXTS)
             held.unpersist()
             out = out.unionByName(phrases.join(sized(n, 16), "pid").select("pid", "lang", "phrase", "words", "a"))
     return stash.put(out.drop("pid"), "found"), totals

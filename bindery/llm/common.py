@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.storage import Scratch
+
 #: Java regex of the separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[ \x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,26 +18,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 24 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local session gets one in the machine's
-    temporary folder; on a cluster that would lose rows, so it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = os.path.join(tempfile.gettempdir(), f"bindery-{os.getuid()}")
-    return found.rstrip("/")
-
-
 class Stash:
     """Tables written once to the shared folder, so that a lost executor costs a reread and not a recomputation.
 
     The result of an operator is a plan that may still read some of them, so they can't go when the operator returns.
-    close() deletes what is left, when the result has been written; otherwise it goes when the session's process ends.
+    close() deletes what is left, when the result has been written; otherwise the file system does when the session's process ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/bindery-{uuid.uuid4().hex}"
+        scratch = Scratch(spark)
+        self.spark, self.root = spark, scratch.root
         self.n = 0
         _open.append(self)
 

@@ -195,13 +195,12 @@ def phrases():
     return texts + [("en", None), ("en", ""), (None, " \n., "), ("en", "a b " * 3000), ("fr", "only once here"), ("en", "x" * 100_000), ("fr", "a a a a a a a.")]
 
 
-@pytest.mark.parametrize("held, slots, automaton", [(1 << 23, 1 << 20, 8 << 20), (2000, 600, 8000)])
-def test_collocations_equal_brute_force(spark, phrases, monkeypatch, held, slots, automaton):
+@pytest.mark.parametrize("held, slots, size", [(1 << 22, 1 << 20, 6 << 20), (2000, 600, 8000)])
+def test_collocations_equal_brute_force(spark, phrases, monkeypatch, held, slots, size):
     """With small bounds, counts are handed on in parts and phrases are counted by many passes and automata."""
     monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "SLOTS", slots)
-    monkeypatch.setattr(collocations, "AUTOMATON_BYTES", automaton)
-    monkeypatch.setattr(collocations, "PASS_BYTES", 2 * automaton)
+    monkeypatch.setattr(collocations, "PASS_BYTES", size)
     df = spark.createDataFrame(phrases, "lang string, text string").withColumns({c: F.lit(1) for c in ("n", "a", "phrase", "pid", "words", "slot")}).repartition(3)
     got = collocations.collocations(spark, df, least=20)
     assert sorted(tuple(r) for r in got.collect()) == plain_collocations(phrases, 20)

@@ -148,27 +148,10 @@ def classify_title(title: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([title_class(t, list(n) if n is not None else []) for t, n in zip(title, names, strict=True)], columns=["cls", "proposed"])
 
 
-class Composition:
-    """Table function: the lines of a published composition as (sequence, title, announced)."""
-
-    COUNT = re.compile(r"(?:[<＜]\s*)?([0-9]{1,4})\s*(?:種類?|cards?\b)", re.I)
-
-    def eval(self, text: str) -> Iterator[tuple[int, str, int]]:
-        seen: set[str] = set()
-        for line in (text or "").splitlines():
-            m = self.COUNT.search(unicodedata.normalize("NFKC", line))
-            title = re.sub(r"^[◆●■★☆・\-\s]+|[|:：\s]+$", "", unicodedata.normalize("NFKC", line)[: m.start()]).strip() if m else ""
-            if title and title.lower() not in seen:
-                seen.add(title.lower())
-                yield len(seen), title, int(m[1])
-
-
 def register_all(spark) -> None:
     """The table and scalar functions under SQL names."""
-    from pyspark.sql.functions import udtf
-
-    from bindery.functions import texts
+    from bindery.functions import compositions, texts
 
-    spark.udtf.register("composition", udtf(Composition, returnType="sequence int, title string, announced int"))
+    spark.udtf.register("composition_groups", compositions.Composition)
     spark.udf.register("nfkc_key", texts.nfkc_key)
     spark.udf.register("classify_title", classify_title)

@@ -13,7 +13,8 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 def narrow(text: Column) -> Column:
     """Full-width ASCII as ASCII, the ideographic space as a space: the part of compatibility form that titles need."""
-    return F.translate(F.coalesce(text, F.lit("")), _WIDE, _NARROW)
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike("[\uff01-\uff5e\u3000]"), F.translate(t, _WIDE, _NARROW)).otherwise(t)
 
 
 def key(text: Column) -> Column:
@@ -150,18 +151,21 @@ def subject_matches(title: Column, names: Column) -> Column:
 def search_names(primary: Column, aliases: Column) -> Column:
     """Names to search a person by: the primary ones, then aliases that are no part of a primary name and are a full name
     (two Latin words, or three letters); each key once, in order."""
-    trimmed = lambda names: F.filter(F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit("")))), lambda n: key(n) != "")
-    main = trimmed(primary)
-    main_keys = F.transform(main, key)
+    named = lambda names: F.filter(F.transform(names, lambda n: F.struct(F.trim(F.coalesce(n, F.lit(""))).alias("n"), key(F.coalesce(n, F.lit(""))).alias("k"))), lambda x: x["k"] != "")
 
-    def useful(alias: Column) -> Column:
-        k = key(alias)
-        part = F.exists(main_keys, lambda m: F.contains(m, k) & (F.length(k) < F.length(m)))
-        return ~part & (F.size(F.regexp_extract_all(alias, F.lit("[A-Za-z0-9]+"), F.lit(0))) >= 2) | ~part & (F.length(k) >= 3)
+    def useful(main: Column, x: Column) -> Column:
+        part = F.exists(main, lambda m: F.contains(m["k"], x["k"]) & (F.length(x["k"]) < F.length(m["k"])))
+        return ~part & ((F.length(x["k"]) >= 3) | (F.size(F.regexp_extract_all(x["n"], F.lit("[A-Za-z0-9]+"), F.lit(0))) >= 2))
 
-    whole = F.concat(main, F.filter(trimmed(aliases), useful))
-    keys = F.transform(whole, key)
-    return F.filter(whole, lambda n, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    # Keys are made once: what a lambda is given is a value, what it refers to outside is computed for each element again.
+    whole = _bound(F.struct(named(primary).alias("m"), named(aliases).alias("a")), lambda s: F.concat(s["m"], F.filter(s["a"], lambda x: useful(s["m"], x))))
+    once = _bound(F.struct(whole.alias("w"), F.transform(whole, lambda x: x["k"]).alias("k")), lambda s: F.filter(s["w"], lambda x, i: F.array_position(s["k"], x["k"]) == i + 1))
+    return F.transform(once, lambda x: x["n"])
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 GROUP = r"\s*(?:\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】)\s*$"
@@ -248,7 +252,11 @@ BUY_LABELS = ("即決価格", "即決", "buy it now", "buy now")
 
 def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
     """The whole number after one of the labels, or null; 最低落札 (a reserve) is no sale."""
-    hit = F.regexp_extract(narrow(text), r"(?<!最低)" + any_of(labels).replace("(?i)", "(?i:") + r")\s*[:]?\s*[¥$]?\s*([0-9][0-9,]*)", 1)
+    text = narrow(text)
+    said = F.lit(False)
+    for label in labels:
+        said = said | F.contains(F.lower(text), F.lit(label.lower().split()[0]))
+    hit = F.regexp_extract(F.when(said, text).otherwise(""), r"(?<!最低)" + any_of(labels).replace("(?i)", "(?i:") + r")\s*[:]?\s*[¥$]?\s*([0-9][0-9,]*)", 1)
     return F.replace(hit, F.lit(","), F.lit("")).try_cast("bigint")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bindery.functions import offers, texts
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry, with_tables
+from bindery.storage import Scratch
 
 QUERIES, ORACLE = {}, {}
 query = registry(QUERIES, ORACLE)
@@ -102,12 +103,12 @@ SELECT offers.*, (SELECT count(*) FROM offers) AS total FROM offers, c
 WHERE observed_at < o OR (observed_at = o AND listing_id > i) ORDER BY observed_at DESC, listing_id LIMIT 25""")
 def marketplace_offers_cursor(spark: SparkSession, d: str) -> DataFrame:
     """The page after the hundredth offer, with one row more than a page to tell whether there is another; the total ignores the cursor."""
-    df = marketplace_offers(spark, d)
+    df = Scratch(spark).put(marketplace_offers(spark, d), "offers")
     order = [F.desc("observed_at"), "listing_id"]
-    total = df.agg(F.count("*").alias("total"))
-    cursor = df.orderBy(*order).offset(99).limit(1).select(F.col("observed_at").alias("_o"), F.col("listing_id").alias("_i"))
-    rows = df.join(F.broadcast(cursor), after_cursor(F.col("observed_at"), F.col("listing_id"), (F.col("_o"), F.col("_i"))))
-    return rows.join(F.broadcast(total)).drop("_o", "_i").orderBy(*order).limit(25)
+    total = df.count()
+    end = df.orderBy(*order).offset(99).limit(1).select("observed_at", "listing_id").first()  # one row
+    rows = df.limit(0) if end is None else df.where(after_cursor(F.col("observed_at"), F.col("listing_id"), (F.lit(end[0]).cast(dict(df.dtypes)["observed_at"]), F.lit(end[1]))))
+    return rows.withColumn("total", F.lit(total).cast("long")).orderBy(*order).limit(25)
 
 
 _DATES = """dates AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import compositions as C
 from bindery.functions import releases as R
-from bindery.operators import naming, ordinals
+from bindery.operators import matching, naming, ordinals
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry
 
@@ -85,3 +85,16 @@ def release_identities(spark: SparkSession, d: str) -> DataFrame:
     found = R.release_identities(l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(text.alias("text")))
     g = found.groupBy("identity").agg(F.min("released").alias("first_released"), F.max("released").alias("last_released"), F.count("*").alias("n"), F.countDistinct("people").alias("casts"))
     return g.select("identity", "first_released", "last_released", "n", "casts")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CASE WHEN page_id % 5 = 0 THEN '978-' || lpad(regexp_extract(url, '/([0-9]+)', 1), 9, '0') ELSE '' END AS isbn FROM pages),
+i AS (SELECT page_id AS item_id, regexp_replace(lower(title), '\s+', '', 'g') AS t, regexp_replace(isbn, '[^0-9X]', '', 'g') AS isbn FROM p WHERE NOT regexp_matches(title, '[0-9]+冊')),
+b AS (SELECT page_id AS book_id, regexp_replace(lower(regexp_extract(title, '^[^ ]+ [^ ]+ [^ ]+')), '\s+', '', 'g') AS a, regexp_replace(isbn, '[^0-9X]', '', 'g') AS isbn FROM p WHERE page_id % 3 = 0),
+m AS (SELECT item_id, book_id, 'isbn' AS method FROM i JOIN b USING (isbn) WHERE isbn <> '' UNION SELECT item_id, book_id, 'title' FROM i JOIN b ON contains(t, a) WHERE i.isbn = '' AND a <> '' AND NOT regexp_matches(a, '^[a-z]{1,5}$'))
+SELECT item_id, min(book_id) AS book_id, min(method) AS method FROM m GROUP BY item_id HAVING count(*) = 1""")
+def matched_books(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as offers, a third of them as books known by the first three words of their titles: by number where the offer has one, else by title."""
+    number = F.concat(F.lit("978-"), F.lpad(F.regexp_extract("url", "/([0-9]+)", 1), 9, "0"))
+    p = T.table(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.when(F.col("page_id") % 5 == 0, number).otherwise("").alias("isbn"))
+    books = p.where("item_id % 3 = 0").select(F.col("item_id").alias("book_id"), F.regexp_extract("title", "^[^ ]+ [^ ]+ [^ ]+", 0).alias("alias"), "isbn")
+    return matching.match_books(p, books)

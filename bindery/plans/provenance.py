@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.operators import evidence, grants, merging
+from bindery.operators import evidence, grants, manifest, merging
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry, with_tables
 
@@ -205,3 +205,54 @@ def work_repairs(spark: SparkSession, d: str) -> DataFrame:
     waits = out.deferred.agg(*(F.count_if(F.col("reason") == x).alias(x) for x in ("edition", "person"))).first()
     df = kept.join(e, "work_id").join(c, "work_id", "left")
     return df.select("work_id", "members", "editions", F.coalesce("credits", F.lit(0)).alias("credits"), F.lit(waits["edition"]).cast("long").alias("waiting_editions"), F.lit(waits["person"]).cast("long").alias("waiting_people"))
+
+
+# --- import manifests ------------------------------------------------------------------------------------------------
+
+_ITEMS = f"""{with_tables("works", "editions", "credits", "listings")},
+c AS (SELECT work_id, list_sort(list(DISTINCT CASE WHEN person_id % 50 = 0 THEN '' ELSE CAST(person_id AS VARCHAR) END) FILTER (WHERE role = 'featured')) AS featured, list_sort(list(DISTINCT CASE WHEN person_id % 50 = 0 THEN '' ELSE CAST(person_id AS VARCHAR) END) FILTER (WHERE role = 'cover_model')) AS cover FROM credits GROUP BY work_id),
+l AS (SELECT edition_id, list({{'own': quantity % 11 <> 0, 'status': status, 'basis': CASE quantity % 5 WHEN 0 THEN 'sale' WHEN 1 THEN 'list' ELSE '' END, 'price': price_minor}}) AS items FROM listings WHERE edition_id IS NOT NULL GROUP BY edition_id),
+r AS (SELECT e.edition_id AS k, e.work_id AS w, e.format, title, publication_type, issue_month, publication_date, store_date, release_date, coalesce(featured, []) AS featured, coalesce(cover, []) AS cover, coalesce(items, []) AS items,
+  ['JP', 'KR', 'XX'][e.work_id % 3 + 1] AS origin FROM editions e JOIN works USING (work_id) LEFT JOIN c USING (work_id) LEFT JOIN l ON l.edition_id = e.edition_id)"""
+
+
+@query(f"""{_ITEMS}, p AS (SELECT k, unnest(list_filter([CASE WHEN list_contains(featured, '') OR (w % 13 = 0 AND len(featured) > 0) THEN 'featured_people' END, CASE WHEN k % 4 = 3 THEN 'credit_source' END, CASE WHEN list_contains(cover, '') THEN 'cover_people' END,
+  CASE WHEN w % 29 = 0 THEN 'publication_type' END, CASE WHEN w % 29 <> 0 AND publication_type = 'magazine_issue' AND (NOT regexp_matches(issue_month, '^[0-9]{{4}}-(0[1-9]|1[0-2])$') OR len(cover) = 0 OR cover[1] = '') THEN 'issue_identity' END,
+  CASE WHEN (w % 29 = 0 OR publication_type = 'photobook') AND (len(featured) = 0 OR array_to_string(featured, '') = '' OR issue_month <> '') THEN 'photobook_identity' END,
+  CASE WHEN (publication_date IS NOT NULL AND k % 7 = 0) OR (publication_date IS NULL AND k % 7 <> 0) THEN 'publication_date' END, CASE WHEN store_date IS NOT NULL THEN 'store_release_date' END,
+  CASE WHEN origin = 'KR' AND release_date IS NOT NULL THEN 'ambiguous_release_date' END, CASE WHEN w % 31 = 0 OR origin = 'XX' OR k % 17 = 0 THEN 'catalog_identity' END, CASE WHEN k % 23 = 0 THEN 'format' END,
+  CASE WHEN k % 5 = 1 THEN 'warning_cover' END, CASE WHEN len(items) > 0 AND k % 19 = 0 THEN 'source_mismatch' END, CASE WHEN len(list_filter(items, lambda x: NOT x.own OR k % 23 = 0)) > 0 THEN 'listing_mismatch' END,
+  CASE WHEN len(list_filter(items, lambda x: (x.basis <> '' AND x.status = 'completed') OR (origin = 'KR' AND x.price > 0 AND x.basis = ''))) > 0 THEN 'price' END], lambda x: x IS NOT NULL)) AS problem FROM r)
+SELECT problem, count(*) AS records, min(k) AS first_record FROM p GROUP BY problem""")
+def import_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Editions with their people and listings as import records, and the rules that they break."""
+    slug = F.when(F.col("person_id") % 50 == 0, "").otherwise(F.col("person_id").cast("string"))
+    people = T.credits(spark, d).groupBy("work_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("role") == r, slug))).alias(n) for r, n in (("featured", "featured"), ("cover_model", "cover"))))
+    basis = F.when(F.col("quantity") % 5 == 0, "sale").when(F.col("quantity") % 5 == 1, "list").otherwise("")
+    none = F.expr("cast(null as array<struct<basis:string,price_minor:bigint,currency:string,condition:string>>)")
+    own = F.when(F.col("quantity") % 11 == 0, F.col("edition_id") + 1).otherwise(F.col("edition_id")).cast("string")
+    item = F.struct(own.alias("edition_id"), "format", "status", "currency", basis.alias("price_basis"), "price_minor", none.alias("price_components"))
+    listed = T.listings(spark, d).where("edition_id IS NOT NULL").groupBy("edition_id").agg(F.collect_list(item).alias("items"))
+    r = T.editions(spark, d).join(T.works(spark, d), "work_id").join(people, "work_id", "left").join(listed, "edition_id", "left")
+    k, w, empty = F.col("edition_id"), F.col("work_id"), F.expr("cast(array() as array<string>)")
+    featured, cover = F.coalesce("featured", empty), F.coalesce("cover", empty)
+    twice = F.when((w % 13 == 0) & (F.size(featured) > 0), F.concat(featured, F.slice(featured, 1, 1))).otherwise(featured)
+    person = lambda s: F.struct(s.alias("slug"), F.lit("https://people.example/p").alias("verification_source_url"))
+    text, stamp, no_day = F.lit("").alias, lambda c: F.col(c).cast("timestamp"), F.lit(None).cast("timestamp")
+    dated = k % 7 != 0
+    work = F.struct(
+        w.cast("string").alias("id"), F.when(w % 31 == 0, F.concat("title", F.lit(" ??"))).otherwise(F.col("title")).alias("title"), _pick(w, "JP", "KR", "XX").alias("origin"), F.when(w % 29 == 0, "poster").otherwise(F.col("publication_type")).alias("publication_type"),
+        "issue_month", text("issue_number"), F.array_join(featured, "").alias("featured_names"), text("cover_url"), no_day.alias("issue_date"), text("issue_date_precision"), text("issue_date_source_url"),
+    )
+    edition = F.struct(
+        k.cast("string").alias("id"), w.cast("string").alias("work_id"), F.when(k % 17 == 0, " ").otherwise("https://meta.example/").alias("metadata_source_url"), F.when(k % 23 == 0, "vinyl").otherwise(F.col("format")).alias("format"),
+        F.when(k % 5 == 1, "https://a.example/Restricted.jpg?w=1").when(k % 5 == 2, "").otherwise("https://a.example/x.jpg").alias("cover_url"),
+        text("cover_object_key"), F.when(k % 5 == 2, "https://a.example/p_mask.png").otherwise("").alias("original_cover_url"), stamp("release_date").alias("release_date"),
+        stamp("publication_date").alias("publication_date"), F.when(dated, "day").otherwise("").alias("publication_date_precision"), F.when(dated, "https://dates.example/").otherwise("").alias("publication_date_source_url"),
+        stamp("store_date").alias("store_release_date"), text("store_release_date_precision"), text("store_release_date_source_url"),
+    )
+    records = r.select(
+        k.alias("record_id"), work.alias("work"), edition.alias("edition"), F.transform(twice, person).alias("featured_people"), F.transform(cover, person).alias("cover_people"), _pick(k, "", "verified_publisher_source", "verified_model_capture", "rumour").alias("featured_credit_source"),
+        F.lit("s1").alias("source_id"), F.when(k % 19 == 0, "s2").otherwise("s1").alias("batch_source_id"), "items",
+    )
+    return manifest.manifest_problems(records).groupBy("problem").agg(F.count("*").alias("records"), F.min("record_id").alias("first_record"))

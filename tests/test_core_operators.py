@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindery.functions import compositions, releases
-from bindery.operators import evidence, grants, intervals, merging, naming
+from bindery.operators import evidence, grants, intervals, manifest, merging, naming
 from bindery.operators.components import components
 from bindery.storage import Scratch
 
@@ -295,3 +295,47 @@ def test_identities_of_releases(spark):
         for x in r.finds:
             if x.kind == "cast":
                 assert r.text[x.start : x.end] == x.value
+
+
+def test_manifest_rules(spark):
+    """A sound record breaks nothing; each change breaks its own rule."""
+    import copy
+
+    day = dt.datetime(2024, 1, 1)
+    sound = {
+        "record_id": 0, "work": {"id": "w", "title": "T", "origin": "JP", "publication_type": "", "featured_names": "P"}, "edition": {"id": "e", "work_id": "w", "metadata_source_url": "https://m.example/", "format": "physical"},
+        "featured_people": [{"slug": "p", "verification_source_url": "https://p.example/"}], "cover_people": None, "featured_credit_source": None, "source_id": "s", "batch_source_id": "s",
+        "items": [{"edition_id": "e", "format": "physical", "status": "active", "currency": "JPY", "price_basis": "list", "price_minor": 5}],
+    }
+    part = lambda b, n=5, c="JPY": {"basis": b, "price_minor": n, "currency": c, "condition": ""}
+    changes = [
+        ({}, []), ({"featured_people": [{"slug": "", "verification_source_url": "https://p.example/"}]}, ["featured_people"]), ({"featured_people": sound["featured_people"] * 2}, ["featured_people"]),
+        ({"cover_people": [{"slug": "c", "verification_source_url": "http://c.example/"}]}, ["cover_people"]), ({"featured_credit_source": "rumour"}, ["credit_source"]), ({"work.publication_type": "poster"}, ["publication_type"]),
+        ({"work.publication_type": "magazine_issue", "work.issue_month": "2024-13"}, ["issue_identity"]),
+        ({"work.publication_type": "magazine_issue", "work.issue_month": "2024-12", "cover_people": sound["featured_people"]}, []),
+        ({"work.featured_names": " "}, ["photobook_identity"]), ({"work.issue_number": "7"}, ["photobook_identity"]), ({"edition.publication_date": day}, ["publication_date"]),
+        ({"edition.store_release_date_precision": "day"}, ["store_release_date"]), ({"edition.publication_date": day, "edition.publication_date_precision": "month", "edition.publication_date_source_url": "https://d.example/"}, []),
+        ({"work.origin": "KR", "edition.release_date": day}, ["ambiguous_release_date"]), ({"edition.release_date": day}, []), ({"work.title": "a ?? b"}, ["catalog_identity"]), ({"edition.work_id": "x"}, ["catalog_identity"]), ({"work.origin": None}, ["catalog_identity"]),
+        ({"edition.format": "vinyl"}, ["format", "listing_mismatch"]), ({"edition.cover_url": "https://a.example/x_mask.png?w=1"}, ["warning_cover"]), ({"edition.original_cover_url": "https://a.example/restricted.jpg"}, []),
+        ({"edition.cover_url": "https://a.example/x.png", "edition.original_cover_url": "https://a.example/restricted.jpg"}, ["warning_cover"]), ({"batch_source_id": "t"}, ["source_mismatch"]), ({"items.edition_id": "f"}, ["listing_mismatch"]),
+        ({"items.status": "completed"}, ["price"]), ({"items.price_components": [part("list"), part("list")]}, ["price"]), ({"items.price_components": [part("list", 9)]}, ["price"]), ({"items.price_components": [part("list")]}, []),
+        ({"work.origin": "KR", "items.price_basis": ""}, ["price"]), ({"items.price_basis": ""}, []), ({"work": None, "edition": None}, ["linked_observation"]), ({"work": None, "edition": None, "items.edition_id": None}, []), ({"items": None, "source_id": None}, []),
+    ]
+    rows = []
+    for i, (change, _) in enumerate(changes):
+        r = copy.deepcopy(sound) | {"record_id": i}
+        for path, value in change.items():
+            head, _, rest = path.partition(".")
+            if not rest:
+                r[head] = value
+            elif head == "items":
+                r["items"][0][rest] = value
+            else:
+                r[head][rest] = value
+        rows.append(r)
+    schema = spark.createDataFrame([], manifest.RECORD).schema
+    got = collections.defaultdict(list)
+    for x in manifest.manifest_problems(spark.createDataFrame(rows, schema)).collect():
+        got[x.record_id].append(x.problem)
+    for i, (change, want) in enumerate(changes):
+        assert sorted(got[i]) == sorted(want), change

@@ -256,3 +256,83 @@ def import_manifest(spark: SparkSession, d: str) -> DataFrame:
         F.lit("s1").alias("source_id"), F.when(k % 19 == 0, "s2").otherwise("s1").alias("batch_source_id"), "items",
     )
     return manifest.manifest_problems(records).groupBy("problem").agg(F.count("*").alias("records"), F.min("record_id").alias("first_record"))
+
+
+# --- what was imported -----------------------------------------------------------------------------------------------
+
+_IMPORTED = f"""{with_tables("listings", "editions")},
+x AS (SELECT source_id, external_id AS ext, CASE WHEN quantity = 3 THEN price_minor + 1 ELSE price_minor END AS price, CASE WHEN quantity = 4 THEN 'EUR' ELSE currency END AS cur, CASE WHEN quantity = 5 THEN 'digital' ELSE format END AS fmt, CAST(quantity % 3 AS INT) AS media,
+    CASE WHEN quantity % 4 = 0 THEN 2 ELSE 0 END AS pub, CASE WHEN quantity = 6 THEN edition_id + 2 ELSE edition_id END AS eid, work_id AS wid, quantity % 10 = 0 AS excluded, CASE WHEN edition_id % 6 = 0 THEN DATE '2000-01-01' + CAST(edition_id % 6000 AS INT) + CAST(quantity = 7 AS INT) END AS day FROM listings WHERE work_id % 3 = 0
+  UNION ALL SELECT source_id, external_id || 'x', price_minor, currency, format, 0, 0, edition_id, work_id, false, NULL FROM listings WHERE work_id % 300 = 1),
+j AS (SELECT x.*, l.listing_id, l.price_minor, l.currency, l.format, l.edition_id, l.status, l.line, e.work_id AS e_work, e.release_date FROM x LEFT JOIN listings l ON l.source_id = x.source_id AND l.external_id = x.ext LEFT JOIN editions e ON e.edition_id = l.edition_id)"""
+
+
+def _imported(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest beside what is stored; a listing's line stands for its pictures, its edition's number for the publisher's."""
+    l, q = T.listings(spark, d), F.col("quantity")
+    release = F.when(F.col("edition_id") % 6 == 0, F.date_add(F.lit("2000-01-01").cast("date"), (F.col("edition_id") % 6000 + (q == 7).cast("int")).cast("int")))
+    x = l.where("work_id % 3 = 0").select(
+        "source_id", F.col("external_id").alias("ext"), F.when(q == 3, F.col("price_minor") + 1).otherwise(F.col("price_minor")).alias("price"), F.when(q == 4, "EUR").otherwise(F.col("currency")).alias("cur"),
+        F.when(q == 5, "digital").otherwise(F.col("format")).alias("fmt"), (q % 3).cast("int").alias("media"), F.when(q % 4 == 0, 2).otherwise(0).alias("pub"), F.when(q == 6, F.col("edition_id") + 2).otherwise(F.col("edition_id")).alias("eid"),
+        F.col("work_id").alias("wid"), (q % 10 == 0).alias("excluded"), release.alias("day"),
+    )
+    more = l.where("work_id % 300 = 1").select("source_id", F.concat("external_id", F.lit("x")), "price_minor", "currency", "format", F.lit(0), F.lit(0), "edition_id", "work_id", F.lit(False), F.lit(None).cast("date"))
+    stored = l.select(F.col("source_id").alias("s"), F.col("external_id").alias("e"), "listing_id", "price_minor", "currency", "format", "edition_id", "status", "line")
+    e = T.editions(spark, d).select(F.col("edition_id").alias("e_id"), F.col("work_id").alias("e_work"), "release_date")
+    x = x.union(more)
+    return x.join(stored, (F.col("source_id") == F.col("s")) & (F.col("ext") == F.col("e")), "left").join(e, F.col("edition_id") == F.col("e_id"), "left")
+
+
+def _import_checks() -> dict:
+    """{name: whether an expected row fails}: null-safe, and only what the row is meant to have."""
+    found, same = F.col("listing_id").isNotNull(), lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    linked = ~F.col("excluded") & F.col("eid").isNotNull()
+    return {
+        "price_mismatches": found & ~(same("price_minor", "price") & same("currency", "cur")), "format_mismatches": found & ~same("format", "fmt"), "release_date_mismatches": linked & ~same("release_date", "day"),
+        "missing_media": found & (F.col("line") < F.col("media")), "missing_publisher_media": (F.col("pub") > 0) & (F.coalesce(F.col("eid") % 3, F.lit(0)) < F.col("pub")), "linked_editions": F.col("edition_id").isNotNull(),
+        "work_mismatches": linked & ~(same("edition_id", "eid") & same("e_work", "wid")), "exclusion_mismatches": F.col("excluded") & (~F.col("status").eqNullSafe(F.lit("excluded")) | F.col("edition_id").isNotNull()),
+    }
+
+
+@query(f"""{_IMPORTED} SELECT count(*) AS expected, count(listing_id) AS present, count(*) FILTER (WHERE listing_id IS NOT NULL AND (price_minor IS DISTINCT FROM price OR currency IS DISTINCT FROM cur)) AS price_mismatches,
+  count(*) FILTER (WHERE listing_id IS NOT NULL AND format IS DISTINCT FROM fmt) AS format_mismatches, count(*) FILTER (WHERE NOT excluded AND eid IS NOT NULL AND release_date IS DISTINCT FROM day) AS release_date_mismatches,
+  count(*) FILTER (WHERE listing_id IS NOT NULL AND line < media) AS missing_media, count(*) FILTER (WHERE pub > 0 AND coalesce(eid % 3, 0) < pub) AS missing_publisher_media, count(edition_id) AS linked_editions,
+  count(*) FILTER (WHERE NOT excluded AND eid IS NOT NULL AND (edition_id IS DISTINCT FROM eid OR e_work IS DISTINCT FROM wid)) AS work_mismatches, count(*) FILTER (WHERE excluded AND (status IS DISTINCT FROM 'excluded' OR edition_id IS NOT NULL)) AS exclusion_mismatches FROM j""")
+def import_counters(spark: SparkSession, d: str) -> DataFrame:
+    """All ten counters of an import's verification from one pass."""
+    return _imported(spark, d).agg(F.count("*").alias("expected"), F.count("listing_id").alias("present"), *(F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in _import_checks().items()))
+
+
+@query(f"""{_IMPORTED} SELECT 'release_date' AS issue, source_id, ext, eid, edition_id, wid, e_work FROM j WHERE NOT excluded AND eid IS NOT NULL AND release_date IS DISTINCT FROM day
+UNION ALL SELECT 'work', source_id, ext, eid, edition_id, wid, e_work FROM j WHERE NOT excluded AND eid IS NOT NULL AND (edition_id IS DISTINCT FROM eid OR e_work IS DISTINCT FROM wid)""")
+def import_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The rows behind two of the counters: expected and stored editions and works."""
+    checks = _import_checks()
+    issue = F.explode(F.array_compact(F.array(*(F.when(checks[k], F.lit(n)) for k, n in (("release_date_mismatches", "release_date"), ("work_mismatches", "work"))))))
+    return _imported(spark, d).select(issue.alias("issue"), "source_id", "ext", "eid", "edition_id", "wid", "e_work")
+
+
+@query(f"""{with_tables("listings", "editions")}, o AS (SELECT l.*, e.work_id AS e_work, e.format AS e_format, quantity % 17 = 0 AS excluded FROM listings l LEFT JOIN editions e USING (edition_id)),
+i AS (SELECT unnest(list_filter([CASE WHEN quantity % 13 = 0 THEN 'batch_source_mismatch' END, CASE WHEN NOT excluded AND (quantity % 9 = 0 OR price_minor <= 0) THEN 'missing_or_nonpositive_paid_price' END, CASE WHEN currency <> 'JPY' THEN 'unexpected_currency' END,
+    CASE WHEN quantity % 7 = 0 THEN 'missing_cover' END, CASE WHEN format = 'digital' AND NOT authorized THEN 'unverified_digital_store' END, CASE WHEN edition_id IS NOT NULL AND (e_work IS DISTINCT FROM work_id OR quantity % 11 = 0 OR e_format IS DISTINCT FROM format) THEN 'catalog_identity_mismatch' END,
+    CASE WHEN line % 5 = 4 THEN 'listing_media_source_mismatch' END, CASE WHEN line % 5 = 3 AND edition_id IS NOT NULL THEN 'publisher_media_source_mismatch' END], lambda x: x IS NOT NULL)) AS issue FROM o),
+s AS (SELECT source_id, work_id FROM o GROUP BY ALL HAVING count(DISTINCT (format, price_minor, currency)) > 1), c AS (SELECT thread FROM o WHERE edition_id IS NOT NULL GROUP BY thread HAVING count(DISTINCT edition_id) > 3)
+SELECT issue, count(*) AS n FROM i GROUP BY issue UNION ALL SELECT 'shared_offer_values_differ', count(*) FROM s UNION ALL SELECT 'edition_identity_conflict', count(*) FROM c""")
+def capture_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Eight rules of single captures and two across captures: one pass and two groupings."""
+    e = T.editions(spark, d).select(F.col("edition_id").alias("e_id"), F.col("work_id").alias("e_work"), F.col("format").alias("e_format"))
+    o, q, line = T.listings(spark, d).join(e, F.col("edition_id") == F.col("e_id"), "left"), F.col("quantity"), F.col("line")
+    linked, item_edition = F.col("edition_id").isNotNull(), F.when(q % 11 == 0, F.col("edition_id") + 1).otherwise(F.col("edition_id"))
+    page, media = F.concat(F.lit("https://shop.example/"), "listing_id"), F.when(line % 5 == 4, F.lit("https://other.example/")).otherwise(F.concat(F.lit("https://shop.example/"), "listing_id"))
+    meta, given = F.lit("https://press.example/"), F.when(line % 5 == 3, F.lit("https://other.example/")).otherwise(F.lit("https://press.example/"))
+    paid = F.when(q % 9 != 0, F.col("price_minor"))
+    rules = {
+        "batch_source_mismatch": F.when(q % 13 == 0, F.col("source_id") + 1).otherwise(F.col("source_id")) != F.col("source_id"), "missing_or_nonpositive_paid_price": (q % 17 != 0) & ~F.coalesce(paid > 0, F.lit(False)), "unexpected_currency": F.col("currency") != "JPY",
+        "missing_cover": F.when(q % 7 == 0, "").otherwise("https://img.example/") == "", "unverified_digital_store": (F.col("format") == "digital") & ~F.col("authorized"),
+        "catalog_identity_mismatch": linked & ~(F.col("e_work").eqNullSafe(F.col("work_id")) & item_edition.eqNullSafe(F.col("edition_id")) & F.col("e_format").eqNullSafe(F.col("format"))), "listing_media_source_mismatch": media != page, "publisher_media_source_mismatch": linked & (given != meta),
+    }
+    single = o.select(F.explode(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    named = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
+    shared = o.groupBy("source_id", "work_id").agg(F.countDistinct("format", "price_minor", "currency").alias("k")).where("k > 1")
+    torn = o.where(linked).groupBy("thread").agg(F.countDistinct("edition_id").alias("k")).where("k > 3")
+    return single.unionByName(named(shared, "shared_offer_values_differ")).unionByName(named(torn, "edition_identity_conflict"))

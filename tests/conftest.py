@@ -13,7 +13,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 @pytest.fixture(scope="session")
 def spark():
     from bindery.session import session
+    from bindery.streaming import run
 
+    run.STATE_PARTITIONS = 2  # few keys: each partition of a stream's state costs a worker in each micro-batch
     s = session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s

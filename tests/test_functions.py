@@ -237,4 +237,4 @@ def test_table_function(spark):
     extract.register_all(spark)
     lines = spark.createDataFrame([("a", i, x) for i, x in enumerate(("◆Regular Card 81種", "◆Regular Card 81種", "note", "Signed cards: 12種類"))], "release string, place int, line string")
     got = spark.sql("SELECT c.* FROM composition_groups(TABLE({lines}) PARTITION BY release ORDER BY place) AS c", lines=lines).collect()
-    assert [(r.sequence, r.title, r.announced) for r in got] == [(1, "Regular Card", 81), (2, "Regular Card", 81), (3, "Signed", 12)]
+    assert [(r.sequence, r.title, r.announced) for r in got] == [(1, "Regular Card", 81), (2, "Regular Card", 81), (3, "Signed cards", 12)]

@@ -150,7 +150,10 @@ def test_a_timer_releases_after_the_cooldown_and_a_restart(spark, scratch):
     told = lambda: sorted((r.source_id, r.event) for r in spark.read.schema(cooldown.EVENTS).parquet(out).collect())
     before = [("a", "blocked"), ("b", "blocked"), ("c", "open")]
     assert [x for x in told() if x[1] != "released"] == before
-    run.settled(stream(), out, checkpoint, seconds + 4)
+    for _ in range(5):  # a loaded machine may stop a run before its first micro-batch is done
+        run.settled(stream(), out, checkpoint, seconds + 4)
+        if len(told()) >= 5:
+            break
     assert told() == sorted([*before, ("a", "released"), ("b", "released")])
     run.settled(stream(), out, checkpoint, 1)
     assert len(told()) == 5

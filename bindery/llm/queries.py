@@ -283,7 +283,7 @@ c AS (
   WHERE most IS NULL OR most < f.a),
 b AS (SELECT lang, w, any_value(a) AS a, any_value(n) AS n, min(struct_pack(score := score, cut := cut, l := l, r := r)) AS m FROM c GROUP BY lang, w),
 o AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, m.l AS l, m.r AS r, n, CAST(m.score AS BIGINT) AS score FROM b),
-z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(phrase AS BLOB)) AS rank, phrase, a, l, r, n, score FROM o)
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM o)
 SELECT * FROM z WHERE rank <= 2000
 """
 

@@ -274,7 +274,7 @@ def test_card_codes(spark):
 
 
 RELEASES = [
-    ("JUICY COLLECTION CARDS PLUS #9 2020年3月5日発売 12,800円", "plus:9", 9, None, "2020-03-05", []),
+    ("COLLECTION CARDS PLUS #9 2020年3月5日発売 12,800円", "plus:9", 9, None, "2020-03-05", []),
     ("series VOL. 2 8 on sale 2019/11/02", "volume:28", 28, None, "2019-11-02", []),
     ("シリーズ 第12弾 予約受付中", "volume:12", 12, None, None, []),
     ("THE LUXURY EDITION 2021 (after VOL.30)", "the-luxury:2021", None, "the-luxury", None, []),

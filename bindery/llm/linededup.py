@@ -3,11 +3,12 @@
 A line's set is its distinct words (as they are written). A line with a word is removed if an earlier line, in the order
 of doc_id and line number, has a Jaccard similarity of 0.8 or more with it, whether that line is itself removed or not.
 
-Words are ordered by rarity. The lines that hold a word are counted over all documents in BUCKETS hashed counters, and a
-word ranks by the level (a quarter of a power of two) of its counter, then by hash: one order for all lines, whatever
-share a counter. A word whose counter is one stands in no other line and is skipped. Equal sets are one class, kept at its
+Words are ordered by rarity. The lines that hold a word are counted over all documents in hashed counters, BUCKETS of them or
+more, as the words are more, and a word ranks by the level (a quarter of a power of two) of its counter, then by hash: one order
+for all lines, whatever share a counter. A word whose counter is one stands in no other line and is skipped. Equal sets are one class, kept at its
 first line. Classes meet on the words of their prefixes, within bands of sizes; a word of more than HOT lines meets only
-together with a second word of the prefix, which is one word longer then. Length, positional and parity-sketch filters are
+together with a word after it in the prefix, which is one word longer then. What meets is dealt with in passes over the keys, so
+that the shuffled rows of one pass stay in proportion to the classes. Length, positional and parity-sketch filters are
 part of the join, and what passes is verified on whole sets. Before that,
 crowds of near copies shrink. In a crowd, the words that its members share are the frequent ones of their prefixes, so
 classes that share one of the STAR most frequent words of their prefixes are compared with two of them, the earliest one
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import Stash, keyed, sized
 
-#: Counters of words' lines; they bound what the driver collects and what a plan carries.
-BUCKETS = 1 << 16
+#: Counters of words' lines, at least and at most, and words for which there is one; they bound what the driver collects and
+#: what a plan carries.
+BUCKETS, MOST_BUCKETS, CROWD = 1 << 16, 1 << 20, 1 << 10
+#: Rows of prefixes for each class that one pass shuffles.
+PASS_ROWS = 12
 #: Words of more lines meet in pairs only.
 HOT = 1 << 12
 #: Smaller sets are similar to equal ones only, which are one class.
@@ -65,11 +69,18 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return lines.select("did", "rid", "line", _hashes(F.col("t")).alias("h"))
 
 
+def counters(hashed: DataFrame) -> int:
+    """How many counters the words of the lines get: a power of two that grows with them."""
+    words = hashed.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (words // CROWD).bit_length()))
+
+
 def word_levels(hashed: DataFrame) -> np.ndarray:
     """The level of each counter."""
-    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    counted = hashed.select(F.explode("h").alias("w")).select(bucket).groupBy("bucket").count().toArrow()  # at most BUCKETS rows
-    n = np.ones(BUCKETS)
+    buckets = counters(hashed)
+    bucket = F.col("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")
+    counted = hashed.select(F.explode("h").alias("w")).select(bucket).groupBy("bucket").count().toArrow()  # at most MOST_BUCKETS rows
+    n = np.ones(buckets)
     n[counted["bucket"].to_numpy()] = counted["count"].to_numpy()
     return np.minimum(127, np.floor(4 * np.log2(n))).astype(np.int64)
 
@@ -83,7 +94,7 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     df = hashed.select("did", "rid", "line", F.sort_array(F.transform("h", rank)).alias("s"))
     n = F.size("s")
     hot = F.lit(_level_of(HOT) + 1 << 56)
@@ -123,7 +134,9 @@ def _prefix_words(classes: DataFrame) -> DataFrame:
     same = ("cid", "did", "open", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np"), "flips", "more")
     rest = ("cid", "did", "open", "np", "flips", "more")
     cold = at.where("tok > 0").select(*same, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), *rest)
-    hot = at.where("tok < 0").select(*same, "n", "tok", F.explode("prefix").alias("other")).where("other <> tok AND other <> 0")
+    # After a hot word all are hot. Two sets that share no cold word share two hot ones, and meet on the first of them with the second.
+    later = F.slice("prefix", F.col("i") + 2, F.size("prefix"))
+    hot = at.where("tok < 0").select(*same, "n", "tok", later.alias("later")).select(*same[:3], "np", "flips", "more", "n", "tok", F.explode("later").alias("other"))
     hot = hot.select(*rest, "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), *rest)
     return cold.unionByName(hot)
 
@@ -158,9 +171,34 @@ def _star(classes: DataFrame) -> DataFrame:
     return x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
-def _meeting(classes: DataFrame) -> DataFrame:
-    """(a, b, far): classes and later open ones whose prefixes meet, if sizes, positions and sketches allow enough overlap."""
+def _passes(classes: DataFrame) -> int:
+    """Passes over the keys in which classes meet, from the rows of their prefixes."""
+    size = F.size("prefix") - 1
+    hot = F.size(F.filter(F.slice("prefix", F.lit(1), size), lambda t: t < 0))
+    cold = F.size(F.filter("prefix", lambda t: t > 0))
+    x = classes.agg(F.count("*").alias("n"), F.sum(cold + hot * (hot + 1) / 2).alias("rows")).first()
+    return max(1, int(np.ceil((x["rows"] or 0) / (PASS_ROWS * max(1, x["n"])))))
+
+
+def _met(stash: Stash, classes: DataFrame) -> DataFrame:
+    """_meeting in passes. Two classes may meet in several, always at one distance."""
+    passes = _passes(classes)
+    parts = [stash.put(_meeting(classes, passes, i), "met") for i in range(passes)]
+    if passes == 1:
+        return parts[0]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    met = stash.put(whole.groupBy("a", "b").agg(F.min("far").alias("far")), "met")
+    stash.drop(*parts)
+    return met
+
+
+def _meeting(classes: DataFrame, passes: int = 1, i: int = 0) -> DataFrame:
+    """(a, b, far): classes and later open ones whose prefixes meet on a key of pass `i`, if sizes, positions and sketches allow enough overlap."""
     words = _prefix_words(classes)
+    if passes > 1:
+        words = words.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i)
     x, y = words.alias("x"), words.alias("y")
     nx, ny = (F.shiftright(f"{c}.np", 32) for c in "xy")
     i, j = (F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)) for c in "xy")
@@ -209,7 +247,7 @@ def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     joined = classes.where("prefix IS NOT NULL")
     late = _later(stash, _star(joined), classes, docs)
     done = sized(late.select("cid", F.lit(-(1 << 63)).alias("open")), 24)
-    met = stash.put(_meeting(joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", "did"))), "met")
+    met = _met(stash, joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", "did")))
     nearest = met.groupBy("b").agg(F.min(F.struct("far", "a")).alias("n")).select(F.col("n.a").alias("a"), "b")
     late = late.unionByName(_later(stash, nearest, classes, docs))
     open_pairs = met.join(late.select(F.col("cid").alias("b")).distinct(), "b", "left_anti").select("a", "b")

@@ -166,6 +166,30 @@ def test_hot_words_and_crowds_of_lines(spark, documents, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_frequent_words_make_few_rows_and_several_passes(spark, documents, monkeypatch):
+    """Counters grow with the words, two hot words of a prefix make one row, and passes over the keys change nothing."""
+    from pyspark.sql import functions as F
+
+    from bindery.llm.common import keyed
+
+    r = random.Random(31)
+    base = [prose(n, r) for n in (12, 25, 40)]
+    texts = ["\n".join(edited(r.choice(base), r.choice([0.02, 0.06, 0.12]), r) for _ in range(3)) for _ in range(40)]
+    plain = sorted((x.doc_id, x.kept_text, x.n_removed) for x in linededup.dedup_lines(spark, documents(texts)).collect())
+    hashed = linededup.hashed_lines(keyed(documents(texts)))
+    monkeypatch.setattr(linededup, "BUCKETS", 64)
+    monkeypatch.setattr(linededup, "CROWD", 2)
+    assert len(linededup.word_levels(hashed)) > hashed.agg(F.sum(F.size("h"))).first()[0] / 2
+    monkeypatch.setattr(linededup, "HOT", 1)
+    monkeypatch.setattr(linededup, "PASS_ROWS", 2)
+    classes = linededup.line_sets(hashed, linededup.word_levels(hashed)).where("prefix IS NOT NULL").withColumns({"cid": F.xxhash64("did", "line"), "open": F.col("did")})
+    made = linededup._prefix_words(classes).groupBy("cid", "np").agg(F.count("*").alias("rows"))
+    most = classes.select("cid", (F.size("prefix") - 1).alias("p")).join(made, "cid").groupBy("cid", "p").agg(F.sum("rows").alias("rows"))
+    assert most.where("rows > p * (p + 1)").count() == 0  # in two bands of sizes at most
+    assert linededup._passes(classes) > 1
+    assert sorted((x.doc_id, x.kept_text, x.n_removed) for x in linededup.dedup_lines(spark, documents(texts)).collect()) == plain
+
+
 def test_like_lines_of_one_document_meet_two_centres(spark):
     """A table or a log of one document: pairs in proportion to its lines, and the result of the brute force."""
     from pyspark.sql import functions as F

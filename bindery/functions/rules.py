@@ -115,6 +115,21 @@ def digital_title_exclusion(title: Column, rules=TITLE_RULES) -> Column:
     return F.when(own, title_exclusion(F.regexp_replace(text, MAGAZINE_BRANDS, ""), rules)).otherwise(reason)
 
 
+#: A neutral sample of a rule table of a store: signs, menus, shouts, calendars and licences.
+STORE_RULES = (
+    ("symbols", r"[#$%&*]{3,}", False),
+    ("menu", r"\|.*\|.*\|", False),
+    ("shouting", r"!!.*!!", False),
+    ("calendar", r"(?i)calendar|kalender|calendrier|calendario", False),
+    ("licence", r"(?i)licensed under", False),
+)
+
+
+def brand_exclusion(title: Column, brand: Column, rules=STORE_RULES) -> Column:
+    """The rules on the title without its store's brand."""
+    return title_exclusion(F.trim(F.replace(title, brand, F.lit(""))), rules)
+
+
 def looks_like_photobook(title: Column) -> Column:
     """A photobook is said, and once phrases about extras are taken out, nothing says that it is something else."""
     text = narrow(F.coalesce(title, F.lit("")))

@@ -579,12 +579,13 @@ def cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
     return T.works(spark, d).select("work_id", rules.cleaned_title(dressed).alias("title"))
 
 
-@query(f"""{with_tables("works")}, b AS (SELECT CASE WHEN work_id % 3 = 0 THEN publisher || ' ?? ' || title ELSE title END AS t FROM works)
-SELECT contains(t, '??') AS corrupt, count(*) AS n FROM b GROUP BY 1""")
+@query(f"""{with_tables("works")}, b AS (SELECT title, publisher, CASE WHEN work_id % 3 = 0 THEN publisher || ' DVD' WHEN work_id % 3 = 1 THEN publisher || ' $$$$' ELSE publisher || ' ?? ' || title END AS t FROM works)
+SELECT CASE WHEN contains(t, '$$$') THEN 'symbols' ELSE 'kept' END AS reason, regexp_matches(t, '[?][?]+') AS corrupt, count(*) AS n FROM b GROUP BY ALL""")
 def branded_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles whose letters were lost."""
-    t = F.when(F.col("work_id") % 3 == 0, F.concat("publisher", F.lit(" ?? "), "title")).otherwise(F.col("title"))
-    return T.works(spark, d).groupBy(texts.corrupt(t).alias("corrupt")).agg(F.count("*").alias("n"))
+    """Titles judged without their store's brand (which has a # itself), and those whose letters were lost."""
+    k = F.col("work_id")
+    t = F.concat("publisher", F.when(k % 3 == 0, " DVD").when(k % 3 == 1, " $$$$").otherwise(F.concat(F.lit(" ?? "), "title")))
+    return T.works(spark, d).groupBy(F.coalesce(rules.brand_exclusion(t, F.col("publisher")), F.lit("kept")).alias("reason"), texts.corrupt(t).alias("corrupt")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{with_tables("observations")}, o AS (SELECT source_id, external_id, thread, status, price_minor, currency, CASE WHEN line % 2 = 0 THEN ' ' || thread || '-' || line || ' ' ELSE '' END AS own FROM observations),

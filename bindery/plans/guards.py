@@ -510,11 +510,10 @@ def books_oldest_first(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{with_tables("observations")}, b AS (SELECT source_id, CAST(observed_at AS DATE) AS day, count(*) AS items FROM observations GROUP BY ALL)
 SELECT source_id, count(*) AS batches, CAST(sum(CAST(ceil(items / 5.0) AS BIGINT)) AS BIGINT) AS parts, max(least(items, 5)) AS largest FROM b GROUP BY source_id""")
 def batch_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Batches cut to the size that intake allows (five here): numbered within the batch, then divided."""
-    place = F.row_number().over(Window.partitionBy("source_id", "day").orderBy("external_id"))
-    o = T.observations(spark, d).select("source_id", F.col("observed_at").cast("date").alias("day"), "external_id").withColumn("part", F.floor((place - 1) / 5))
-    parts = o.groupBy("source_id", "day", "part").agg(F.count("*").alias("n"))
-    return parts.groupBy("source_id").agg(F.count_distinct("day").alias("batches"), F.count("*").alias("parts"), F.max("n").alias("largest"))
+    """Batches cut to the size that intake allows (five here). How many parts a batch makes follows from its size, so no batch is
+    sorted or held by a task."""
+    b = T.observations(spark, d).groupBy("source_id", F.col("observed_at").cast("date").alias("day")).agg(F.count("*").alias("items"))
+    return b.groupBy("source_id").agg(F.count("*").alias("batches"), F.sum(F.ceil(F.col("items") / 5)).cast("long").alias("parts"), F.max(F.least("items", F.lit(5).cast("long"))).alias("largest"))
 
 
 @query(f"""{with_tables("listings", "editions", "works", "credits")}, l AS (SELECT * FROM listings WHERE currency = 'JPY'), c AS (SELECT DISTINCT work_id FROM credits),

@@ -238,3 +238,17 @@ def test_table_function(spark):
     lines = spark.createDataFrame([("a", i, x) for i, x in enumerate(("◆Regular Card 81種", "◆Regular Card 81種", "note", "Signed cards: 12種類"))], "release string, place int, line string")
     got = spark.sql("SELECT c.* FROM composition_groups(TABLE({lines}) PARTITION BY release ORDER BY place) AS c", lines=lines).collect()
     assert [(r.sequence, r.title, r.announced) for r in got] == [(1, "Regular Card", 81), (2, "Regular Card", 81), (3, "Signed cards", 12)]
+
+
+def test_titles_without_their_brand(spark):
+    from bindery.functions import rules
+
+    df = spark.createDataFrame([("$$$$ Press one", "$$$$ Press"), ("Brand#12 $$$$", "Brand#12"), ("Brand#12 DVD", "Brand#12")], "t string, b string")
+    assert [x[0] for x in df.select(rules.brand_exclusion(F.col("t"), F.col("b"))).collect()] == [None, "symbols", None]
+
+
+def test_batch_limits_sort_no_batch(spark):
+    from bindery.plans import guards
+
+    plan = guards.QUERIES["batch_limits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

@@ -31,7 +31,7 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     """Rows of `points` with those of `spans` that have equal `keys` and start <= at < end; a null end is open. `how`: inner, left_semi or left_anti.
 
     A span belongs to the lowest level whose buckets are as long as it, so it lies in two buckets at most; a point lies in one
-    bucket of each level. Neither long spans nor long times make more rows, and keys with many spans are cut by time. Open
+    bucket of each level that any span has. Neither long spans nor long times make more rows, and keys with many spans are cut by time. Open
     spans, and those beyond the top level, stand in a bucket of their own. `width`: seconds of the lowest buckets.
     """
     length = _seconds(end) - _seconds(start)
@@ -44,7 +44,8 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     last = F.coalesce(_seconds(end), _seconds(start))
     s = spans.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end)))).withColumn("_level", level)
     s = s.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(_seconds(start)), bucket(last)))))
-    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, range(LEVELS + 1))))).withColumn("_bucket", bucket(_seconds(at)))
+    used = sorted(r[0] for r in s.select("_level").distinct().collect())  # LEVELS + 1 at most: points go to these only
+    p = points.withColumn("_level", F.explode(F.expr(f"cast(array({', '.join(map(str, used))}) as array<int>)"))).withColumn("_bucket", bucket(_seconds(at)))
     both = [*keys, "_level", "_bucket"]
     within = (F.col(f"p.{at}") >= F.col(f"s.{start}")) & (F.col(f"s.{end}").isNull() | (F.col(f"p.{at}") < F.col(f"s.{end}")))
     equal = within

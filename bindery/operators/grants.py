@@ -106,7 +106,8 @@ def authorized(captures: DataFrame, grants: DataFrame, sources: DataFrame, now:
     gives source_id and method. Grants of one source, scope and set of fields are united into spans before the captures look theirs up
     by time, so neither many grants nor many captures of a source meet as pairs.
     """
-    asked = captures.groupBy("source_id", "scope", "captured_at").agg(F.array_sort(F.collect_set(_low(F.col("field")))).alias("fields"))
+    each = captures.select("source_id", "scope", "captured_at", _low(F.col("field")).alias("field")).distinct()  # hashed, before sets are gathered
+    asked = each.groupBy("source_id", "scope", "captured_at").agg(F.array_sort(F.collect_list("field")).alias("fields"))
     good = grants.join(sources.select("source_id", "method"), "source_id").where(lasting_denial(F.col("method"), names(*uses)).isNull())
     good = good.where((F.col("effective_at") <= now) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
     spans = good.select("source_id", "scope", F.array_sort(csv_set(F.col("allowed_fields"))).alias("allowed"), F.greatest("effective_at", "reviewed_at").alias("since"), F.col("expires_at").alias("until"))

@@ -88,7 +88,7 @@ v AS (SELECT c.source_id, c.scope, c.moment, CASE WHEN c.moment > TIMESTAMP '{NO
 SELECT source_id, scope, verdict, count(*) AS captures, min(moment) AS first_at, max(moment) AS last_at FROM v GROUP BY source_id, scope, verdict""")
 def captures_authorized(spark: SparkSession, d: str) -> DataFrame:
     """Captures whose fields one grant allows both now and at the time of capture."""
-    c = needs(spark, d).select("source_id", "scope", "captured_at", F.explode("fields").alias("field"))
+    c = needs(spark, d).distinct().select("source_id", "scope", "captured_at", F.explode("fields").alias("field"))
     sources = spark.range(1, 11).select(F.col("id").alias("source_id"), F.lit("api ").alias("method"))
     v = grants.authorized(c, order_grants(spark, d), sources, F.lit(NOW).cast("timestamp"))
     first, last = F.min("captured_at").cast("timestamp_ntz").alias("first_at"), F.max("captured_at").cast("timestamp_ntz").alias("last_at")

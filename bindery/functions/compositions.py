@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -34,59 +35,96 @@ RARITIES = ("signed", "autograph", "rare", "special", "parallel", "regular", "ba
 COMPOSITION = "release string, sequence int, code string, section string, title string, announced int, description string"
 
 
+_COUNTS, _BARE = [re.compile(way, re.I) for way in COUNTS], re.compile(BARE_COUNT)
+_HEADING, _WHOLE = re.compile(r"\[([^\]]+cards?)\]", re.I), re.compile(r"商品構成|Collect All|全\s*\d+\s*(?:類|種類)", re.I)
+_RUN, _CLOSING = re.compile(r"\[(?:Limited\s+to|#'?d\s+to)[^\]]+\]", re.I), re.compile(r"[|:：\s<＜\[(]+$")
+
+
 def stated_count(line: str) -> tuple[int, int] | None:
     """The count that a line states, and where its title ends."""
-    for way in COUNTS:
-        if m := re.search(way, line, re.I):
+    cards, kinds = "card" in line.lower(), "種" in line
+    for i, way in enumerate(_COUNTS):
+        if (cards if i == 3 else kinds) and (m := way.search(line)):
             return int(m[1]), m.start()
-    m = re.search(BARE_COUNT, line) if "card" in line.lower() or "カード" in line else None
+    m = _BARE.search(line) if cards or "カード" in line else None
     return (int(m[1]), m.start()) if m else None
 
 
 def group_title(text: str) -> str:
     """A group's title without its bullet, print run and closing marks."""
     bare = text.lstrip(BULLETS + " \t")
-    bare = re.sub(r"\[(?:Limited\s+to|#'?d\s+to)[^\]]+\]", "", bare, flags=re.I)
-    return " ".join(re.sub(r"[|:：\s<＜\[(]+$", "", bare).split())
+    bare = _RUN.sub("", bare) if "[" in bare else bare
+    return " ".join(_CLOSING.sub("", bare).split())
 
 
 def plain(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).lower().split())
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().split())
 
 
-@udtf(returnType=COMPOSITION)
-class Composition:
-    """Called with a table of (release, line) partitioned by release and in the order of its lines: a row for each group with a
-    count, numbered, with the section that the lines before it opened. A group that was stated before in its section is left out."""
+class Sections:
+    """The lines of one release in their order: a row for each group with a count, numbered, with the section that the lines before it
+    opened. A group that was stated before in its section is left out."""
 
     def __init__(self):
         self.section, self.seen, self.n = FIRST_SECTION, set(), 0
 
-    def eval(self, row) -> Iterator[tuple]:
-        line = " ".join((row["line"] or "").split())
-        heading = re.match(r"\[([^\]]+cards?)\]", line, re.I)
+    def group(self, line: str | None) -> tuple | None:
+        """(sequence, code, section, title, announced, description) of the group that a line states, or null."""
+        line = " ".join((line or "").split())
+        heading = _HEADING.match(line) if line.startswith("[") else None
         stated = stated_count(line)
         if heading and stated is None:
             self.section = group_title(heading[1].title())
-            return
-        if not line or stated is None or re.search(r"商品構成|Collect All|全\s*\d+\s*(?:類|種類)", line, re.I):
-            return
+            return None
+        if not line or stated is None or ("商品構成" in line or "全" in line or "collect all" in line.lower()) and _WHOLE.search(line):
+            return None
         count, end = stated
         title = group_title(line[:end])
-        major = line.startswith(MAJOR_MARKS) or any(w in plain(title) for w in MAJOR_WORDS)
-        key = (plain(title), count, plain(self.section))
+        bare = plain(title)
+        major = line.startswith(MAJOR_MARKS) or any(w in bare for w in MAJOR_WORDS)
+        key = (bare, count, plain(self.section))
         if not 0 < count <= MOST or title.lower() in ("", "type", "card") or key in self.seen:
-            return
+            return None
         self.seen.add(key)
         self.n += 1
-        yield row["release"], self.n, f"COMP-{self.n:03d}", title if major else self.section, title, count, line
+        row = self.n, f"COMP-{self.n:03d}", title if major else self.section, title, count, line
         if major or line.startswith("●"):
             self.section = title
+        return row
+
+
+@udtf(returnType=COMPOSITION)
+class Composition:
+    """The same as a table function, called with a table of (release, line) partitioned by release and in the order of its lines."""
+
+    def __init__(self):
+        self.sections = Sections()
+
+    def eval(self, row) -> Iterator[tuple]:
+        if (found := self.sections.group(row["line"])) is not None:
+            yield row["release"], *found
 
     def terminate(self):
         return iter(())
 
 
+_ROWS = pa.schema([("release", pa.string()), ("sequence", pa.int32()), ("code", pa.string()), ("section", pa.string()), ("title", pa.string()), ("announced", pa.int32()), ("description", pa.string())])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (release, line), all of a release one after the other. Only one release is open at a time."""
+    own, now = None, None
+    for b in batches:
+        rows = []
+        for release, line in zip(b.column("release").to_pylist(), b.column("line").to_pylist(), strict=True):
+            if now is None or release != own:
+                own, now = release, Sections()
+            if (row := now.group(line)) is not None:
+                rows.append((release, *row))
+        columns = list(zip(*rows, strict=True)) or [()] * len(_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
+
+
 def composition_lines(texts: DataFrame) -> DataFrame:
     """(release, place, line) of the lines between the first start and the end after it, of texts (release, text)."""
     lines = texts.select("release", F.posexplode(F.split("text", "\r?\n")).alias("place", "line"))
@@ -100,8 +138,8 @@ def composition_lines(texts: DataFrame) -> DataFrame:
 
 def compositions(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """The groups of each release of (release, place, line). Lines of one release are folded in order, by one task, without being gathered."""
-    spark.udtf.register("composition_groups", Composition)
-    return spark.sql("SELECT c.* FROM composition_groups(TABLE({lines}) PARTITION BY release ORDER BY place) AS c", lines=lines)
+    dealt = lines.select(F.col("release").cast("string").alias("release"), "place", "line").repartition("release").sortWithinPartitions("release", "place")
+    return dealt.select("release", "line").mapInArrow(_folded, COMPOSITION)
 
 
 def announced_total(text):

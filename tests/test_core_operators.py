@@ -339,3 +339,37 @@ def test_manifest_rules(spark):
         got[x.record_id].append(x.problem)
     for i, (change, want) in enumerate(changes):
         assert sorted(got[i]) == sorted(want), change
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_go_to_levels_that_spans_have(spark):
+    """Spans of one length make one row of each point, not one for each level there could be."""
+    hour = dt.timedelta(hours=1)
+    p = spark.createDataFrame([("a", DAY + hour / 2, 1)], "k string, t timestamp, p int")
+    s = spark.createDataFrame([("a", DAY, DAY + hour, 1)], "k string, since timestamp, until timestamp, s int")
+    assert [x.s for x in intervals.interval_join(p, s, ["k"], "t", "since", "until").collect()] == [1]
+    assert "explode([0,1" not in _plan(intervals.interval_join(p, s, ["k"], "t", "since", "until"))
+    assert intervals.interval_join(p, s.where("s > 1"), ["k"], "t", "since", "until").count() == 0
+
+
+def test_rules_without_their_marks_are_not_looked_at(monkeypatch):
+    tried = []
+    over = releases._over_gaps
+    monkeypatch.setattr(releases, "_over_gaps", lambda pattern, text: tried.append(text) or over(pattern, text))
+    assert releases.release_finds("a plain title of no release") == [] and not tried
+    assert [x[3] for x in releases.release_finds("2024年1月2日 PLUſ 3")] == ["2024-01-02", "plus:3"] and len(tried) == 2
+
+
+def test_compositions_are_folded_in_batches(spark):
+    """As the table function does, but without a call for each line."""
+    lines = [("a", 2, "・one Card ＜3種＞"), ("a", 1, "[RARE CARDS]"), ("b", 1, "◆two Card 4種★"), ("b", 2, "・three Card 5種"), (None, 1, "x 7種類"), ("b", 3, "◆two Card 4種★"), ("a", 3, None)]
+    df = spark.createDataFrame(lines, "release string, place int, line string")
+    got = compositions.compositions(spark, df)
+    assert "MapInArrow" in _plan(got)
+    spark.udtf.register("one_by_one", compositions.Composition)
+    want = spark.sql("SELECT c.* FROM one_by_one(TABLE({lines}) PARTITION BY release ORDER BY place) AS c", lines=df)
+    key = lambda x: tuple(map(str, x))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() == 5

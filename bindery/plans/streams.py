@@ -30,8 +30,8 @@ def _thirds(df: DataFrame, order: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, df: DataFrame, scratch: Scratch) -> DataFrame:
-    rows = df.drop("landing")
-    return run.landed(spark, run.land(df, scratch.folder("landings"), F.col("landing"), LANDINGS), rows.schema)
+    stored, path = scratch.put(df, "arrivals"), scratch.folder("landings")
+    return run.landed(spark, path, df.schema, run.spread(stored, path, F.col("landing"), LANDINGS)).drop("landing")
 
 
 def _drained(spark: SparkSession, df: DataFrame, stream, runs=run.drained) -> DataFrame:

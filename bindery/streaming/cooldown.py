@@ -33,15 +33,14 @@ class Cooldown(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state, out, blocked = self.block.get() if self.block.exists() else None, [], False
         until, reason, timer = state or (None, None, None)
-        for pdf in rows:
-            pdf = pdf.sort_values(["at", "seq"], kind="stable")
-            for at, why in zip(pdf["at"], pdf["reason"], strict=True):
-                if pd.notna(why):
-                    until, reason, blocked = max(x for x in (until, at.to_pydatetime() + dt.timedelta(seconds=self.seconds)) if x is not None), why, True
-                    out.append((key[0], "blocked", at, until, reason))
-                else:
-                    held = until is not None and at.to_pydatetime() < until
-                    out.append((key[0], "held" if held else "open", at, until if held else None, reason if held else None))
+        pdf, wait = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable"), dt.timedelta(seconds=self.seconds)
+        for at, why in zip(pdf["at"].array.to_pydatetime(), pdf["reason"], strict=True):
+            if isinstance(why, str):
+                until, reason, blocked = at + wait if until is None else max(until, at + wait), why, True
+                out.append((key[0], "blocked", at, until, reason))
+            else:
+                held = until is not None and at < until
+                out.append((key[0], "held" if held else "open", at, until if held else None, reason if held else None))
         if blocked:
             if timer is not None:
                 self.handle.deleteTimer(timer)

@@ -11,6 +11,8 @@ from bindery.storage import settings
 
 #: Partitions of the state of a stream; fixed when its checkpoint is made.
 STATE_PARTITIONS = 8
+#: Files of a landing at most.
+FILES = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,6 +23,20 @@ def land(df: DataFrame, path: str, part: Column, parts: int, first: int = 0) ->
     return path
 
 
+def spread(df: DataFrame, path: str, part: Column, parts: int) -> int:
+    """The same by all tasks: each landing is as many files as the first one, FILES at most, filled up with empty ones, so that a
+    micro-batch of that many files is one landing. Returns that number. `df` is read once for each landing, so it should be stored."""
+    spark, files, n = df.sparkSession, FILES, 0
+    for i in range(parts):
+        df.where(part == i).coalesce(files).write.mode("append").parquet(path)
+        made = len(spark.read.schema(df.schema).parquet(path).inputFiles()) - n
+        files = made if i == 0 else files
+        for _ in range(files - made):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+        n += files
+    return files
+
+
 def landed(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """The landings as a stream, `files` of them in a micro-batch, the oldest first. The checkpoint of the query that reads
     it remembers which it has seen, so a query that is started again goes on with the next."""

@@ -33,32 +33,59 @@ class Crawl(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", "page int, streak int, ended boolean")
-        self.waiting = handle.getMapState("waiting", "page int", "fingerprint string, matches long, more boolean")
+        self.waiting = handle.getListState("waiting", "page int, fingerprint string, matches long, more boolean")
+        self.first = handle.getValueState("first", "page int")
         self.seen = handle.getMapState("seen", "fingerprint string", "page int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        page, streak, ended = self.at.get() if self.at.exists() else (1, 0, False)
-        out = []
+        """Pages that can't be judged yet are appended to those that wait, in one call; these are read only when the page they wait for is there."""
+        page, streak, ended = self.at.get() or (1, 0, False)
+        out, new, known, began = [], {}, {}, page
+        if ended:
+            return
         for pdf in rows:
-            if ended:
-                continue
-            for x in pdf.itertuples(index=False):
-                self.waiting.updateValue((int(x.page),), (x.fingerprint, int(x.matches), bool(x.more)))
-        while not ended and self.waiting.containsKey((page,)):
-            fp, matches, more = self.waiting.getValue((page,))
-            self.waiting.removeKey((page,))
+            new |= {int(p): (f, int(m), bool(more)) for p, f, m, more in zip(pdf["page"], pdf["fingerprint"], pdf["matches"], pdf["more"], strict=True)}
+        first = (self.first.get() or (None,))[0]  # of those that wait
+        held = first is not None
+        while not ended:
+            if held and page >= first and (page not in new or page > first):
+                new = {p: tuple(x) for p, *x in self.waiting.get()} | new
+                held = False
+            if page not in new:
+                break
+            fp, matches, more = new.pop(page)
             streak = 0 if matches else streak + 1
-            first = self.seen.getValue((fp,))[0] if self.seen.containsKey((fp,)) else None
-            if first is None:
+            if fp not in known:
+                known[fp] = (self.seen.getValue((fp,)) or (None,))[0] if began > 1 else None
+            before = known[fp]
+            if before is None:
+                known[fp] = page
                 self.seen.updateValue((fp,), (page,))
-            status = "public_search_exhausted" if not more else "query_relevance_exhausted" if streak >= self.limit else "pagination_stalled" if first is not None else "running"
-            out.append((key[0], page, streak, first, status))
+            status = "public_search_exhausted" if not more else "query_relevance_exhausted" if streak >= self.limit else "pagination_stalled" if before is not None else "running"
+            out.append((key[0], page, streak, before, status))
             page, ended = page + 1, status != "running"
         if ended:
             self.waiting.clear()
+            self.first.clear()
             self.seen.clear()
+        else:
+            new = {p: x for p, x in new.items() if p >= page}
+            if held and new:
+                self.waiting.appendList([(p, *x) for p, x in new.items()])
+                self.first.update((min(first, min(new)),))
+            elif not held and new:
+                self.waiting.put([(p, *x) for p, x in new.items()])
+                self.first.update((min(new),))
+            elif not held:
+                self.waiting.clear()
+                self.first.clear()
         self.at.update((page, streak, ended))
-        yield pd.DataFrame(out, columns=["run", "page", "streak", "first_page", "status"]).astype({"page": "int32", "streak": "int32", "first_page": "Int32"})
+        if out:
+            yield self._told(out)
+
+    @staticmethod
+    def _told(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["run", "page", "streak", "first_page", "status"]).astype({"page": "int32", "streak": "int32", "first_page": "Int32"})
 
     def close(self) -> None:
         pass

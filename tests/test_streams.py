@@ -184,3 +184,29 @@ def test_scratch_goes_when_the_process_ends(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert "THERE ['1-t']" in said.stdout, said.stderr[-2000:]
     assert [x for x in os.listdir(tmp_path) if x.startswith("bindery-")] == []
+
+
+def test_landings_of_several_files(spark, scratch):
+    """All tasks write a landing, and each landing has as many files as the others, empty ones too."""
+    path = scratch.folder("in")
+    df = spark.range(0, 4000, 1, 4).selectExpr("id", "IF(id < 3990, 0, 1) AS part")
+    files = run.spread(df, path, F.col("part"), 3)
+    assert files == 4 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) == 3 * files
+    stream = run.landed(spark, path, df.schema, files).groupBy("part").count()
+    out = scratch.folder("out")
+    seen = run.updated(stream, out, scratch.folder("checkpoint"))
+    assert sorted(map(tuple, seen.collect())) == [(0, 3990), (1, 10)]
+
+
+def test_visits_of_a_source_are_sorted_over_all_frames():
+    import pandas as pd
+
+    from types import SimpleNamespace
+
+    state = SimpleNamespace(exists=lambda: False, get=lambda: None, update=lambda x: None)
+    c = cooldown.Cooldown(3600)
+    c.handle, c.block = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None), state
+    day = pd.Timestamp("2024-01-01")
+    frames = [pd.DataFrame({"at": [day + pd.Timedelta(minutes=m)], "seq": [m], "reason": [why]}) for m, why in ((10, None), (5, "challenge"))]
+    (got,) = c.handleInputRows(("a",), iter(frames), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0))
+    assert list(got["event"]) == ["blocked", "held"]

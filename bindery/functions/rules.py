@@ -74,6 +74,8 @@ TITLE_RULES = (
     ("illustrated_book", r"(?i)插畫|插画|イラスト|illustrat(?:ed|ion)", False),
     ("calendar_only", r"(?i)月曆|月历|桌曆|桌历|日曆|日历|掛曆|挂历|年曆|年历|カレンダー|\bcalendar\b", True),
 )
+#: What a title must hold for any rule of TITLE_RULES to fit: a kana or Han letter, or one of these words.
+TITLE_MARKS = r"(?i)[\u3000-\u9fff]|dvd|blu|gravure|friday|photo|generated|illustrat|calendar"
 #: Brands of magazines under which single books are sold too, what says that a title is such a book, and what says that
 #: it comes with a magazine.
 MAGAZINE_BRANDS, MAGAZINE_CODES = r"週刊現代|週刊プレイボーイ|EX大衆|漫画アクション", ("magazine_only", "magazine_or_supplement")
@@ -98,9 +100,11 @@ EXCLUSIONS = (
 
 
 def title_exclusion(title: Column, rules=TITLE_RULES) -> Column:
-    """Code of the first rule that fits a title, or null. `rules` may be any table of that shape."""
+    """Code of the first rule that fits a title, or null. `rules` may be any table of that shape. Most titles
+    hold nothing of TITLE_MARKS, so one pattern is tried on them and not all."""
     text = narrow(title)
-    out, signal = F.when(F.lit(False), ""), text.rlike(STRONG_SIGNAL)
+    may = text.rlike(TITLE_MARKS) if rules is TITLE_RULES else F.lit(True)
+    out, signal = F.when(~may, None), text.rlike(STRONG_SIGNAL)
     for code, pattern, outweighed in rules:
         hit = text.rlike(pattern)
         out = out.when(hit & ~signal if outweighed else hit, code)

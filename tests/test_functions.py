@@ -252,3 +252,20 @@ def test_batch_limits_sort_no_batch(spark):
 
     plan = guards.QUERIES["batch_limits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_marks_leave_no_title_out(spark):
+    """Titles of the words of all rules are judged as without the marks; a title without a mark meets one pattern only."""
+    import random
+    import re
+
+    from bindery.functions import rules
+
+    words = [w for _, p, _ in rules.TITLE_RULES for w in re.split(r"\\s\*|\\s\+|\(\?i\)|\(\?:|[|()\[\]^$]|\.\*|\\b|\\", p) if w] + ["Photo CD", "FRIDAY GOLD", "GRAVURE MAGAZINE", "AI-generated", "Blu-ray", "illustrated", "Jr.", "2024年5月号", "3枚", "12号", "été"]
+    r = random.Random(3)
+    titles = [(w,) for w in words] + [(r.choice(["", " "]).join(r.choice(words) for _ in range(r.randint(1, 4))),) for _ in range(1500)]
+    t = spark.createDataFrame(titles, "t string")
+    got = t.select(rules.title_exclusion(F.col("t")).alias("a"), rules.title_exclusion(F.col("t"), list(rules.TITLE_RULES)).alias("c")).collect()
+    assert all(x.a == x.c for x in got) and len({x.a for x in got}) > 5
+    plan = t.select(rules.title_exclusion(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "dvd|blu|gravure" in plan  # tried before the rules

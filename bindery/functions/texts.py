@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -82,11 +84,36 @@ def split_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _key(t: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFKC", t).casefold() if ch.isalnum())
+
+
+def _spaced(t: str) -> str:
+    return "".join(unicodedata.normalize("NFKC", t).lower().split())
+
+
+def _width(t: str) -> int:
+    return len(t) if t.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t)
+
+
+#: Rows of texts that are Python objects at once.
+SLICE = 100
+
+
+def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, spaced and width of rows (doc_id, text), a slice at a time: a batch of long texts is never a batch of Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            own = b.slice(i, SLICE)
+            text = own.column(1).to_pylist()
+            of = lambda f, kind, none=None: pa.array([none if t is None else f(t) for t in text], kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([own.column(0), of(_key, pa.string()), of(_spaced, pa.string()), of(_width, pa.int32(), 0)], names=["doc_id", "key", "spaced", "width"])
+
+
 @F.pandas_udf(StringType())
 def nfkc_key(text: pd.Series) -> pd.Series:
     """Compatibility form, case-folded, letters and digits only: keys that join differently typed names."""
-    fold = lambda t: "".join(ch for ch in unicodedata.normalize("NFKC", t).casefold() if ch.isalnum())
-    return text.map(fold, na_action="ignore")
+    return text.map(_key, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -98,10 +125,10 @@ def nfkc(text: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def nfkc_spaced(text: pd.Series) -> pd.Series:
     """Compatibility form, lower-cased, without white space: the search variant keeps punctuation."""
-    return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).lower().split()), na_action="ignore")
+    return text.map(_spaced, na_action="ignore")
 
 
 @F.pandas_udf(IntegerType())
 def display_width(text: pd.Series) -> pd.Series:
     """Columns a text takes: two for wide and full-width characters."""
-    return text.map(lambda t: sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in t), na_action="ignore").fillna(0).astype("int32")
+    return text.map(_width, na_action="ignore").fillna(0).astype("int32")

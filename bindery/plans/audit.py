@@ -298,4 +298,4 @@ def homepage_verification(spark: SparkSession, d: str) -> DataFrame:
 def nfkc_keys(spark: SparkSession, d: str) -> DataFrame:
     """Name keys in compatibility form; SQL has no such form, tests compare it with the standard library."""
     t = T.table(spark, d, "documents")
-    return t.select("doc_id", texts.nfkc_key("text").alias("key"), texts.nfkc_spaced("text").alias("spaced"), texts.display_width("text").alias("width"))
+    return t.select("doc_id", "text").mapInArrow(texts.name_keys, f"doc_id {dict(t.dtypes)['doc_id']}, key string, spaced string, width int")

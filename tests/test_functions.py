@@ -269,3 +269,12 @@ def test_marks_leave_no_title_out(spark):
     assert all(x.a == x.c for x in got) and len({x.a for x in got}) > 5
     plan = t.select(rules.title_exclusion(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert "dvd|blu|gravure" in plan  # tried before the rules
+
+
+def test_name_keys_go_by_slices():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(250)), "text": ["Ａ é", None, "ß 写"] + ["x"] * 247})
+    got = list(texts.name_keys(iter([b])))
+    assert [x.num_rows for x in got] == [100, 100, 50]
+    assert got[0].slice(0, 3).to_pylist() == [{"doc_id": 0, "key": "aé", "spaced": "aé", "width": 4}, {"doc_id": 1, "key": None, "spaced": None, "width": 0}, {"doc_id": 2, "key": "ss写", "spaced": "ß写", "width": 4}]

@@ -7,10 +7,10 @@ run's bytes.
 
 A suffix array is a stored table of these suffixes in the order of their first `gram` bytes, then of the hash of their
 run: document, run, prefix. A family holds arrays whose sizes, in batches, are powers of two. A new batch is merge-scanned
-against every level: the rows of both are dealt out by ranges of that order, sorted, and each is compared with its
-neighbours. Suffixes with the prefix of a neighbour are met, those with its run as well are twins: all their windows are
-long matches. Equal-sized levels are merged by the same scan, so a suffix is written anew once for each doubling. Where a
-range begins or ends, the neighbour is in another task; the prefixes there, two for a range, are compared afterwards.
+with the levels that it completes to the next power, all at once: their rows are dealt out by ranges of that order, sorted,
+and each is compared with its neighbours. Suffixes with the prefix of a neighbour are met, those with its run as well are
+twins: all their windows are long matches. Levels that were never merged are scanned together when finds are asked for.
+Where a range begins or ends, the neighbour is in another task; the prefixes there, two for a range, are compared afterwards.
 
 Suffixes that are never met can't match. Those that are met, but no twins (the edges of shared passages), are compared
 window by window. Every stage deals out by ranges that split equal keys, by joins on keys, or by partial sums, so a
@@ -154,10 +154,10 @@ def _marked(t: pa.Table, begun: bool, ended: bool):
 
 
 class SuffixFamily:
-    """Suffix arrays on shared storage, each with the number of batches it holds, and what their merge scans have found."""
+    """Suffix arrays on shared storage, each with the number of batches it holds; their rows tell what merge scans have found."""
 
     def __init__(self, stash: Stash, ranges: int | None = None):
-        self.stash, self.levels, self.hits = stash, [], []
+        self.stash, self.levels = stash, []
         self.ranges = ranges or int(stash.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(self, rows: DataFrame, found_only: bool) -> DataFrame:
@@ -181,24 +181,22 @@ class SuffixFamily:
         return out
 
     def add(self, batch: DataFrame) -> None:
-        """Takes in the suffixes of new documents. Each level is read once; what it shares with the batch joins `hits`."""
-        new, size = self.scan(batch.withColumns({"met": F.lit(False), "twin": F.lit(False)}), False), 1
+        """Takes in the suffixes of new documents, with all levels that are due to be merged with them in one scan."""
+        rows, size, due = batch.withColumns({"met": F.lit(False), "twin": F.lit(False)}), 1, []
         while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            merged = self.scan(level.unionByName(new), False)
-            self.stash.drop(level, new)
-            new, size = merged, size * 2
-        for _, level in self.levels:
-            self.hits.append(self.scan(level.unionByName(new), True).where("met"))
-        self.levels.append((size, new))
+            due.append(self.levels.pop()[1])
+            rows, size = due[-1].unionByName(rows), size * 2
+        self.levels.append((size, self.scan(rows, False)))
+        self.stash.drop(*due)
 
     def found(self) -> DataFrame:
-        """(did, rid, s0, s1, prefix, run, twin) of each suffix that was met at any time."""
-        rows = [level.where("met") for _, level in self.levels] + self.hits
-        whole = rows[0]
-        for more in rows[1:]:
-            whole = whole.unionByName(more)
-        return whole.groupBy("did", "rid", "s0", "s1", "prefix", "run").agg(F.max("twin").alias("twin"))
+        """(did, rid, s0, s1, prefix, run, met, twin) of each suffix that is met within its level or, if there are several, in another."""
+        whole = self.levels[0][1]
+        if len(self.levels) > 1:
+            for _, level in self.levels[1:]:
+                whole = whole.unionByName(level)
+            whole = self.scan(whole, True)
+        return whole.where("met")
 
 
 def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +338,7 @@ def repeated_spans(stash: Stash, docs: DataFrame, length: int = LENGTH, gram: in
     for i in range(batches):
         family.add(rows.where(F.pmod(F.hash("did", "rid"), F.lit(batches)) == i))
     stash.drop(rows)
-    near = stash.put(family.found().withColumn("gram", F.xxhash64("prefix")).drop("prefix"), "near")
+    near = stash.put(family.found().withColumn("gram", F.xxhash64("prefix")).drop("prefix", "met"), "near")
     stash.drop(*(level for _, level in family.levels))
     # Of suffixes of one k-gram with different runs, one of each run is compared window by window.
     first = near.groupBy("gram", "run").agg(F.min(F.struct("did", "rid", "s0", "s1")).alias("f"))

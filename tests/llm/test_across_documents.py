@@ -475,3 +475,16 @@ def test_no_documents(spark, documents):
     assert packing.pack(spark, none).count() == 0
     assert lm.score_documents(spark, none).count() == 0
     assert decontam.decontaminate(spark, none, none.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_a_suffix_is_sorted_once_for_each_doubling(spark, documents, monkeypatch):
+    """Of four batches the first is sorted alone, the second with it, the third alone, and the fourth with all."""
+    from bindery.llm.common import Stash, keyed
+
+    family, sorted_rows = suffix.SuffixFamily(Stash(spark), ranges=3), []
+    scan = suffix.SuffixFamily.scan
+    monkeypatch.setattr(suffix.SuffixFamily, "scan", lambda self, rows, found_only: (sorted_rows.append(rows.count()), scan(self, rows, found_only))[1])
+    for i in range(4):
+        family.add(suffix.suffix_runs(keyed(documents([f"{i} " + "the same words again " * 12])), 200, 32))
+    one = sorted_rows[0]
+    assert len(sorted_rows) == 4 and sum(sorted_rows) <= 9 * one and family.found().count() > 0

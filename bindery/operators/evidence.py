@@ -82,15 +82,24 @@ def _pieces(schema: StructType) -> list[Column]:
     return out
 
 
+def _expected(records: DataFrame) -> Column:
+    """Array of what a record expects."""
+    none = F.expr("cast(array() as array<struct<filled:boolean,entity_type:string,entity_id:string,field:string,grant_field:string,scope:string,url:string>>)")
+    pieces = F.concat(*(F.coalesce(p, none) for p in _pieces(records.schema)))
+    return F.when(F.expr("work.id <> '' OR edition.id <> ''"), F.filter(pieces, lambda x: x["filled"])).otherwise(none)
+
+
+def _problem(x: Column, y: Column) -> Column:
+    """What is wrong with a field whose expected pieces lie between `x` and `y`."""
+    return F.when((F.trim("entity_id") == "") | ~x["url"].rlike("^https://[^/\\s]+"), "unsourced").when(x != y, "conflict")
+
+
 def expected_evidence(records: DataFrame) -> DataFrame:
     """(record_id, entity_type, entity_id, field, grant_field, scope, url, problem): problem is `unsourced` without an entity or a secure
     address, and `conflict` where a record expects a field twice and differently."""
-    none = F.expr("cast(array() as array<struct<filled:boolean,entity_type:string,entity_id:string,field:string,grant_field:string,scope:string,url:string>>)")
-    pieces = [F.coalesce(p, none) for p in _pieces(records.schema)]
-    df = records.where("work.id <> '' OR edition.id <> ''").select("record_id", F.inline(F.concat(*pieces))).where("filled").drop("filled")
-    one = df.groupBy(*_KEY).agg(F.min(F.struct("grant_field", "scope", "url")).alias("x"), F.max(F.struct("grant_field", "scope", "url")).alias("y"))
-    problem = F.when((F.trim("entity_id") == "") | ~F.col("x.url").rlike("^https://[^/\\s]+"), "unsourced").when(F.col("x") != F.col("y"), "conflict")
-    return one.select(*_KEY, "x.*", problem.alias("problem"))
+    df, piece = records.select("record_id", F.inline(_expected(records))), F.struct("grant_field", "scope", "url")
+    one = df.groupBy(*_KEY).agg(F.min(piece).alias("x"), F.max(piece).alias("y"))
+    return one.select(*_KEY, "x.*", _problem(F.col("x"), F.col("y")).alias("problem"))
 
 
 def provided_evidence(records: DataFrame) -> DataFrame:
@@ -101,11 +110,22 @@ def provided_evidence(records: DataFrame) -> DataFrame:
 
 
 def evidence_mismatches(records: DataFrame) -> DataFrame:
-    """(record_id, entity_type, entity_id, field, gap): where what a record expects and what it provides part."""
-    e = expected_evidence(records).withColumnsRenamed({"scope": "e_scope", "url": "e_url"})
-    both = e.join(provided_evidence(records), _KEY, "full")
+    """(record_id, entity_type, entity_id, field, gap): where what a record expects and what it provides part.
+
+    Records are dealt out whole, once, by record_id: the pieces of both sides are made where a record is, and grouped there by keys that
+    begin with it. A join of the two sides would deal out all pieces again, by all of its keys. A key with a null meets nothing.
+    """
+    piece = lambda x, side, e, p: F.struct(*(x[c].alias(c) for c in ("entity_type", "entity_id")), F.lit(side).alias("side"), e.alias("e"), p.alias("p"))
+    no_e, no_p = F.expr("cast(null as struct<grant_field:string,scope:string,url:string>)"), F.expr("cast(null as struct<source_id:string,scope:string,url:string,captured_at:timestamp>)")
+    named = lambda x, field, *rest: F.struct(field.alias("field"), piece(x, *rest).alias("x"))
+    want = F.transform(_expected(records), lambda x: named(x, x["field"], "expected", F.struct(x["grant_field"], x["scope"], x["url"]), no_p))
+    stated = lambda g: F.struct(g["source_id"], g["scope"], g["source_url"].alias("url"), g["captured_at"])
+    given = F.transform("source_evidence", lambda g: F.coalesce(F.transform(g["fields"], lambda f: named(g, F.trim(f), "provided", no_e, stated(g))), F.array()))
+    df = records.repartition("record_id").select("record_id", F.explode(F.concat(want, F.coalesce(F.flatten(given), F.array()))).alias("x")).select("record_id", "x.field", "x.x.*")
+    alone = F.when(F.greatest(*(F.col(c).isNull() for c in _KEY)), F.col("side"))
+    both = df.groupBy(*_KEY, alone.alias("alone")).agg(F.min("e").alias("x"), F.max("e").alias("y"), F.min("p").alias("p"), F.count("p").alias("n"))
+    x, p = F.col("x"), F.col("p")
     gap = (
-        F.when(F.col("n") > 1, "duplicate").when(F.col("e_scope").isNull(), "extra").when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("n").isNull(), "missing").when(F.col("e_url") != F.col("url"), "url").when(F.col("e_scope") != F.col("scope"), "scope")
+        F.when(F.col("n") > 1, "duplicate").when(x.isNull(), "extra").otherwise(F.coalesce(_problem(x, F.col("y")), F.when(F.col("n") == 0, "missing").when(x["url"] != p["url"], "url").when(x["scope"] != p["scope"], "scope")))
     )
     return both.select(*_KEY, gap.alias("gap")).where("gap IS NOT NULL")

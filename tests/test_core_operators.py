@@ -221,6 +221,16 @@ def test_evidence_is_read_from_the_schema(spark):
     assert evidence.expected_evidence(spark.createDataFrame(rows[:1], RECORD)).count() == 15
 
 
+def test_evidence_deals_records_out_once_and_nulls_meet_nothing(spark):
+    give = lambda entity, eid, *fields: (entity, eid, "s1", "bibliography", META, None, list(fields))
+    work, edition = ("w1", "T", "", " ", "P", "c.jpg", None, None, None), ("e1", "w1", META, "physical", "978", 96, None, None)
+    rows = [(None, work, edition, None, None, " ", None, [give("work", "w1", "title")]), (2, work, edition, None, None, " ", None, [give(None, "w1", "title", "title"), None, ("work", "w1", "s1", "bibliography", META, None, None)])]
+    df = evidence.evidence_mismatches(spark.createDataFrame(rows, RECORD))
+    got = sorted((x.record_id or 0, x.entity_type or "", x.gap) for x in df.collect() if x.field == "title")
+    assert got == [(0, "work", "extra"), (0, "work", "missing"), (2, "", "duplicate"), (2, "work", "missing")]
+    assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and df._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange ") == 1
+
+
 TITLES = [
     ("MOMO 藤田もも写真集", ["もも", "Momo"], "other", "藤田もも"), ("FLASHデジタル写真集　鈴もも　永遠少女", ["もも", "Momo"], "other", "鈴もも"), ("A-collection 萌木七海（１）", ["兒玉七海", "七海", "Nanami"], "other", "萌木七海"),
     ("PHOTO SHOT　〜レースクイーン〜　七海ひより", ["兒玉七海", "七海"], "other", "七海ひより"), ("LOVEPOP デラックス　美ノ嶋めぐり　001", ["めぐり", "Meguri"], "other", "美ノ嶋めぐり"),

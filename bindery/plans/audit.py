@@ -9,10 +9,14 @@ from bindery.functions import offers, texts
 from bindery.operators import ordinals
 from bindery.plans import fixtures as T
 from bindery.plans.fixtures import registry, with_tables
+from bindery.storage import Scratch
 
 QUERIES, ORACLE = {}, {}
 query = registry(QUERIES, ORACLE)
 
+#: People of a work who are paired with each other at once; those of larger works are paired by smaller ones.
+CROWD = 1000
+
 
 @query(f"""{with_tables("editions", "listings", "works")}
 SELECT format, count(*) AS editions, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM listings l WHERE l.edition_id = e.edition_id AND l.format = e.format AND l.status = 'active' AND l.price_minor > 0)) AS priced
@@ -84,18 +88,28 @@ JOIN n x ON x.person_id = a.person_id JOIN n y ON y.person_id = b.person_id GROU
 def duplicate_people_pairs(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """People who share at least two works, with how many each has.
 
-    Two sets that share two works also share one without the largest work of each, so no one is paired on that: works with
-    many credits seldom make pairs. The pairs' works are counted afterwards.
+    Pairs are counted work by work, but for works of more than CROWD people, which would make too many. Two people who share only
+    such works share one without the largest of each, so no one is paired on that; shared crowds are counted for the pairs found.
     """
+    scratch = Scratch(spark)
     c = T.credits(spark, d).where(only).select("work_id", "person_id").distinct()
-    size = c.groupBy("work_id").agg(F.count("*").alias("size"))
-    largest = Window.partitionBy("person_id").orderBy(F.desc("size"), "work_id")
-    keys = c.join(size, "work_id").withColumn("place", F.row_number().over(largest)).where("place > 1").select("work_id", "person_id")
-    a, b = keys.withColumnRenamed("person_id", "a"), keys.withColumnRenamed("person_id", "b")
-    p = a.join(b, "work_id").where("a < b").select("a", "b").distinct()
-    works = c.groupBy("person_id").agg(F.collect_list("work_id").alias("w"))
-    p = p.join(works.toDF("a", "wa"), "a").join(works.toDF("b", "wb"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")).cast("long"))
-    return p.where("shared >= 2").select("a", "b", "shared", F.size("wa").cast("long").alias("n_a"), F.size("wb").cast("long").alias("n_b"))
+    c = scratch.put(c.join(c.groupBy("work_id").agg(F.count("*").alias("size")), "work_id"), "credits")
+    pairs = lambda k: k.select("work_id", F.col("person_id").alias("a")).join(k.select("work_id", F.col("person_id").alias("b")), "work_id").where("a < b").select("a", "b")
+    crowds = c.where(F.col("size") > CROWD)
+    p = pairs(c.where(F.col("size") <= CROWD)).withColumn("k", F.lit(1))
+    crowded = not crowds.isEmpty()
+    if crowded:
+        largest = Window.partitionBy("person_id").orderBy(F.desc("size"), "work_id")
+        p = p.union(pairs(crowds.withColumn("place", F.row_number().over(largest)).where("place > 1")).withColumn("k", F.lit(0)))
+    # Few pairs come twice, so they are dealt out before they are counted.
+    p = p.repartition("a", "b").groupBy("a", "b").agg(F.sum("k").alias("shared"))
+    if crowded:
+        works = crowds.groupBy("person_id").agg(F.collect_list("work_id").alias("w"))
+        p = p.join(works.toDF("a", "wa"), "a", "left").join(works.toDF("b", "wb"), "b", "left")
+        p = p.withColumn("shared", F.col("shared") + F.coalesce(F.array_size(F.array_intersect("wa", "wb")), F.lit(0)))
+    n = c.groupBy("person_id").agg(F.count("*").alias("n"))
+    p = p.where("shared >= 2").join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    return p.select("a", "b", "shared", "n_a", "n_b")
 
 
 @query(f"""{with_tables("credits")}, s AS (SELECT person_id, string_agg(DISTINCT work_id, ',' ORDER BY work_id) AS works, count(DISTINCT work_id) AS n FROM credits WHERE role = 'cover_model' GROUP BY person_id)

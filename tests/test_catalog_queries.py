@@ -81,6 +81,20 @@ def test_pairs_of_people_by_brute_force(spark, tmp_path):
     assert sorted(map(tuple, q.QUERIES["duplicate_people_pairs"](spark, str(tmp_path)).collect())) == want
 
 
+def test_pairs_of_people_in_crowds(spark, tmp_path, monkeypatch):
+    """Pairs that share small works, crowds of any order, and one of each."""
+    from bindery.plans import audit
+
+    for crowd in (0, 3, 8, 39):
+        monkeypatch.setattr(audit, "CROWD", crowd)
+        path = tmp_path / str(crowd)
+        path.mkdir()
+        test_pairs_of_people_by_brute_force(spark, path)
+    monkeypatch.setattr(audit, "CROWD", 1000)
+    # Without crowds no lists of works are joined to pairs.
+    assert "array_intersect" not in q.QUERIES["duplicate_people_pairs"](spark, str(path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ordinals_over_ranges(spark):
     from bindery.operators import ordinals
 

@@ -16,6 +16,8 @@ SPACES = r"[ \x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only when its rows, counted first, stay below this many bytes; otherwise it is shuffled.
 BROADCAST_BYTES = 24 << 20
+#: Partitions of up to so many shuffled bytes may be joined by a hash table; larger ones are sorted, which can spill.
+HASHED_BYTES = "64m"
 
 
 class Stash:
@@ -31,8 +33,9 @@ class Stash:
         self.n = 0
         _open.append(self)
 
-    def put(self, df: DataFrame, name: str = "t", rows: int | None = None, hashes: bool = False) -> DataFrame:
-        """`hashes`: the table is mostly hashes, on which dictionaries and strong compression are wasted. `rows`: how many rows are handed to Python at once while the table is made. Texts are long, and an executor
+    def put(self, df: DataFrame, name: str = "t", rows: int | None = None, hashes: bool = False, joins: bool = False) -> DataFrame:
+        """`hashes`: the table is mostly hashes, on which dictionaries and strong compression are wasted. `joins`: partitions that turn
+        out to be small are joined by hash tables and not sorted. `rows`: how many rows are handed to Python at once while the table is made. Texts are long, and an executor
         holds several batches of them. Shuffle files go when the table has been written, as nothing else reads them.
         The session's own settings are put back."""
         self.n += 1
@@ -40,6 +43,8 @@ class Stash:
         own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
         if rows is not None:
             own["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+        if joins:
+            own["spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"] = HASHED_BYTES
         before = {k: conf.get(k) for k in own}
         try:
             for k, v in own.items():

@@ -93,13 +93,14 @@ def line_sets(hashed: DataFrame, levels: np.ndarray) -> DataFrame:
     a sketch of 128 bits. `low` is the level of the rarest word. `prefix`
     is the prefix and one word more, as 31-bit tokens: 0 for a word that stands nowhere else, negative for a hot one.
     """
-    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    rank = lambda h: F.shiftleft(F.get(level, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    level = F.split(F.lit(",".join(map(str, levels << 56))), ",").cast("array<bigint>")
+    # No level is null; where the plan says so, plain numbers are sorted.
+    rank = lambda h: F.coalesce(F.get(level, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")), none).bitwiseOR(F.shiftrightunsigned(h, 8))
     df = hashed.select("did", "rid", "line", F.sort_array(F.transform("h", rank)).alias("s"))
     n = F.size("s")
     hot = F.lit(_level_of(HOT) + 1 << 56)
     token = lambda k: F.when(k < F.lit(1 << 56), 0).when(k >= hot, -_token(k)).otherwise(_token(k))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
     flips = F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, bit(k))))
     half = F.aggregate("s", none, lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(one), bit(k))))
@@ -120,24 +121,42 @@ def _band():
     return F.floor(F.log2("n")).cast("int")
 
 
-def _prefix_words(classes: DataFrame) -> DataFrame:
-    """(key, cid, did, open, np, flips, more): the prefix of each class in its own band of sizes and, if partners can be there,
-    the one below.
+def _prefix_words(classes: DataFrame, index: bool = False, passes: int = 1, k: int = 0) -> DataFrame:
+    """(key, cid, did, np, flips, more): the words of pass `k` in the prefix of each class by which it meets sets of no more words, in its
+    own band of sizes and, if partners can be there, the one below; with `index` those by which it is met, in its own band.
 
-    `np` is the set's size and the word's position in the order, 32 bits each; `open` is did, or the least number for a
-    class that is removed already.
+    Sets of n and m words must have 4/9 of n + m in common, all of them from the first one on. So that is among fewer words where the
+    other set is the larger one, or has the least size of the own band or more. `np` is the set's size, 32 bits, the word's position
+    in the order, 31 bits, and whether the class is still to be removed.
     """
-    size, band = F.size("prefix") - 1, _band()
-    at = classes.select("cid", "did", "open", "n", "flips", "more", "prefix", F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok"))
-    low = F.col("n") * 4 < F.call_function("shiftleft", F.lit(5), band)
-    bands = F.explode(F.when(low, F.array(band, band - 1)).otherwise(F.array(band))).alias("band")
-    same = ("cid", "did", "open", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("np"), "flips", "more")
-    rest = ("cid", "did", "open", "np", "flips", "more")
-    cold = at.where("tok > 0").select(*same, (F.col("tok").cast("long") * 64).alias("k"), bands).select((F.col("k") + F.col("band")).alias("key"), *rest)
+    band, size = _band(), F.size("prefix") - 1
+    least = F.call_function("shiftleft", F.lit(1), band)
+    common = F.expr("(4 * n + 4) div 5").cast("int")
+    if index:
+        size = own = F.expr("n - (8 * n + 8) div 9 + 1").cast("int")
+        below = F.lit(0)
+    else:
+        own = F.col("n") - F.greatest(common, F.call_function("div", (least + F.col("n")) * 4 + 8, F.lit(9)).cast("int")) + 1
+        below = F.when(common < least, size).otherwise(0)
+    whole = F.col("n").cast("long") * (1 << 32) + (F.col("open") == F.col("did")).cast("long")
+    columns = ("cid", "did", whole.alias("np"), "flips", "more", band.alias("band"), own.alias("own"), below.alias("below"))
+    words = F.posexplode(F.slice("prefix", F.lit(1), size)).alias("i", "tok")
+    same = ("cid", "did", (F.col("np") + F.col("i") * 2).alias("np"), "flips", "more")
+    rest = ("cid", "did", "np", "flips", "more")
+    cold = classes.select(*columns, words).where("tok > 0")
+    if passes > 1:
+        cold = cold.where(F.pmod("tok", F.lit(passes)) == k)
+    key = F.col("tok").cast("long") * 64 + F.col("band")
+    keys = F.when(F.col("below") == 0, F.array(key)).when(F.col("i") < F.col("own"), F.array(key, key - 1)).otherwise(F.array(key - 1))
+    cold = cold.select(key.alias("key") if index else F.explode(keys).alias("key"), *same)
     # After a hot word all are hot. Two sets that share no cold word share two hot ones, and meet on the first of them with the second.
-    later = F.slice("prefix", F.col("i") + 2, F.size("prefix"))
-    hot = at.where("tok < 0").select(*same, "n", "tok", later.alias("later")).select(*same[:3], "np", "flips", "more", "n", "tok", F.explode("later").alias("other"))
-    hot = hot.select(*rest, "tok", "other", bands).select(F.xxhash64("tok", "other", "band").alias("key"), *rest)
+    hot = classes.where(F.element_at("prefix", -1) < 0).select(*columns, "prefix", words).where("tok < 0")
+    bands = F.explode(F.array(F.struct("band", F.col("own").alias("size")), F.struct((F.col("band") - 1).alias("band"), F.col("below").alias("size")))).alias("to")
+    hot = hot.select(*same, "i", "tok", "prefix", bands).where("i < to.size")
+    hot = hot.select(*rest, "tok", "to.band", F.explode(F.slice("prefix", F.col("i") + 2, F.col("to.size") - F.col("i"))).alias("other"))
+    hot = hot.select(F.xxhash64("tok", "other", "band").alias("key"), *rest)
+    if passes > 1:
+        hot = hot.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
     return cold.unionByName(hot)
 
 
@@ -163,8 +182,10 @@ def _star(classes: DataFrame) -> DataFrame:
     rows = classes.select("did", "cid", "n", "flips", "more", rank.alias("rank"), F.explode(words).alias("tok")).where("tok <> 0")
     rows = rows.select((F.col("tok").cast("long") * 64 + _band()).alias("key"), "did", "rank", "cid", "n", "flips", "more")
     own = ("cid", "n", "flips", "more")
-    best = rows.groupBy("key").agg(F.min(F.struct("did", *own)).alias("first"), F.min(F.struct("rank", *own)).alias("common"), F.count("*").alias("k")).where("k > 1")
-    centre = F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"{c}.{x}").alias(x) for x in own)) for c in ("first", "common"))))).alias("c")
+    # Plain numbers one by one, as structs would have to be sorted by their keys.
+    least = (F.min_by(x, by).alias(f"{by}_{x}") for by in ("did", "rank") for x in own)
+    best = rows.groupBy("key").agg(*least, F.count("*").alias("k")).where("k > 1")
+    centre = F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"{by}_{x}").alias(x) for x in own)) for by in ("did", "rank"))))).alias("c")
     centres = best.select("key", centre).select("key", "c.*")
     x, y = centres.select("key", "cid", "n", "flips", "more").alias("x"), rows.select("key", "cid", "n", "flips", "more").alias("y")
     fits = (F.col("x.cid") != F.col("y.cid")) & _near(F.col("x.n"), F.col("y.n"))
@@ -173,85 +194,98 @@ def _star(classes: DataFrame) -> DataFrame:
 
 def _passes(classes: DataFrame) -> int:
     """Passes over the keys in which classes meet, from the rows of their prefixes."""
-    size = F.size("prefix") - 1
-    hot = F.size(F.filter(F.slice("prefix", F.lit(1), size), lambda t: t < 0))
-    cold = F.size(F.filter("prefix", lambda t: t > 0))
-    x = classes.agg(F.count("*").alias("n"), F.sum(cold + hot * (hot + 1) / 2).alias("rows")).first()
+    size, last = F.size("prefix") - 1, F.element_at("prefix", -1) < 0  # hot words are the last
+    hot = F.when(last, F.size(F.filter(F.slice("prefix", F.lit(1), size), lambda t: t < 0))).otherwise(0).cast("double")
+    rows = F.col("size") - F.col("hot") + F.col("hot") * (F.col("hot") + 1) / 2
+    # By about half as many words it is met.
+    x = classes.select(size.alias("size"), hot.alias("hot")).agg(F.count("*").alias("n"), F.sum(rows * 3 / 2).alias("rows")).first()
     return max(1, int(np.ceil((x["rows"] or 0) / (PASS_ROWS * max(1, x["n"])))))
 
 
 def _met(stash: Stash, classes: DataFrame) -> DataFrame:
     """_meeting in passes. Two classes may meet in several, always at one distance."""
     passes = _passes(classes)
-    parts = [stash.put(_meeting(classes, passes, i), "met") for i in range(passes)]
+    parts = [stash.put(_meeting(classes, passes, k), "met", joins=True) for k in range(passes)]
     if passes == 1:
         return parts[0]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    met = stash.put(whole.groupBy("a", "b").agg(F.min("far").alias("far")), "met")
+    met = stash.put(whole.groupBy("a", "b", "within").agg(F.min("far").alias("far")), "met")
     stash.drop(*parts)
     return met
 
 
-def _meeting(classes: DataFrame, passes: int = 1, i: int = 0) -> DataFrame:
-    """(a, b, far): classes and later open ones whose prefixes meet on a key of pass `i`, if sizes, positions and sketches allow enough overlap."""
-    words = _prefix_words(classes)
-    if passes > 1:
-        words = words.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i)
-    x, y = words.alias("x"), words.alias("y")
+def _meeting(classes: DataFrame, passes: int = 1, k: int = 0) -> DataFrame:
+    """(a, b, within, far): classes and later ones whose prefixes meet on a key of pass `k`, if sizes, positions and sketches allow enough
+    overlap and the later one is still open. `within` one document, either may be the later one."""
+    x, y = _prefix_words(classes, True, passes, k).alias("x"), _prefix_words(classes, False, passes, k).alias("y")
     nx, ny = (F.shiftright(f"{c}.np", 32) for c in "xy")
-    i, j = (F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)) for c in "xy")
+    i, j = (F.shiftright(F.col(f"{c}.np").bitwiseAND(F.lit((1 << 32) - 1)), 1) for c in "xy")
     # Of the first common word of both prefixes, the words from there on must make up 4/9 of the sizes' sum.
     rest = F.least(nx - i, ny - j)
-    # No condition on one side alone: it would be pushed below the shuffle, which then couldn't serve both sides.
-    within = (F.col("x.did") == F.col("y.did")) & (F.col("x.cid") < F.col("y.cid")) & ((F.col("x.open") == F.col("x.did")) | (F.col("y.open") == F.col("y.did")))
-    ordered = (F.col("x.did") < F.col("y.open")) | within
-    fits = ordered & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny)
-    met = x.join(y, "key").where(fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), _far()(nx, ny).alias("far"))
-    return met.groupBy("a", "b").agg(F.min("far").alias("far"))
-
-
-def _later(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid, did, rid, line): the later class of each pair (a, b) of classes whose sets are similar enough."""
-    pairs = stash.put(pairs, "pairs")
+    once = (nx < ny) | ((nx == ny) & (F.col("x.cid") < F.col("y.cid")))
+    x_open, y_open = (F.col(f"{c}.np").bitwiseAND(F.lit(1)) == 1 for c in "xy")
+    before, after = F.col("x.did") < F.col("y.did"), F.col("x.did") > F.col("y.did")
+    ordered = F.when(before, y_open).when(after, x_open).otherwise(x_open | y_open)
+    fits = once & (rest * 9 >= (nx + ny) * 4) & _near(nx, ny) & ordered  # the cheapest first
+    swap = after | (~before & (F.col("x.cid") > F.col("y.cid")))
+    end = lambda c, d: F.when(swap, F.col(f"{d}.cid")).otherwise(F.col(f"{c}.cid"))
+    met = x.join(y, "key").where(fits).select(end("x", "y").alias("a"), end("y", "x").alias("b"), (~before & ~after).alias("within"), _far()(nx, ny).alias("far"))
+    return met.groupBy("a", "b", "within").agg(F.min("far").alias("far"))
+
+
+def _sets(stash: Stash, pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, did, rid, line, s): the whole sets of the classes of stored pairs (a, b)."""
     where = classes.select("cid", "did", "rid", "line")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(where, "cid")
-    wanted = stash.put(wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "cid")).alias("ls")), "wanted")
+    wanted = stash.put(wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("line", "cid")).alias("ls")), "wanted", joins=True)
     got = docs.join(sized(wanted, F.size("ls") * 24 + 64), ["did", "rid"]).select("did", "rid", "ls", F.split(_plain(F.col("text")), "\n").alias("all"))
     sets = got.select("did", "rid", "all", F.explode("ls").alias("l"))
     sets = sets.select("did", "rid", "l.line", "l.cid", _hashes(F.get("all", F.col("l.line"))).alias("s"))  # several times if a row is repeated
-    sets = stash.put(sets, "sets")
+    sets = stash.put(sets, "sets", hashes=True)
+    stash.drop(wanted)
+    return sets
+
+
+def _later(stash: Stash, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, did, rid, line): the later class of each pair (a, b) of classes whose sets are similar enough."""
     side = lambda c: sets.select(F.col("cid").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("did", "rid", "line", "s")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("a_s", "b_s")))
     same = both.where(F.col("i") * 5 >= (F.size("a_s") + F.size("b_s") - F.col("i")) * 4)
     end = lambda c: F.struct(F.col(f"{c}_did").alias("did"), F.col(f"{c}_rid").alias("rid"), F.col(f"{c}_line").alias("line"), F.col(c).alias("cid"))
-    late = stash.put(same.select(F.greatest(end("a"), end("b")).alias("x")).select("x.*").distinct(), "late")
-    stash.drop(wanted, sets, pairs)
-    return late
+    return stash.put(same.select(F.greatest(end("a"), end("b")).alias("x")).select("x.*").distinct(), "late", joins=True)
 
 
 def removed_lines(stash: Stash, docs: DataFrame) -> DataFrame:
     """(did, rid, gone, n_exact): the sorted numbers of the removed lines of each document of keyed `docs` that has any."""
     # Filtered when stored: before that, the filter would compute every set once more.
     hashed = stash.put(hashed_lines(docs), "hashed", hashes=True)
-    lines = stash.put(line_sets(hashed, word_levels(hashed)), "lines")
+    lines = stash.put(line_sets(hashed, word_levels(hashed)), "lines", hashes=True)
     stash.drop(hashed)
     words = lines.where("n > 0")
-    classes = words.groupBy("cls").agg(F.min(F.struct("did", "rid", "line", "n", "flips", "more", "low", "prefix")).alias("f"))
-    classes = stash.put(classes.select("cls", "f.*", F.monotonically_increasing_id().alias("cid")), "classes")
-    first = classes.select("cls", F.col("did").alias("d0"), F.col("rid").alias("r0"), F.col("line").alias("l0"))
+    first = F.min(F.struct("did", "rid", "line", "n", "flips", "more", "low", "prefix")).alias("f")
+    classes = words.groupBy("cls").agg(first, F.count("*").alias("k"))
+    classes = stash.put(classes.select("cls", "k", "f.*", F.monotonically_increasing_id().alias("cid")), "classes", hashes=True)
+    first = classes.where("k > 1").select("cls", F.col("did").alias("d0"), F.col("rid").alias("r0"), F.col("line").alias("l0"))
     other = (F.col("did") != F.col("d0")) | (F.col("rid") != F.col("r0")) | (F.col("line") != F.col("l0"))
-    again = stash.put(words.select("did", "rid", "line", "cls").join(first, "cls").where(other).select("did", "rid", "line").distinct(), "again")
+    repeated = words.select("did", "rid", "line", "cls").join(sized(first, 48), "cls").where(other)
+    again = stash.put(repeated.select("did", "rid", "line").distinct(), "again", joins=True)
     stash.drop(lines)
     joined = classes.where("prefix IS NOT NULL")
-    late = _later(stash, _star(joined), classes, docs)
+    pairs = stash.put(_star(joined), "pairs", joins=True)
+    sets = _sets(stash, pairs, classes, docs)
+    late = _later(stash, pairs, sets)
+    stash.drop(pairs, sets)
     done = sized(late.select("cid", F.lit(-(1 << 63)).alias("open")), 24)
     met = _met(stash, joined.join(done, "cid", "left").withColumn("open", F.coalesce("open", "did")))
+    sets = _sets(stash, met, classes, docs)
     nearest = met.groupBy("b").agg(F.min(F.struct("far", "a")).alias("n")).select(F.col("n.a").alias("a"), "b")
-    late = late.unionByName(_later(stash, nearest, classes, docs))
-    open_pairs = met.join(late.select(F.col("cid").alias("b")).distinct(), "b", "left_anti").select("a", "b")
-    more = _later(stash, open_pairs, classes, docs)
+    late = late.unionByName(_later(stash, nearest, sets))
+    # A class that is removed may still be the earlier one of a pair within its document.
+    gone = late.select(F.col("cid").alias("b"), F.lit(True).alias("gone")).distinct()
+    more = _later(stash, met.join(gone, "b", "left").where("gone IS NULL OR within").select("a", "b"), sets)
+    stash.drop(sets)
     whole = late.unionByName(more).select("did", "rid", "line").distinct().withColumn("again", F.lit(0))
     hit = again.withColumn("again", F.lit(1)).unionByName(whole)
     gone = hit.groupBy("did", "rid").agg(F.array_sort(F.collect_list("line")).alias("gone"), F.sum("again").cast("long").alias("n_exact"))
@@ -274,7 +308,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return df.select(
         "doc_id",
         F.coalesce(_kept(F.col("gone")), "text").alias("kept_text"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
     )

@@ -207,6 +207,33 @@ def test_like_lines_of_one_document_meet_two_centres(spark):
     assert made[500] <= 3 * 500 * linededup.STAR and made[2000] <= 4.5 * made[500]
 
 
+def test_removed_lines_count_within_their_document(spark):
+    """A line is like an earlier one of its document, which is removed itself and was the first of the two to be found."""
+    first, second, other = [], [], []
+    for t in range(40):
+        w = [f"t{t}w{i}" for i in range(20)]
+        a, b, p, q, u = (f"t{t}{c}" for c in "abpqu")
+        first.append(" ".join([*w[:17], w[18], a, b]))
+        second += [" ".join([*w[:19], u]), " ".join([*w[:18], p, q])]  # like the one above, and like the one before but not the first
+        other.append(" ".join([a, b, p, q, w[17]]))
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate((first, second, other))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark, df).collect()} == {0: 0, 1: 80, 2: 0}
+
+
+def test_larger_sets_look_for_smaller_ones_by_few_words(spark, documents):
+    """Words by which a class is met are fewer than those by which it meets others."""
+    from pyspark.sql import functions as F
+
+    from bindery.llm.common import keyed
+
+    r = random.Random(41)
+    hashed = linededup.hashed_lines(keyed(documents([prose(n, r) for n in range(4, 104)])))
+    classes = linededup.line_sets(hashed, linededup.word_levels(hashed)).where("prefix IS NOT NULL").withColumns({"cid": F.xxhash64("did", "line"), "open": F.col("did")})
+    made = {index: linededup._prefix_words(classes, index) for index in (True, False)}
+    most = lambda part: sum(n - -(-part * n // (part + 1)) + 1 for n in range(4, 104))
+    assert made[True].count() <= most(8) and made[False].count() <= 2 * most(4)
+
+
 def test_lines_of_repeated_rows(spark):
     """Equal rows are one document; rows of one doc_id with different texts are two, a null doc_id comes first."""
     rows = [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (1, "g h i"), (2, "g h i\nnew words"), (None, "d e f")]

@@ -207,8 +207,11 @@ def test_like_lines_of_one_document_meet_two_centres(spark):
     assert made[500] <= 3 * 500 * linededup.STAR and made[2000] <= 4.5 * made[500]
 
 
-def test_removed_lines_count_within_their_document(spark):
-    """A line is like an earlier one of its document, which is removed itself and was the first of the two to be found."""
+def test_removed_lines_count_within_their_document(spark, monkeypatch):
+    """A line is like an earlier one of its document, which is removed itself and was the first of the two to be found. Without the
+    centres of crowds, which matter for the effort only."""
+    star = linededup._star
+    monkeypatch.setattr(linededup, "_star", lambda classes: star(classes).where("a IS NULL"))
     first, second, other = [], [], []
     for t in range(40):
         w = [f"t{t}w{i}" for i in range(20)]

@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,6 @@ from bindery.llm.common import TEXTS, Stash, texts
 
 SEQUENCE, END = 2048, 1
 DIMS, BITS, FEATURES = 3, 10, 64
-_BLANK, _ODD = re.compile(r"[ \t\n\r\x0b\x0c]+"), re.compile(r"[\t\r\x0b\x0c]")
 
 
 class ChunkTokenizer:
@@ -40,7 +39,8 @@ class ChunkTokenizer:
     The vocabulary's normaliser and splitter never join characters across white space, so the ids of a text are the
     ids of its chunks, one after the other. A chunk of letters with ASCII punctuation after them is the ids of the
     lower-cased letters and those of the punctuation, each one unit to the merges; all others go through the whole
-    tokenizer. The cache is emptied when it holds about `room` bytes.
+    tokenizer. The chunks of many texts are split and told apart by Arrow, so that each different one is looked up once. The
+    cache is emptied when it holds about `room` bytes.
     """
 
     PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
@@ -58,7 +58,7 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Places(self.chunk)
+        self.index = _Places(self.ids_of)
         self.units: dict[str, list[int]] = {}
         self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.held = 0
@@ -81,15 +81,19 @@ class ChunkTokenizer:
             return self.unit(low) if len(core) == len(c) else self.unit(low) + self.unit(c[len(core) :])
         return self.t.encode(c, add_special_tokens=False).ids if c else []
 
-    def batch(self, rows: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without an end id."""
+    def ids_of(self, c: str | None) -> list[int]:
+        """Ids of a chunk; None is the end of a text."""
+        return [END] if c is None else self.chunk(c)
+
+    def batch(self, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and how many each text has."""
         if self.held > self.room:
             self.clear()
-        at = []
-        for r in rows:
-            r = r.replace("\n", " ") if not _ODD.search(r) else _BLANK.sub(" ", r)
-            row = r.split(" ")
-            at.append(np.fromiter(map(self.index.__getitem__, row), np.int64, len(row)))
+        chunks = pc.ascii_split_whitespace(rows)
+        found = chunks.flatten().dictionary_encode()
+        names = found.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        last = self.index[None]
         if new := self.index.new:
             ends = self.begins[-1] + np.cumsum([len(x) for x in new])
             flat = np.fromiter(itertools.chain.from_iterable(new), np.uint32)
@@ -97,13 +101,17 @@ class ChunkTokenizer:
             self.index.held = 0
             self.ids, self.begins = np.concatenate([self.ids, flat]), np.concatenate([self.begins, ends])
             new.clear()
-        out = []
-        for k in at:
-            begin = self.begins[k]
-            n = self.begins[k + 1] - begin
-            after = np.cumsum(n)
-            out.append(self.ids[np.repeat(begin - after + n, n) + np.arange(after[-1])])
-        return out
+        # The end id is one more chunk after those of each text.
+        stop = np.cumsum(pc.list_value_length(chunks).to_numpy() + 1)
+        k = np.full(stop[-1], last, np.int64)
+        word = np.ones(len(k), bool)
+        word[stop - 1] = False
+        k[word] = at[found.indices.to_numpy()]
+        begin = self.begins[k]
+        n = self.begins[k + 1] - begin
+        after = np.cumsum(n)
+        ids = self.ids[np.repeat(begin - after + n, n) + np.arange(after[-1])]
+        return ids, np.diff(after[stop - 1], prepend=0)
 
 
 class _Places(dict):
@@ -113,10 +121,10 @@ class _Places(dict):
         super().__init__()
         self.ids_of, self.new, self.held = ids_of, [], 0
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: str | None) -> int:
         self[chunk] = n = len(self)
         self.new.append(self.ids_of(chunk))
-        self.held += 180 + len(chunk)  # the string, its number and its place in the table
+        self.held += 180 + len(chunk or "")  # the string, its number and its place in the table
         return n
 
 
@@ -166,6 +174,16 @@ def curve_key(vectors: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1))
 
 
+def _slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) for runs of texts of about `limit` bytes; a text is never split."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j - i
+        i = j
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, hkey, n_tokens, ids as 16-bit binary) with the end id."""
 
@@ -173,17 +191,14 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
         bucket = np.random.Generator(np.random.PCG64(7)).integers(0, FEATURES, 1 << 16)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                ids = [np.append(x, np.uint32(END)) for x in tok.batch(b.column(1).to_pylist())]
-                counts = np.stack([np.bincount(bucket[x], minlength=FEATURES) for x in ids])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0), pa.array(curve_key(counts)), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "hkey", "n_tokens", "ids"],
-                )
+            for i, n in _slices(whole.column(1)):
+                b = whole.slice(i, n)
+                ids, sizes = tok.batch(b.column(1))
+                cells = np.repeat(np.arange(n) * FEATURES, sizes) + bucket[ids]
+                counts = np.bincount(cells, minlength=n * FEATURES).reshape(n, FEATURES)
+                ends = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_key(counts)), pa.array(sizes, pa.int64()), raw], names=["doc_id", "hkey", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, hkey long, n_tokens long, ids binary")
 

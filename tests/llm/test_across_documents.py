@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bindery.llm import decontam, jaccard, linededup, lm, packing, suffix
@@ -317,6 +318,26 @@ def test_packing(spark, documents, copies):
         assert at == 2048 or k == len(by_sequence) - 1 and at < 2048
 
 
+def test_tokenizer_looks_up_each_chunk_of_a_batch_once():
+    """However often a chunk stands in the texts of a batch; the ids are those of the whole tokenizer, also from a cache that is emptied."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.ChunkTokenizer(path, room=0)
+    texts = [*ODD, "", "  \n\t ", "one two\x0btwo " * 200, prose(50)]
+    looked = []
+    for _ in range(2):
+        own.clear()
+        get = own.index.ids_of
+        own.index.ids_of = lambda c: looked.append(c) or get(c)  # noqa: B023
+        ids, sizes = own.batch(pa.array(["left out", *texts]).slice(1))
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert looked.count("two") == 2 and looked.count(None) == 2
+    assert list(packing._slices(pa.array(["ab", "c" * 9, "", "d", "e" * 20]), 4)) == [(0, 1), (1, 1), (2, 2), (4, 1)]
+
+
 def test_hilbert_curve_is_continuous():
     n = 8
     points = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])

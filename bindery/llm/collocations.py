@@ -1,4 +1,4 @@
-"""Phrase collocation mining (operator 13): sketched upper bounds, guarded automata, exact counts, thresholds.
+"""Phrase collocation mining (operator 13): sketched upper bounds, an automaton over words, exact counts, thresholds.
 
 Texts are lower-cased (A-Z), split at PUNCTUATION into pieces and those at spaces and tabs into words. Every phrase of 1 to
 LONGEST words of a language falls into one of `width` slots, by hash. Tasks count slots over a bounded number of phrases at a
@@ -6,12 +6,15 @@ time and hand on the counts slice by slice; a slot's sum is an upper bound of th
 grows with the texts, so that a slot holds about a quarter of the least count on average, while what a task holds and hands
 on doesn't depend on it.
 
-Slots that reach the least count are dealt into chunks of bounded size. For each chunk, the phrases in these slots are
-gathered from the texts, distinct, and compiled into Aho-Corasick automata, one or more for each language and each of
-bounded size. Every phrase stands in its automaton with a space before and after, and texts are written with one space on
-either side of each word and a line feed between pieces, so a phrase matches whole words within a piece only. Tasks scan
-their texts and count all matches, overlapping ones too; the counts are summed and those below the least count go. Parts of
-a frequent phrase are at least as frequent, so all counts that the scores need are among them.
+The phrases in slots that reach the least count are the states of an Aho-Corasick automaton whose letters are words. The parts
+of a frequent phrase are frequent, so the states are closed under prefixes and suffixes, and whether a word leads on is one
+look at the slot of the longer phrase; only these slots are given to the tasks. After each word the automaton is in the state
+of the longest phrase that ends there, and no state crosses the end of a piece. A task keeps the states that its texts come to,
+with their phrases, their visits and their failure links (the longest shorter state that ends there); a visit counts for
+the state and, along the links, for all phrases that end with it, overlapping ones too. So the texts are read once, however
+many phrases are frequent, and a task that holds too many hands on what it has. Counts are summed by phrase and those below
+the least count go; all counts that the scores need are among the rest. Slots beyond SLOTS take further readings. States are
+told apart by hashes of 64 bits.
 
 Defined results: null texts are empty and a null language is `und`, one with documents that are so named. Repeated rows
 count as often as they stand there. Scores are integers, computed in decimals of 38 digits; the lowest-scoring cut counts,
@@ -22,7 +25,7 @@ their names, are not looked at.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -33,25 +36,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import TEXTS, Stash, mix, sized, words_in
+from bindery.llm.common import TEXTS, Stash, mix, words_in
 
 PUNCTUATION, LONGEST, LEAST, KEPT = ".,;:!?\x0a\x0b\x0c\x0d", 5, 100, 2000
 #: Phrases that a task counts before it hands on what it has, and bytes of texts that it looks at at once.
-HELD, AT_ONCE = 1 << 22, 1 << 22
+HELD, AT_ONCE = 1 << 22, 1 << 21
 #: Splits of the texts that a task takes which hands on phrases.
 SPLITS = 8
 #: Slots in a slice, the unit that is summed by one task.
 SLICE = 1 << 20
-#: Slots whose phrases are gathered at once, and bytes of the phrases that the automata of a pass are made of: about 26 times
-#: as many are taken by the automata, in each worker.
-SLOTS, PASS_BYTES = 1 << 20, 6 << 20
+#: Slots whose phrases are counted by one reading of the texts, and bits by which they are looked up.
+SLOTS, _BITS = 1 << 25, 1 << 29
+#: Bytes of the phrases that a task holds before it hands on their counts, and rows that it hands on at once.
+PASS_BYTES, HANDED = 16 << 20, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Places of the filters through which hashes go before they are looked up.
+#: Places of hashes told last.
 _FILTER = 1 << 22
 
-#: The automata of the pass that a worker process is at.
-_built: dict[str, list] = {}
-
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9] = 32
@@ -74,19 +75,11 @@ def folded(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
             at += n
 
 
-def guarded(data: np.ndarray) -> str:
-    """The text with one space on either side of each word."""
-    out = b" " + data.tobytes().replace(b"\n", b" \n ") + b" "
-    while b"  " in out:
-        out = out.replace(b"  ", b" ")
-    return out.decode()
-
-
 def phrases_in(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, whole, start, end) of all runs of one word, of two and so on; those that are whole are phrases of one piece."""
     starts, ends, h, _ = words_in(data, np.array([0, len(data)]))
     breaks = np.cumsum(data == 10, dtype=np.int32)[starts] if len(starts) else starts
-    x = mix(h ^ mix(np.array([zlib.crc32(lang.encode()) + 1], np.uint64)))
+    x = mix(h ^ np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), np.uint64))
     for n in range(1, min(longest, len(h)) + 1):
         m = len(h) - n + 1
         x = x if n == 1 else mix(x[:m] * _STEP + h[n - 1 :])
@@ -100,7 +93,6 @@ def _slot_counts(width: int, longest: int):
         held: list[np.ndarray] = []
         words: dict[str, int] = {}
         pack = zstandard.ZstdCompressor(1).compress
-        _forget()
 
         def told() -> pa.RecordBatch:
             slot, n = np.unique(np.concatenate(held), return_counts=True)
@@ -134,15 +126,27 @@ def _summed_slots(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
         words: dict[str, int] = {}
         unpack = zstandard.ZstdDecompressor().decompress
+
+        def add(k: int) -> None:
+            both = np.concatenate(waiting.pop(k), axis=1)
+            n = np.bincount(both[0], both[1], SLICE).astype(np.int64)
+            total[k] = total[k] + n if k in total else n
+
         for b in batches:
             for k, cell, lang in zip(b.column("slice").to_pylist(), b.column("counts"), b.column("lang").to_pylist(), strict=True):
                 if lang is not None:
                     words[lang] = words.get(lang, 0) + int(np.frombuffer(cell.as_buffer(), np.int64)[0])
                     continue
                 both = np.ascontiguousarray(np.frombuffer(unpack(cell.as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(2, -1)
-                total.setdefault(k, np.zeros(SLICE, np.int64))[np.cumsum(both[0], dtype=np.int64)] += both[1]
+                np.cumsum(both[0], out=both[0])
+                waiting.setdefault(k, []).append(both)
+                if sum(x.shape[1] for x in waiting[k]) >= SLICE:
+                    add(k)
+        for k in list(waiting):
+            add(k)
         slots = np.concatenate([k * SLICE + np.flatnonzero(sums >= least) for k, sums in total.items()]) if total else np.zeros(0, np.int64)
         none = len(slots)
         yield pa.RecordBatch.from_arrays(
@@ -153,101 +157,138 @@ def _summed_slots(least: int):
     return run
 
 
-def _gathered(held, width: int, longest: int, chunk: int, chunks: int):
-    """Phrases of the slots of this pass, most of them once for each task."""
+def _looked_up(slots: np.ndarray, width: int):
+    """Whether slots are among the sorted ones, for arrays of them: by a bit of each slot or, if there are too many, of several."""
+    mask = np.uint64(min(width, _BITS) - 1)
+    bits = np.zeros(int(mask >> np.uint64(3)) + 1, np.uint8)
+    place = slots & mask
+    np.bitwise_or.at(bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, low, mask = held.value, np.zeros(_FILTER, bool), np.uint64(_FILTER - 1)
-        low[slots & mask] = True
-        # Hashes told last, by their own low bits: what is pushed out is told again and counts as one in the end.
-        told = np.zeros(_FILTER, np.uint64)
-        for b in batches:
-            for lang, data in folded(b):
-                raw, found, words, shorter = data.tobytes(), [], [], None
-                for n, (h, whole, start, end) in enumerate(phrases_in(data, lang, longest), 1):
-                    # Parts of a frequent phrase are frequent, so only phrases of such parts are looked up. Of parts whose slots
-                    # another pass has, this one knows nothing.
-                    at = np.flatnonzero(whole if shorter is None else whole & shorter[:-1] & shorter[1:])
-                    slot = h[at] & np.uint64(width - 1)
-                    foreign = at[slot % np.uint64(chunks) != np.uint64(chunk)] if chunks > 1 else at[:0]
-                    near = low[slot & mask]
-                    at, slot = at[near], slot[near]
-                    hit = at[slots[np.minimum(np.searchsorted(slots, slot), len(slots) - 1)] == slot]
-                    shorter = np.zeros(len(h), bool)
-                    shorter[hit] = shorter[foreign] = True
-                    place = h[hit] >> np.uint64(40) & mask
-                    hit, place = hit[told[place] != h[hit]], place[told[place] != h[hit]]
-                    told[place] = h[hit]
-                    _, i = np.unique(h[hit], return_index=True)
-                    found += [b" ".join(raw[p:q].split()) for p, q in zip(start[hit[i]].tolist(), end[hit[i]].tolist(), strict=True)]
-                    words += [n] * len(i)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(words, pa.int32())], names=["lang", "phrase", "words"])
+    def run(slot: np.ndarray) -> np.ndarray:
+        place = slot & mask
+        out = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        if width > _BITS:
+            near = np.flatnonzero(out)
+            out[near] = slots[np.minimum(np.searchsorted(slots, slot[near]), len(slots) - 1)] == slot[near]
+        return out
 
     return run
 
 
-def automaton(phrases: list[str]):
-    """Finds each phrase, by its place in the list, with a space before and after."""
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    for i, p in enumerate(phrases):
-        out.add_word(f" {p} ", i)
-    out.make_automaton()
-    return out
-
-
-def _automata(held, name: str) -> list:
-    """(lang, automaton, ids) of a broadcast pass. A worker process keeps those of the pass it is at, and outlives queries, so
-    passes have names that no other one has."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = [(lang, automaton(phrases), ids) for lang, phrases, ids in held.value]
-    return _built[name]
-
-
-def _forget() -> None:
-    """Frees a worker's automata."""
-    _built.clear()
-
-
-def _scanned(held):
-    name = uuid.uuid4().hex
+def _states(data: np.ndarray, lang: str, longest: int, frequent, width: int, chunk: int, chunks: int) -> tuple[np.ndarray, ...]:
+    """Where words start and end; by number of words and last word the hashes of the states that end there, 0 where none does;
+    and the words of the longest state of up to 0, 1, ... words that ends there."""
+    starts, ends, hashes, below, shorter = None, None, None, None, None
+    for n, (h, whole, start, end) in enumerate(phrases_in(data, lang, longest)):
+        if not n:
+            starts, ends, hashes, below = start, end, np.zeros((longest, len(h)), np.uint64), np.zeros((longest + 1, len(h)), np.int64)
+        # Parts of a frequent phrase are frequent, so only phrases of such parts are looked up. Of parts whose slots another
+        # pass has, this one knows nothing.
+        at = np.flatnonzero(whole if shorter is None else whole & shorter[:-1] & shorter[1:])
+        slot = h[at] & np.uint64(width - 1)
+        own = slot % np.uint64(chunks) == np.uint64(chunk) if chunks > 1 else np.ones(len(at), bool)
+        own[own] = frequent(slot[own])
+        hit, shorter = at[own], np.zeros(len(h), bool)
+        shorter[hit] = True
+        if chunks > 1:
+            shorter[at[slot % np.uint64(chunks) != np.uint64(chunk)]] = True
+        hashes[n, hit + n] = h[hit]
+    for n in range(len(below) - 1 if below is not None else 0):
+        below[n + 1] = np.where(hashes[n] != 0, n + 1, below[n])
+    return starts, ends, hashes, below
+
+
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    size = end - start
+    to = np.concatenate([[0], np.cumsum(size)])
+    raw = data[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.add.reduceat(n, at)
+
+
+def _counted(held, width: int, longest: int, chunk: int, chunks: int):
+    """Phrases of the slots of this pass, with their counts in a task's texts or, if they are too many, in blocks of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(held, name)
-        counts = [np.zeros(len(ids), np.int64) for _, _, ids in automata]
+        frequent = _looked_up(held.value.astype(np.uint64), width)
+        # Hashes of states told last, by their own high bits: what is pushed out is told again, which does no harm.
+        last = np.zeros(_FILTER, np.uint64)
+        langs: list[str] = []
+        visits: list[tuple[np.ndarray, np.ndarray]] = []
+        told: list[tuple] = []
+        size = 0
+        place = lambda x: x >> np.uint64(40) & np.uint64(_FILTER - 1)
+
+        def visit(lang: str, data: np.ndarray) -> int:
+            """Counts the states that the automaton comes to, and tells new ones with their failure links; bytes of their phrases."""
+            kept = np.ones(len(data), bool)
+            kept[1:] = (data[1:] != 32) | (data[:-1] != 32)
+            data = data[kept]
+            starts, ends, hashes, below = _states(data, lang, longest, frequent, width, chunk, chunks)
+            if starts is None:
+                return 0
+            at, new = np.flatnonzero(below[-1]), 0
+            words = below[-1, at]
+            x = hashes[words - 1, at]
+            visits.append(np.unique(x, return_counts=True))
+            if lang not in langs:
+                langs.append(lang)
+            while True:
+                fresh = np.flatnonzero(last[place(x)] != x)
+                if not len(fresh):
+                    return new
+                x, i = np.unique(x[fresh], return_index=True)
+                at, words = at[fresh[i]], words[fresh[i]]
+                last[place(x)] = x
+                next_words = below[words - 1, at]
+                linked = next_words > 0
+                link = np.where(linked, hashes[next_words - 1, at], np.uint64(0))
+                phrase = _cut(data, starts[at - words + 1], ends[at])
+                told.append((x, link, words.astype(np.int8), np.full(len(x), langs.index(lang), np.int32), phrase))
+                new += len(phrase.buffers()[2])
+                x, at, words = link[linked], at[linked], next_words[linked]
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            """A state's visits count for it and along its failure links, which are followed from the longest phrases on."""
+            if told:
+                x, link, words, lang = (np.concatenate(c) for c in list(zip(*told, strict=True))[:4])
+                x, i = np.unique(x, return_index=True)
+                link, words, lang, phrase = link[i], words[i], lang[i], pa.concat_arrays([t[4] for t in told]).take(pa.array(i))
+                told.clear()
+                n = np.zeros(len(x), np.int64)
+                came, times = _summed(*zip(*visits, strict=True))
+                visits.clear()
+                n[np.searchsorted(x, came)] = times
+                for k in range(longest, 1, -1):
+                    at = np.flatnonzero((words == k) & (link != 0))
+                    np.add.at(n, np.searchsorted(x, link[at]), n[at])
+                name = pa.array(langs).take(pa.array(lang))
+                for k in range(0, len(x), HANDED):
+                    yield pa.RecordBatch.from_arrays([name[k : k + HANDED], phrase[k : k + HANDED], pa.array(n[k : k + HANDED])], names=["lang", "phrase", "n"])
+            last.fill(0)
+            langs.clear()
+            visits.clear()
+
         for b in batches:
             for lang, data in folded(b):
-                own = [k for k, x in enumerate(automata) if x[0] == lang]
-                text = guarded(data) if own else ""
-                for k in own:
-                    counts[k] += np.bincount(np.fromiter((i for _, i in automata[k][1].iter(text)), np.int32), minlength=len(counts[k]))
-        for c, (_, _, ids) in zip(counts, automata, strict=True):
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(c[at])], names=["pid", "n"])
+                size += visit(lang, data)
+                if sum(len(x) for x, _ in visits) > HELD:
+                    visits[:] = [_summed(*zip(*visits, strict=True))]
+                if size >= PASS_BYTES or len(visits) == 1 and len(visits[0][0]) > HELD // 2:
+                    yield from counts()
+                    size = 0
+        yield from counts()
 
     return run
 
 
-def _passes(spark: SparkSession, phrases: DataFrame) -> Iterator[list[tuple[str, list[str], np.ndarray]]]:
-    """Passes of about PASS_BYTES of phrases: the parts of a language's phrases, cut by hash, or all those of several languages."""
-    size = F.sum(F.octet_length("phrase") + 2).alias("bytes")
-    taken, held = [], 0
-    for r in phrases.groupBy("lang").agg(size).orderBy("bytes").collect():
-        n = -(-r["bytes"] // PASS_BYTES)
-        for i in range(n):
-            if taken and held + r["bytes"] // n > PASS_BYTES:
-                yield taken
-                taken, held = [], 0
-            own = phrases.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("phrase"), F.lit(n)) == i)).select("phrase", "pid").toArrow()
-            taken.append((r["lang"], own["phrase"].to_pylist(), own["pid"].to_numpy()))
-            held += r["bytes"] // n
-    if taken:
-        yield taken
-
-
 def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of up to `longest` words found `least` times or more, and (lang, n), all words."""
     stash, texts = Stash(spark), lang_texts(docs)
@@ -258,23 +299,19 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, long
     sums = stash.put(counts.mapInArrow(_summed_slots(least), "slot long, lang string, n long"), "sums", TEXTS)
     slots, totals = sums.where("slot IS NOT NULL").select("slot"), sums.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = -(-slots.count() // SLOTS)
-    # A task of these passes hands on a row for each phrase that it meets, so it takes several splits of the texts, if
-    # enough tasks are left for all cores.
-    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS))
-    out = spark.createDataFrame([], "pid long, lang string, phrase string, words int, a long")
+    # A task hands on a row for each phrase that it meets, so it takes several splits of the texts, if enough tasks are left
+    # for all cores.
+    texts = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS))
+    out = None
     for i in range(chunks):
         own = slots.where(F.col("slot") % chunks == i).toArrow()["slot"].to_numpy()
-        held = spark.sparkContext.broadcast(np.sort(own).astype(np.uint64))
-        found = texts.mapInArrow(_gathered(held, width, longest, i, chunks), "lang string, phrase string, words int").distinct()
-        phrases = stash.put(found.withColumn("pid", F.monotonically_increasing_id()), "phrases", TEXTS)
+        held = spark.sparkContext.broadcast(np.sort(own).astype(np.uint32 if width <= 1 << 32 else np.uint64))
+        found = texts.mapInArrow(_counted(held, width, longest, i, chunks), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+        found = found.where(F.col("a") >= least).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "a")
+        found = stash.put(found, "found", TEXTS)
         held.unpersist()
-        for taken in _passes(spark, phrases):
-            held = spark.sparkContext.broadcast(taken)
-            theirs = texts.where(F.col("lang").isin(*{x[0] for x in taken})) if len(taken) <= 64 else texts
-            n = stash.put(theirs.mapInArrow(_scanned(held), "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "counts", TEXTS)
-            held.unpersist()
-            out = out.unionByName(phrases.join(sized(n, 16), "pid").select("pid", "lang", "phrase", "words", "a"))
-    return stash.put(out.drop("pid"), "found"), totals
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "lang string, phrase string, words int, a long") if out is None else out, totals
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, kept: int = KEPT, longest: int = LONGEST) -> DataFrame:

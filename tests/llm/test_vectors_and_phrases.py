@@ -214,6 +214,29 @@ def test_workers_keep_no_automata_of_other_queries(spark):
         assert sorted(tuple(r) for r in collocations.collocations(spark, df, least=20).collect()) == plain_collocations(rows, 20)
 
 
+def test_texts_are_read_as_often_however_many_phrases_are_frequent(spark, phrases, monkeypatch):
+    """For their size, for the slots and for the counts; a task that can hold few phrases hands on more often."""
+    monkeypatch.setattr(collocations, "PASS_BYTES", 1000)
+    rows = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(phrases, "lang string, text string").repartition(3).mapInArrow(read, "lang string, text string")
+    got = collocations.collocations(spark, df, least=20)
+    assert sorted(tuple(r) for r in got.collect()) == plain_collocations(phrases, 20)
+    assert rows.value == 3 * len(phrases)
+
+
+def test_batches_without_words_and_phrases_of_one_batch(spark):
+    """Each row is a batch of its own: empty texts, signs only, runs of spaces, phrases that end and begin in several places."""
+    rows = [("a", ""), ("a", " \t "), ("b", ".,;"), ("b", None), (None, "x")] + [("a", "x  y\t z x y.z  x y z"), ("b", "y z x y z w y z")] * 9
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(len(rows))
+    assert sorted(tuple(r) for r in collocations.collocations(spark, df, least=5).collect()) == plain_collocations(rows, 5)
+
+
 def test_collocations_limits_and_empty_tables(spark, phrases):
     df = spark.createDataFrame(phrases, "lang string, text string")
     assert sorted(tuple(r) for r in collocations.collocations(spark, df, least=20, kept=3).collect()) == plain_collocations(phrases, 20, 3)

@@ -230,6 +230,15 @@ def test_texts_are_read_as_often_however_many_phrases_are_frequent(spark, phrase
     assert rows.value == 3 * len(phrases)
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 12])
+def test_slots_are_looked_up_exactly(monkeypatch, bits):
+    """By a bit of each slot, and by bits that many slots share."""
+    monkeypatch.setattr(collocations, "_BITS", bits)
+    slots, all_slots = np.unique(R.integers(0, 1 << 17, 3000)).astype(np.uint64), np.arange(1 << 17, dtype=np.uint64)
+    assert (collocations._looked_up(slots, 1 << 17)(all_slots) == np.isin(all_slots, slots)).all()
+    assert not collocations._looked_up(slots, 1 << 17)(all_slots[:0]).any()
+
+
 def test_batches_without_words_and_phrases_of_one_batch(spark):
     """Each row is a batch of its own: empty texts, signs only, runs of spaces, phrases that end and begin in several places."""
     rows = [("a", ""), ("a", " \t "), ("b", ".,;"), ("b", None), (None, "x")] + [("a", "x  y\t z x y.z  x y z"), ("b", "y z x y z w y z")] * 9

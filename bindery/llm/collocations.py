@@ -198,11 +198,11 @@ def _states(data: np.ndarray, lang: str, longest: int, frequent, width: int, chu
     return starts, ends, hashes, below
 
 
-def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
     size = end - start
     to = np.concatenate([[0], np.cumsum(size)])
-    raw = data[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw))
+    raw = [data[np.arange(to[i], to[min(i + HANDED, len(size))]) + np.repeat((start - to[:-1])[i : i + HANDED], size[i : i + HANDED])] for i in range(0, len(size), HANDED)]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(to), pa.py_buffer(np.concatenate(raw)))
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +260,7 @@ def _counted(held, width: int, longest: int, chunk: int, chunks: int):
             if told:
                 x, link, words, lang = (np.concatenate(c) for c in list(zip(*told, strict=True))[:4])
                 x, i = np.unique(x, return_index=True)
-                link, words, lang, phrase = link[i], words[i], lang[i], pa.concat_arrays([t[4] for t in told]).take(pa.array(i))
+                link, words, lang, phrase = link[i], words[i], lang[i], pa.concat_arrays([t[4] for t in told])
                 told.clear()
                 n = np.zeros(len(x), np.int64)
                 came, times = _summed(*zip(*visits, strict=True))
@@ -271,7 +271,8 @@ def _counted(held, width: int, longest: int, chunk: int, chunks: int):
                     np.add.at(n, np.searchsorted(x, link[at]), n[at])
                 name = pa.array(langs).take(pa.array(lang))
                 for k in range(0, len(x), HANDED):
-                    yield pa.RecordBatch.from_arrays([name[k : k + HANDED], phrase[k : k + HANDED], pa.array(n[k : k + HANDED])], names=["lang", "phrase", "n"])
+                    own = phrase.take(pa.array(i[k : k + HANDED])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([name[k : k + HANDED], own, pa.array(n[k : k + HANDED])], names=["lang", "phrase", "n"])
             last.fill(0)
             langs.clear()
             visits.clear()
